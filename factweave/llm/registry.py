@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factweave.llm import mixing, quality, sharding, urls
+from factweave.llm import mixing, ngram_join, quality, sharding, urls
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op6_sharding": sharding.op6_sharding,
     "op9_quality_rules": quality.op9_quality_rules,
