@@ -75,6 +75,13 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return queued.select("doc_id", "text_hash", "size", "source_size", "target", taken.cast("int").alias("epochs"))
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as the mix takes it, all columns kept."""
+    taken = fair_mix(docs, weights, epochs, seed).where("epochs > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max("epochs").alias("_epochs"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_hash"))
+    return docs.join(taken, same).withColumn("_e", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*[docs[c] for c in docs.columns])
+
+
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
     mix = fair_mix(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"))

@@ -257,6 +257,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return named.join(comp, F.col("cls") == comp["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "cls", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component (its smallest doc_id), all columns kept. Rows that repeat a
+    doc_id count as one document: one of them stays."""
+    named = materialize(jaccard_components(docs.select("doc_id", "text")))
+    kept = named.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    out = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi")
+    repeats = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return out.dropDuplicates(["doc_id"]) if repeats else out
+
+
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs whose count-vector bound reaches the threshold."""
 

@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.wordkernel import IS_SEP, gram_hashes, mix, word_chunks
+from factweave.llm.common import table
+from factweave.llm.wordkernel import IS_SEP, Words, gram_hashes, mix, word_chunks
 
 #: Rule name -> bit. A bit, once given, keeps its meaning in every later policy.
 RULES = {"few_words": 0, "repeated_windows": 1, "symbols": 2, "duplicate_lines": 3, "word_length": 4}
 #: Policy version -> rules that reject.
 POLICIES = {"base": ("few_words", "repeated_windows"), "v1": ("few_words", "repeated_windows", "symbols", "duplicate_lines", "word_length")}
 
-LEDGER = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
+LEDGER = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, fail_bits long"
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -44,7 +45,7 @@ def _lines(text: bytes) -> tuple[int, int]:
     return len(lines), len(lines) - len(set(lines))
 
 
-def _repeats(w, n: int = _WINDOW) -> np.ndarray:
+def _repeats(w: Words, n: int = _WINDOW) -> np.ndarray:
     """Per row, the words inside an n-word window that occurs at least twice in the row."""
     h = gram_hashes(w.hashes, n)
     if not len(h):
@@ -63,33 +64,49 @@ def _repeats(w, n: int = _WINDOW) -> np.ndarray:
     return _per_row(np.cumsum(steps[:-1]) > 0, w.bounds)
 
 
+_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
+
+
+def _measured(w: Words) -> dict[str, np.ndarray]:
+    """Every measurement of every row, and ``fail_bits``."""
+    letters = ~IS_SEP[w.buf] & ((w.buf & 0xC0) != 0x80)
+    lines = np.array([_lines(w.text(i)) for i in range(w.rows)], dtype=np.int64).reshape(-1, 2)
+    m = dict(zip(_NAMES, (w.counts, _per_row(letters, w.offsets), _per_row(_SYMBOL[w.buf], w.offsets), lines[:, 1], lines[:, 0], _repeats(w))))
+    n = m["n_words"]
+    fails = {
+        "few_words": n < 20,
+        "repeated_windows": 100 * m["n_repeat_words"] > 30 * n,
+        "symbols": 2 * m["n_symbols"] > n,
+        "duplicate_lines": (2 * m["n_dup_lines"] > m["n_lines"]) & (m["n_lines"] > 3),
+        "word_length": (n > 0) & ((m["word_chars"] < 2 * n) | (m["word_chars"] > 25 * n)),
+    }
+    m["fail_bits"] = sum(bad.astype(np.int64) << RULES[r] for r, bad in fails.items())
+    return m
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for w in word_chunks(texts):
-            letters = ~IS_SEP[w.buf] & ((w.buf & 0xC0) != 0x80)
-            lines = np.array([_lines(w.text(i)) for i in range(w.rows)], dtype=np.int64).reshape(-1, 2)
-            cols = [w.counts, _per_row(letters, w.offsets), _per_row(_SYMBOL[w.buf], w.offsets), lines[:, 1], lines[:, 0], _repeats(w)]
-            yield pa.RecordBatch.from_arrays([ids.slice(w.first, w.rows), *(pa.array(c.astype(np.int64)) for c in cols)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"])
+        for w in word_chunks(batch.column(1)):
+            m = _measured(w)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.rows), *(pa.array(c.astype(np.int64)) for c in m.values())], names=["doc_id", *m])
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """One row of measurements per row of ``docs`` (columns ``doc_id`` and ``text``)."""
+def rule_ledger(docs: DataFrame) -> DataFrame:
+    """One row of measurements per row of ``docs`` (``doc_id``, ``text``), with ``fail_bits``: bit
+    ``RULES[r]`` is set where rule ``r`` rejects."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, LEDGER)
 
 
-def rule_ledger(docs: DataFrame) -> DataFrame:
-    """Measurements plus ``fail_bits``: bit ``RULES[r]`` is set where rule ``r`` rejects."""
-    n = F.col("n_words")
-    fails = {
-        "few_words": n < 20,
-        "repeated_windows": 100 * F.col("n_repeat_words") > 30 * n,
-        "symbols": 2 * F.col("n_symbols") > n,
-        "duplicate_lines": (2 * F.col("n_dup_lines") > F.col("n_lines")) & (F.col("n_lines") > 3),
-        "word_length": (n > 0) & ((F.col("word_chars") < 2 * n) | (F.col("word_chars") > 25 * n)),
-    }
-    bits = sum((F.when(c, F.lit(1 << RULES[r])).otherwise(F.lit(0)) for r, c in fails.items()), F.lit(0))
-    return measure(docs).withColumn("fail_bits", bits.cast("long"))
+def keep_documents(docs: DataFrame, version: str = "v1") -> DataFrame:
+    """The rows of ``docs`` that no rule of the policy rejects, all columns kept; no shuffle."""
+    at, mask = docs.columns.index("text"), policy_mask(version)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [_measured(w)["fail_bits"] for w in word_chunks(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(bits) & mask == 0) if bits else pa.array([], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def policy_mask(version: str) -> int:
@@ -117,8 +134,6 @@ def ablation(ledger: DataFrame, version: str = "v1") -> DataFrame:
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    from factweave.llm.common import table
-
     ledger = apply_policy(rule_ledger(table(spark, sf_dir, "documents")), "v1")
     base = F.col("fail_bits").bitwiseAND(F.lit(policy_mask("base"))) != 0
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from factweave.llm import mixing, ngram_join, quality, sharding, urls
+from factweave.llm import decontaminate, mixing, ngram_join, quality, sharding, urls
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_sharding": sharding.op6_sharding,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_url_reputation": urls.op10_url_reputation,
