@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from factweave.llm import decontaminate, mixing, ngram_join, quality, sharding, urls
+from factweave.llm import decontaminate, mixing, ngram_join, quality, sharding, substring_dedup, urls
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_sharding": sharding.op6_sharding,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_url_reputation": urls.op10_url_reputation,
 }
