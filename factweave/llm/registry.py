@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from factweave.llm import decontaminate, mixing, ngram_join, quality, sharding, substring_dedup, urls
+from factweave.llm import decontaminate, mixing, ngram_join, pii, quality, secrets, sharding, substring_dedup, urls
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_sharding": sharding.op6_sharding,
+    "op7_personal_data": pii.op7_personal_data,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_url_reputation": urls.op10_url_reputation,
