@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from factweave.llm import decontaminate, mixing, ngram_join, pii, quality, secrets, sharding, substring_dedup, urls
+from factweave.llm import decontaminate, lm_score, mixing, ngram_join, pii, quality, secrets, sharding, substring_dedup, urls
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_lm_score": lm_score.op4_lm_score,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_sharding": sharding.op6_sharding,
     "op7_personal_data": pii.op7_personal_data,
