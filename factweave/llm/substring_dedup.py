@@ -14,11 +14,13 @@ window that also starts earlier is removed. Windows are judged on the input.
    looked up by a 128-bit hash among the windows whose anchor is a first place. The earliest copy of any
    window is always among these, so the result is exact.
 
-Hot passages are aggregated before the shuffle and joined back with adaptive skew handling; no task
-gathers the holders of one passage. Texts meet their anchors by doc_id only.
+A place is one long, the document's id shifted over the word position; ids too large for that, negative,
+null or repeated ids are first replaced by their rank. Anchors are shuffled once, for the aggregation and
+the join back alike, as 16-byte rows; only windows that repeat across documents travel in step 3, each once
+per document. Texts meet their anchors by document.
 Defined cases: null text has no words; a null doc_id sorts first; rows that repeat a doc_id with
-different texts are read as one document, in order of text hash, equal rows as the same row; texts
-under 20 words are kept; an empty table gives no rows; extra columns are ignored.
+different texts are documents of their own, in order of text hash, and rows repeated exactly count as one
+document; texts under 20 words are kept; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import table
+from factweave.llm.common import n_buckets, running, table
 from factweave.llm.wordkernel import Words, gram_hashes, word_chunks
 
 WINDOW = 20
@@ -62,79 +64,89 @@ def _minimizers(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ten[starts], h
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, parts = (batch.column(k).to_numpy() for k in (0, 1))
-        for w in word_chunks(batch.column(2)):
-            _, at, h = _minimizers(w)
-            at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
-            row = np.searchsorted(w.bounds, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[w.first + row]), pa.array(at - w.bounds[row] + (parts[w.first + row] << 32))], names=["h", "doc", "pos"])
+def _anchors(shift: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for w in word_chunks(batch.column(1)):
+                _, at, h = _minimizers(w)
+                at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
+                row = np.searchsorted(w.bounds, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array((ids[w.first + row] << shift) + at - w.bounds[row])], names=["h", "place"])
+
+    return run
 
 
 class _Parsed:
-    """Factors of the rows of one chunk: which windows are inside one, ask, or only answer."""
+    """Factors of the rows of one chunk: which windows are known copies, ask, or only answer.
+
+    ``known`` lists, per row, ``(place, first place)`` of each anchor that the corpus repeats."""
 
-    def __init__(self, w: Words, ids: np.ndarray, parts: np.ndarray, known: pa.ListArray):
+    def __init__(self, w: Words, shift: int, known: pa.ListArray):
         starts, at, _ = _minimizers(w)
         offs = known.offsets.to_numpy()[w.first : w.first + w.rows + 1]
-        fields = [known.values.field(k).to_numpy()[offs[0] : offs[-1]] for k in range(3)]
+        place, first = (known.values.field(k).to_numpy()[offs[0] : offs[-1]] for k in range(2))
         row = np.repeat(np.arange(w.rows), np.diff(offs))
-        pos, sdoc, spos = fields
-        base = parts[w.first : w.first + w.rows] << 32
-        local = pos - base[row]
-        mine = (local >= 0) & (local < np.diff(w.bounds)[row])  # else of another row with this doc_id
-        order = np.lexsort((local[mine], row[mine]))
-        row, pos, sdoc, spos, local = (x[mine][order] for x in (row, pos, sdoc, spos, local))
-        doc = ids[w.first + row]
-        earlier = (sdoc < doc) | ((sdoc == doc) & (spos < pos))
-        place = w.bounds[row] + local  # of the anchor in the chunk
+        order = np.lexsort((place, row))
+        place, first = place[order], first[order]
+        spot = w.bounds[row] + (place & ((1 << shift) - 1))  # of the anchor in the chunk
+        earlier = first < place
         # factors: runs of anchors with one source text at one distance
-        joined = np.zeros(len(place), dtype=bool)
-        if len(place):
-            joined[1:] = (row[1:] == row[:-1]) & earlier[1:] & earlier[:-1] & (sdoc[1:] == sdoc[:-1]) & (spos[1:] - spos[:-1] == pos[1:] - pos[:-1]) & (pos[1:] - pos[:-1] <= ANCHOR)
+        joined = np.zeros(len(spot), dtype=bool)
+        if len(spot):
+            joined[1:] = (row[1:] == row[:-1]) & earlier[1:] & earlier[:-1] & (first[1:] - first[:-1] == place[1:] - place[:-1]) & (first[1:] >> shift == first[:-1] >> shift) & (place[1:] - place[:-1] <= ANCHOR)
         heads = np.flatnonzero(~joined)
-        tails = np.r_[heads[1:], len(place)] - 1 if len(heads) else heads
+        tails = np.r_[heads[1:], len(spot)] - 1 if len(heads) else heads
         inside = np.zeros(len(w.hashes) + 1, dtype=np.int32)
-        last = place[tails] + ANCHOR - WINDOW  # the last window start a factor holds
-        long = earlier[heads] & (last >= place[heads])
-        np.add.at(inside, place[heads][long], 1)
+        last = spot[tails] + ANCHOR - WINDOW  # the last window start a factor holds
+        long = earlier[heads] & (last >= spot[heads])
+        np.add.at(inside, spot[heads][long], 1)
         np.add.at(inside, last[long] + 1, -1)
         state = np.zeros(len(w.hashes) + 1, dtype=np.int8)  # 1: anchor seen earlier, 2: first place
-        state[place] = np.where(earlier, 1, 2)
-        self.w, self.starts = w, starts
+        state[spot] = np.where(earlier, 1, 2)
+        self.starts = starts
         self.inside = (np.cumsum(inside) > 0)[starts]
         self.asks = (state[at] == 1) & ~self.inside
         self.answers = state[at] == 2
+        # a window that repeats within its document is a copy there; only the first one is looked up
+        self.h1 = gram_hashes(w.hashes, WINDOW, _SECOND)
+        open_ = np.flatnonzero(self.asks | self.answers)
+        key = self.h1[starts[open_]]
+        owner = np.searchsorted(w.bounds, starts[open_], side="right") - 1
+        order = np.lexsort((open_, key, owner))
+        again = np.zeros(len(open_), dtype=bool)
+        again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+        self.inside[open_[again]] = True
+        self.asks[open_[again]] = False
+
+
+def _boundaries(shift: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for w in word_chunks(batch.column(1)):
+                p = _Parsed(w, shift, batch.column(2))
+                at = p.starts[p.asks | p.answers]
+                if not len(at):
+                    continue
+                h2 = gram_hashes(w.hashes, WINDOW, _SECOND + 1)
+                row = np.searchsorted(w.bounds, at, side="right") - 1
+                cols = [p.h1[at].view(np.int64), h2[at].view(np.int64), (ids[w.first + row] << shift) + at - w.bounds[row], p.asks[p.asks | p.answers]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "place", "asks"])
 
-
-def _boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, parts = (batch.column(k).to_numpy() for k in (0, 1))
-        for w in word_chunks(batch.column(2)):
-            p = _Parsed(w, ids, parts, batch.column(3))
-            at = p.starts[p.asks | p.answers]
-            if not len(at):
-                continue
-            asks = p.asks[p.asks | p.answers]
-            h1, h2 = (gram_hashes(w.hashes, WINDOW, s)[at].view(np.int64) for s in (_SECOND, _SECOND + 1))
-            row = np.searchsorted(w.bounds, at, side="right") - 1
-            cols = [h1, h2, ids[w.first + row], at - w.bounds[row] + (parts[w.first + row] << 32), asks]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "doc", "pos", "asks"])
+    return run
 
 
-def _remove(emit_text: bool):
+def _remove(shift: int, emit_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, parts = (batch.column(k).to_numpy() for k in (0, 1))
-            more = batch.column(4)
-            for w in word_chunks(batch.column(2)):
-                p = _Parsed(w, ids, parts, batch.column(3))
+            ids, more = batch.column(0), batch.column(3)
+            for w in word_chunks(batch.column(1)):
+                p = _Parsed(w, shift, batch.column(2))
                 offs = more.offsets.to_numpy()[w.first : w.first + w.rows + 1]
                 row = np.repeat(np.arange(w.rows), np.diff(offs))
-                local = more.values.to_numpy()[offs[0] : offs[-1]] - (parts[w.first + row] << 32)
-                ok = (local >= 0) & (local < np.diff(w.bounds)[row])
-                at = np.r_[p.starts[p.inside], (w.bounds[row] + local)[ok]]
+                hit = w.bounds[row] + (more.values.to_numpy()[offs[0] : offs[-1]] & ((1 << shift) - 1))
+                at = np.r_[p.starts[p.inside], hit]
                 steps = np.zeros(len(w.hashes) + WINDOW + 1, dtype=np.int32)
                 np.add.at(steps, at, 1)
                 np.add.at(steps, at + WINDOW, -1)
@@ -144,8 +156,8 @@ def _remove(emit_text: bool):
                     words, flags = w.text(i).split(), keep[w.bounds[i] : w.bounds[i + 1]]
                     removed[i] = len(flags) - np.count_nonzero(flags)
                     kept.append(b" ".join(compress(words, flags.tolist()) if removed[i] else words))
-                out = [pa.array(ids[w.first : w.first + w.rows]), pa.array(w.counts.astype(np.int64)), pa.array(removed), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-                names = ["doc", "n_words", "n_removed", "kept_sha256"]
+                out = [ids.slice(w.first, w.rows), pa.array(w.counts.astype(np.int64)), pa.array(removed), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
                 if emit_text:
                     out.append(pa.array(kept, pa.binary()).cast(pa.string()))
                     names.append("kept_text")
@@ -154,27 +166,37 @@ def _remove(emit_text: bool):
     return run
 
 
-_NULL_ID = -(1 << 63)
+def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``doc, text, doc_id`` with ``doc`` ordered as doc_id, unique and small enough that it and a word
+    position fit one long; and how many bits the position takes."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    low, high, size, nulls, n = slim.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text")), F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    shift = ((size or 0) // 2 + 2).bit_length()
+    plain = not nulls and (low or 0) >= 0 and (high or 0).bit_length() + shift <= 62
+    if plain and slim.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return slim.select(F.col("doc_id").alias("doc"), "text", "doc_id"), shift
+    keyed = slim.withColumn("th", F.xxhash64("text")).withColumn("null_last", F.col("doc_id").isNotNull().cast("int"))
+    span = float((high or 0) - (low or 0) + 2)
+    ids = keyed.select("doc_id", "th", "null_last").distinct().withColumn("all", F.lit(0)).withColumn("u", F.coalesce((F.col("doc_id") - F.lit(low or 0) + 1) / span, F.lit(0.0)))
+    ranked = running(ids, ["all"], "u", ["null_last", "doc_id", "th"], F.lit(1).cast("long"), "doc", n_buckets(n)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "doc")
+    return keyed.join(ranked, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("doc", "text", "doc_id"), shift
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` (and ``kept_text``) for every row of ``docs``."""
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if slim.groupBy("doc").count().where("count > 1").isEmpty():
-        slim = slim.select("doc", F.lit(0).cast("long").alias("part"), "text")
-    else:
-        slim = slim.withColumn("part", F.dense_rank().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"))).cast("long")).select("doc", "part", "text")
-    anchors = slim.mapInArrow(_anchors, "h long, doc long, pos long")
-    first = anchors.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    known = anchors.join(first, "h").groupBy("doc").agg(F.collect_list(F.struct("pos", F.col("first.doc").alias("sdoc"), F.col("first.pos").alias("spos"))).alias("known"))
-    none = F.array().cast("array<struct<pos:bigint,sdoc:bigint,spos:bigint>>")
-    met = slim.join(known.hint("shuffle_hash"), "doc", "left").select("doc", "part", "text", F.coalesce("known", none).alias("known"))
-    edges = met.mapInArrow(_boundaries, "h1 long, h2 long, doc long, pos long, asks boolean")
-    earliest = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    hits = edges.where("asks").join(earliest, ["h1", "h2"]).where(F.struct("doc", "pos") > F.col("first")).groupBy("doc").agg(F.collect_list("pos").alias("more"))
-    full = met.join(hits.hint("shuffle_hash"), "doc", "left").select("doc", "part", "text", "known", F.coalesce("more", F.array().cast("array<bigint>")).alias("more"))
-    out = full.mapInArrow(_remove(with_text), "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
-    return out.select(F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias("doc_id"), *out.columns[1:])
+    slim, shift = _placed(docs)
+    pairs = slim.select("doc", "text")
+    doc = F.coalesce(F.shiftright("place", shift), F.lit(0).cast("long")).alias("doc")  # never null: no filter below the shared shuffle
+    anchors = pairs.mapInArrow(_anchors(shift), "h long, place long").repartition("h")
+    first = anchors.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    known = anchors.join(first.hint("shuffle_hash"), "h").groupBy(doc).agg(F.collect_set(F.struct("place", "first")).alias("known"))
+    none = F.array().cast("array<struct<place:bigint,first:bigint>>")
+    met = slim.join(known.hint("shuffle_hash"), "doc", "left").select("doc", "text", F.coalesce("known", none).alias("known"), "doc_id")
+    edges = met.mapInArrow(_boundaries(shift), "h1 long, h2 long, place long, asks boolean")
+    earliest = edges.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    hits = edges.where("asks").join(earliest, ["h1", "h2"]).where("place > first").groupBy(doc).agg(F.collect_set("place").alias("more"))
+    full = met.join(hits.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "known", F.coalesce("more", F.array().cast("array<bigint>")).alias("more"))
+    return full.mapInArrow(_remove(shift, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
