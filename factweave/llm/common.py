@@ -1,15 +1,14 @@
-"""Shared plumbing of the training-data operators: checkpoint tables, distributed ranks and
-running sums, connected components."""
+"""Shared plumbing of the training-data operators: word classes, distributed ranks and running sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factweave.functions.graph import components, materialize, release, shared_dir
+
+__all__ = ["components", "materialize", "release", "shared_dir", "lower_ascii", "table", "unit", "n_buckets", "running"]
+
 #: Java and RE2 class of word characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -24,32 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares for cut lineage; a local one only when none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not named:
-        named = f"{tempfile.gettempdir()}/factweave-checkpoints"
-    return str(named).rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, so a lost executor costs
-    a re-read, and several consumers share one computation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(df: DataFrame) -> None:
-    """Delete the files of a ``materialize`` result that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def unit(*cols: Column, seed: int = 0) -> Column:
     """A seeded hash of ``cols`` as a double in [0, 1)."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), *cols), 11) / F.lit(float(1 << 53))
@@ -71,32 +44,3 @@ def running(df: DataFrame, keys: list[str], position: str, order: list[str], val
     starts = totals.select(*keys, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(position, *order).rowsBetween(Window.unboundedPreceding, 0)
     return b.join(starts, [*keys, "_bucket"]).withColumn(out, F.col("_start") + F.sum("_value").over(inside)).drop("_bucket", "_value", "_start")
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """``(id, component)`` of every id in ``edges``: component is the smallest id reachable.
-
-    Alternating large-star and small-star passes: each pass is one ``min`` per node and one equi-join,
-    neighbour lists are never collected, and the edge list never grows. Each round is written to the
-    shared folder and the former one deleted."""
-    cur = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    last = None
-    for _ in range(max_rounds):
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            low.where("m < u").select("u", F.col("m").alias("v"))
-        ).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
-        nxt = materialize(small)
-        mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        release(cur)
-        cur = nxt
-        if mark == last or mark[0] == 0:
-            break
-        last = mark
-    else:
-        raise RuntimeError("connected components did not converge")
-    roots = cur.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

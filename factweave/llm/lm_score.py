@@ -8,6 +8,9 @@ their smoothed unigram shares (class-factored softmax), so
 
     log P(text) = base unigram score + sum over tokens of log P(class | history) / P(class).
 
+Each class of rare words holds one unknown word, so probabilities sum to one over the counted words and an
+unknown word of each topic.
+
 Training is truncated backpropagation in numpy: every partition runs windows of ``STEPS`` tokens over its
 own documents, with the state carried across windows, and the partitions' weights are averaged; each
 training document is seen once, in two rounds. Scoring carries the state from a document's first word
@@ -167,8 +170,8 @@ def vocabulary(train: DataFrame) -> tuple[Vocabulary, DataFrame]:
         tail[ending] += n + 0.5 * kinds
     tail -= np.bincount(e, c + 0.5, minlength=ENDINGS)
     mass += np.bincount(SINGLE + TOPICS + v.topic_of_ending, np.maximum(tail, 0), minlength=v.classes)
-    mass[SINGLE + TOPICS :] += 0.5 / TOPICS  # the unknown word's share
-    v.class_log = np.log(mass / mass.sum())
+    mass[SINGLE + TOPICS :] += 0.5  # an unknown word of each topic
+    v.class_log = np.log(mass / v.norm)
     return v, counts.select("h", "c")
 
 
@@ -373,8 +376,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     base = F.col("base") + F.coalesce("more", F.lit(0.0))
     known = F.col("known") + F.coalesce("found", F.lit(0).cast("long"))
     return scored.join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"), base.alias("base_score"),
-        (base + F.col("gain") - (F.col("n_tokens") - known) * float(np.log10(TOPICS))).alias("score"),
+        "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score")
     )
 
 
