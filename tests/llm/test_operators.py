@@ -157,8 +157,6 @@ TRICKY = [
 
 
 def test_secrets(spark, rows):
-    from factweave.llm.common import table as _  # noqa: F401
-
     for data in (TRICKY, rows, documents(spark)):
         found = secrets.find_secrets(table(spark, data)).select("doc_id", secrets._joined(F.col("base")).alias("base"), secrets._joined(F.concat("base", "added")).alias("all")).collect()
         text = {i: t for i, t, _ in data}
