@@ -1,7 +1,7 @@
 """N-gram Jaccard join over whole texts by count vectors in an R-tree.
 
 A document is its set of distinct 5-word shingles (lower-cased A-Z). The shingle space is cut into
-``GROUPS`` groups; a set becomes the point of its counts per group, and the summed coordinate minima
+groups by leading hash bits; a set becomes the point of its counts per group, and the summed coordinate minima
 of two points bound their overlap from above. Two documents link when ``9 * overlap >= 4 * (a + b)``
 (Jaccard 0.8), so a pair whose bound fails that test is dropped unseen; survivors are verified on
 their whole texts.
@@ -14,12 +14,15 @@ Plan, all exact:
    only steers speed, any list gives the same links.
 2. equal sets collapse to one class, named by its smallest doc_id.
 3. prefix shingles held by at least two classes tie each class to the smallest and the largest class
-   of the shingle; these star edges are bounded, verified and contracted to components. A group of
-   copies costs one edge each, not a square.
+   of the shingle; these star edges are bounded, verified and contracted to components, and classes still
+   apart are tied to other, pseudo-random holders. A group of copies costs a few edges each, not a square.
 4. shingles of four classes or more that still hold several components are searched in full: their
    points are bulk-loaded into R-trees of blocks of at most ``BLOCK`` classes, block against block, and
    only pairs across components whose bound passes are verified.
 
+Verification first bounds each pair again by finer count vectors, a few hundred bytes a document, so that texts
+travel only for pairs that link or miss by a hair.
+
 Defined cases: null or empty text has 0 shingles and links with nothing; fewer than five words give
 the whole sequence as one shingle; rows that repeat a doc_id keep their own size, and links of any of
 them count for the id; an empty table gives no rows; extra columns are ignored.
@@ -27,7 +30,8 @@ them count for the id; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +42,11 @@ from factweave.llm.common import components, materialize, table
 from factweave.llm.wordkernel import Words, gram_hashes, grams_by_row, mix, word_chunks
 
 SHINGLE = 5
-GROUPS = 64
+MIN_BITS = 4
 BLOCK = 2048
 LEAF = 64
+TILE = 96
+STAR_ROUNDS = 2
 #: A shingle is frequent when this many documents of a 1/64 sample hold it; at most so many are listed.
 SAMPLE, FREQUENT_DF, FREQUENT_MAX = 64, 6, 200_000
 _KEY_BYTES = 6
@@ -70,38 +76,59 @@ def _pack(keys: np.ndarray) -> bytes:
 
 
 def _point(s: np.ndarray) -> bytes:
-    counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-    return counts.astype("<u2" if len(s) < 65_536 else "<u4").tobytes()
+    """Counts per group; there are about a quarter as many groups (a power of two) as shingles, so that
+    unrelated sets of any size stay apart. Header: log2 of the groups, bytes per count."""
+    bits = max(MIN_BITS, int(max(len(s), 1) - 1).bit_length() - 2)
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    width = 1 if len(s) == 0 or counts.max() < 256 else 4
+    return bytes((bits, width)) + counts.astype("<u1" if width == 1 else "<u4").tobytes()
+
+
+def _fine_point(s: np.ndarray) -> bytes:
+    """The same counts over two to four groups per shingle, deflated: a bound that only near-misses pass."""
+    bits = max(8, int(max(len(s), 1) - 1).bit_length() + 1)
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    width = 1 if len(s) == 0 or counts.max() < 256 else 4
+    return bytes((bits, width)) + zlib.compress(counts.astype("<u1" if width == 1 else "<u4").tobytes(), 1)
+
+
+def _unpack_fine(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob[2:]), dtype="<u1" if blob[1] == 1 else "<u4")
 
 
-def _points(blobs: list[bytes]) -> np.ndarray:
-    out = np.empty((len(blobs), GROUPS), dtype=np.int32)
-    for i, b in enumerate(blobs):
-        out[i] = np.frombuffer(b, dtype="<u2" if len(b) == 2 * GROUPS else "<u4")
-    return out
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, dtype="<u1" if blob[1] == 1 else "<u4", offset=2)
 
 
-SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, point binary, prefix binary"
+def fold(point: np.ndarray, groups: int) -> np.ndarray:
+    """The same set's counts over fewer, coarser groups."""
+    if len(point) == groups:
+        return point.astype(np.int32)
+    return point.reshape(groups, -1).sum(axis=1, dtype=np.int32)
+
+
+SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, point binary, fine binary, prefix binary"
 
 
 def _signatures(frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in word_chunks(batch.column(1), lower=True):
-                sizes, d1, d2, points, prefixes = [], [], [], [], []
+                sizes, d1, d2, points, fines, prefixes = [], [], [], [], [], []
                 for s in shingle_sets(w):
                     sizes.append(len(s))
                     d1.append(np.add.reduce(mix(s)).astype(np.int64) if len(s) else 0)
                     d2.append(np.add.reduce(mix(s ^ np.uint64(0xA5A5F00D12345678))).astype(np.int64) if len(s) else 0)
                     points.append(_point(s))
+                    fines.append(_fine_point(s))
                     p = prefix_length(len(s))
                     if len(frequent) and len(s):
                         common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                         s = np.r_[s[~common][:p], s[common][:p]]
                     prefixes.append(_pack(s[:p]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.first, w.rows), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(points, pa.binary()), pa.array(prefixes, pa.binary())],
-                    names=["doc_id", "n_shingles", "d1", "d2", "point", "prefix"],
+                    [batch.column(0).slice(w.first, w.rows), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(points, pa.binary()), pa.array(fines, pa.binary()), pa.array(prefixes, pa.binary())],
+                    names=["doc_id", "n_shingles", "d1", "d2", "point", "fine", "prefix"],
                 )
 
     return run
@@ -139,50 +166,61 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b).sum(axis=-1)
 
 
-def rtree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rtree_pairs(points: list[np.ndarray], sizes: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs ``(left, right)`` of different components whose bound reaches the threshold.
 
-    ``right`` is bulk-loaded by size, then by its heaviest coordinate, into leaves of ``LEAF`` points;
-    a leaf keeps the coordinate maxima, the least size and its component if it has only one. A query
-    enters a leaf only if the bound against the maxima could pass for the least size."""
-    tiles = np.argsort(sizes[right], kind="stable")
-    slabs = [s[np.lexsort((points[right[s]].argmax(axis=1), sizes[right[s]] // 16))] for s in np.array_split(tiles, max(1, len(tiles) // (LEAF * 16)))]
-    order = right[np.concatenate(slabs)]
+    ``right`` is bulk-loaded by size, then by heaviest coarse group, into leaves of ``LEAF`` points; a leaf
+    keeps coordinate maxima, its sizes' range and its component if it has only one. A query enters a leaf
+    only if its size fits and the bound against the maxima could pass for the least size. Points of
+    different resolution are folded to the coarser one."""
+    tiles = right[np.argsort(sizes[right], kind="stable")]
+    heavy = np.array([int(fold(points[i], 1 << MIN_BITS).argmax()) for i in tiles])
+    slabs = [s[np.argsort(heavy[s], kind="stable")] for s in np.array_split(np.arange(len(tiles)), max(1, len(tiles) // (LEAF * 8)))]
+    order = tiles[np.concatenate(slabs)]
     found_l, found_r = [], []
     for at in range(0, len(order), LEAF):
         leaf = order[at : at + LEAF]
-        top, least = points[leaf].max(axis=0), sizes[leaf].min()
-        enters = 9 * overlap_bound(points[left], top) >= 4 * (sizes[left] + least)
+        least, most = sizes[leaf].min(), sizes[leaf].max()
+        enters = (5 * sizes[left] >= 4 * least) & (4 * sizes[left] <= 5 * most)
         if (comps[leaf] == comps[leaf[0]]).all():
             enters &= comps[left] != comps[leaf[0]]
         q = left[enters]
-        for lo in range(0, len(q), 256):
-            block = q[lo : lo + 256]
-            bound = overlap_bound(points[block][:, None, :], points[leaf][None, :, :])
-            ok = (9 * bound >= 4 * (sizes[block][:, None] + sizes[leaf][None, :])) & (comps[block][:, None] != comps[leaf][None, :])
-            i, j = np.nonzero(ok)
-            found_l.append(block[i])
-            found_r.append(leaf[j])
+        if not len(q):
+            continue
+        groups = min(min(len(points[i]) for i in leaf), min(len(points[i]) for i in q))
+        body = np.stack([fold(points[i], groups) for i in leaf])
+        top = body.max(axis=0)
+        for lo in range(0, len(q), 128):
+            block = q[lo : lo + 128]
+            ask = np.stack([fold(points[i], groups) for i in block])
+            go = 9 * overlap_bound(ask, top) >= 4 * (sizes[block] + least)
+            block, ask = block[go], ask[go]
+            for i, p in zip(block, ask):
+                near = (9 * overlap_bound(body, p) >= 4 * (sizes[i] + sizes[leaf])) & (comps[leaf] != comps[i])
+                found_l.append(np.full(np.count_nonzero(near), i))
+                found_r.append(leaf[near])
     if not found_l:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(found_l), np.concatenate(found_r)
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``key, tile, half, cls, n, point, comp`` sorted by key and tile: R-tree join of each tile.
-    ``half`` 0 is joined with ``half`` 1, or with itself where the tile has only half 0."""
+    """Rows ``key, tile, half, cls, n, point, comp, low`` sorted by key and tile: R-tree join of each tile.
+    ``half`` 0 is joined with ``half`` 1, or with itself where the tile has only half 0. Pairs carry ``low``,
+    the shingle's smallest class, as the group they are verified in."""
 
     def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows)
         cls, n, half, comp = (t[c].to_numpy() for c in ("cls", "n", "half", "comp"))
-        points = _points(t["point"].to_pylist())
+        points = [_unpack(x) for x in t["point"].to_pylist()]
         one, two = np.flatnonzero(half == 0), np.flatnonzero(half == 1)
         i, j = rtree_pairs(points, n, comp, one, two if len(two) else one)
         a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
         if not len(a):
             return None
         pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        low = np.full(len(pairs), t["low"][0].as_py())
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(low)], names=["a", "b", "grp"])
 
     held: list[pa.RecordBatch] = []
     last = None
@@ -203,23 +241,116 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_tile(batches: Iterator[pa.RecordBatch], solve: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``solve`` of each run of rows that share a tile (the first three columns)."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        left = (s for w in word_chunks(batch.column(2), True) for s in shingle_sets(w))
-        right = (s for w in word_chunks(batch.column(3), True) for s in shingle_sets(w))
-        ok = []
-        for a, b in zip(left, right):
-            both = np.intersect1d(a, b, assume_unique=True).size
-            ok.append(bool(len(a) and len(b) and 9 * both >= 4 * (len(a) + len(b))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+        cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)] if len(keys) else []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            this = tuple(keys[lo])
+            if this != last and held:
+                yield solve(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = this
+    if held:
+        yield solve(pa.Table.from_batches(held))
+
+
+def _tested(t: pa.Table, loaded: Iterator[np.ndarray], test: Callable[[np.ndarray, np.ndarray], bool]) -> pa.RecordBatch:
+    """The tile's pairs that pass ``test`` on what ``loaded`` gives for each row; rows that repeat a document
+    pass if any of them does."""
+    docs, held = t["doc"].to_pylist(), {}
+    for d, x in zip(docs, loaded):
+        held.setdefault(d, []).append(x)
+    found = [(d, q) for d, partners in zip(docs, t["partners"].to_pylist()) for q in partners if any(test(x, y) for x in held[d] for y in held.get(q, ()))]
+    ends = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([*ends, pa.array([t["grp"][0].as_py()] * len(found), pa.int64())], names=["a", "b", "grp"])
 
 
-def verify_pairs(pairs: DataFrame, slim: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of doc_ids whose whole texts link."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialize(slim.join(ids, "doc_id", "left_semi"))
-    ta, tb = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long").distinct()
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _by_tile(batches, lambda t: _tested(t, (s for w in word_chunks(t["payload"], True) for s in shingle_sets(w)), linked))
+
+
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def may_link(x: np.ndarray, y: np.ndarray) -> bool:
+        groups = min(len(x), len(y))
+        bound = int(np.minimum(x, y).sum(dtype=np.int64) if len(x) == len(y) else np.minimum(fold(x, groups), fold(y, groups)).sum())
+        return 9 * bound >= 4 * int(x.sum(dtype=np.int64) + y.sum(dtype=np.int64))
+
+    return _by_tile(batches, lambda t: _tested(t, (_unpack_fine(b.as_py()) for b in t["payload"]), may_link))
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets reach the similarity, exactly."""
+    n = len(a) + len(b)
+    if not len(a) or not len(b) or 9 * min(len(a), len(b)) < 4 * n:
+        return False
+    return 9 * np.intersect1d(a, b, assume_unique=True).size >= 4 * n
+
+
+def tiled(pairs: DataFrame, payload: DataFrame) -> DataFrame:
+    """Rows ``grp, one, two, doc, partners, payload`` sorted by tile, from pairs ``a, b, grp`` and ``doc, payload``.
+
+    The pairs of a group are cut into tiles of two blocks of ``TILE`` documents, and a payload travels once per
+    tile, however many pairs it has there: families of close copies cost their documents, not their pairs."""
+    ends = pairs.select("grp", F.col("a").alias("doc")).union(pairs.select("grp", F.col("b").alias("doc"))).distinct()
+    blocks = ends.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    block = lambda c: F.pmod(F.xxhash64(F.lit(5), c), F.col("blocks")).cast("int")
+    cut = pairs.join(blocks, "grp").select("grp", block(F.col("a")).alias("one"), block(F.col("b")).alias("two"), "a", "b")
+    rows = cut.select("grp", "one", "two", F.col("a").alias("doc"), F.col("b").alias("partner")).union(cut.select("grp", "one", "two", F.col("b").alias("doc"), F.lit(None).cast("long").alias("partner")))
+    rows = rows.groupBy("grp", "one", "two", "doc").agg(F.collect_set("partner").alias("partners"))
+    return rows.join(payload, "doc").select("grp", "one", "two", "doc", "partners", "payload").repartition("grp", "one", "two").sortWithinPartitions("grp", "one", "two")
+
+
+def verify_pairs(pairs: DataFrame, slim: DataFrame, fine: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of doc_ids that link, from ``a, b, grp``: first by the fine count vectors
+    (``doc, payload``), then, for the few that are left, on whole texts."""
+    near = materialize(tiled(pairs, fine).mapInArrow(_refine, "a long, b long, grp long").groupBy("a", "b").agg(F.min("grp").alias("grp")))
+    ids = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
+    texts = slim.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), F.col("text").alias("payload"))
+    return tiled(near, texts).mapInArrow(_verify, "a long, b long, grp long").select("a", "b").distinct()
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Each pair ``a, b`` once, with one of its groups."""
+    return rows.groupBy("a", "b").agg(F.min("grp").alias("grp"))
+
+
+def _labelled(held: DataFrame, comp: DataFrame) -> DataFrame:
+    """``key, cls, low, comp``: holders of crowded shingles with the component found so far."""
+    return held.join(comp, F.col("cls") == comp["id"], "left").select("key", "cls", "low", F.coalesce("component", "cls").alias("comp"))
+
+
+def _star_pairs(wide: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each class with two pseudo-random holders of its shingles that are still in other components."""
+    seen = wide.withColumn("pick", F.struct(F.xxhash64(F.lit(turn), "cls").alias("r"), "cls", "comp"))
+    ends = seen.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("pick").alias("x"), F.max("pick").alias("y")).where("c0 < c1").select("key", F.explode(F.array("x", "y")).alias("p"))
+    j = wide.join(ends, "key").where(F.col("comp") != F.col("p.comp"))
+    return _pairs(j.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"), F.col("low").alias("grp")))
+
+
+def _tree_tiles(wide: DataFrame) -> DataFrame:
+    """``key, tile, half, cls, comp, low`` of the shingles that still hold several components.
+
+    Only pairs across components matter, so the holders outside a shingle's largest component are joined with
+    it, in blocks, and among themselves; the largest component is not joined with itself, and shingles with the
+    same holders are searched once."""
+    per = wide.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("s2"))
+    keys = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("m"), F.sum("s1").alias("s1"), F.bit_xor("s2").alias("s2")).where("parts > 1")
+    keys = keys.groupBy("m", "s1", "s2").agg(F.min(F.struct("key", "top")).alias("k")).select("k.key", F.col("k.top.comp").alias("big"), F.ceil(F.col("k.top.n") / BLOCK).cast("int").alias("ng"), F.ceil((F.col("m") - F.col("k.top.n")) / BLOCK).cast("int").alias("no"))
+    inside = F.col("comp") == F.col("big")
+    block = F.pmod(F.xxhash64(F.lit(3), "cls"), F.when(inside, F.col("ng")).otherwise(F.col("no"))).cast("long")
+    rows = wide.join(keys, "key").withColumn("b", block)
+    cell = lambda tile, half: F.struct(tile.cast("long").alias("tile"), half.cast("int").alias("half"))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    with_outside = F.transform(to("no"), lambda j: cell(j * F.col("ng") + F.col("b"), F.lit(1)))
+    with_big = F.transform(to("ng"), lambda i: cell(F.col("b") * F.col("ng") + i, F.lit(0)))
+    among = F.transform(to("no"), lambda k: cell(F.col("ng") * F.col("no") + F.least(F.col("b"), k) * F.col("no") + F.greatest(F.col("b"), k), F.col("b") > k))
+    cells = F.explode(F.when(inside, with_outside).otherwise(F.concat(with_big, among)))
+    return rows.withColumn("cell", cells).select("key", "cell.tile", "cell.half", "cls", "comp", "low")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -232,27 +363,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     keys = reps.select("doc_id", "prefix").mapInArrow(_keys, "key long, cls long")
     shared = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("members")).where("low < high")
     held = materialize(keys.join(shared, "key"))
-    points = materialize(reps.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), "point"))
+    points = materialize(reps.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), "point", "fine"))
+    fine, points = points.select(F.col("cls").alias("doc"), F.col("fine").alias("payload")), points.select("cls", "n", "point")
 
-    stars = held.select(F.col("low").alias("a"), F.col("cls").alias("b")).union(held.select(F.col("cls").alias("a"), F.col("high").alias("b"))).where("a < b").distinct()
-    stars = materialize(bounded(stars, points))
-    links = materialize(verify_pairs(stars, slim))
+    first = held.select(F.col("low").alias("a"), F.col("cls").alias("b"), F.col("low").alias("grp")).union(held.select(F.col("cls").alias("a"), F.col("high").alias("b"), F.col("low").alias("grp")))
+    tested = materialize(bounded(_pairs(first.where("a < b")), points))
+    links = materialize(verify_pairs(tested, slim, fine))
     comp = components(links)
-
-    wide = held.where("members > 3").select("key", "cls").join(comp, F.col("cls") == comp["id"], "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
-    wide = materialize(wide)
-    open_keys = wide.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("s2")).where("c0 < c1")
-    # shingles with the same members are searched once
-    open_keys = open_keys.groupBy("m", "s1", "s2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64(F.lit(3), "cls"), F.col("blocks")).cast("int")
-    rows = wide.join(open_keys, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    rows = rows.select("key", (low * F.col("blocks") + high).cast("long").alias("tile"), (F.col("block") > F.col("other")).cast("int").alias("half"), "cls", "comp")
-    rows = rows.join(points, "cls").select("key", "tile", "half", "cls", "n", "point", "comp").repartition("key", "tile").sortWithinPartitions("key", "tile")
-    pairs = rows.mapInArrow(_search, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = materialize(pairs)
+    crowded = held.where("members > 3").select("key", "cls", "low")
+    for turn in range(STAR_ROUNDS):
+        wide = materialize(_labelled(crowded, comp))
+        pairs = materialize(bounded(_star_pairs(wide, turn).join(tested, ["a", "b"], "left_anti"), points))
+        if pairs.isEmpty():
+            break
+        links = materialize(links.union(verify_pairs(pairs, slim, fine)))
+        tested = materialize(tested.select("a", "b", "grp").union(pairs))
+        comp = components(links)
+    wide = materialize(_labelled(crowded, comp))
+    rows = _tree_tiles(wide).join(points, "cls").select("key", "tile", "half", "cls", "n", "point", "comp", "low").repartition("key", "tile").sortWithinPartitions("key", "tile")
+    pairs = materialize(_pairs(rows.mapInArrow(_search, "a long, b long, grp long")).join(tested, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
-        comp = components(links.union(verify_pairs(pairs, slim)))
+        comp = components(links.union(verify_pairs(pairs, slim, fine)))
     named = sig.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
     return named.join(comp, F.col("cls") == comp["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "cls", "doc_id").alias("component_id"))
 
@@ -273,13 +404,17 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                bound = overlap_bound(_points(x.column(3).to_pylist()), _points(x.column(5).to_pylist()))
+                bound = np.zeros(x.num_rows, dtype=np.int64)
+                for i, (p, q) in enumerate(zip(x.column(3), x.column(5))):
+                    p, q = _unpack(p.as_py()), _unpack(q.as_py())
+                    groups = min(len(p), len(q))
+                    bound[i] = np.minimum(fold(p, groups), fold(q, groups)).sum()
                 ok = 9 * bound >= 4 * (x.column(2).to_numpy() + x.column(4).to_numpy())
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(6)], names=["a", "b", "grp"]).filter(pa.array(ok))
 
     pa_, pb_ = points.toDF("a", "na", "pa"), points.toDF("b", "nb", "pb")
     near = (9 * F.least("na", "nb") >= 4 * (F.col("na") + F.col("nb")))
-    return pairs.join(pa_, "a").join(pb_, "b").where(near).select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(pa_, "a").join(pb_, "b").where(near).select("a", "b", "na", "pa", "nb", "pb", "grp").mapInArrow(run, "a long, b long, grp long").groupBy("a", "b").agg(F.min("grp").alias("grp"))
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
