@@ -12,7 +12,8 @@ Plan, all exact:
    first ``n - ceil(0.8 n) + 1`` shingles in a fixed global order. Two linked sets share a prefix
    shingle. Frequent shingles (a bounded list, found on a sample) come last in that order; the list
    only steers speed, any list gives the same links.
-2. equal sets collapse to one class, named by its smallest doc_id.
+2. equal sets collapse to one class, named by its smallest row number (never by doc_id, which may be null or
+   repeat).
 3. prefix shingles held by at least two classes tie each class to the smallest and the largest class
    of the shingle; these star edges are bounded, verified and contracted to components, and classes still
    apart are tied to other, pseudo-random holders. A group of copies costs a few edges each, not a square.
@@ -25,7 +26,8 @@ travel only for pairs that link or miss by a hair.
 
 Defined cases: null or empty text has 0 shingles and links with nothing; fewer than five words give
 the whole sequence as one shingle; rows that repeat a doc_id keep their own size, and links of any of
-them count for the id; an empty table gives no rows; extra columns are ignored.
+them count for the id; rows without a doc_id link like all others; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +109,7 @@ def fold(point: np.ndarray, groups: int) -> np.ndarray:
     return point.reshape(groups, -1).sum(axis=1, dtype=np.int32)
 
 
-SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, point binary, fine binary, prefix binary"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, point binary, fine binary, prefix binary"
 
 
 def _signatures(frequent: np.ndarray):
@@ -127,8 +129,8 @@ def _signatures(frequent: np.ndarray):
                         s = np.r_[s[~common][:p], s[common][:p]]
                     prefixes.append(_pack(s[:p]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.first, w.rows), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(points, pa.binary()), pa.array(fines, pa.binary()), pa.array(prefixes, pa.binary())],
-                    names=["doc_id", "n_shingles", "d1", "d2", "point", "fine", "prefix"],
+                    [batch.column(0).slice(w.first, w.rows), batch.column(2).slice(w.first, w.rows), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(points, pa.binary()), pa.array(fines, pa.binary()), pa.array(prefixes, pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "point", "fine", "prefix"],
                 )
 
     return run
@@ -305,13 +307,18 @@ def tiled(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     return rows.join(payload, "doc").select("grp", "one", "two", "doc", "partners", "payload").repartition("grp", "one", "two").sortWithinPartitions("grp", "one", "two")
 
 
-def verify_pairs(pairs: DataFrame, slim: DataFrame, fine: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of doc_ids that link, from ``a, b, grp``: first by the fine count vectors
+def _texts(slim: DataFrame, reps: DataFrame) -> DataFrame:
+    """``doc, payload``: the texts of class rows ``doc, doc_id, text_hash``."""
+    held = reps.toDF("doc", "_id", "_hash")
+    return slim.join(held, slim["doc_id"].eqNullSafe(F.col("_id")) & (slim["text_hash"] == F.col("_hash"))).select("doc", F.col("text").alias("payload"))
+
+
+def verify_pairs(pairs: DataFrame, slim: DataFrame, fine: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of classes that link, from ``a, b, grp``: first by the fine count vectors
     (``doc, payload``), then, for the few that are left, on whole texts."""
     near = materialize(tiled(pairs, fine).mapInArrow(_refine, "a long, b long, grp long").groupBy("a", "b").agg(F.min("grp").alias("grp")))
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    texts = slim.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), F.col("text").alias("payload"))
-    return tiled(near, texts).mapInArrow(_verify, "a long, b long, grp long").select("a", "b").distinct()
+    ids = near.select(F.col("a").alias("doc")).union(near.select(F.col("b").alias("doc"))).distinct()
+    return tiled(near, _texts(slim, reps.join(ids, "doc", "left_semi"))).mapInArrow(_verify, "a long, b long, grp long").select("a", "b").distinct()
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -353,22 +360,29 @@ def _tree_tiles(wide: DataFrame) -> DataFrame:
     return rows.withColumn("cell", cells).select("key", "cell.tile", "cell.half", "cls", "comp", "low")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``)."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialize(slim.mapInArrow(_signatures(frequent_shingles(slim)), SIGNATURE))
-    classes = sig.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("cls"))
+def _slim(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
+
+
+def row_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, grp, component_id`` for every row of ``docs``: rows share ``grp`` when
+    links join their texts, whatever their ids; ``component_id`` is the group's smallest doc_id."""
+    slim = _slim(docs)
+    sig = materialize(slim.mapInArrow(_signatures(frequent_shingles(slim)), SIGNATURE).withColumn("row", F.monotonically_increasing_id()))
+    classes = sig.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low_id"))
     classes = materialize(classes)
-    reps = sig.join(classes.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n_shingles > 0")
-    keys = reps.select("doc_id", "prefix").mapInArrow(_keys, "key long, cls long")
+    reps = sig.join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
+    keys = reps.select("row", "prefix").mapInArrow(_keys, "key long, cls long")
     shared = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("members")).where("low < high")
     held = materialize(keys.join(shared, "key"))
-    points = materialize(reps.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), "point", "fine"))
+    points = materialize(reps.select(F.col("row").alias("cls"), F.col("n_shingles").alias("n"), "point", "fine", "doc_id", "text_hash"))
+    reps = points.select(F.col("cls").alias("doc"), "doc_id", "text_hash")
     fine, points = points.select(F.col("cls").alias("doc"), F.col("fine").alias("payload")), points.select("cls", "n", "point")
 
     first = held.select(F.col("low").alias("a"), F.col("cls").alias("b"), F.col("low").alias("grp")).union(held.select(F.col("cls").alias("a"), F.col("high").alias("b"), F.col("low").alias("grp")))
     tested = materialize(bounded(_pairs(first.where("a < b")), points))
-    links = materialize(verify_pairs(tested, slim, fine))
+    links = materialize(verify_pairs(tested, slim, fine, reps))
     comp = components(links)
     crowded = held.where("members > 3").select("key", "cls", "low")
     for turn in range(STAR_ROUNDS):
@@ -376,26 +390,52 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         pairs = materialize(bounded(_star_pairs(wide, turn).join(tested, ["a", "b"], "left_anti"), points))
         if pairs.isEmpty():
             break
-        links = materialize(links.union(verify_pairs(pairs, slim, fine)))
+        links = materialize(links.union(verify_pairs(pairs, slim, fine, reps)))
         tested = materialize(tested.select("a", "b", "grp").union(pairs))
         comp = components(links)
     wide = materialize(_labelled(crowded, comp))
     rows = _tree_tiles(wide).join(points, "cls").select("key", "tile", "half", "cls", "n", "point", "comp", "low").repartition("key", "tile").sortWithinPartitions("key", "tile")
     pairs = materialize(_pairs(rows.mapInArrow(_search, "a long, b long, grp long")).join(tested, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
-        comp = components(links.union(verify_pairs(pairs, slim, fine)))
-    named = sig.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
-    return named.join(comp, F.col("cls") == comp["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "cls", "doc_id").alias("component_id"))
+        comp = components(links.union(verify_pairs(pairs, slim, fine, reps)))
+    classes = classes.join(comp, F.col("cls") == comp["id"], "left").select("d1", "d2", "n_shingles", "low_id", F.coalesce("component", "cls").alias("grp"))
+    least = classes.groupBy("grp").agg(F.min("low_id").alias("component_id"))
+    named = sig.select("row", "doc_id", "text_hash", "n_shingles", "d1", "d2").join(classes.join(least, "grp"), ["d1", "d2", "n_shingles"], "left")
+    return named.select("doc_id", "text_hash", "n_shingles", F.coalesce("grp", "row").alias("grp"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``)."""
+    named = materialize(row_groups(docs)).select("doc_id", "n_shingles", "component_id")
+    return _one_component_per_id(named)
+
+
+def _one_component_per_id(named: DataFrame) -> DataFrame:
+    """Components that hold rows of one doc_id become one."""
+    apart = materialize(named.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low < high"))
+    if apart.isEmpty():
+        return named
+    edges = named.join(apart, "doc_id").select(F.col("component_id").alias("a"), F.col("low").alias("b")).distinct()
+    joined = components(edges)
+    out = named.join(joined, F.col("component_id") == joined["id"], "left").withColumn("component_id", F.coalesce("component", "component_id"))
+    return out.drop("id", "component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component (its smallest doc_id), all columns kept. Rows that repeat a
-    doc_id count as one document: one of them stays."""
-    named = materialize(jaccard_components(docs.select("doc_id", "text")))
-    kept = named.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi")
-    repeats = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id"]) if repeats else out
+    """One row of each group of linked rows (its smallest doc_id, null last), all columns kept. Rows are told apart
+    by doc_id and text: rows without an id, and rows of one id whose texts do not link, are judged like all
+    others. Texts without words link with nothing and stay."""
+    named = materialize(row_groups(docs.select("doc_id", "text")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")
+    kept = named.groupBy("grp").agg(first, F.max("n_shingles").alias("n")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), (F.col("n") == 0).alias("_empty")).distinct()
+    text_hash = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")))
+    if named.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        return out.select(*[docs[c] for c in docs.columns])
+    # equal rows: the one with the least digest of all columns stays, so reruns agree
+    cols = [F.col(c) for c in docs.columns]
+    once = out.where("not _empty").groupBy("_id", "_hash").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("_one"))
+    return out.where("_empty").select(*cols).union(once.select("_one.*"))
 
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:

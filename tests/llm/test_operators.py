@@ -79,6 +79,21 @@ def test_near_duplicate_stage_keeps_one(spark, rows):
     assert [r["doc_id"] for r in ngram_join.keep_one(twice).collect()] == [1]
 
 
+def test_near_duplicate_stage_judges_rows(spark, rows):
+    """Null ids and different texts under one id stay; a null id links like any other."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a.replace("a59", "z")
+    data = [(None, b, "s"), (None, near, "s"), (1, a, "s"), (1, c, "t"), (1, c, "s"), (4, c, "s"), (None, None, "s"), (7, "", "s"), (7, "", "s")]
+    for _ in range(2):
+        kept = [(r["doc_id"], r["text"], r["source"]) for r in ngram_join.keep_one(table(spark, data)).collect()]
+        assert sorted(map(repr, ((i, t) for i, t, _ in kept))) == sorted(map(repr, [(None, b), (1, a), (1, c), (None, None), (7, ""), (7, "")]))
+        one = [k for k in kept if k[1] == c]
+        assert one == (last if _ else one)
+        last = one
+    got = [(r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(table(spark, data[1:4] + [(0, c, "s")])).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 0), (1, 0), (1, 0), (0, 0)], key=repr)
+
+
 def test_substring_dedup(spark, rows):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(table(spark, rows)).collect()}
     assert got == brute.remove_repeats([(i, t) for i, t, _ in rows])
