@@ -21,6 +21,10 @@ Plan, all exact:
    points are bulk-loaded into R-trees of blocks of at most ``BLOCK`` classes, block against block, and
    only pairs across components whose bound passes are verified.
 
+5. every link lies inside one component, so the links are counted there: all pairs of a component's classes, linked
+   on the way or not, are compared on their whole shingle sets, in tiles of two bounded blocks of classes. A tile
+   returns sums per class, never a row per pair.
+
 Verification first bounds each pair again by finer count vectors, a few hundred bytes a document, so that texts
 travel only for pairs that link or miss by a hair.
 
@@ -49,6 +53,8 @@ BLOCK = 2048
 LEAF = 64
 TILE = 96
 STAR_ROUNDS = 2
+#: A block of classes whose links are counted holds about so many shingles and classes.
+LINK_SHINGLES, LINK_CLASSES = 1 << 20, 4096
 #: A shingle is frequent when this many documents of a 1/64 sample hold it; at most so many are listed.
 SAMPLE, FREQUENT_DF, FREQUENT_MAX = 64, 6, 200_000
 _KEY_BYTES = 6
@@ -365,12 +371,55 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
 
 
-def row_groups(docs: DataFrame) -> DataFrame:
+def _count_tile(t: pa.Table) -> pa.RecordBatch:
+    """``cls, links`` of a tile: the rows behind the classes that each class links with, all pairs compared exactly."""
+    _, once = np.unique(t["cls"].to_numpy(), return_index=True)  # equal rows bring a class's text twice
+    t = t.take(once)
+    sets = [s for w in word_chunks(t["payload"], True) for s in shingle_sets(w)]
+    cls, rows, half = (t[c].to_numpy() for c in ("cls", "rows", "half"))
+    n = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(n)[:-1])
+    by_size = np.argsort(n, kind="stable")
+    one, two = by_size[half[by_size] == 0], by_size[half[by_size] == 1]
+    alone = not len(two)
+    two = one if alone else two
+    starts = np.r_[0, np.cumsum(n[two])]
+    held, mark, links = np.concatenate([own[i] for i in two]), np.zeros(len(flat), dtype=np.uint8), np.zeros(len(n), dtype=np.int64)
+    for at, i in enumerate(one):
+        lo = max(int(np.searchsorted(5 * n[two], 4 * n[i])), at + 1 if alone else 0)
+        hi = int(np.searchsorted(4 * n[two], 5 * n[i], side="right"))
+        if lo >= hi:
+            continue
+        mark[own[i]] = 1
+        both = np.add.reduceat(mark[held[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+        mark[own[i]] = 0
+        near = two[lo:hi][9 * both >= 4 * (n[i] + n[two[lo:hi]])]
+        links[i] += rows[near].sum()
+        links[near] += rows[i]
+    return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(links)], names=["cls", "links"])
+
+
+def link_counts(classes: DataFrame, slim: DataFrame, reps: DataFrame) -> DataFrame:
+    """``cls, links``: the rows of other classes that the rows of each class link with, from ``grp, cls, rows,
+    n_shingles``; classes alone in their component are left out."""
+    blocks = F.ceil(F.greatest(F.sum("n_shingles") / LINK_SHINGLES, F.count("*") / LINK_CLASSES)).cast("int")
+    wide = classes.groupBy("grp").agg(F.count("*").alias("m"), blocks.alias("blocks")).where("m > 1").select("grp", "blocks")
+    members = materialize(classes.join(wide, "grp").select("grp", "cls", "rows", "blocks", F.pmod(F.xxhash64(F.lit(9), "cls"), F.col("blocks")).cast("int").alias("b")))
+    texts = _texts(slim, reps.join(members.select(F.col("cls").alias("doc")), "doc", "left_semi"))
+    cell = lambda k: F.struct(F.least("b", k).alias("one"), F.greatest("b", k).alias("two"), (F.col("b") > k).cast("int").alias("half"))
+    tiles = members.join(texts, F.col("cls") == F.col("doc")).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), cell)))
+    tiles = tiles.select("grp", "cell.one", "cell.two", "cell.half", "cls", "rows", "payload").repartition("grp", "one", "two").sortWithinPartitions("grp", "one", "two")
+    return tiles.mapInArrow(lambda batches: _by_tile(batches, _count_tile), "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links"))
+
+
+def row_groups(docs: DataFrame, count_links: bool = False) -> DataFrame:
     """``doc_id, text_hash, n_shingles, grp, component_id`` for every row of ``docs``: rows share ``grp`` when
-    links join their texts, whatever their ids; ``component_id`` is the group's smallest doc_id."""
+    links join their texts, whatever their ids; ``component_id`` is the group's smallest doc_id. With
+    ``count_links`` also ``n_links``, the number of other rows that each row links with."""
     slim = _slim(docs)
     sig = materialize(slim.mapInArrow(_signatures(frequent_shingles(slim)), SIGNATURE).withColumn("row", F.monotonically_increasing_id()))
-    classes = sig.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low_id"))
+    classes = sig.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low_id"), F.count("*").alias("rows"))
     classes = materialize(classes)
     reps = sig.join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
     keys = reps.select("row", "prefix").mapInArrow(_keys, "key long, cls long")
@@ -398,15 +447,22 @@ def row_groups(docs: DataFrame) -> DataFrame:
     pairs = materialize(_pairs(rows.mapInArrow(_search, "a long, b long, grp long")).join(tested, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         comp = components(links.union(verify_pairs(pairs, slim, fine, reps)))
-    classes = classes.join(comp, F.col("cls") == comp["id"], "left").select("d1", "d2", "n_shingles", "low_id", F.coalesce("component", "cls").alias("grp"))
+    classes = classes.join(comp, F.col("cls") == comp["id"], "left").select("cls", "d1", "d2", "n_shingles", "low_id", "rows", F.coalesce("component", "cls").alias("grp"))
     least = classes.groupBy("grp").agg(F.min("low_id").alias("component_id"))
-    named = sig.select("row", "doc_id", "text_hash", "n_shingles", "d1", "d2").join(classes.join(least, "grp"), ["d1", "d2", "n_shingles"], "left")
-    return named.select("doc_id", "text_hash", "n_shingles", F.coalesce("grp", "row").alias("grp"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    wanted = ["doc_id", "text_hash", "n_shingles", F.coalesce("grp", "row").alias("grp"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    if count_links:
+        classes = materialize(classes)
+        others = link_counts(classes.select("grp", "cls", "rows", "n_shingles"), slim, reps)
+        classes = classes.join(others.withColumnRenamed("cls", "_cls"), F.col("cls") == F.col("_cls"), "left").withColumn("n_links", F.col("rows") - 1 + F.coalesce("links", F.lit(0)))
+        wanted.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = sig.select("row", "doc_id", "text_hash", "n_shingles", "d1", "d2").join(classes.drop("cls", "low_id", "rows").join(least, "grp"), ["d1", "d2", "n_shingles"], "left")
+    return named.select(*wanted)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``)."""
-    named = materialize(row_groups(docs)).select("doc_id", "n_shingles", "component_id")
+    """``doc_id, n_shingles, n_links, component_id`` for every row of ``docs`` (``doc_id``, ``text``);
+    ``n_links`` counts the other rows whose text links with the row's."""
+    named = materialize(row_groups(docs, count_links=True)).select("doc_id", "n_shingles", "n_links", "component_id")
     return _one_component_per_id(named)
 
 

@@ -54,6 +54,19 @@ def test_jaccard_components(spark, rows):
     assert got == brute.jaccard_components([(i, t) for i, t, _ in rows])
 
 
+@pytest.mark.parametrize("block", [1 << 20, 2000])  # one block a component, and several
+def test_jaccard_links(spark, rows, monkeypatch, block):
+    """Links inside a component count, whether or not its component needed them."""
+    monkeypatch.setattr(ngram_join, "LINK_SHINGLES", block)
+    data = rows + [(None, rows[3][1], "s"), (rows[4][0], rows[3][1], "s")]
+    sets = [brute.shingles(t) for _, t, _ in data]
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = sorted((repr(i), len(s), sum(linked(s, x) for k, x in enumerate(sets) if k != at)) for at, ((i, _, _), s) in enumerate(zip(data, sets)))
+    assert max(w[2] for w in want) > 10
+    got = ngram_join.jaccard_components(table(spark, data)).collect()
+    assert sorted((repr(r["doc_id"]), r["n_shingles"], r["n_links"]) for r in got) == want
+
+
 def test_jaccard_search_without_stars_and_small_blocks(spark, rows, monkeypatch):
     """Every link found by the R-tree alone equals brute force on points."""
     import numpy as np
