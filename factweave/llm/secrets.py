@@ -2,15 +2,17 @@
 
 Each whole text is scanned once per kind of credential (``KINDS``, leftmost non-overlapping matches) and
 for other long mixed tokens (``generic``). Candidate values are hashed and aggregated over the corpus by
-distinct owners (``source``) and repositories (rows of the table): a value that several owners hold is a
-copied example, one that a single owner holds looks live. Base spans always stay and are told apart by
-``n_live``; generic candidates become spans only when live and outside base spans.
-
-Counts are summed per (value, owner) and then per value, both with map-side partial aggregation, so a
-value pasted into a third of all rows is one row per task and owner. Only digests and positions leave
-the scan; texts are never shuffled.
-Defined cases: null text is empty; a null source is an owner of its own; rows repeated exactly are two
-repositories of one owner; an empty table gives no rows; extra columns are ignored.
+distinct owners (``source``) and distinct repositories (``doc_id``): a value that several owners hold, or that
+one owner holds in many repositories for its size, is a copied example; others look live. Few repositories
+are at most ``LIVE_REPOSITORIES`` plus the binary logarithm of the owner's repositories. Base spans always stay
+and are told apart by ``n_live``; generic candidates become spans only when live and outside base spans.
+
+Repositories are made distinct per (value, owner, repository), then counted per (value, owner) and per value with
+map-side partial aggregation, so a value pasted into a third of all rows never meets in one task. Only
+digests and positions leave the scan; texts are never shuffled.
+Defined cases: null text is empty; a null source is an owner of its own; rows that repeat a doc_id are one
+repository, rows without one are a repository per distinct text; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ KINDS = {
 GENERIC = r"[A-Za-z0-9+_=-]{24,}"
 #: A value held by at most so many owners looks live.
 LIVE_OWNERS = 1
+#: ... in at most so many repositories, more by one each time its owner's repositories double.
+LIVE_REPOSITORIES = 2
 
 
 def _spans(text: Column, pattern: str, kind: str, order: int, value_group: int, least: int) -> Column:
@@ -57,32 +61,39 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, owner, base, extra`` with span arrays; written out once, so ``row`` is stable."""
+    """``row, doc_id, owner, repository, base, extra`` with span arrays; written out once, so ``row`` is stable."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("owner"), text.alias("t"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("owner"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("n"), F.xxhash64(text))).alias("repository"), text.alias("t"))
     base = F.concat(
         _spans(F.col("t"), KINDS["assign"], "assign", 0, 2, 6),
         _spans(F.col("t"), KINDS["access"], "access", 1, 0, 20),
         _spans(F.col("t"), KINDS["hex"], "hex", 2, 0, 24),
     )
     extra = F.filter(_spans(F.col("t"), GENERIC, "generic", 3, 0, 24), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]"))
-    found = slim.select("doc_id", "owner", base.alias("base"), extra.alias("extra")).withColumn(
+    found = slim.select("doc_id", "owner", "repository", base.alias("base"), extra.alias("extra")).withColumn(
         "extra", F.filter("extra", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     )
     digest = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.sha2(s["value"], 256).alias("value")))
-    return materialize(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", digest("base").alias("base"), digest("extra").alias("extra")))
+    return materialize(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", digest("base").alias("base"), digest("extra").alias("extra")))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """``value, owners, repositories`` of every candidate value (a digest)."""
-    held = found.select("owner", F.explode(F.array_distinct(F.transform(F.concat("base", "extra"), lambda s: s["value"]))).alias("value"))
-    return held.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    """``value, owners, repositories, owner`` of every candidate value (a digest); ``owner`` is one of its owners."""
+    held = found.select("owner", "repository", F.explode(F.array_distinct(F.transform(F.concat("base", "extra"), lambda s: s["value"]))).alias("value")).distinct()
+    return held.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"), F.min("owner").alias("owner"))
+
+
+def live_values(found: DataFrame) -> DataFrame:
+    """``value`` of every candidate that one owner holds in few repositories for the owner's size."""
+    sizes = found.select("owner", "repository").distinct().groupBy("owner").agg(F.count("*").alias("size"))
+    few = F.col("repositories") <= LIVE_REPOSITORIES + F.log2("size")
+    return ownership(found).where(F.col("owners") <= LIVE_OWNERS).join(sizes, "owner").where(few).select("value")
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``doc_id, base, added, n_live``: base spans, live generic spans, and how many base spans look live."""
     found = scan(docs)
-    live = ownership(found).where(F.col("owners") <= LIVE_OWNERS).select("value")
+    live = live_values(found)
     each = found.select("row", F.explode(F.concat("base", "extra")).alias("s")).withColumn("value", F.col("s.value"))
     judged = each.join(live, "value").groupBy("row").agg(
         F.count_if(F.col("s.kind") != "generic").alias("n_live"), F.collect_list(F.when(F.col("s.kind") == "generic", F.col("s"))).alias("added")

@@ -202,6 +202,18 @@ def test_secret_ownership(spark):
     assert added == {0: 0, 1: 0, 2: 0, 3: 0, 9: 1, 10: 1}
 
 
+def test_secret_repositories(spark):
+    """An example pasted all over one source is not live; repeated rows and rows without an id are counted once."""
+    shared, own, twice, lone = "Q7w" * 9, "Zk3" * 9, "Yh5" * 9, "Xb2" * 9
+    data = [(i, f"key {shared} password={shared} end", "hot") for i in range(40)] + [(i, "plain", "hot") for i in range(100, 160)]
+    data += [(200, f"key {own} end", "hot"), (201, f"key {own} again", "hot")] + [(300, f"key {twice}", "hot")] * 12 + [(None, f"key {lone}", "small")] * 12
+    found = secrets.find_secrets(table(spark, data)).collect()
+    got = {(r["doc_id"], len(r["added"]), r["n_live"]) for r in found}
+    assert got == {(i, 0, 0) for i in [*range(40), *range(100, 160)]} | {(i, 1, 0) for i in (200, 201, 300, None)}
+    values = {(r["owners"], r["repositories"]) for r in secrets.ownership(secrets.scan(table(spark, data))).collect()}
+    assert values == {(1, 40), (1, 2), (1, 1)}
+
+
 def test_base_personal_spans_equal_patterns():
     rng = random.Random(3)
     for _ in range(20_000):
