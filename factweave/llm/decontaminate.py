@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman on words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman on words.
 
-Test items are a stated query set. Their 3-grams whose words are jointly improbable in the training
-corpus (product of unigram rates over *all* documents at most ``RARE``) become seeds; an item with few
-such grams uses its ``LEAST_SEEDS`` rarest. Rarity comes from single words, so a passage leaked into
-very many documents keeps its seeds. Every text is scanned whole for seeds; around the seeds of one
-item the words of text and item are aligned locally (match 2, mismatch -1, gap -1), and a document is
-contaminated when the score reaches ``THRESHOLD`` of a perfect copy.
+Test items are a stated query set. Every 3-gram of an item is a seed, rare or common, so a copy is looked for
+wherever it keeps three words in a row, and leaked copies cannot make an item's seeds too common to be used.
+Every text is scanned whole for seeds; around the seeds of one item the words of text and item are aligned
+locally (match 2, mismatch -1, gap -1), and a document is contaminated when the score reaches ``THRESHOLD``
+of a perfect copy. Common seeds are cheap: a stretch whose words cannot reach that score in any alignment
+(``ceiling``, an upper bound) is not aligned.
 
 The scan has no shuffle: a hot passage is only more alignments on the tasks that hold its documents.
 Items are broadcast in blocks whose bytes are measured first and bounded by ``BLOCK_BYTES``; a larger
@@ -28,8 +28,6 @@ from factweave.llm.common import table
 from factweave.llm.wordkernel import Words, gram_hashes, grams_by_row, strings_to_words, word_chunks
 
 SEED_WORDS = 3
-RARE = 1e-8
-LEAST_SEEDS = 6
 THRESHOLD = 0.4
 BLOCK_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -63,11 +61,11 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
 
 
 class Seeds:
-    """Seed hash -> (item, position), with a small bitmap in front of the binary search."""
+    """Seed hash -> item, with a small bitmap in front of the binary search."""
 
-    def __init__(self, n: int, hashes: np.ndarray, items: np.ndarray, at: np.ndarray):
+    def __init__(self, n: int, hashes: np.ndarray, items: np.ndarray):
         order = np.argsort(hashes, kind="stable")
-        self.n, self.hashes, self.items, self.at = n, hashes[order], items[order], at[order]
+        self.n, self.hashes, self.items = n, hashes[order], items[order]
         self.bits = np.zeros(1 << 20, dtype=bool)
         self.bits[(hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
@@ -82,22 +80,23 @@ class Seeds:
         return at, first + np.arange(len(at))
 
 
-def choose_seeds(items: Words, rate: dict[int, float]) -> list[Seeds]:
-    """Seeds by length (3, or fewer words for shorter items) from item words and unigram rates."""
-    found: dict[int, list[tuple[int, int, int]]] = {}
-    logs = np.array([np.log10(max(rate.get(int(h), 0.0), 1e-12)) for h in items.hashes])
+def choose_seeds(items: Words) -> list[Seeds]:
+    """All 3-grams of the items (or the whole of shorter ones) as seeds, by length."""
+    found: dict[int, list[tuple[np.ndarray, int]]] = {}
     for i in range(items.rows):
         lo, hi = int(items.bounds[i]), int(items.bounds[i + 1])
         n = min(SEED_WORDS, hi - lo)
-        if not n:
-            continue
-        grams = gram_hashes(items.hashes[lo:hi], n)
-        weight = np.array([logs[lo + k : lo + k + n].sum() for k in range(len(grams))])
-        rare = np.flatnonzero(weight <= np.log10(RARE))
-        if len(rare) < LEAST_SEEDS:
-            rare = np.argsort(weight, kind="stable")[:LEAST_SEEDS]
-        found.setdefault(n, []).extend((int(grams[k]), i, int(k)) for k in rare)
-    return [Seeds(n, np.array([x[0] for x in v], dtype=np.uint64), np.array([x[1] for x in v]), np.array([x[2] for x in v])) for n, v in sorted(found.items())]
+        if n:
+            found.setdefault(n, []).append((np.unique(gram_hashes(items.hashes[lo:hi], n)), i))
+    return [Seeds(n, np.concatenate([g for g, _ in v]), np.repeat([i for _, i in v], [len(g) for g, _ in v])) for n, v in sorted(found.items())]
+
+
+def ceiling(text: np.ndarray, words: np.ndarray) -> int:
+    """A bound on the score of any local alignment: every word of the text that the item (``words``, sorted)
+    lacks costs a mismatch or a gap, every other one gains a match at most."""
+    has = words[np.minimum(np.searchsorted(words, text), len(words) - 1)] == text
+    run = np.r_[0, np.cumsum(np.where(has, MATCH, -min(-MISMATCH, GAP)))]
+    return int((run - np.minimum.accumulate(run)).max())
 
 
 def _regions(where: np.ndarray, reach: int) -> list[tuple[int, int]]:
@@ -108,6 +107,7 @@ def _regions(where: np.ndarray, reach: int) -> list[tuple[int, int]]:
 
 def _scan(item_ids: list[int], items: Words, seeds: list[Seeds]):
     words = [items.hashes[items.bounds[i] : items.bounds[i + 1]] for i in range(items.rows)]
+    sorted_words = [np.unique(x) for x in words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,6 +134,8 @@ def _scan(item_ids: list[int], items: Words, seeds: list[Seeds]):
                         # a long stretch is aligned in overlapping pieces, so memory stays bounded
                         for x in range(max(0, a - 2 * length), b + 1, 20 * length + 1):
                             y = min(len(text), x + 24 * length + 1, b + 2 * length + SEED_WORDS)
+                            if ceiling(text[x:y], sorted_words[item]) < max(THRESHOLD * MATCH * length, best[0] + 1):
+                                continue
                             score, s, e, m = smith_waterman(text[x:y], words[item])
                             if score > best[0]:
                                 best = (score, x + s, x + e, m)
@@ -148,22 +150,6 @@ def _scan(item_ids: list[int], items: Words, seeds: list[Seeds]):
     return run
 
 
-def _counts(wanted: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = 0, np.zeros(len(wanted), dtype=np.int64)
-        bits = np.zeros(1 << 18, dtype=bool)
-        bits[(wanted & np.uint64(0x3FFFF)).astype(np.int64)] = True
-        for batch in batches:
-            for w in word_chunks(batch.column(0), lower=True):
-                total += len(w.hashes)
-                h = w.hashes[bits[(w.hashes & np.uint64(0x3FFFF)).astype(np.int64)]]
-                k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                seen += np.bincount(k[wanted[k] == h], minlength=len(wanted))
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, np.flatnonzero(seen)]), pa.array(np.r_[total, seen[seen > 0]])], names=["k", "n"])
-
-    return run
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, item_id, score, doc_start, doc_end, matched``: one row per contaminated document and
     item, positions in words."""
@@ -177,12 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
         w = strings_to_words(part["text"].to_pylist(), lower=True) if part.num_rows else None
         if w is None or not len(w.hashes):
             continue
-        wanted = np.unique(w.hashes)
-        rows = slim.select("text").mapInArrow(_counts(wanted), "k long, n long").groupBy("k").agg(F.sum("n")).collect()
-        counts = {k: n for k, n in rows}
-        total = max(counts.get(-1, 0), 1)
-        rate = {int(wanted[k]): n / total for k, n in counts.items() if k >= 0}
-        hits = slim.mapInArrow(_scan(part["item_id"].to_pylist(), w, choose_seeds(w, rate)), MATCHES)
+        hits = slim.mapInArrow(_scan(part["item_id"].to_pylist(), w, choose_seeds(w)), MATCHES)
         found = hits if found is None else found.union(hits)
     return found if found is not None else docs.sparkSession.createDataFrame([], MATCHES)
 

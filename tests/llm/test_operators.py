@@ -264,6 +264,25 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_common_words(spark):
+    """Items of common words are found by any part of them, also when most of the corpus holds them."""
+    import numpy as np
+
+    rng = random.Random(12)
+    common, head = [f"c{k}" for k in range(30)], [f"h{k}" for k in range(8)]
+    item = head + [rng.choice(common) for _ in range(52)]
+    say = lambda n: [rng.choice(common) for _ in range(n)]
+    # words of the head are less frequent, yet no gram is rare: the six rarest all lie in the head
+    docs = [(i, " ".join(w for h in (head if i < 12 else say(8)) for w in [h, *say(4)]), "s") for i in range(60)]
+    cuts = [(0, 40), (8, 60), (12, 50), (25, 60)]
+    docs += [(200 + k, " ".join(["x"] * 20 + item[lo:hi] + ["y"] * 20), "s") for k, (lo, hi) in enumerate(cuts)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"] for r in decontaminate.find_leaks(table(spark, docs), bench).collect()}
+    number = {w: k for k, w in enumerate({w for _, t, _ in docs for w in t.split()})}
+    score = lambda t: decontaminate.smith_waterman(*(np.array([number[w] for w in x]) for x in (t.split(), item)))[0]
+    assert got == {i for i, t, _ in docs if score(t) >= 0.4 * 2 * len(item)} >= {200, 201, 202, 203}
+
+
 def test_smith_waterman_equals_plain():
     import numpy as np
 
