@@ -8,31 +8,46 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares for cut lineage; a local one only when none is named."""
+    """The folder the cluster shares for cut lineage. Without one, a local session takes its own temp folder; on a
+    cluster, where executors would write to their own disks, this is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not named:
-        named = f"{tempfile.gettempdir()}/factweave-checkpoints"
-    return str(named).rstrip("/")
+    if not named and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return str(named or f"{tempfile.gettempdir()}/factweave-checkpoints").rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, so a lost executor costs
-    a re-read, and several consumers share one computation."""
+    a re-read, and several consumers share one computation. The shuffle files behind it go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a ``materialize`` result that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Delete the files of ``materialize`` results that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` (a materialized table of a few narrow columns) marked for broadcast if it has at most ``rows`` rows;
+    beyond that it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def _all_stars(edges: DataFrame) -> bool:
