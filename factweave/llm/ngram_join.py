@@ -14,19 +14,21 @@ Plan, all exact:
    only steers speed, any list gives the same links.
 2. equal sets collapse to one class, named by its smallest row number (never by doc_id, which may be null or
    repeat).
-3. prefix shingles held by at least two classes tie each class to the smallest and the largest class
-   of the shingle; these star edges are bounded, verified and contracted to components, and classes still
-   apart are tied to other, pseudo-random holders. A group of copies costs a few edges each, not a square.
-4. shingles of four classes or more that still hold several components are searched in full: their
-   points are bulk-loaded into R-trees of blocks of at most ``BLOCK`` classes, block against block, and
-   only pairs across components whose bound passes are verified.
-
-5. every link lies inside one component, so the links are counted there: all pairs of a component's classes, linked
+3. *Contraction.* Prefix shingles held by at least two classes tie each class to the smallest and the largest
+   class of the shingle; these star edges are bounded, verified and contracted to components, so a family of
+   copies costs a few edges each, not a square.
+4. *Index.* Shingles of four classes or more are searched in full where they still hold several components: holders
+   (of all such shingles with one smallest holder together) are dealt to windows of like set size, the points of a window are bulk-loaded into R-trees of bounded blocks, block
+   against block, and searched across components. A tile answers with a spanning forest of the components that the
+   bound ties, best bound first, never with all pairs; its edges are verified.
+5. *Near misses.* Where an edge of a forest fails and its ends are still apart, its tile is searched again on
+   whole shingle sets, which settles every pair of the tile; again only a spanning forest leaves it.
+6. every link lies inside one component, so the links are counted there: all pairs of a component's classes, linked
    on the way or not, are compared on their whole shingle sets, in tiles of two bounded blocks of classes. A tile
    returns sums per class, never a row per pair.
 
-Verification first bounds each pair again by finer count vectors, a few hundred bytes a document, so that texts
-travel only for pairs that link or miss by a hair.
+Points have two to four groups per shingle and are deflated, a few hundred bytes a document, so that texts travel
+only for pairs that link or miss by a hair. Tables behind a step are deleted as soon as no later step reads them.
 
 Defined cases: null or empty text has 0 shingles and links with nothing; fewer than five words give
 the whole sequence as one shingle; rows that repeat a doc_id keep their own size, and links of any of
@@ -44,15 +46,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import components, materialize, table
+from factweave.llm.common import components, materialize, release, small, table
 from factweave.llm.wordkernel import Words, gram_hashes, grams_by_row, mix, word_chunks
 
 SHINGLE = 5
-MIN_BITS = 4
-BLOCK = 2048
-LEAF = 64
+#: A tree holds about so many classes and shingles; its leaves and nodes so many points and children.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+LEAF, FAN = 32, 8
 TILE = 96
-STAR_ROUNDS = 2
+#: Sizes of linked sets differ by a factor of at most 1.25; windows of sizes are a little wider.
+WINDOW = 1.26
 #: A block of classes whose links are counted holds about so many shingles and classes.
 LINK_SHINGLES, LINK_CLASSES = 1 << 20, 4096
 #: A shingle is frequent when this many documents of a 1/64 sample hold it; at most so many are listed.
@@ -84,28 +87,16 @@ def _pack(keys: np.ndarray) -> bytes:
 
 
 def _point(s: np.ndarray) -> bytes:
-    """Counts per group; there are about a quarter as many groups (a power of two) as shingles, so that
-    unrelated sets of any size stay apart. Header: log2 of the groups, bytes per count."""
-    bits = max(MIN_BITS, int(max(len(s), 1) - 1).bit_length() - 2)
-    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    width = 1 if len(s) == 0 or counts.max() < 256 else 4
-    return bytes((bits, width)) + counts.astype("<u1" if width == 1 else "<u4").tobytes()
-
-
-def _fine_point(s: np.ndarray) -> bytes:
-    """The same counts over two to four groups per shingle, deflated: a bound that only near-misses pass."""
+    """Counts per group, two to four groups (a power of two) per shingle, so that unrelated sets of any size stay
+    apart; deflated. Header: log2 of the groups, bytes per count."""
     bits = max(8, int(max(len(s), 1) - 1).bit_length() + 1)
     counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     width = 1 if len(s) == 0 or counts.max() < 256 else 4
     return bytes((bits, width)) + zlib.compress(counts.astype("<u1" if width == 1 else "<u4").tobytes(), 1)
 
 
-def _unpack_fine(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob[2:]), dtype="<u1" if blob[1] == 1 else "<u4")
-
-
 def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, dtype="<u1" if blob[1] == 1 else "<u4", offset=2)
+    return np.frombuffer(zlib.decompress(blob[2:]), dtype="<u1" if blob[1] == 1 else "<u4")
 
 
 def fold(point: np.ndarray, groups: int) -> np.ndarray:
@@ -115,28 +106,27 @@ def fold(point: np.ndarray, groups: int) -> np.ndarray:
     return point.reshape(groups, -1).sum(axis=1, dtype=np.int32)
 
 
-SIGNATURE = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, point binary, fine binary, prefix binary"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, point binary, prefix binary"
 
 
 def _signatures(frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in word_chunks(batch.column(1), lower=True):
-                sizes, d1, d2, points, fines, prefixes = [], [], [], [], [], []
+                sizes, d1, d2, points, prefixes = [], [], [], [], []
                 for s in shingle_sets(w):
                     sizes.append(len(s))
                     d1.append(np.add.reduce(mix(s)).astype(np.int64) if len(s) else 0)
                     d2.append(np.add.reduce(mix(s ^ np.uint64(0xA5A5F00D12345678))).astype(np.int64) if len(s) else 0)
                     points.append(_point(s))
-                    fines.append(_fine_point(s))
                     p = prefix_length(len(s))
                     if len(frequent) and len(s):
                         common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                         s = np.r_[s[~common][:p], s[common][:p]]
                     prefixes.append(_pack(s[:p]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.first, w.rows), batch.column(2).slice(w.first, w.rows), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(points, pa.binary()), pa.array(fines, pa.binary()), pa.array(prefixes, pa.binary())],
-                    names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "point", "fine", "prefix"],
+                    [batch.column(0).slice(w.first, w.rows), batch.column(2).slice(w.first, w.rows), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(points, pa.binary()), pa.array(prefixes, pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "point", "prefix"],
                 )
 
     return run
@@ -174,87 +164,157 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b).sum(axis=-1)
 
 
-def rtree_pairs(points: list[np.ndarray], sizes: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs ``(left, right)`` of different components whose bound reaches the threshold.
-
-    ``right`` is bulk-loaded by size, then by heaviest coarse group, into leaves of ``LEAF`` points; a leaf
-    keeps coordinate maxima, its sizes' range and its component if it has only one. A query enters a leaf
-    only if its size fits and the bound against the maxima could pass for the least size. Points of
-    different resolution are folded to the coarser one."""
-    tiles = right[np.argsort(sizes[right], kind="stable")]
-    heavy = np.array([int(fold(points[i], 1 << MIN_BITS).argmax()) for i in tiles])
-    slabs = [s[np.argsort(heavy[s], kind="stable")] for s in np.array_split(np.arange(len(tiles)), max(1, len(tiles) // (LEAF * 8)))]
-    order = tiles[np.concatenate(slabs)]
-    found_l, found_r = [], []
-    for at in range(0, len(order), LEAF):
-        leaf = order[at : at + LEAF]
-        least, most = sizes[leaf].min(), sizes[leaf].max()
-        enters = (5 * sizes[left] >= 4 * least) & (4 * sizes[left] <= 5 * most)
-        if (comps[leaf] == comps[leaf[0]]).all():
-            enters &= comps[left] != comps[leaf[0]]
-        q = left[enters]
+class PointTree:
+    """R-tree over the points ``rows`` of a matrix, bulk-loaded by component (large ones apart), size and least
+    occupied group. A node keeps its upper corner, its least and largest size and its component if it has one only;
+    lower corners bound nothing here, as minima only fall with them."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, rows: np.ndarray):
+        self.points, self.sizes, self.comps = points, sizes, comps
+        _, at, many = np.unique(comps[rows], return_inverse=True, return_counts=True)
+        apart = np.where(many[at] >= LEAF, at, -1)
+        by_size = rows[np.lexsort((sizes[rows], apart))]
+        slab = np.arange(len(rows)) // (LEAF * FAN)
+        order = by_size[np.lexsort(((points[by_size] > 0).argmax(axis=1), slab))]
+        level = [self._node(order[k : k + LEAF], None) for k in range(0, len(order), LEAF)]
+        while len(level) > FAN:
+            level = [self._node(np.concatenate([n[0] for n in level[k : k + FAN]]), level[k : k + FAN]) for k in range(0, len(level), FAN)]
+        self.top = level
+
+    def _node(self, rows: np.ndarray, children: list | None) -> tuple:
+        corner = self.points[rows].max(axis=0) if children is None else np.max([c[1] for c in children], axis=0)
+        own = self.comps[rows]
+        return rows, corner, self.sizes[rows].min(), self.sizes[rows].max(), own[0] if (own == own[0]).all() else None, children
+
+    def search(self, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(asked row, found row, bound)`` of rows of different components whose bound reaches the threshold."""
+        for at in range(0, len(asked), 256):
+            for node in self.top:
+                yield from self._visit(node, asked[at : at + 256])
+
+    def _visit(self, node: tuple, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        rows, corner, least, most, comp, children = node
+        fits = (5 * self.sizes[q] >= 4 * least) & (4 * self.sizes[q] <= 5 * most)
+        if comp is not None:
+            fits &= self.comps[q] != comp
+        q = q[fits]
+        if len(q):
+            q = q[9 * overlap_bound(self.points[q], corner) >= 4 * (self.sizes[q] + least)]
         if not len(q):
-            continue
-        groups = min(min(len(points[i]) for i in leaf), min(len(points[i]) for i in q))
-        body = np.stack([fold(points[i], groups) for i in leaf])
-        top = body.max(axis=0)
-        for lo in range(0, len(q), 128):
-            block = q[lo : lo + 128]
-            ask = np.stack([fold(points[i], groups) for i in block])
-            go = 9 * overlap_bound(ask, top) >= 4 * (sizes[block] + least)
-            block, ask = block[go], ask[go]
-            for i, p in zip(block, ask):
-                near = (9 * overlap_bound(body, p) >= 4 * (sizes[i] + sizes[leaf])) & (comps[leaf] != comps[i])
-                found_l.append(np.full(np.count_nonzero(near), i))
-                found_r.append(leaf[near])
-    if not found_l:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(found_l), np.concatenate(found_r)
-
-
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``key, tile, half, cls, n, point, comp, low`` sorted by key and tile: R-tree join of each tile.
-    ``half`` 0 is joined with ``half`` 1, or with itself where the tile has only half 0. Pairs carry ``low``,
-    the shingle's smallest class, as the group they are verified in."""
-
-    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(rows)
-        cls, n, half, comp = (t[c].to_numpy() for c in ("cls", "n", "half", "comp"))
-        points = [_unpack(x) for x in t["point"].to_pylist()]
-        one, two = np.flatnonzero(half == 0), np.flatnonzero(half == 1)
-        i, j = rtree_pairs(points, n, comp, one, two if len(two) else one)
-        a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
-        if not len(a):
-            return None
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-        low = np.full(len(pairs), t["low"][0].as_py())
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(low)], names=["a", "b", "grp"])
+            return
+        if children is not None:
+            for c in children:
+                yield from self._visit(c, q)
+            return
+        body = self.points[rows]
+        for i in q:
+            bound = overlap_bound(body, self.points[i])
+            near = (9 * bound >= 4 * (self.sizes[i] + self.sizes[rows])) & (self.comps[rows] != self.comps[i])
+            if near.any():
+                yield np.full(np.count_nonzero(near), i), rows[near], bound[near]
+
+
+def same_groups(points: list[np.ndarray]) -> np.ndarray:
+    """Points as one matrix, all folded to the coarsest."""
+    groups = min(len(p) for p in points)
+    folded = [fold(p, groups) for p in points]
+    return np.stack(folded).astype(np.uint8 if max(int(p.max()) for p in folded) < 256 else np.int32)
+
+
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ``(left row, right row, bound)`` of different components whose bound reaches the threshold."""
+    found = list(PointTree(points, sizes, comps, right).search(left))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+class _Forest:
+    """Labels that are joined one edge at a time."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+TILE_ROWS = "key long, tile long, half int, cls long, comp long, n long"
+EDGE = "a long, b long, key long, tile long"
+
+
+def _edges(t: pa.Table, found: list[tuple[int, int]]) -> pa.RecordBatch:
+    n = len(found)
+    ends = [pa.array([f(p) for p in found], pa.int64()) for f in (min, max)]
+    return pa.RecordBatch.from_arrays([*ends, *(pa.array([t[c][0].as_py()] * n, pa.int64()) for c in ("key", "tile"))], names=["a", "b", "key", "tile"])
+
+
+def _bound_forest(t: pa.Table) -> pa.RecordBatch:
+    """The tile's spanning forest of components that the bound ties, by falling bound. ``half`` 0 is joined with
+    ``half`` 1, or with itself where the tile has only half 0."""
+    cls, n, half, comp = (t[c].to_numpy() for c in ("cls", "n", "half", "comp"))
+    points = same_groups([_unpack(x) for x in t["payload"].to_pylist()])
+    one, two = np.flatnonzero(half == 0), np.flatnonzero(half == 1)
+    i, j, bound = tree_pairs(points, n, comp, one, two if len(two) else one)
+    share = bound / (n[i] + n[j])
+    low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+    order = np.lexsort((cls[j], cls[i], -share, high, low))
+    first = order[np.r_[True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])]] if len(order) else order
+    forest = _Forest()
+    first = first[np.lexsort((high[first], low[first], -share[first]))]
+    return _edges(t, [(int(cls[i[k]]), int(cls[j[k]])) for k in first if forest.join(int(low[k]), int(high[k]))])
+
+
+def _exact_forest(t: pa.Table) -> pa.RecordBatch:
+    """The tile's spanning forest of components that links tie, from whole shingle sets."""
+    _, once = np.unique(t["cls"].to_numpy(), return_index=True)  # equal rows bring a class's text twice
+    t = t.take(once)
+    sets = [s for w in word_chunks(t["payload"], True) for s in shingle_sets(w)]
+    cls, half, comp = (t[c].to_numpy() for c in ("cls", "half", "comp"))
+    forest, found = _Forest(), []
+    for i, partners in _partners(sets, half):
+        found += [(int(cls[i]), int(cls[j])) for j in partners[comp[partners] != comp[i]] if forest.join(int(comp[i]), int(comp[j]))]
+    return _edges(t, found)
 
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
+
+def _partners(sets: list[np.ndarray], half: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """``(i, rows that i links with)``: rows of half 0 against half 1, or against the rows after them in half 0 where
+    there is no other. One row is marked at a time, and all sets of like size count their marks at once."""
+    n = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(n)[:-1])
+    by_size = np.argsort(n, kind="stable")
+    one, two = by_size[half[by_size] == 0], by_size[half[by_size] == 1]
+    alone = not len(two)
+    two = one if alone else two
+    starts = np.r_[0, np.cumsum(n[two])]
+    held, mark = np.concatenate([own[i] for i in two]), np.zeros(len(flat), dtype=np.uint8)
+    for at, i in enumerate(one):
+        lo = max(int(np.searchsorted(5 * n[two], 4 * n[i])), at + 1 if alone else 0)
+        hi = int(np.searchsorted(4 * n[two], 5 * n[i], side="right"))
+        if lo >= hi:
             continue
-        key, tile = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1, batch.num_rows]
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            this = (key[lo], tile[lo])
-            if this != last and held:
-                if (out := solve(held)) is not None:
-                    yield out
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-            last = this
-    if held and (out := solve(held)) is not None:
-        yield out
+        mark[own[i]] = 1
+        both = np.add.reduceat(mark[held[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+        mark[own[i]] = 0
+        near = two[lo:hi][9 * both >= 4 * (n[i] + n[two[lo:hi]])]
+        if len(near):
+            yield int(i), near
 
 
 def _by_tile(batches: Iterator[pa.RecordBatch], solve: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``solve`` of each run of rows that share a tile (the first three columns)."""
+    """``solve`` of each run of rows that share a tile (the first two columns)."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
-        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(2)], axis=1)
         cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)] if len(keys) else []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             this = tuple(keys[lo])
@@ -288,7 +348,7 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bound = int(np.minimum(x, y).sum(dtype=np.int64) if len(x) == len(y) else np.minimum(fold(x, groups), fold(y, groups)).sum())
         return 9 * bound >= 4 * int(x.sum(dtype=np.int64) + y.sum(dtype=np.int64))
 
-    return _by_tile(batches, lambda t: _tested(t, (_unpack_fine(b.as_py()) for b in t["payload"]), may_link))
+    return _by_tile(batches, lambda t: _tested(t, (_unpack(b.as_py()) for b in t["payload"]), may_link))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -300,60 +360,52 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def tiled(pairs: DataFrame, payload: DataFrame) -> DataFrame:
-    """Rows ``grp, one, two, doc, partners, payload`` sorted by tile, from pairs ``a, b, grp`` and ``doc, payload``.
+    """Rows ``grp, tile, doc, partners, payload`` sorted by tile, from pairs ``a, b, grp`` and ``doc, payload``.
 
     The pairs of a group are cut into tiles of two blocks of ``TILE`` documents, and a payload travels once per
-    tile, however many pairs it has there: families of close copies cost their documents, not their pairs."""
+    tile, however many pairs it has there: families of close copies cost their documents, not their pairs. Tiles are
+    told apart by one hash, so a large group is dealt out by its tiles."""
     ends = pairs.select("grp", F.col("a").alias("doc")).union(pairs.select("grp", F.col("b").alias("doc"))).distinct()
     blocks = ends.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
     block = lambda c: F.pmod(F.xxhash64(F.lit(5), c), F.col("blocks")).cast("int")
-    cut = pairs.join(blocks, "grp").select("grp", block(F.col("a")).alias("one"), block(F.col("b")).alias("two"), "a", "b")
-    rows = cut.select("grp", "one", "two", F.col("a").alias("doc"), F.col("b").alias("partner")).union(cut.select("grp", "one", "two", F.col("b").alias("doc"), F.lit(None).cast("long").alias("partner")))
-    rows = rows.groupBy("grp", "one", "two", "doc").agg(F.collect_set("partner").alias("partners"))
-    return rows.join(payload, "doc").select("grp", "one", "two", "doc", "partners", "payload").repartition("grp", "one", "two").sortWithinPartitions("grp", "one", "two")
-
-
-def _texts(slim: DataFrame, reps: DataFrame) -> DataFrame:
-    """``doc, payload``: the texts of class rows ``doc, doc_id, text_hash``."""
-    held = reps.toDF("doc", "_id", "_hash")
-    return slim.join(held, slim["doc_id"].eqNullSafe(F.col("_id")) & (slim["text_hash"] == F.col("_hash"))).select("doc", F.col("text").alias("payload"))
-
+    cut = pairs.join(blocks, "grp").select("grp", F.xxhash64("grp", block(F.col("a")), block(F.col("b"))).alias("tile"), "a", "b")
+    rows = cut.select("tile", "grp", F.col("a").alias("doc"), F.col("b").alias("partner")).union(cut.select("tile", "grp", F.col("b").alias("doc"), F.lit(None).cast("long").alias("partner")))
+    rows = rows.groupBy("tile", "doc").agg(F.min("grp").alias("grp"), F.collect_set("partner").alias("partners"))
+    return rows.join(payload, "doc").select(F.lit(0).cast("long").alias("one"), "tile", "grp", "doc", "partners", "payload").repartition("tile").sortWithinPartitions("tile")
 
-def verify_pairs(pairs: DataFrame, slim: DataFrame, fine: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of classes that link, from ``a, b, grp``: first by the fine count vectors
-    (``doc, payload``), then, for the few that are left, on whole texts."""
-    near = materialize(tiled(pairs, fine).mapInArrow(_refine, "a long, b long, grp long").groupBy("a", "b").agg(F.min("grp").alias("grp")))
-    ids = near.select(F.col("a").alias("doc")).union(near.select(F.col("b").alias("doc"))).distinct()
-    return tiled(near, _texts(slim, reps.join(ids, "doc", "left_semi"))).mapInArrow(_verify, "a long, b long, grp long").select("a", "b").distinct()
 
+def _texts(slim: DataFrame, sig: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc, payload``: the texts of the class rows ``doc`` of ``ids``; and the table behind it. Up to a checked
+    number they are sent to the texts, beyond it the texts are shuffled to them."""
+    wanted = materialize(sig.join(ids.select(F.col("doc").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("doc"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    return slim.join(small(wanted), slim["doc_id"].eqNullSafe(F.col("_id")) & (slim["text_hash"] == F.col("_hash"))).select("doc", F.col("text").alias("payload")), wanted
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Each pair ``a, b`` once, with one of its groups."""
-    return rows.groupBy("a", "b").agg(F.min("grp").alias("grp"))
 
-
-def _labelled(held: DataFrame, comp: DataFrame) -> DataFrame:
-    """``key, cls, low, comp``: holders of crowded shingles with the component found so far."""
-    return held.join(comp, F.col("cls") == comp["id"], "left").select("key", "cls", "low", F.coalesce("component", "cls").alias("comp"))
-
-
-def _star_pairs(wide: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each class with two pseudo-random holders of its shingles that are still in other components."""
-    seen = wide.withColumn("pick", F.struct(F.xxhash64(F.lit(turn), "cls").alias("r"), "cls", "comp"))
-    ends = seen.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("pick").alias("x"), F.max("pick").alias("y")).where("c0 < c1").select("key", F.explode(F.array("x", "y")).alias("p"))
-    j = wide.join(ends, "key").where(F.col("comp") != F.col("p.comp"))
-    return _pairs(j.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"), F.col("low").alias("grp")))
+def verify_pairs(pairs: DataFrame, slim: DataFrame, sig: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of classes that link, from ``a, b, grp``: first by their points, then, for the few that
+    are left, on whole texts."""
+    points = sig.select(F.col("row").alias("doc"), F.col("point").alias("payload"))
+    near = materialize(tiled(pairs, points).mapInArrow(_refine, "a long, b long, grp long").groupBy("a", "b").agg(F.min("grp").alias("grp")))
+    texts, wanted = _texts(slim, sig, near.select(F.col("a").alias("doc")).union(near.select(F.col("b").alias("doc"))))
+    out = materialize(tiled(near, texts).mapInArrow(_verify, "a long, b long, grp long").select("a", "b").distinct())
+    release(near, wanted)
+    return out
 
 
 def _tree_tiles(wide: DataFrame) -> DataFrame:
-    """``key, tile, half, cls, comp, low`` of the shingles that still hold several components.
+    """``TILE_ROWS`` of the windows of a key and a size that hold several components, from ``key, cls, comp, n``.
 
-    Only pairs across components matter, so the holders outside a shingle's largest component are joined with
-    it, in blocks, and among themselves; the largest component is not joined with itself, and shingles with the
+    Only pairs across components matter, so the holders outside a window's largest component are joined with
+    it, in blocks, and among themselves; the largest component is not joined with itself, and windows with the
     same holders are searched once."""
-    per = wide.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("s2"))
-    keys = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("m"), F.sum("s1").alias("s1"), F.bit_xor("s2").alias("s2")).where("parts > 1")
-    keys = keys.groupBy("m", "s1", "s2").agg(F.min(F.struct("key", "top")).alias("k")).select("k.key", F.col("k.top.comp").alias("big"), F.ceil(F.col("k.top.n") / BLOCK).cast("int").alias("ng"), F.ceil((F.col("m") - F.col("k.top.n")) / BLOCK).cast("int").alias("no"))
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(WINDOW)))
+    wide = wide.withColumn("window", F.explode(F.array(size, size + 1))).withColumn("key", F.xxhash64("key", "window")).drop("window")
+    per = wide.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("s2"))
+    keys = per.groupBy("key").agg(F.max(F.struct("c", "comp", "w")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("m"), F.sum("w").alias("w"), F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2")).where("parts > 1")
+    blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    keys = keys.groupBy("m", "s1", "s2").agg(F.min(F.struct("key", "top", "w")).alias("k")).select(
+        "k.key", F.col("k.top.comp").alias("big"), blocks(F.col("k.top.c"), F.col("k.top.w")).alias("ng"), blocks(F.col("m") - F.col("k.top.c"), F.col("k.w") - F.col("k.top.w")).alias("no")
+    )
     inside = F.col("comp") == F.col("big")
     block = F.pmod(F.xxhash64(F.lit(3), "cls"), F.when(inside, F.col("ng")).otherwise(F.col("no"))).cast("long")
     rows = wide.join(keys, "key").withColumn("b", block)
@@ -363,7 +415,13 @@ def _tree_tiles(wide: DataFrame) -> DataFrame:
     with_big = F.transform(to("ng"), lambda i: cell(F.col("b") * F.col("ng") + i, F.lit(0)))
     among = F.transform(to("no"), lambda k: cell(F.col("ng") * F.col("no") + F.least(F.col("b"), k) * F.col("no") + F.greatest(F.col("b"), k), F.col("b") > k))
     cells = F.explode(F.when(inside, with_outside).otherwise(F.concat(with_big, among)))
-    return rows.withColumn("cell", cells).select("key", "cell.tile", "cell.half", "cls", "comp", "low")
+    return rows.withColumn("cell", cells).select("key", "cell.tile", "cell.half", "cls", "comp", F.col("n").cast("long").alias("n"))
+
+
+def _in_tiles(tiles: DataFrame, payload: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """``EDGE`` rows from ``solve`` on each tile with the payloads ``doc, payload`` of its classes."""
+    rows = tiles.join(payload, F.col("cls") == F.col("doc")).select("key", "tile", "half", "cls", "comp", "n", "payload")
+    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(lambda batches: _by_tile(batches, solve), EDGE)
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -377,40 +435,73 @@ def _count_tile(t: pa.Table) -> pa.RecordBatch:
     t = t.take(once)
     sets = [s for w in word_chunks(t["payload"], True) for s in shingle_sets(w)]
     cls, rows, half = (t[c].to_numpy() for c in ("cls", "rows", "half"))
-    n = np.array([len(s) for s in sets])
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    own = np.split(flat, np.cumsum(n)[:-1])
-    by_size = np.argsort(n, kind="stable")
-    one, two = by_size[half[by_size] == 0], by_size[half[by_size] == 1]
-    alone = not len(two)
-    two = one if alone else two
-    starts = np.r_[0, np.cumsum(n[two])]
-    held, mark, links = np.concatenate([own[i] for i in two]), np.zeros(len(flat), dtype=np.uint8), np.zeros(len(n), dtype=np.int64)
-    for at, i in enumerate(one):
-        lo = max(int(np.searchsorted(5 * n[two], 4 * n[i])), at + 1 if alone else 0)
-        hi = int(np.searchsorted(4 * n[two], 5 * n[i], side="right"))
-        if lo >= hi:
-            continue
-        mark[own[i]] = 1
-        both = np.add.reduceat(mark[held[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
-        mark[own[i]] = 0
-        near = two[lo:hi][9 * both >= 4 * (n[i] + n[two[lo:hi]])]
+    links = np.zeros(len(sets), dtype=np.int64)
+    for i, near in _partners(sets, half):
         links[i] += rows[near].sum()
         links[near] += rows[i]
     return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(links)], names=["cls", "links"])
 
 
-def link_counts(classes: DataFrame, slim: DataFrame, reps: DataFrame) -> DataFrame:
+def link_counts(classes: DataFrame, slim: DataFrame, sig: DataFrame) -> DataFrame:
     """``cls, links``: the rows of other classes that the rows of each class link with, from ``grp, cls, rows,
     n_shingles``; classes alone in their component are left out."""
     blocks = F.ceil(F.greatest(F.sum("n_shingles") / LINK_SHINGLES, F.count("*") / LINK_CLASSES)).cast("int")
     wide = classes.groupBy("grp").agg(F.count("*").alias("m"), blocks.alias("blocks")).where("m > 1").select("grp", "blocks")
     members = materialize(classes.join(wide, "grp").select("grp", "cls", "rows", "blocks", F.pmod(F.xxhash64(F.lit(9), "cls"), F.col("blocks")).cast("int").alias("b")))
-    texts = _texts(slim, reps.join(members.select(F.col("cls").alias("doc")), "doc", "left_semi"))
-    cell = lambda k: F.struct(F.least("b", k).alias("one"), F.greatest("b", k).alias("two"), (F.col("b") > k).cast("int").alias("half"))
+    texts, wanted = _texts(slim, sig, members.select(F.col("cls").alias("doc")))
+    cell = lambda k: F.struct(F.xxhash64("grp", F.least("b", k), F.greatest("b", k)).alias("tile"), (F.col("b") > k).cast("int").alias("half"))
     tiles = members.join(texts, F.col("cls") == F.col("doc")).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), cell)))
-    tiles = tiles.select("grp", "cell.one", "cell.two", "cell.half", "cls", "rows", "payload").repartition("grp", "one", "two").sortWithinPartitions("grp", "one", "two")
-    return tiles.mapInArrow(lambda batches: _by_tile(batches, _count_tile), "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links"))
+    tiles = tiles.select("grp", "cell.tile", "cell.half", "cls", "rows", "payload").repartition("tile").sortWithinPartitions("grp", "tile")
+    out = materialize(tiles.mapInArrow(lambda batches: _by_tile(batches, _count_tile), "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links")))
+    release(members, wanted)
+    return out
+
+
+def _components(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """``cls, n, comp`` of every class."""
+    comp = components(links)
+    out = materialize(classes.join(comp, F.col("cls") == comp["id"], "left").select("cls", F.col("n_shingles").alias("n"), F.coalesce("component", "cls").alias("comp")))
+    release(comp)
+    return out
+
+
+def linked_classes(sig: DataFrame, classes: DataFrame, slim: DataFrame) -> DataFrame:
+    """``cls, n, comp`` of every class: the components of all links between classes."""
+    keys = sig.join(classes.select(F.col("cls").alias("row")), "row", "left_semi").select("row", "prefix").mapInArrow(_keys, "key long, cls long")
+    shared = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("members")).where("low < high")
+    held = materialize(keys.join(shared, "key"))
+
+    sizes = classes.select("cls", "n_shingles")
+    first = held.select(F.col("low").alias("a"), F.col("cls").alias("b"), F.col("low").alias("grp")).union(held.select(F.col("cls").alias("a"), F.col("high").alias("b"), F.col("low").alias("grp")))
+    first = first.where("a < b").groupBy("a", "b").agg(F.min("grp").alias("grp")).join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    first = materialize(first.where(9 * F.least("na", "nb") >= 4 * (F.col("na") + F.col("nb"))).select("a", "b", "grp"))
+    links = verify_pairs(first, slim, sig)
+    comp = _components(links, classes)
+    # shingles with the same smallest holder are searched as one: a passage's shingles have much the same holders
+    crowded = materialize(held.where("members > 3").select(F.col("low").alias("key"), "cls").distinct().join(comp, "cls"))
+    release(held, first)
+
+    tiles = materialize(_tree_tiles(crowded))
+    points = sig.select(F.col("row").alias("doc"), F.col("point").alias("payload"))
+    edges = materialize(_in_tiles(tiles, points, _bound_forest))
+    release(crowded)
+    if not edges.isEmpty():
+        more = verify_pairs(edges.groupBy("a", "b").agg(F.min("a").alias("grp")), slim, sig)
+        links, before, old = materialize(links.union(more)), links, comp
+        comp = _components(links, classes)
+        release(before, old)
+        at = comp.select("cls", "comp")
+        missed = edges.join(more, ["a", "b"], "left_anti").join(at.toDF("a", "ca"), "a").join(at.toDF("b", "cb"), "b").where("ca <> cb")
+        missed = materialize(missed.select("key", "tile").distinct())
+        if not missed.isEmpty():
+            left = materialize(tiles.drop("comp").join(missed, ["key", "tile"]).join(at, "cls"))
+            texts, wanted = _texts(slim, sig, left.select(F.col("cls").alias("doc")))
+            rest = materialize(_in_tiles(left, texts, _exact_forest))
+            old, comp = comp, _components(links.union(rest.select("a", "b")), classes)
+            release(left, wanted, rest, old)
+        release(more, missed)
+    release(tiles, edges, links)
+    return comp
 
 
 def row_groups(docs: DataFrame, count_links: bool = False) -> DataFrame:
@@ -421,49 +512,27 @@ def row_groups(docs: DataFrame, count_links: bool = False) -> DataFrame:
     sig = materialize(slim.mapInArrow(_signatures(frequent_shingles(slim)), SIGNATURE).withColumn("row", F.monotonically_increasing_id()))
     classes = sig.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low_id"), F.count("*").alias("rows"))
     classes = materialize(classes)
-    reps = sig.join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
-    keys = reps.select("row", "prefix").mapInArrow(_keys, "key long, cls long")
-    shared = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("members")).where("low < high")
-    held = materialize(keys.join(shared, "key"))
-    points = materialize(reps.select(F.col("row").alias("cls"), F.col("n_shingles").alias("n"), "point", "fine", "doc_id", "text_hash"))
-    reps = points.select(F.col("cls").alias("doc"), "doc_id", "text_hash")
-    fine, points = points.select(F.col("cls").alias("doc"), F.col("fine").alias("payload")), points.select("cls", "n", "point")
-
-    first = held.select(F.col("low").alias("a"), F.col("cls").alias("b"), F.col("low").alias("grp")).union(held.select(F.col("cls").alias("a"), F.col("high").alias("b"), F.col("low").alias("grp")))
-    tested = materialize(bounded(_pairs(first.where("a < b")), points))
-    links = materialize(verify_pairs(tested, slim, fine, reps))
-    comp = components(links)
-    crowded = held.where("members > 3").select("key", "cls", "low")
-    for turn in range(STAR_ROUNDS):
-        wide = materialize(_labelled(crowded, comp))
-        pairs = materialize(bounded(_star_pairs(wide, turn).join(tested, ["a", "b"], "left_anti"), points))
-        if pairs.isEmpty():
-            break
-        links = materialize(links.union(verify_pairs(pairs, slim, fine, reps)))
-        tested = materialize(tested.select("a", "b", "grp").union(pairs))
-        comp = components(links)
-    wide = materialize(_labelled(crowded, comp))
-    rows = _tree_tiles(wide).join(points, "cls").select("key", "tile", "half", "cls", "n", "point", "comp", "low").repartition("key", "tile").sortWithinPartitions("key", "tile")
-    pairs = materialize(_pairs(rows.mapInArrow(_search, "a long, b long, grp long")).join(tested, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        comp = components(links.union(verify_pairs(pairs, slim, fine, reps)))
-    classes = classes.join(comp, F.col("cls") == comp["id"], "left").select("cls", "d1", "d2", "n_shingles", "low_id", "rows", F.coalesce("component", "cls").alias("grp"))
-    least = classes.groupBy("grp").agg(F.min("low_id").alias("component_id"))
-    wanted = ["doc_id", "text_hash", "n_shingles", F.coalesce("grp", "row").alias("grp"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    comp = linked_classes(sig, classes, slim)
+    grouped = materialize(classes.join(comp.select("cls", F.col("comp").alias("grp")), "cls"))
+    release(classes, comp)
+    least = grouped.groupBy("grp").agg(F.min("low_id").alias("component_id"))
+    named = grouped.join(least, "grp")
+    wanted, tables = ["doc_id", "text_hash", "n_shingles", F.coalesce("grp", "row").alias("grp"), F.coalesce("component_id", "doc_id").alias("component_id")], [sig, grouped]
     if count_links:
-        classes = materialize(classes)
-        others = link_counts(classes.select("grp", "cls", "rows", "n_shingles"), slim, reps)
-        classes = classes.join(others.withColumnRenamed("cls", "_cls"), F.col("cls") == F.col("_cls"), "left").withColumn("n_links", F.col("rows") - 1 + F.coalesce("links", F.lit(0)))
+        others = link_counts(grouped.select("grp", "cls", "rows", "n_shingles"), slim, sig)
+        named = named.join(others.withColumnRenamed("cls", "_cls"), F.col("cls") == F.col("_cls"), "left").withColumn("n_links", F.col("rows") - 1 + F.coalesce("links", F.lit(0)))
         wanted.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    named = sig.select("row", "doc_id", "text_hash", "n_shingles", "d1", "d2").join(classes.drop("cls", "low_id", "rows").join(least, "grp"), ["d1", "d2", "n_shingles"], "left")
-    return named.select(*wanted)
+        tables.append(others)
+    rows = sig.select("row", "doc_id", "text_hash", "n_shingles", "d1", "d2").join(named.drop("cls", "low_id", "rows", "links", "_cls"), ["d1", "d2", "n_shingles"], "left")
+    out = materialize(rows.select(*wanted))
+    release(*tables)
+    return out
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, n_links, component_id`` for every row of ``docs`` (``doc_id``, ``text``);
     ``n_links`` counts the other rows whose text links with the row's."""
-    named = materialize(row_groups(docs, count_links=True)).select("doc_id", "n_shingles", "n_links", "component_id")
-    return _one_component_per_id(named)
+    return _one_component_per_id(row_groups(docs, count_links=True).select("doc_id", "n_shingles", "n_links", "component_id"))
 
 
 def _one_component_per_id(named: DataFrame) -> DataFrame:
@@ -481,36 +550,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of linked rows (its smallest doc_id, null last), all columns kept. Rows are told apart
     by doc_id and text: rows without an id, and rows of one id whose texts do not link, are judged like all
     others. Texts without words link with nothing and stay."""
-    named = materialize(row_groups(docs.select("doc_id", "text")))
+    named = row_groups(docs.select("doc_id", "text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")
-    kept = named.groupBy("grp").agg(first, F.max("n_shingles").alias("n")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), (F.col("n") == 0).alias("_empty")).distinct()
+    kept = named.where("n_shingles > 0").groupBy("grp").agg(first)
+    gone = named.join(kept, "grp").where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))))
+    gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    repeated = materialize(named.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
     text_hash = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")))
-    if named.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        return out.select(*[docs[c] for c in docs.columns])
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
+    out = docs.join(small(gone), same, "left_anti")
+    if repeated.isEmpty():
+        return out
     # equal rows: the one with the least digest of all columns stays, so reruns agree
     cols = [F.col(c) for c in docs.columns]
-    once = out.where("not _empty").groupBy("_id", "_hash").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("_one"))
-    return out.where("_empty").select(*cols).union(once.select("_one.*"))
-
-
-def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs whose count-vector bound reaches the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if x.num_rows:
-                bound = np.zeros(x.num_rows, dtype=np.int64)
-                for i, (p, q) in enumerate(zip(x.column(3), x.column(5))):
-                    p, q = _unpack(p.as_py()), _unpack(q.as_py())
-                    groups = min(len(p), len(q))
-                    bound[i] = np.minimum(fold(p, groups), fold(q, groups)).sum()
-                ok = 9 * bound >= 4 * (x.column(2).to_numpy() + x.column(4).to_numpy())
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(6)], names=["a", "b", "grp"]).filter(pa.array(ok))
-
-    pa_, pb_ = points.toDF("a", "na", "pa"), points.toDF("b", "nb", "pb")
-    near = (9 * F.least("na", "nb") >= 4 * (F.col("na") + F.col("nb")))
-    return pairs.join(pa_, "a").join(pb_, "b").where(near).select("a", "b", "na", "pa", "nb", "pb", "grp").mapInArrow(run, "a long, b long, grp long").groupBy("a", "b").agg(F.min("grp").alias("grp"))
+    repeated = small(repeated)
+    once = out.join(repeated, same).groupBy("_id", "_hash").agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.xxhash64(*[docs[c] for c in docs.columns])).alias("_one"))
+    return out.join(repeated, same, "left_anti").select(*cols).union(once.select("_one.*"))
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

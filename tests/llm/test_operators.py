@@ -67,20 +67,49 @@ def test_jaccard_links(spark, rows, monkeypatch, block):
     assert sorted((repr(r["doc_id"]), r["n_shingles"], r["n_links"]) for r in got) == want
 
 
-def test_jaccard_search_without_stars_and_small_blocks(spark, rows, monkeypatch):
-    """Every link found by the R-tree alone equals brute force on points."""
+@pytest.mark.parametrize("leaf", [4, 32])
+def test_point_tree_finds_every_link(rows, monkeypatch, leaf):
+    """Every link is found by the R-tree alone, with one level or several."""
     import numpy as np
 
     sets = [s for i, t, _ in rows for s in [brute.shingles(t)] if s]
     hashed = [np.unique(np.array([hash(x) & (2**64 - 1) for x in s], dtype=np.uint64)) for s in sets]
     points = [ngram_join._unpack(ngram_join._point(h)) for h in hashed]
-    sizes = np.array([len(h) for h in hashed])
-    everyone = np.arange(len(sets))
-    monkeypatch.setattr(ngram_join, "LEAF", 4)
-    i, j = ngram_join.rtree_pairs(points, sizes, everyone, everyone, everyone)
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
+    sizes, everyone = np.array([len(h) for h in hashed]), np.arange(len(sets))
+    i, j, bound = ngram_join.tree_pairs(ngram_join.same_groups(points), sizes, everyone, everyone, everyone)
     found = set(zip(i.tolist(), j.tolist()))
-    want = {(a, b) for a in everyone.tolist() for b in everyone.tolist() if a != b and 180 * len(sets[a] & sets[b]) >= 80 * (len(sets[a]) + len(sets[b]))}
-    assert want <= found
+    both = {(a, b): len(sets[a] & sets[b]) for a in everyone.tolist() for b in everyone.tolist() if a != b}
+    assert {k for k, v in both.items() if 180 * v >= 80 * (len(sets[k[0]]) + len(sets[k[1]]))} <= found
+    assert all(v >= both[a, b] for a, b, v in zip(i.tolist(), j.tolist(), bound.tolist()))
+
+
+def families(rng):
+    """Three families of 120 texts around one base each, edited so that links and near misses alternate; 300 texts
+    that share a passage; 1,300 texts alone."""
+    vocabulary = [f"w{k}" for k in range(5000)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    out, passage = [], say(40)
+    for f in range(3):
+        base = say(80 + 60 * f)
+        for _ in range(120):
+            w = list(base)
+            for _ in range(rng.randrange(0, 1 + len(w) // 25)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            out.append(" ".join(w))
+    out += [" ".join(say(rng.randrange(5, 30)) + passage + say(rng.randrange(5, 30))) for _ in range(300)]
+    out += [" ".join(say(rng.randrange(1, 60))) for _ in range(1300)]
+    rng.shuffle(out)
+    return [(i, t, "s") for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+def test_jaccard_families_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    data = families(random.Random(21))
+    docs = table(spark, data)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == brute.jaccard_components([(i, t) for i, t, _ in data])
 
 
 def test_near_duplicate_stage_keeps_one(spark, rows):
