@@ -45,19 +45,19 @@ def _positional(value: float) -> str:
 
 
 def walk(value: object, path: str, out: list[Fact]) -> None:
-    """Flatten nested dicts, lists and scalars; keys in byte order."""
-    if isinstance(value, dict):
-        if not value:
-            out.append(("kv", f"{path or '$'}={{}}", 0))
-        for key in sorted(value, key=lambda k: k.encode("utf-8", "surrogatepass")):
-            walk(value[key], f"{path}.{key}" if path else key, out)
-    elif isinstance(value, list):
-        if not value:
-            out.append(("kv", f"{path or '$'}=[]", 0))
-        for item in value:
-            walk(item, f"{path}[]", out)
-    else:
-        out.append(("kv", f"{path or '$'}={scalar_text(value)}", 0))
+    """Flatten nested dicts, lists and scalars of any depth; keys in byte order."""
+    todo = [(value, path)]
+    while todo:
+        value, path = todo.pop()
+        if isinstance(value, dict) and value:
+            keys = sorted(value, key=lambda k: k.encode("utf-8", "surrogatepass"), reverse=True)
+            todo += [(value[k], f"{path}.{k}" if path else k) for k in keys]
+        elif isinstance(value, list) and value:
+            below = f"{path}[]"
+            todo += [(item, below) for item in reversed(value)]
+        else:
+            text = "{}" if isinstance(value, dict) else "[]" if isinstance(value, list) else scalar_text(value)
+            out.append(("kv", f"{path or '$'}={text}", 0))
 
 
 _REGISTRY: dict[str, Callable[[bytes], list[Fact]]] = {}

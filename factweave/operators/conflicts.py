@@ -33,8 +33,16 @@ def conflicts(members: DataFrame) -> DataFrame:
 
 
 def value_holders(members: DataFrame) -> DataFrame:
-    """``key, value, rank, artifacts``: sorted holders of every value of every disputed key."""
-    return split_pairs(members).join(value_groups(members), ["key", "value"]).groupBy("key", "value", "rank").agg(F.sort_array(F.collect_set("artifact_id")).alias("artifacts"))
+    """``key, value, rank, n, artifact_id``: a row per holder of every value of every disputed key."""
+    return split_pairs(members).join(value_groups(members), ["key", "value"]).select("key", "value", "rank", "n", "artifact_id")
+
+
+def first_holders(members: DataFrame, shown: int) -> DataFrame:
+    """``key, value, rank, n, artifacts``: the count of holders and the first ``shown`` of them, so that a value which
+    every artifact holds is still a short row."""
+    first = Window.partitionBy("key", "value").orderBy("artifact_id")
+    few = value_holders(members).withColumn("at", F.row_number().over(first)).where(F.col("at") <= shown)
+    return few.groupBy("key", "value", "rank", "n").agg(F.sort_array(F.collect_list("artifact_id")).alias("artifacts"))
 
 
 def by_clarity(found: DataFrame) -> DataFrame:

@@ -46,11 +46,20 @@ def bucket_counts(ids: DataFrame) -> DataFrame:
     return labels.join(ids.groupBy("bucket").agg(F.count("*").alias("n")), "bucket", "left").na.fill(0, ["n"])
 
 
-def occurrence_index(facts: DataFrame) -> DataFrame:
-    """Per identity its occurrences ``(artifact_id, line)`` in feed order."""
-    return facts.groupBy("kind", "canonical").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("artifact_id", "ord", "line"))), lambda x: F.struct(x["artifact_id"].alias("artifact_id"), x["line"].alias("line"))).alias("occurrences")
-    )
+def occurrences(facts: DataFrame) -> DataFrame:
+    """Every occurrence as a row ``kind, canonical, artifact_id, ord, line``, one identity's together and in feed order:
+    a range sort, so the index of a fact that every artifact holds is spread over as many tasks as it needs."""
+    return facts.select("kind", "canonical", "artifact_id", "ord", "line").orderBy("kind", "canonical", "artifact_id", "ord")
+
+
+def occurrence_index(facts: DataFrame, shown: int) -> DataFrame:
+    """``kind, canonical, total, occurrences``: per identity the number of its occurrences and the first ``shown`` of
+    them, ``(artifact_id, line)`` in feed order. Both pre-aggregate per task, a row limit within the window's sort."""
+    total = facts.groupBy("kind", "canonical").agg(F.count("*").alias("total"))
+    feed = Window.partitionBy("kind", "canonical").orderBy("artifact_id", "ord")
+    few = facts.select("kind", "canonical", "artifact_id", "ord", "line").withColumn("at", F.row_number().over(feed)).where(F.col("at") <= shown)
+    lists = few.groupBy("kind", "canonical").agg(F.transform(F.array_sort(F.collect_list(F.struct("artifact_id", "ord", "line"))), lambda x: F.struct(x["artifact_id"].alias("artifact_id"), x["line"].alias("line"))).alias("occurrences"))
+    return total.join(lists, ["kind", "canonical"])
 
 
 def artifact_stats(artifacts: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def classify_field(name: Column) -> Column:
 
 
 def page_host(path: Column) -> Column:
-    host = F.regexp_extract(path, r"^https?://([^/?#:]+)", 1)
+    host = F.regexp_extract(path, r"^(?i:https?)://([^/?#:]+)", 1)
     return F.when(host != "", F.lower(host))
 
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.functions.graph import components, materialize
+from factweave.functions.graph import components, materialize, release
+from factweave.functions.order import global_rank
 
 PAIR_CAP, THRESHOLD, SIGNATURE = 1024, 0.5, 8
 
@@ -22,11 +23,10 @@ def distinctive(members: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def minority_pairs(rare: DataFrame) -> DataFrame:
-    """``a, b, shared`` with a < b. Holders of one identity (bounded by the cap) are sorted once and paired
-    in place, so the membership is shuffled once; counts combine before the second shuffle."""
-    holders = rare.groupBy("kind", "canonical").agg(F.sort_array(F.collect_list("artifact_id")).alias("h"))
-    first = holders.select("h", F.posexplode("h").alias("i", "a"))
-    pairs = first.select("a", F.explode(F.expr("slice(h, i + 2, size(h))")).alias("b"))
+    """``a, b, shared`` with a < b: holders of one identity (bounded by the cap) meet in a self-join whose two sides
+    are one shuffle; counts combine before the next."""
+    x, y = rare.select("kind", "canonical", F.col("artifact_id").alias("a")), rare.select("kind", "canonical", F.col("artifact_id").alias("b"))
+    pairs = x.join(y, ["kind", "canonical"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
@@ -62,6 +62,7 @@ def factions(members: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame,
     rare = materialize(distinctive(members, ids))
     edges = materialize(similarity_edges(rare))
     labels = materialize(faction_members(edges))
-    order = Window.orderBy(F.desc("size"), "root")
-    table = faction_cohesion(labels, edges).withColumn("faction_id", F.row_number().over(order) - 1)
-    return labels, table.select("faction_id", "root", "size", "cohesion"), faction_signature(labels, rare)
+    table = global_rank(faction_cohesion(labels, edges), [F.desc("size"), F.col("root")], "faction_id").withColumn("faction_id", F.col("faction_id").cast("int"))
+    table, signature = materialize(table.select("faction_id", "root", "size", "cohesion")), materialize(faction_signature(labels, rare))
+    release(rare, edges)
+    return labels, table, signature

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.functions.order import global_rank
+
 #: Fact prefix -> column of a kit signature.
 KIT_LISTS = {"field": "fields", "formfields": "field_sets", "formaction": "actions", "resource": "resources", "path": "paths", "title": "brand", "heading": "brand", "meta": "brand"}
 #: Fact prefix -> atom kind, in rank order; chunks come last.
@@ -31,8 +33,7 @@ def kit_signatures(exclusive: DataFrame, factions: DataFrame) -> DataFrame:
     filled = sum((F.size(c) for c in lists), F.col("shape_count"))
     functional = F.size("fields") + F.size("field_sets") + F.size("actions") + F.size("resources") > 0
     kits = kits.where(filled > 0).join(factions, "root").withColumn("functional", functional)
-    order = Window.orderBy(F.desc("functional"), F.desc("size"), "faction_id")
-    return kits.withColumn("rank", F.row_number().over(order) - 1)
+    return global_rank(kits, [F.desc("functional"), F.desc("size"), F.col("faction_id")], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def yara_atoms(exclusive: DataFrame, factions: DataFrame, cap: int = ATOM_CAP) -> DataFrame:

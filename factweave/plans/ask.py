@@ -5,6 +5,7 @@ Everything is a bounded query; the prompt is plain text, and sending it anywhere
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,15 +14,20 @@ from factweave.operators import consensus
 from factweave.plans.corpus import Corpus
 
 FOCUS, TABLE, FACTIONS, MEMBERS, DEVIATIONS, UNIQUE, MISSING = 4, 30, 6, 8, 5, 25, 25
-#: Words that never name an artifact.
-STOPWORDS = frozenset("the and for are was were what which who why how does did this that these those with from about into have has had not but can all any out its is in on of to".split())
+#: Separators of a question's words, and words that never name an artifact.
+SEPARATORS = " \t\n\r?!,;:'\"()[]{}"
+STOPWORDS = frozenset(
+    "the and why what how is are does did from with that this file files than diff differ different about for who which compare compared other others rest everything all".split()
+    + "yaml yml json md txt conf toml ini cfg env".split()
+)
 SYSTEM = "Answer from the evidence below only. Name the artifacts and facts you rely on, and say so when the evidence does not settle the question."
 
 
 def question_words(question: str) -> list[str]:
-    """Lower-case words of three characters or more that could name a path."""
-    words = (w.strip(".") for w in re.findall(r"[a-z0-9._-]+", question.lower()))
-    return [w for w in dict.fromkeys(words) if len(w) >= 3 and w not in STOPWORDS]
+    """Words of three bytes or more, A-Z lower-cased, that could name a path: dots and slashes stay inside."""
+    lower = question.translate({c: c + 32 for c in range(65, 91)})
+    words = (w.strip(".") for w in re.split("[" + re.escape(SEPARATORS) + "]+", lower))
+    return [w for w in dict.fromkeys(words) if len(w.encode()) >= 3 and w not in STOPWORDS]
 
 
 def focus_by_words(artifacts: DataFrame, question: str) -> DataFrame:
@@ -29,7 +35,8 @@ def focus_by_words(artifacts: DataFrame, question: str) -> DataFrame:
     words = question_words(question)
     if not words:
         return artifacts.limit(0)
-    hit = F.exists(F.array(*map(F.lit, words)), lambda w: F.lower("path").contains(w))
+    lower = F.translate("path", string.ascii_uppercase, string.ascii_lowercase)
+    hit = F.exists(F.array(*map(F.lit, words)), lambda w: lower.contains(w))
     return artifacts.where(hit).orderBy("artifact_id").limit(FOCUS)
 
 

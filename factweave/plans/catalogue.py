@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.functions.order import global_rank
 from factweave.operators import conflicts, consensus, creds, factions, gate, signatures
+from factweave.plans import format_queries
 from factweave.plans.corpus import Corpus
 from factweave.sources.rows import config_facts, markdown_facts, table_artifacts, table_facts, text_facts
 
@@ -94,6 +96,17 @@ def _sql(corpus: str, select: str, more: str = "", recursive: bool = False) -> s
     return f"WITH {'RECURSIVE ' if recursive else ''}{_FACTS[corpus]}{_BASE}{more}{select if select.startswith(',') else chr(10) + select}"
 
 
+#: Customers as artifacts: one key a nation, most with its usual segment.
+_FACTS["pairs"] = """arts AS (SELECT DISTINCT c_custkey AS a FROM customer),
+f AS (SELECT c_custkey AS a, 'kv' AS kind, 'n' || c_nationkey || '.segment=' || CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'USUAL' END AS c FROM customer)"""
+
+
+def _lines_as_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "customer")
+    value = F.concat(F.lit("n"), "c_nationkey", F.lit(".segment="), F.expr("CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'USUAL' END"))
+    return c.select(F.col("c_custkey").alias("artifact_id"), F.lit("kv").alias("kind"), value.alias("canonical"))
+
+
 #: Inline pages: path, facts in feed order.
 PAGES = [
     (0, "http://bank.example/login", ["field[]=username", "field[]=password", "formaction[]=evil.example", "formhost[]=evil.example", "resource[]=cdn.example", "shape[]=aa11", "title[]=Bank"]),
@@ -104,6 +117,10 @@ PAGES = [
     (5, "http://mail.example/", ["field[]=email", "title[]=Mail", "shape[]=ee55"]),
     (6, "http://news.example/", ["title[]=News", "resource[]=img.example", "shape[]=ff66"]),
     (7, "http://blog.example/", ["title[]=Blog", "resource[]=blog.example", "shape[]=ab77"]),
+    (8, "HTTP://Upper.example/in", ["field[]=pwd", "formhost[]=other.example", "title[]=Upper", "shape[]=ba88"]),
+    (9, "saved/page.html", ["field[]=pwd2", "formhost[]=other2.example", "title[]=Saved", "shape[]=ca99"]),
+    *[(10 + i, f"https://look{i}.example/", ["meta[]=generator=K", "heading[]=h1:Same", "path[]=html>body", "shape[]=da10", f"title[]=Look{i}"]) for i in range(2)],
+    *[(12 + i, f"https://pay{i}.example/", ["field[]=otp", "field[]=iban", "formfields[]=f0f0", "resource[]=kit.example", f"title[]=Pay{i}"]) for i in range(2)],
 ]
 #: Inline binaries: path and facts; two families of three and four others.
 BINARIES = [
@@ -131,10 +148,13 @@ fs AS (SELECT root, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC,
 ex AS (SELECT lab.root, m.kind, m.c, fs.faction_id, fs.size FROM m JOIN lab ON lab.a = m.a JOIN fs ON fs.root = lab.root JOIN ids ON ids.kind = m.kind AND ids.c = m.c GROUP BY lab.root, m.kind, m.c, fs.faction_id, fs.size, ids.k HAVING count(*) = fs.size AND ids.k = fs.size)"""
 _CREDS = """,
 fl AS (SELECT a, ord, CASE WHEN starts_with(c, 'field[]=') THEN substr(c, 9) END AS field, CASE WHEN starts_with(c, 'formhost[]=') THEN substr(c, 12) END AS host FROM f),
-cl AS (SELECT *, CASE WHEN regexp_matches(field, 'pass|pwd') THEN 'password' WHEN regexp_matches(field, 'user|login|card|cvv|cvc|ssn|pin|otp|iban|routing|account|credit|secret|seed|mnemonic|recovery|swift') THEN 'sensitive' END AS class FROM fl),
+cl AS (SELECT *, CASE WHEN regexp_matches(field, 'PASSWORD_WORDS') THEN 'password' WHEN regexp_matches(field, 'SENSITIVE_WORDS') THEN 'sensitive' END AS class FROM fl),
 cp AS (SELECT a, array_to_string(list_sort(list_distinct(list(field) FILTER (class IS NOT NULL))), ',') AS fields, arg_min(host, ord) FILTER (host IS NOT NULL) AS action_host FROM cl GROUP BY a
   HAVING count(DISTINCT field) FILTER (class = 'password') > 0 OR count(DISTINCT field) FILTER (class = 'sensitive') >= 2),
-ff AS (SELECT a AS artifact_id, fields, action_host, action_host IS NOT NULL AND lower(regexp_extract(path, '^https?://([^/?#:]+)', 1)) <> lower(action_host) AS off_domain FROM cp JOIN arts USING (a))"""
+ff AS (SELECT a AS artifact_id, fields, action_host, action_host IS NOT NULL AND regexp_matches(path, '^(?i:https?)://[^/?#:]') AND lower(regexp_extract(path, '^(?i:https?)://([^/?#:]+)', 1)) <> lower(action_host) AS off_domain FROM cp JOIN arts USING (a))"""
+
+for _name in ("PASSWORD_WORDS", "SENSITIVE_WORDS"):
+    _CREDS = _CREDS.replace(_name, "|".join(getattr(creds, _name)))
 
 
 def _stats(c: Corpus) -> DataFrame:
@@ -173,16 +193,16 @@ def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.unique_evidence(c.stats.drop("is_outlier"), c.identities).select("artifact_id", "rank", "kind", "canonical")
 
 
-def _focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _focus(spark: SparkSession, sf_dir: str, question: str = "what about the example.net pages in de?") -> DataFrame:
     from factweave.plans.ask import focus_by_words
 
     pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("artifact_id"), F.col("url").alias("path"))
-    return focus_by_words(pages, "what about the example.net pages in de?").select("artifact_id", "path")
+    return focus_by_words(pages, question).select("artifact_id", "path")
 
 
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = document_lines(spark, sf_dir)
-    return consensus.occurrence_index(c.facts).select("kind", "canonical", F.array_join(F.transform("occurrences", lambda x: F.concat_ws(":", x["artifact_id"], x["line"])), ",").alias("occurrences"))
+    return consensus.occurrence_index(c.facts, 16).select("kind", "canonical", "total", F.array_join(F.transform("occurrences", lambda x: F.concat_ws(":", x["artifact_id"], x["line"])), ",").alias("occurrences"))
 
 
 def _json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,16 +219,9 @@ def _page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_rows(pages).where("canonical like 'title[]=%'").select("artifact_id", "canonical")
 
 
-def _page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factweave.sources.content import extract_rows
-
-    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("artifact_id"), F.lit("html").alias("kind"), F.encode("html", "UTF-8").alias("content"))
-    c = Corpus(table_artifacts(pages, "artifact_id"), extract_rows(pages))
-    return _ids(c).where("canonical like 'shape[]=%'").select("canonical", "k", "occurrences", "bucket")
-
-
 def _config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "# c\n[db]\nport = 5432\nhost: 'a'\nexport X=1\nplain\n\n[[t]]\nk=\n=v"), (2, "a=b=c\n;x\n[s]\n k : \"v\" \r\n")], "id long, text string")
+    text = r"concat('# c\n[', n_name, ']\nport = ', n_nationkey, '\nhost: \'h', n_regionkey, '\'\nexport X=1\nplain\n\n[[t]]\nk=\n=v\n;x\n k2 : \"v=1\" \r\n')"
+    rows = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.expr(text).alias("text"))
     return config_facts(rows, "id", "text").select("artifact_id", "kind", "canonical", "line")
 
 
@@ -239,10 +252,15 @@ QUERIES = {
     "drift_ranking": lambda s, d: consensus.drift_ranking(users(s, d).stats, 30).select("artifact_id", F.round("drift", 9).alias("drift")),
     "unique_evidence": _unique,
     "occurrence_index": _occurrences,
+    "occurrences": lambda s, d: consensus.occurrences(document_lines(s, d).facts).select("kind", "canonical", "artifact_id", "line"),
     "conflicts": lambda s, d: conflicts.conflicts(parts(s, d).members),
     "conflict_values": lambda s, d: conflicts.value_groups(parts(s, d).members),
-    "conflict_holders": lambda s, d: conflicts.value_holders(parts(s, d).members).select("key", "value", "rank", F.array_join(F.col("artifacts").cast("array<string>"), ",").alias("artifacts")),
+    "conflict_holders": lambda s, d: conflicts.value_holders(parts(s, d).members),
+    "conflict_first_holders": lambda s, d: conflicts.first_holders(parts(s, d).members, 8).select("key", "value", "rank", "n", F.array_join(F.col("artifacts").cast("array<string>"), ",").alias("artifacts")),
     "conflicts_nations": lambda s, d: conflicts.by_clarity(conflicts.conflicts(nations(s, d).members)),
+    "conflicts_reading_order": lambda s, d: global_rank(conflicts.conflicts(_lines_as_pairs(s, d)), [F.col("deviants"), F.desc("holders"), F.col("key")], "position"),
+    "conflicts_key_order": lambda s, d: global_rank(conflicts.conflicts(_lines_as_pairs(s, d)), [F.col("key")], "position"),
+    "drift_positions": lambda s, d: global_rank(users(s, d).stats.select("artifact_id", F.round("drift", 9).alias("drift")), [F.desc("drift"), F.col("artifact_id")], "position"),
     "keys_only_stats": lambda s, d: _ids(parts(s, d).keys_only()),
     "minority_pairs": lambda s, d: factions.minority_pairs(_rare(document_lines(s, d))),
     "similarity_edges": lambda s, d: factions.similarity_edges(_rare(document_lines(s, d))).select("a", "b", F.round("similarity", 9).alias("similarity")),
@@ -258,11 +276,12 @@ QUERIES = {
     "gate_eval": _gate,
     "missing_core": _missing,
     "ask_focus": _focus,
+    "ask_focus_path": lambda s, d: _focus(s, d, "Why does EXAMPLE.NET/de/8 differ from the other yaml files?"),
+    "ask_focus_none": lambda s, d: _focus(s, d, "Which yaml file is different? is it md, or json..."),
     "json_props": _json_props,
     "page_titles": _page_titles,
-    "page_shapes": _page_shapes,
     "generated_corpus": _generated,
-}
+} | format_queries.QUERIES
 
 _IDS = "SELECT kind, c AS canonical, k, CAST(occurrences AS BIGINT) AS occurrences, bucket, is_core, is_unique FROM ids"
 _STATS = "SELECT artifact_id, total, in_core, n_unique, round(drift, 9) AS drift, is_outlier FROM so"
@@ -272,7 +291,8 @@ ORACLE_SQL = {
 l AS (SELECT conv_id, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS line, regexp_replace(unnest(string_split(t, chr(10))), '^[ \t\r]+|[ \t\r]+$', '', 'g') AS x FROM t),
 h AS (SELECT *, regexp_extract(x, '(?s)^(#{1,6})([^#].*)$', 1) AS hashes, regexp_replace(regexp_extract(x, '(?s)^(#{1,6})([^#].*)$', 2), '^[ \t\r]+|[ \t\r]+$', '', 'g') AS rest FROM l WHERE x <> '')
 SELECT conv_id AS artifact_id, CASE WHEN rest <> '' THEN 'heading' ELSE 'line' END AS kind, CASE WHEN rest <> '' THEN 'h' || length(hashes) || ':' || rest ELSE x END AS canonical, CAST(line AS INT) AS line FROM h""",
-    "config_primitives": """SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'kv', 'db.port=5432', 3), (1, 'kv', 'db.host=a', 4), (1, 'kv', 'db.X=1', 5), (1, 'line', 'plain', 6), (1, 'kv', '[t].k=', 9), (2, 'kv', 'a=b=c', 1), (2, 'kv', 's.k=v', 4)) v(artifact_id, kind, canonical, line)""",
+    "config_primitives": """SELECT n_nationkey AS artifact_id, unnest(['kv', 'kv', 'kv', 'line', 'kv', 'kv']) AS kind,
+  unnest([n_name || '.port=' || n_nationkey, n_name || '.host=h' || n_regionkey, n_name || '.X=1', 'plain', '[t].k=', '[t].k2=v=1']) AS canonical, CAST(unnest([3, 4, 5, 6, 9, 12]) AS INT) AS line FROM nation""",
     "identity_stats": _sql("documents", _IDS),
     "identity_stats_nations": _sql("nations", _IDS),
     "bucket_counts": _sql("users", "SELECT b.bucket, count(ids.k) AS n FROM (VALUES ('universal'), ('majority'), ('minority'), ('unique')) b(bucket) LEFT JOIN ids ON ids.bucket = b.bucket GROUP BY b.bucket"),
@@ -285,11 +305,18 @@ SELECT conv_id AS artifact_id, CASE WHEN rest <> '' THEN 'heading' ELSE 'line' E
     "drift_ranking": _sql("users", "SELECT artifact_id, round(drift, 9) AS drift FROM st ORDER BY st.drift DESC, artifact_id LIMIT 30"),
     "unique_evidence": _sql("documents", """, tp AS (SELECT * FROM so WHERE n_unique > 0 AND (is_outlier OR NOT (SELECT max(is_outlier) FROM so)) ORDER BY drift DESC, artifact_id LIMIT 3)
 SELECT artifact_id, rank, kind, canonical FROM (SELECT tp.artifact_id, row_number() OVER (PARTITION BY tp.artifact_id ORDER BY c, kind) AS rank, kind, c AS canonical FROM ids JOIN tp ON tp.artifact_id = ids.holder WHERE is_unique) WHERE rank <= 5"""),
-    "occurrence_index": _sql("documents", "SELECT kind, c AS canonical, string_agg(a || ':' || ln, ',' ORDER BY a, ln) AS occurrences FROM f GROUP BY kind, c"),
+    "occurrence_index": _sql("documents", """SELECT kind, c AS canonical, count(*) AS total, string_agg(a || ':' || ln, ',' ORDER BY a, ln) FILTER (nth <= 16) AS occurrences
+FROM (SELECT *, row_number() OVER (PARTITION BY kind, c ORDER BY a, ln) AS nth FROM f) GROUP BY kind, c"""),
+    "occurrences": _sql("documents", "SELECT kind, c AS canonical, a AS artifact_id, CAST(ln AS INT) AS line FROM f"),
     "conflicts": _sql("parts", "SELECT * FROM cf", _CONFLICTS),
     "conflict_values": _sql("parts", "SELECT * FROM vg", _CONFLICTS),
-    "conflict_holders": _sql("parts", "SELECT key, value, rank, string_agg(CAST(a AS VARCHAR), ',' ORDER BY a) AS artifacts FROM kv JOIN vg USING (key, value) GROUP BY ALL", _CONFLICTS),
+    "conflict_holders": _sql("parts", "SELECT key, value, rank, n, a AS artifact_id FROM kv JOIN vg USING (key, value)", _CONFLICTS),
+    "conflict_first_holders": _sql("parts", """SELECT key, value, rank, n, string_agg(CAST(a AS VARCHAR), ',' ORDER BY a) AS artifacts FROM (
+  SELECT *, row_number() OVER (PARTITION BY key, value ORDER BY a) AS nth FROM kv JOIN vg USING (key, value)) WHERE nth <= 8 GROUP BY ALL""", _CONFLICTS),
     "conflicts_nations": _sql("nations", "SELECT * FROM cf", _CONFLICTS),
+    "conflicts_reading_order": _sql("pairs", "SELECT *, row_number() OVER (ORDER BY deviants, holders DESC, key) - 1 AS position FROM cf", _CONFLICTS),
+    "conflicts_key_order": _sql("pairs", "SELECT *, row_number() OVER (ORDER BY key) - 1 AS position FROM cf", _CONFLICTS),
+    "drift_positions": _sql("users", "SELECT artifact_id, round(drift, 9) AS drift, row_number() OVER (ORDER BY round(drift, 9) DESC, artifact_id) - 1 AS position FROM st"),
     "keys_only_stats": _sql("parts", _IDS).replace("f AS (SELECT p_partkey", "f0 AS (SELECT p_partkey", 1).replace(",\nnn AS", ",\nf AS (SELECT a, kind, split_part(c, '=', 1) AS c FROM f0),\nnn AS", 1),
     "minority_pairs": _sql("documents", "SELECT a, b, shared FROM pr", _PAIRS),
     "similarity_edges": _sql("documents", "SELECT a, b, round(sim, 9) AS similarity FROM ed", _EDGES),
@@ -317,11 +344,13 @@ SELECT position, metric, threshold, round(observed, 9) AS observed, observed > t
   UNION ALL SELECT 2, 'drift', 0.5, drift FROM o1 UNION ALL SELECT 3, 'credential-forms', 3, n FROM o3)"""),
     "missing_core": _sql("users", ", top AS (SELECT artifact_id FROM st ORDER BY drift DESC, artifact_id LIMIT 1)\nSELECT kind, c AS canonical, k FROM ids WHERE is_core AND NOT EXISTS (SELECT 1 FROM m, top WHERE m.a = top.artifact_id AND m.kind = ids.kind AND m.c = ids.c)"),
     "ask_focus": "SELECT page_id AS artifact_id, url AS path FROM pages WHERE contains(lower(url), 'example.net') ORDER BY page_id LIMIT 4",
+    "ask_focus_path": "SELECT page_id AS artifact_id, url AS path FROM pages WHERE contains(lower(url), 'example.net/de/8') ORDER BY page_id LIMIT 4",
+    "ask_focus_none": "SELECT page_id AS artifact_id, url AS path FROM pages WHERE false",
     "json_props": "SELECT event_id AS artifact_id, 'kv' AS kind, 'k=' || json_extract_string(props, '$.k') AS canonical FROM events",
     "page_titles": r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title', 1), '[ \t\n\r\f]+', ' ', 'g')) AS t FROM pages)
 SELECT page_id AS artifact_id, 'title[]=' || t AS canonical FROM t WHERE t <> ''""",
     "generated_corpus": "SELECT CAST(2000 AS BIGINT) AS artifacts, CAST(42 * 1960 + 33 * 40 AS BIGINT) AS observations, CAST(40 + 2 * 1960 + 30 * 40 AS BIGINT) AS identities, CAST(40 AS BIGINT) AS core, CAST(40 AS BIGINT) AS outliers, CAST(40 AS BIGINT) AS planted",
-}
+} | format_queries.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

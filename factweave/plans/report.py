@@ -1,10 +1,12 @@
-"""Reports: text with capped sections, JSON with everything, kit and YARA renderings. All collects are bounded
-by the caps; complete sections are written as datasets by ``write_sections``."""
+"""Reports: text with capped sections, JSON with everything, kit and YARA renderings. Text reports collect what
+their caps bound; reports of everything pass the driver row by row, a partition at a time, and ``write_sections`` writes
+the sections of a large corpus as datasets, nothing through the driver."""
 
 from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from factweave.plans.corpus import Corpus
 SECTIONS = ("all", "consensus", "drift", "conflicts", "factions")
 KEYS, VALUES, FILES, VALUE_BYTES, MEMBERS, SIGNATURE, FIELDS, LIST = 10, 6, 8, 48, 8, 5, 12, 10
 OCCURRENCES = 16
+#: Bytes of a chunk that a rule shows.
+CHUNK_SHOWN = 48
 
 
 def truncate(text: str, budget: int) -> str:
@@ -23,10 +27,6 @@ def truncate(text: str, budget: int) -> str:
     return text.encode()[:budget].decode("utf-8", "ignore")
 
 
-def _paths(c: Corpus, ids: DataFrame) -> list[str]:
-    return [r["path"] for r in ids.join(c.artifacts, "artifact_id").orderBy("artifact_id").limit(FILES).select("path").collect()]
-
-
 def text_report(c: Corpus, section: str = "all", gate_rows: list | None = None, skipped: int = 0) -> str:
     show = lambda name: section in ("all", name)
     s = c.summary.first()
@@ -39,16 +39,17 @@ def text_report(c: Corpus, section: str = "all", gate_rows: list | None = None,
         out += [f"  {r['drift']:.4f}  {r['path']}{'  OUTLIER' if r['is_outlier'] else ''}" for r in c.stats.orderBy(F.desc("drift"), "artifact_id").limit(30).collect()]
     if show("conflicts"):
         rows = conflict_ops.by_clarity(c.conflicts)
-        found = (rows if section == "conflicts" else rows.limit(KEYS)).collect()
-        holders = conflict_ops.value_holders(c.members).where(F.col("key").isin([r["key"] for r in found]) & (F.col("rank") <= VALUES))
-        by_key: dict[str, list] = {}
-        for h in holders.select("key", "rank", "value", F.size("artifacts").alias("n"), F.slice("artifacts", 1, FILES).alias("some")).orderBy("key", "rank").collect():
-            by_key.setdefault(h["key"], []).append(h)
+        rows = rows if section == "conflicts" else rows.limit(KEYS)
+        first = conflict_ops.first_holders(c.members, FILES).where(F.col("rank") <= VALUES)
+        paths = c.artifacts.select("artifact_id", "path")
+        named = first.select("key", "value", "rank", "n", F.posexplode("artifacts").alias("at", "artifact_id")).join(paths, "artifact_id")
+        values = named.groupBy("key", "value", "rank", "n").agg(F.array_sort(F.collect_list(F.struct("at", "path"))).alias("paths"))
+        by_key = values.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "n", "value", "paths"))).alias("shown"))
         out += ["", "Conflicts"]
-        for r in found:
+        for r in conflict_ops.by_clarity(rows.join(by_key, "key")).toLocalIterator():
             out.append(f"  {r['key']}  {r['n_values']} values, {r['holders']} holders, {r['deviants']} deviants")
-            for h in by_key.get(r["key"], []):
-                names = "" if h["rank"] == 1 else "  " + ", ".join(_paths(c, c.artifacts.where(F.col("artifact_id").isin(h["some"])).select("artifact_id")))
+            for h in r["shown"]:
+                names = "" if h["rank"] == 1 else "  " + ", ".join(p["path"] for p in h["paths"])
                 out.append(f"    {h['n']:>6}  {truncate(h['value'], VALUE_BYTES)}{names}")
     if show("factions"):
         labels, table, signature = c.factions
@@ -71,15 +72,14 @@ def text_report(c: Corpus, section: str = "all", gate_rows: list | None = None,
 
 
 def _records(df: DataFrame) -> list[dict]:
-    return [json.loads(x) for x in df.toJSON().collect()]
+    return [json.loads(x) for x in df.toJSON().toLocalIterator()]
 
 
 def evidence_table(c: Corpus, full: bool = False) -> DataFrame:
     """``identity, kind, canonical, k, bucket, occurrences`` in identity order; occurrences capped unless ``full``."""
-    index = consensus.occurrence_index(c.facts)
-    shown = F.col("occurrences") if full else F.slice("occurrences", 1, OCCURRENCES)
+    index = consensus.occurrence_index(c.facts, (1 << 31) - 1 if full else OCCURRENCES)
     ids = c.identities.select("kind", "canonical", "k", "bucket").withColumn("identity", identity("kind", "canonical"))
-    return ids.join(index.select("kind", "canonical", shown.alias("occurrences")), ["kind", "canonical"]).orderBy("identity").withColumn("identity", F.lower(F.hex("identity")))
+    return ids.join(index.select("kind", "canonical", "occurrences"), ["kind", "canonical"]).orderBy("identity").withColumn("identity", F.lower(F.hex("identity")))
 
 
 def json_report(c: Corpus, gate_rows: list | None = None, full: bool = False, skipped: int = 0) -> str:
@@ -107,35 +107,30 @@ def json_report(c: Corpus, gate_rows: list | None = None, full: bool = False, sk
 def write_sections(c: Corpus, folder: str) -> None:
     """The report of a large corpus: one Parquet dataset per section, nothing through the driver."""
     labels, table, signature = c.factions
-    sections = {"summary": c.summary, "identities": c.identities, "artifacts": c.stats, "conflicts": c.conflicts, "conflict_values": conflict_ops.value_holders(c.members), "faction_members": labels, "factions": table, "faction_signature": signature, "credential_forms": c.credential_forms, "evidence": consensus.occurrence_index(c.facts)}
+    sections = {"summary": c.summary, "identities": c.identities, "artifacts": c.stats, "conflicts": c.conflicts, "conflict_values": conflict_ops.value_groups(c.members), "conflict_holders": conflict_ops.value_holders(c.members), "faction_members": labels, "factions": table, "faction_signature": signature, "credential_forms": c.credential_forms, "evidence": consensus.occurrences(c.facts)}
     for name, df in sections.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def _basename(path: str) -> str:
-    return path.rstrip("/").rpartition("/")[2] or path
-
-
-def _kit_rows(c: Corpus) -> list[tuple]:
-    labels = c.factions[0]
-    out = []
-    for k in c.kits.orderBy("rank").collect():
-        names = [_basename(r["path"]) for r in labels.where(F.col("root") == k["root"]).join(c.artifacts, "artifact_id").orderBy("artifact_id").select("path").collect()]
-        out.append((k, names))
-    return out
+def kit_members(c: Corpus) -> DataFrame:
+    """The kits with ``members``, the base names of their pages in page order: one join for all kits."""
+    base = F.regexp_extract(F.regexp_replace("path", "/+$", ""), r"([^/]*)$", 1)
+    pages = c.factions[0].join(c.artifacts.select("artifact_id", F.when(base == "", F.col("path")).otherwise(base).alias("name")), "artifact_id")
+    names = pages.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("artifact_id", "name"))), lambda x: x["name"]).alias("members"))
+    return c.kits.join(names, "root").orderBy("rank")
 
 
 def kit_json(c: Corpus) -> str:
     kits = []
-    for k, names in _kit_rows(c):
-        kits.append({"members": names, "functional": k["functional"], "harvests": k["fields"], "field_set": k["field_sets"], "posts_to": k["actions"], "loads": k["resources"], "brand": k["brand"], "skeleton_shingles": k["shape_count"]})
+    for k in kit_members(c).toLocalIterator():
+        kits.append({"members": k["members"], "functional": k["functional"], "harvests": k["fields"], "field_set": k["field_sets"], "posts_to": k["actions"], "loads": k["resources"], "brand": k["brand"], "skeleton_shingles": k["shape_count"]})
     return json.dumps({"schema": "factweave.kit.v1", "kits": kits}, ensure_ascii=False)
 
 
 def kit_text(c: Corpus) -> str:
     out = []
-    for k, names in _kit_rows(c):
-        out.append(f"kit #{k['rank']}  {k['size']} pages  {'functional' if k['functional'] else 'visual only'}  {', '.join(names[:MEMBERS])}")
+    for k in kit_members(c).toLocalIterator():
+        out.append(f"kit #{k['rank']}  {k['size']} pages  {'functional' if k['functional'] else 'visual only'}  {', '.join(k['members'][:MEMBERS])}")
         for label, col in (("harvests", "fields"), ("field set", "field_sets"), ("posts to", "actions"), ("loads", "resources"), ("brand", "brand"), ("paths", "paths")):
             if k[col]:
                 out.append(f"  {label}: {', '.join(k[col][:LIST])}")
@@ -146,42 +141,41 @@ def kit_text(c: Corpus) -> str:
 
 
 def chunk_bytes(c: Corpus, contents: DataFrame) -> dict[str, bytes]:
-    """Bytes of the chunks that are atoms, from ``artifact_id, content`` of family members only. Nothing is read
-    when no atom is a chunk."""
+    """The first bytes of the chunks that are atoms (at most ``ATOM_CAP`` a family), from ``artifact_id, content``: the
+    tasks cut the family members' files again and send one short row per chunk. Nothing is read without such atoms."""
     from factweave.functions.formats.binary import chunks
 
-    needed = {r["text"] for r in c.atoms.where("atom = 'chunk'").collect()}
-    found: dict[str, bytes] = {}
-    if needed:
-        members = contents.join(c.factions[0].select("artifact_id"), "artifact_id", "left_semi")
-        for r in members.select("content").toLocalIterator():
-            found |= {h: b for h, b, _ in chunks(bytes(r["content"])) if h in needed}
-            if len(found) == len(needed):
-                break
-    return found
+    atoms = c.atoms.where("atom = 'chunk'").select("text").distinct()
+    if atoms.isEmpty():
+        return {}
+
+    def cut(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                found = chunks(content.as_py() or b"")
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in found], pa.string()), pa.array([b[:CHUNK_SHOWN] for _, b, _ in found], pa.binary())], names=["text", "head"])
+
+    members = contents.join(c.factions[0].select("artifact_id"), "artifact_id", "left_semi").select("content")
+    rows = members.mapInArrow(cut, "text string, head binary").join(atoms, "text", "left_semi").groupBy("text").agg(F.min("head").alias("head"))
+    return {r["text"]: bytes(r["head"]) for r in rows.toLocalIterator()}
 
 
 def yara(c: Corpus, chunk_of: dict[str, bytes] | None = None) -> str:
     """YARA rules, one per faction with exclusive binary features."""
     prefix = {"import": "imp", "needs": "lib", "export": "exp", "string": "str", "section": "sec", "chunk": "c"}
-    by_family: dict[int, list] = {}
-    for r in c.atoms.orderBy("faction_id", "rank").collect():
-        by_family.setdefault(r["faction_id"], []).append(r)
-    if not by_family:
-        return "// no family with exclusive features"
-    size = {r["faction_id"]: r["size"] for r in c.factions[1].where(F.col("faction_id").isin(list(by_family))).collect()}
+    families = c.atoms.groupBy("faction_id").agg(F.array_sort(F.collect_list(F.struct("rank", "atom", "text"))).alias("atoms"))
     out = []
-    for i, (family, atoms) in enumerate(by_family.items()):
-        lines = []
+    for i, r in enumerate(families.join(c.factions[1].select("faction_id", "size"), "faction_id").orderBy("faction_id").toLocalIterator()):
+        atoms, lines = r["atoms"], []
         for n, a in enumerate(atoms):
             name = f"${prefix[a['atom']]}{n}"
             if a["atom"] == "chunk":
                 if raw := (chunk_of or {}).get(a["text"]):
-                    lines.append(f"        {name} = {{ {raw[:48].hex(' ')} }}")
+                    lines.append(f"        {name} = {{ {raw[:CHUNK_SHOWN].hex(' ')} }}")
             else:
                 escaped = a["text"].replace("\\", "\\\\").replace('"', '\\"')
                 lines.append(f'        {name} = "{escaped}" ascii wide')
         condition = ("all of them" if len(lines) <= 6 else "6 of them") if lines else "false"
         body = ["    strings:", *lines] if lines else []
-        out.append("\n".join([f"rule factweave_family_{i}", "{", "    meta:", f"        members = {size[family]}", *body, "    condition:", f"        {condition}", "}"]))
-    return "\n\n".join(out)
+        out.append("\n".join([f"rule factweave_family_{i}", "{", "    meta:", f"        members = {r['size']}", *body, "    condition:", f"        {condition}", "}"]))
+    return "\n\n".join(out) if out else "// no family with exclusive features"

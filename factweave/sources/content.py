@@ -25,16 +25,43 @@ def routed_kind(kind: str, content: bytes | None) -> str | None:
     return "binary" if kind == "text" else None
 
 
+#: Facts leave a task in batches of about so many rows or bytes, or by the artifact where one has more.
+BATCH_ROWS, BATCH_BYTES = 1 << 16, 8 << 20
+_NAMES = ["artifact_id", "ord", "kind", "canonical", "line"]
+_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+
+
+class FactBatches:
+    """Facts gathered to batches, so memory follows the largest artifact and a batch."""
+
+    def __init__(self):
+        self.columns: list[list] = [[] for _ in _NAMES]
+        self.bytes = 0
+
+    def add(self, artifact_id: int, found: list[formats.Fact], first: int = 0) -> None:
+        if found:
+            kinds, canonicals, lines = zip(*found)
+            for column, more in zip(self.columns, ([artifact_id] * len(found), range(first, first + len(found)), kinds, canonicals, lines)):
+                column.extend(more)
+            self.bytes += sum(map(len, canonicals))
+
+    def full(self) -> bool:
+        return len(self.columns[0]) >= BATCH_ROWS or self.bytes >= BATCH_BYTES
+
+    def take(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.columns, _TYPES)], names=_NAMES)
+        self.__init__()
+        return out
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["artifact_id", "ord", "kind", "canonical", "line"]
+    held = FactBatches()
     for batch in batches:
-        for i in range(batch.num_rows):  # one artifact's facts at a time, so memory follows the largest file
-            found = formats.extract(batch.column(1)[i].as_py(), batch.column(2)[i].as_py() or b"")
-            n = len(found)
-            if n:
-                kinds, canonicals, lines = zip(*found)
-                ids = pa.array([batch.column(0)[i].as_py()] * n, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(range(n), pa.int32()), pa.array(kinds), pa.array(canonicals), pa.array(lines, pa.int32())], names=names)
+        for id_, kind, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            held.add(id_, formats.extract(kind, content.as_py() or b""))
+            if held.full():
+                yield held.take()
+    yield held.take()
 
 
 def extract_rows(rows: DataFrame) -> DataFrame:

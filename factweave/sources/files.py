@@ -14,7 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.sources.content import MAX_BYTES, extract_rows, routed, routed_kind
+from factweave.functions.formats import extract
+from factweave.functions.graph import materialize, small
+from factweave.functions.order import global_rank
+from factweave.sources.content import MAX_BYTES, FactBatches, extract_rows, routed, routed_kind
+from factweave.sources.rows import FACTS
 
 #: Directories and names never entered, and kinds by extension.
 SKIPPED = frozenset(".git .svn .hg zig-out .zig-cache zig-cache node_modules target .venv __pycache__".split())
@@ -64,45 +68,82 @@ def discover(paths: list[str]) -> list[tuple[str, int]]:
     return sorted(out, key=lambda x: os.fsencode(x[0]))
 
 
+def _content(path: str, size: int) -> bytes | None:
+    if size > MAX_BYTES:
+        return None
+    try:
+        with open(path, "rb") as f:
+            return f.read(MAX_BYTES + 1)
+    except OSError:
+        return None
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ord_, path, kind, size in zip(*(c.to_pylist() for c in batch.columns)):
-            content = None
-            if size <= MAX_BYTES:
-                try:
-                    with open(path, "rb") as f:
-                        content = f.read(MAX_BYTES + 1)
-                except OSError:
-                    content = None
+            content = _content(path, size)
             kind = routed_kind(kind, content)
             yield pa.RecordBatch.from_arrays([pa.array([ord_]), pa.array([path]), pa.array([kind], pa.string()), pa.array([size]), pa.array([content if kind else None], pa.binary())], names=["ord", "path", "kind", "size", "content"])
 
 
+def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Facts by listing number; before them one row ``ord = -1`` per file with the kind it was read as (null if
+    skipped) and its path."""
+    held = FactBatches()
+    for batch in batches:
+        for ord_, path, kind, size in zip(*(c.to_pylist() for c in batch.columns)):
+            content = _content(path, size)
+            kind = routed_kind(kind, content)
+            held.add(ord_, [(kind, path, 0)], -1)
+            if kind:
+                held.add(ord_, extract(kind, content))
+            if held.full():
+                yield held.take()
+    yield held.take()
+
+
+def _listed(spark: SparkSession, paths: list[str], slices: int | None) -> DataFrame:
+    rows = [(i, p, kind_of(p), s) for i, (p, s) in enumerate(discover(paths))]
+    return spark.createDataFrame(rows, "ord long, path string, kind string, size long").repartition(slices or max(1, min(len(rows) // 64 + 1, 4096)))
+
+
 def read_paths(spark: SparkSession, paths: list[str], slices: int | None = None) -> DataFrame:
     """``ord, path, kind, size, content`` of every listed file; skipped files have a null kind."""
-    rows = [(i, p, kind_of(p), s) for i, (p, s) in enumerate(discover(paths))]
-    listed = spark.createDataFrame(rows, "ord long, path string, kind string, size long").repartition(slices or max(1, min(len(rows) // 64 + 1, 4096)))
-    return listed.mapInArrow(_read, "ord long, path string, kind string, size long, content binary")
+    return _listed(spark, paths, slices).mapInArrow(_read, "ord long, path string, kind string, size long, content binary")
 
 
 def from_paths(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, int]:
     """``(artifacts, facts, skipped)``. Ids are dense over kept files in path order. A binary's stored kind is
-    ``binary``; a sniffed text keeps the kind ``text``."""
-    read = read_paths(spark, paths)
-    seen = read.select("ord", "path", "kind", "size").orderBy("ord").collect()  # the listing again, no bytes
-    kept = [r for r in seen if r["kind"] is not None]
-    artifacts = spark.createDataFrame([(i, r["path"], r["kind"], r["size"]) for i, r in enumerate(kept)], "artifact_id long, path string, kind string, size long")
-    ids = spark.createDataFrame([(r["ord"], i) for i, r in enumerate(kept)], "ord long, artifact_id long")
-    facts = extract_rows(read.where("kind is not null").join(F.broadcast(ids) if len(kept) < 1_000_000 else ids, "ord").select("artifact_id", "kind", "content"))
-    return artifacts, facts, len(seen) - len(kept)
-
-
-def spread(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(artifacts, facts)`` of a tree in any store Spark reads; dot and underscore names stay hidden there."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= MAX_BYTES)
+    ``binary``; a sniffed text keeps the kind ``text``. Only the listing passes the driver: each file is read once, by a
+    task, and its facts are written out before ids are given."""
+    listed = _listed(spark, paths, None)
+    read = materialize(listed.mapInArrow(_extracted, FACTS))
+    seen = read.where("ord = -1")
+    kept = global_rank(seen.where("kind is not null").select(F.col("artifact_id").alias("_ord"), "kind"), [F.col("_ord")], "id")
+    kept = materialize(kept)
+    artifacts = kept.join(listed.select(F.col("ord").alias("_ord"), "path", "size"), "_ord").select(F.col("id").cast("long").alias("artifact_id"), "path", "kind", "size")
+    ids = small(kept.select(F.col("_ord").alias("artifact_id"), F.col("id").cast("long").alias("_id")))
+    facts = read.where("ord >= 0").join(ids, "artifact_id").select(F.col("_id").alias("artifact_id"), "ord", "kind", "canonical", "line")
+    return artifacts, facts, seen.where("kind is null").count()
+
+
+def spread(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(artifacts, facts, skipped)`` of a tree in any store Spark reads; ``skipped`` has one row ``n``. The folders and
+    names that a walk leaves out are left out here; dot and underscore names stay hidden, as Spark's listing hides them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    root = files.select("path").limit(0).sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    root = str(root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath())
+    below = F.split(F.expr("substring(path, instr(path, '{0}') + {1})".format(root.replace("\\", "\\\\").replace("'", "\\'"), len(root) + 1)), "/")
+    hidden = F.exists(below, lambda p: p.isin(*SKIPPED) | (p.startswith(".") & ~p.isin(".env", ".", "..", "")))
+    files = files.where(~hidden)
+    base = F.regexp_extract("path", r"([^/]*)$", 1)
     ext = F.lower(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1))
     kind = F.lit("text")
     for exts, k in KINDS.items():
         kind = F.when(ext.isin(*exts.split()), k).otherwise(kind)
-    rows = routed(files.select(F.xxhash64("path").alias("artifact_id"), "path", kind.alias("kind"), F.col("length").alias("size"), "content")).where("kind is not null")
-    return rows.select("artifact_id", "path", "kind", "size"), extract_rows(rows)
+    kind = F.when(base == ".env", "config").otherwise(kind)
+    fit = files.where(F.col("length") <= MAX_BYTES)
+    rows = routed(fit.select(F.xxhash64("path").alias("artifact_id"), "path", kind.alias("kind"), F.col("length").alias("size"), "content"))
+    skipped = files.agg(F.count_if(F.col("length") > MAX_BYTES).alias("n")).union(rows.agg(F.count_if(F.col("kind").isNull()))).agg(F.sum("n").alias("n"))
+    kept = rows.where("kind is not null")
+    return kept.select("artifact_id", "path", "kind", "size"), extract_rows(kept), skipped
