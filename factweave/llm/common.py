@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.graph import components, materialize, release, shared_dir, small
+from factweave.functions.order import global_rank
 
-__all__ = ["components", "materialize", "release", "shared_dir", "small", "lower_ascii", "table", "unit", "n_buckets", "running"]
+__all__ = ["components", "materialize", "release", "shared_dir", "small", "global_rank", "lower_ascii", "table", "unit", "n_buckets", "running"]
 
 #: Java and RE2 class of word characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -8,11 +8,13 @@ of a perfect copy. Common seeds are cheap: a stretch whose words cannot reach th
 (``ceiling``, an upper bound) is not aligned.
 
 The scan has no shuffle: a hot passage is only more alignments on the tasks that hold its documents.
-Items are broadcast in blocks whose bytes are measured first and bounded by ``BLOCK_BYTES``; a larger
+Items are sent out in blocks whose bytes are measured first and bounded by ``BLOCK_BYTES``; a larger
 benchmark means more scans, never a larger broadcast.
 
 Defined cases: null or empty texts and items match nothing; items of one or two words use their whole
-sequence as seed and match verbatim; repeated rows repeat their matches; extra columns are ignored.
+sequence as seed and match verbatim; a null doc_id or item_id is returned as null; repeated rows repeat their
+matches, equal items count once; of equally good alignments the one that ends first in the item, then in the text, is
+returned; an empty table of texts or items gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,27 +39,30 @@ MATCHES = "doc_id long, item_id long, score double, doc_start long, doc_end long
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
     """``(score, start, end, matched)`` of the best local alignment of ``b`` inside ``a``; start and end
-    are positions in ``a``. Each row is vectorised; the gap along the row is a running maximum."""
-    n, m = len(b), len(a)
-    grid = np.zeros((n + 1, m + 1), dtype=np.int32)
-    ramp = np.arange(m + 1, dtype=np.int32) * GAP
-    for i in range(1, n + 1):
-        row = np.zeros(m + 1, dtype=np.int32)
-        row[1:] = np.maximum(grid[i - 1, :-1] + np.where(a == b[i - 1], MATCH, MISMATCH), grid[i - 1, 1:] - GAP)
-        np.maximum(row, 0, out=row)
-        grid[i] = np.maximum.accumulate(row + ramp) - ramp
-    i, j = np.unravel_index(int(grid.argmax()), grid.shape)
-    score, end, matched = int(grid[i, j]), int(j), 0
-    while i and j and grid[i, j] > 0:
-        same = a[j - 1] == b[i - 1]
-        if grid[i, j] == grid[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matched += bool(same)
-            i, j = i - 1, j - 1
-        elif grid[i, j] == grid[i - 1, j] - GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, int(j), end, matched
+    are positions in ``a``. Each row is vectorised; the gap along the row is a running maximum. Only two rows are
+    held, each cell with the start and the matches of its alignment, so memory is linear in the texts."""
+    m = len(a)
+    at = np.arange(m + 1)
+    score, start, matched = np.zeros(m + 1, np.int64), at.copy(), np.zeros(m + 1, np.int64)
+    best = (0, 0, 0, 0)
+    for word in b:
+        same = a == word
+        across, down = score[:-1] + np.where(same, MATCH, MISMATCH), score[1:] - GAP
+        row, begin, hits = np.zeros(m + 1, np.int64), at.copy(), np.zeros(m + 1, np.int64)
+        use = across >= down
+        row[1:] = np.where(use, across, down)
+        begin[1:] = np.where(use, start[:-1], start[1:])
+        hits[1:] = np.where(use, matched[:-1] + same, matched[1:])
+        none = row <= 0
+        row[none], begin[none], hits[none] = 0, at[none], 0
+        lifted = row + at * GAP
+        high = np.maximum.accumulate(lifted)
+        came = np.maximum.accumulate(np.where(lifted == high, at, 0))  # the cell that a gap along the row comes from
+        score, start, matched = high - at * GAP, begin[came], hits[came]
+        end = int(score.argmax())
+        if score[end] > best[0]:
+            best = (int(score[end]), int(start[end]), end, int(matched[end]))
+    return best
 
 
 class Seeds:
@@ -105,73 +110,106 @@ def _regions(where: np.ndarray, reach: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1])) for p in np.split(where, cuts)]
 
 
-def _scan(item_ids: list[int], items: Words, seeds: list[Seeds]):
-    words = [items.hashes[items.bounds[i] : items.bounds[i + 1]] for i in range(items.rows)]
-    sorted_words = [np.unique(x) for x in words]
-
+class Block:
+    """One block of test items with its seeds."""
+
+    def __init__(self, item_ids: list[int | None], items: Words):
+        self.ids, self.seeds = item_ids, choose_seeds(items)
+        self.words = [items.hashes[items.bounds[i] : items.bounds[i + 1]] for i in range(items.rows)]
+        self.sorted = [np.unique(x) for x in self.words]
+
+    def matches(self, w: Words) -> list[tuple[int, int, float, int, int, int]]:
+        """``(row, item index, score, start, end, matched)`` of the chunk's contaminated rows."""
+        rows, items_, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s in self.seeds:
+            row, pos, h = grams_by_row(w, s.n)
+            i, k = s.hits(h)
+            rows.append(row[i])
+            items_.append(s.items[k])
+            at.append(pos[i])
+        r, it, p = np.concatenate(rows), np.concatenate(items_), np.concatenate(at)
+        order = np.lexsort((p, it, r))
+        r, it, p = r[order], it[order], p[order]
+        cuts = np.r_[0, np.flatnonzero((r[1:] != r[:-1]) | (it[1:] != it[:-1])) + 1, len(r)] if len(r) else []
+        out = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            row, item = int(r[lo]), int(it[lo])
+            text = w.hashes[w.bounds[row] : w.bounds[row + 1]]
+            length = len(self.words[item])
+            best = (0, 0, 0, 0)
+            for a, b in _regions(p[lo:hi], 2 * length):
+                # a long stretch is aligned in overlapping pieces, so memory stays bounded
+                for x in range(max(0, a - 2 * length), b + 1, 20 * length + 1):
+                    y = min(len(text), x + 24 * length + 1, b + 2 * length + SEED_WORDS)
+                    if ceiling(text[x:y], self.sorted[item]) < max(THRESHOLD * MATCH * length, best[0] + 1):
+                        continue
+                    score, s, e, m = smith_waterman(text[x:y], self.words[item])
+                    if score > best[0]:
+                        best = (score, x + s, x + e, m)
+            if best[0] >= THRESHOLD * MATCH * length:
+                out.append((row, item, best[0] / (MATCH * length), best[1], best[2], best[3]))
+        return out
+
+
+def _scan(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for w in word_chunks(batch.column(1), lower=True):
-                rows, items_, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for s in seeds:
-                    row, pos, h = grams_by_row(w, s.n)
-                    i, k = s.hits(h)
-                    rows.append(row[i])
-                    items_.append(s.items[k])
-                    at.append(pos[i])
-                r, it, p = np.concatenate(rows), np.concatenate(items_), np.concatenate(at)
-                order = np.lexsort((p, it, r))
-                r, it, p = r[order], it[order], p[order]
-                cuts = np.r_[0, np.flatnonzero((r[1:] != r[:-1]) | (it[1:] != it[:-1])) + 1, len(r)] if len(r) else []
-                out = []
-                for lo, hi in zip(cuts[:-1], cuts[1:]):
-                    row, item = int(r[lo]), int(it[lo])
-                    text = w.hashes[w.bounds[row] : w.bounds[row + 1]]
-                    length = len(words[item])
-                    best = (0, 0, 0, 0)
-                    for a, b in _regions(p[lo:hi], 2 * length):
-                        # a long stretch is aligned in overlapping pieces, so memory stays bounded
-                        for x in range(max(0, a - 2 * length), b + 1, 20 * length + 1):
-                            y = min(len(text), x + 24 * length + 1, b + 2 * length + SEED_WORDS)
-                            if ceiling(text[x:y], sorted_words[item]) < max(THRESHOLD * MATCH * length, best[0] + 1):
-                                continue
-                            score, s, e, m = smith_waterman(text[x:y], words[item])
-                            if score > best[0]:
-                                best = (score, x + s, x + e, m)
-                    if best[0] >= THRESHOLD * MATCH * length:
-                        out.append((row, item_ids[item], best[0] / (MATCH * length), best[1], best[2], best[3]))
-                at_row = pa.array([w.first + o[0] for o in out], pa.int64())
+                out = block.matches(w)
+                ids = batch.column(0).take(pa.array([w.first + o[0] for o in out], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(at_row), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64()), *(pa.array([o[k] for o in out], pa.int64()) for k in (3, 4, 5))],
+                    [ids, pa.array([block.ids[o[1]] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64()), *(pa.array([o[k] for o in out], pa.int64()) for k in (3, 4, 5))],
                     names=["doc_id", "item_id", "score", "doc_start", "doc_end", "matched"],
                 )
 
     return run
 
 
+def _without(block: Block, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            for w in word_chunks(batch.column(column).cast(pa.string()), lower=True):
+                clean[[w.first + o[0] for o in block.matches(w)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Block]:
+    """The items in blocks of at most ``block_bytes`` and one item more, measured before any is fetched."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    size = F.octet_length("text")
+    total, longest = items.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    blocks = max(1, -(-total // block_bytes))
+    deal = lambda n: F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    while blocks > 1 and items.groupBy(deal(blocks).alias("b")).agg(F.sum(size).alias("s")).agg(F.max("s")).first()[0] > block_bytes + longest:
+        blocks *= 2
+    for b in range(blocks):
+        part = items.where(deal(blocks) == b).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
+        w = strings_to_words(part["text"].to_pylist(), lower=True) if part.num_rows else None
+        if w is not None and len(w.hashes):
+            yield Block(part["item_id"].to_pylist(), w)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, item_id, score, doc_start, doc_end, matched``: one row per contaminated document and
     item, positions in words."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
     found = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow().sort_by("item_id")
-        w = strings_to_words(part["text"].to_pylist(), lower=True) if part.num_rows else None
-        if w is None or not len(w.hashes):
-            continue
-        hits = slim.mapInArrow(_scan(part["item_id"].to_pylist(), w, choose_seeds(w)), MATCHES)
+    for block in _blocks(benchmark, block_bytes):
+        hits = slim.mapInArrow(_scan(block), MATCHES)
         found = hits if found is None else found.union(hits)
     return found if found is not None else docs.sparkSession.createDataFrame([], MATCHES)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a leak, all columns kept."""
-    leaked = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].cast("long") == F.col("_leaked"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` without a leak, all columns kept. Each row is judged by its own text where it lies, so
+    rows that share a doc_id, or have none, are kept or go by themselves, and nothing is shuffled."""
+    out = docs
+    for block in _blocks(benchmark, block_bytes):
+        out = out.mapInArrow(_without(block, docs.columns.index("text")), docs.schema)
+    return out
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

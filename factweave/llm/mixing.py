@@ -6,18 +6,22 @@ size by weight, capped at three times the source's size, the excess being shared
 finish time of a document in epoch e is ``(running tokens of its source + e * source size) / target``.
 All (document, epoch) entries are ordered by finish time and taken until the total budget is spent.
 
-Everything is DataFrame code. Running sums are cut into ranges (``common.running``), so neither a hot
-source nor the global order meets in one task; only the per-source table is handled as a whole.
-Defined cases: null text has size 0 and is never taken; a null source is a source of its own; rows
-repeated exactly are interchangeable; an empty table gives no rows; extra columns are ignored.
+Everything is DataFrame code. At finish time 1 every source has spent its target to within a document, so all
+entries up to 1 are summed, and only the few that end just after it are put in one order. Running sums are cut
+into ranges (``common.running``), so neither a hot source nor the global order meets in one task. The mix itself is
+a map: each source is cut at one place of its shuffled order per epoch, and a document compares its own
+place with these; texts are not shuffled.
+Defined cases: null text has size 0 and is never taken; a null doc_id is a value like any other; a null source is a
+source of its own; rows that repeat doc_id, text and source share what the mix takes of them, one row at a time; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import WORD, materialize, n_buckets, running, table, unit
+from factweave.llm.common import WORD, global_rank, materialize, n_buckets, release, running, small, table, unit
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -25,61 +29,84 @@ SEED = 2
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``src, source_size, target`` from rows with ``src`` (null encoded) and ``size``."""
-    by_name = Window.orderBy(F.col("src") == "n", "src")
-    per = sized.groupBy("src").agg(F.sum("size").alias("source_size"))
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    per = per.withColumn("w", w).withColumn("cap", F.col("source_size") * epochs).withColumn("fill", F.col("cap") / F.col("w"))
-    by_fill = Window.orderBy("fill", "src")
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_fill.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy())
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(rest)
-    per = per.withColumn("level", level)
-    # the first unfilled source, in order of filling, fixes the water level for all
-    water = F.min(F.when(F.col("level") < F.col("fill"), F.struct("fill", "src", "level"))).over(Window.partitionBy()).getField("level")
-    target = F.least(F.col("cap").cast("double"), F.coalesce(water * F.col("w"), F.col("cap").cast("double")))
+    """``src, source_size, target`` from rows with ``src`` (null encoded) and ``size``.
+
+    The water level rises until no further source fills up: each step is one aggregate over the sources."""
+    per = global_rank(sized.groupBy("src").agg(F.sum("size").alias("source_size")), [F.col("src") == "n", F.col("src")], "place")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    per = materialize(per.select("src", "source_size", w.alias("w"), (F.col("source_size") * epochs).alias("cap")))
+    level, full = 0.0, -1
+    while True:
+        filled = F.col("cap") <= level * F.col("w")
+        total, caps, rest, n = per.agg(F.sum("source_size"), F.sum(F.when(filled, F.col("cap"))), F.sum(F.when(~filled, F.col("w"))), F.count_if(filled)).first()
+        if not rest or n == full:
+            break
+        level, full = ((total - (caps or 0)) / rest), n
+    target = F.when(filled, F.col("cap").cast("double")).otherwise(F.lit(level) * F.col("w"))
     return per.select("src", "source_size", target.alias("target"))
 
 
+def _source(docs: DataFrame) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), docs["source"].cast("string")), F.lit("n"))
+
+
+def _place(docs: DataFrame, seed: int) -> Column:
+    """A row's place in the shuffled order of its source."""
+    doc_id, text_hash = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return F.struct(unit(doc_id, text_hash, seed=seed).alias("u"), doc_id.alias("doc_id"), text_hash.alias("text_hash"))
+
+
 def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """``doc_id, text_hash, size, source_size, target, epochs`` for every row of ``docs``; ``epochs`` is
+    """``doc_id, text_hash, src, u, size, source_size, target, epochs`` for every row of ``docs``; ``epochs`` is
     how often the mix takes the document (0 to ``epochs``)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("src"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(text).alias("text_hash"),
-    )
-    sized = materialize(sized.withColumn("u", unit(F.col("doc_id"), F.col("text_hash"), seed=seed)))
-    buckets = n_buckets(sized.count())
+    words = F.regexp_count(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    sized = materialize(docs.select(_place(docs, seed).alias("p"), _source(docs).alias("src"), words.alias("size")).select("p.doc_id", "src", "size", "p.text_hash", "p.u"))
     targets = materialize(source_targets(sized, weights, epochs))
-    budget = targets.agg(F.sum("source_size")).first()[0] or 0
-    queued = running(sized, ["src"], "u", ["doc_id", "text_hash"], F.col("size"), "sum", buckets)
-    queued = materialize(queued.join(targets, "src"))
-    finish = (F.col("sum") + F.col("epoch") * F.col("source_size")) / F.col("target")
+    queued = running(sized, ["src"], "u", ["doc_id", "text_hash"], F.col("size"), "sum", n_buckets(sized.count()))
+    queued = materialize(queued.join(small(targets), "src"))
+    budget, open_ = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("target") < epochs * F.col("source_size"), F.col("target"))), F.lit(0.0))).first()
+    finish = lambda e: (F.col("sum") + e * F.col("source_size")) / F.col("target")
     entries = queued.where("size > 0").select("src", "size", "sum", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
-    entries = entries.withColumn("finish", finish).withColumn("at", F.col("finish") / (F.col("finish") + 1)).withColumn("all", F.lit(0))
-    spent = running(entries, ["all"], "at", ["finish", "src", "epoch", "sum"], F.col("size"), "spent", buckets * epochs)
-    last = spent.where(F.col("spent") <= budget).agg(F.max(F.struct("at", "finish", "src", "epoch", "sum")).alias("last")).first()[0]
-    if last is None:
-        taken = F.lit(0)
-    else:
-        cut = F.struct(F.lit(last["at"]), F.lit(last["finish"]), F.lit(last["src"]), F.lit(last["epoch"]), F.lit(last["sum"]).cast("long"))
-        taken = F.lit(0)
-        for e in range(epochs):
-            f = (F.col("sum") + F.lit(e) * F.col("source_size")) / F.col("target")
-            taken = taken + (F.struct(f / (f + 1), f, F.col("src"), F.lit(e), F.col("sum")) <= cut).cast("int")
-        taken = F.when(F.col("size") > 0, taken).otherwise(0)
-    return queued.select("doc_id", "text_hash", "size", "source_size", "target", taken.cast("int").alias("epochs"))
+    entries = entries.select("src", "size", "sum", "epoch", finish(F.col("epoch")).alias("finish"))
+    sure = entries.agg(F.coalesce(F.sum(F.when(F.col("finish") <= 1, F.col("size"))), F.lit(0))).first()[0]
+    # what is left is at most one document a source, spent before the open sources have got that much more
+    slack = (queued.groupBy("src").agg(F.max("size").alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0] + 1) / max(open_, 1.0)
+    at = F.least(F.lit(0.999999), (F.col("finish") - 1) / slack)
+    band = materialize(entries.where((F.col("finish") > 1) & (F.col("finish") <= 1 + slack)).withColumn("at", at).withColumn("all", F.lit(0)))
+    spent = running(band, ["all"], "at", ["finish", "src", "epoch", "sum"], F.col("size"), "spent", n_buckets(band.count()))
+    last = spent.where(F.col("spent") <= budget - sure).agg(F.max(F.struct("finish", "src", "epoch", "sum")).alias("last")).first()[0]
+    taken = F.lit(0)
+    for e in range(epochs):
+        now = finish(F.lit(e)) <= 1
+        if last is not None:
+            cut = F.struct(F.lit(last["finish"]), F.lit(last["src"]), F.lit(last["epoch"]), F.lit(last["sum"]).cast("long"))
+            now = now | (F.struct(finish(F.lit(e)), F.col("src"), F.lit(e), F.col("sum")) <= cut)
+        taken = taken + now.cast("int")
+    release(sized, band)
+    return queued.select("doc_id", "text_hash", "src", "u", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).cast("int").alias("epochs"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, all columns kept."""
-    taken = fair_mix(docs, weights, epochs, seed).where("epochs > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max("epochs").alias("_epochs"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_hash"))
-    return docs.join(taken, same).withColumn("_e", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*[docs[c] for c in docs.columns])
+    mix = fair_mix(docs, weights, epochs, seed)
+    place = F.struct("u", "doc_id", "text_hash")
+    ends = [F.max(F.when(F.col("epochs") > e, place)).alias(f"_end{e}") for e in range(epochs)]
+    cuts = materialize(mix.groupBy(F.col("src").alias("_src")).agg(*ends))
+    own = docs.withColumns({"_src_of_row": _source(docs), "_place_of_row": _place(docs, seed)})
+    has_words = F.coalesce(docs["text"].cast("string"), F.lit("")).rlike(WORD)
+    times = sum((F.coalesce(F.col("_place_of_row") <= F.col(f"_end{e}"), F.lit(False)).cast("int") for e in range(epochs)), F.lit(0))
+    held = own.join(small(cuts), own["_src_of_row"] == F.col("_src"), "left").withColumn("_times", F.when(has_words, times).otherwise(0))
+    counts = [F.count_if(F.col("epochs") > e).alias(f"_n{e}") for e in range(epochs)]
+    repeated = materialize(mix.where("size > 0").groupBy(F.col("src").alias("_rs"), place.alias("_rp")).agg(F.count("*").alias("_n"), *counts).where("_n > 1"))
+    if not repeated.isEmpty():
+        # equal rows may be taken a different number of times: as many of them as the mix says, in order of all columns
+        same = (F.col("_src_of_row") == F.col("_rs")) & (F.col("_place_of_row") == F.col("_rp"))
+        rank = F.row_number().over(Window.partitionBy("_src_of_row", "_place_of_row").orderBy(F.xxhash64(*[docs[c] for c in docs.columns])))
+        marked = small(repeated)
+        again = held.join(marked, same).withColumn("_times", sum(((rank <= F.col(f"_n{e}")).cast("int") for e in range(epochs)), F.lit(0)))
+        held = held.join(marked, same, "left_anti").select(*docs.columns, "_times").union(again.select(*docs.columns, "_times"))
+    cols = [F.col(c) for c in docs.columns]
+    return held.where("_times > 0").select(*cols, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).select(*cols)
 
 
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:

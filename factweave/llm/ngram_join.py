@@ -27,8 +27,8 @@ Plan, all exact:
    on the way or not, are compared on their whole shingle sets, in tiles of two bounded blocks of classes. A tile
    returns sums per class, never a row per pair.
 
-Points have two to four groups per shingle and are deflated, a few hundred bytes a document, so that texts travel
-only for pairs that link or miss by a hair. Tables behind a step are deleted as soon as no later step reads them.
+Points have a group for one or two shingles and are deflated, about a hundred bytes a document, so that texts travel
+only for pairs that link or nearly do. Tables behind a step are deleted as soon as no later step reads them.
 
 Defined cases: null or empty text has 0 shingles and links with nothing; fewer than five words give
 the whole sequence as one shingle; rows that repeat a doc_id keep their own size, and links of any of
@@ -87,9 +87,9 @@ def _pack(keys: np.ndarray) -> bytes:
 
 
 def _point(s: np.ndarray) -> bytes:
-    """Counts per group, two to four groups (a power of two) per shingle, so that unrelated sets of any size stay
-    apart; deflated. Header: log2 of the groups, bytes per count."""
-    bits = max(8, int(max(len(s), 1) - 1).bit_length() + 1)
+    """Counts per group, one group (of a power of two) for one or two shingles, so that unrelated sets of any size, and
+    sets that share half of their shingles, stay apart; deflated. Header: log2 of the groups, bytes per count."""
+    bits = max(4, int(max(len(s), 1) - 1).bit_length() - 1)
     counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     width = 1 if len(s) == 0 or counts.max() < 256 else 4
     return bytes((bits, width)) + zlib.compress(counts.astype("<u1" if width == 1 else "<u4").tobytes(), 1)
@@ -396,15 +396,15 @@ def _tree_tiles(wide: DataFrame) -> DataFrame:
     """``TILE_ROWS`` of the windows of a key and a size that hold several components, from ``key, cls, comp, n``.
 
     Only pairs across components matter, so the holders outside a window's largest component are joined with
-    it, in blocks, and among themselves; the largest component is not joined with itself, and windows with the
-    same holders are searched once."""
+    it, in blocks, and among themselves; the largest component is not joined with itself, windows with the
+    same holders are searched once, and windows without holders of their own size not at all."""
     size = F.floor(F.log(F.col("n")) / F.log(F.lit(WINDOW)))
-    wide = wide.withColumn("window", F.explode(F.array(size, size + 1))).withColumn("key", F.xxhash64("key", "window")).drop("window")
-    per = wide.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("s2"))
-    keys = per.groupBy("key").agg(F.max(F.struct("c", "comp", "w")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("m"), F.sum("w").alias("w"), F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2")).where("parts > 1")
+    wide = wide.withColumn("window", F.explode(F.array(size, size + 1))).withColumn("own", F.col("window") == size).withColumn("key", F.xxhash64("key", "window")).drop("window")
+    per = wide.groupBy("key", "comp").agg(F.max("own").alias("own"), F.count("*").alias("c"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("s2"))
+    keys = per.groupBy("key").agg(F.max(F.struct("c", "comp", "w")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("m"), F.sum("w").alias("w"), F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2"), F.max("own").alias("own")).where("parts > 1 and own")
     blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
     keys = keys.groupBy("m", "s1", "s2").agg(F.min(F.struct("key", "top", "w")).alias("k")).select(
-        "k.key", F.col("k.top.comp").alias("big"), blocks(F.col("k.top.c"), F.col("k.top.w")).alias("ng"), blocks(F.col("m") - F.col("k.top.c"), F.col("k.w") - F.col("k.top.w")).alias("no")
+        "m", "k.key", F.col("k.top.comp").alias("big"), blocks(F.col("k.top.c"), F.col("k.top.w")).alias("ng"), blocks(F.col("m") - F.col("k.top.c"), F.col("k.w") - F.col("k.top.w")).alias("no")
     )
     inside = F.col("comp") == F.col("big")
     block = F.pmod(F.xxhash64(F.lit(3), "cls"), F.when(inside, F.col("ng")).otherwise(F.col("no"))).cast("long")
@@ -414,7 +414,8 @@ def _tree_tiles(wide: DataFrame) -> DataFrame:
     with_outside = F.transform(to("no"), lambda j: cell(j * F.col("ng") + F.col("b"), F.lit(1)))
     with_big = F.transform(to("ng"), lambda i: cell(F.col("b") * F.col("ng") + i, F.lit(0)))
     among = F.transform(to("no"), lambda k: cell(F.col("ng") * F.col("no") + F.least(F.col("b"), k) * F.col("no") + F.greatest(F.col("b"), k), F.col("b") > k))
-    cells = F.explode(F.when(inside, with_outside).otherwise(F.concat(with_big, among)))
+    # a window of one block is one tile
+    cells = F.explode(F.when((F.col("ng") == 1) & (F.col("no") == 1) & (F.col("m") <= BLOCK), F.array(cell(F.lit(0), F.lit(0)))).when(inside, with_outside).otherwise(F.concat(with_big, among)))
     return rows.withColumn("cell", cells).select("key", "cell.tile", "cell.half", "cls", "comp", F.col("n").cast("long").alias("n"))
 
 

@@ -15,9 +15,11 @@ window that also starts earlier is removed. Windows are judged on the input.
    window is always among these, so the result is exact.
 
 A place is one long, the document's id shifted over the word position; ids too large for that, negative,
-null or repeated ids are first replaced by their rank. Anchors are shuffled once, for the aggregation and
-the join back alike, as 16-byte rows; only windows that repeat across documents travel in step 3, each once
-per document. Texts meet their anchors by document.
+null or repeated ids are first replaced by their rank. Anchors are found once and written as 16-byte rows; they are
+counted with map-side aggregation, and only those that the corpus repeats are joined back, so a passage that a third of
+all documents hold is one row per task in the count and is split where it is joined. Only windows that repeat across
+documents travel in step 3, each once per document. Texts meet their anchors by document; each step's tables are
+deleted when the next is written.
 Defined cases: null text has no words; a null doc_id sorts first; rows that repeat a doc_id with
 different texts are documents of their own, in order of text hash, and rows repeated exactly count as one
 document; texts under 20 words are kept; an empty table gives no rows; extra columns are ignored.
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import n_buckets, running, table
+from factweave.llm.common import materialize, n_buckets, release, running, table
 from factweave.llm.wordkernel import Words, gram_hashes, word_chunks
 
 WINDOW = 20
@@ -108,6 +110,7 @@ class _Parsed:
         self.inside = (np.cumsum(inside) > 0)[starts]
         self.asks = (state[at] == 1) & ~self.inside
         self.answers = state[at] == 2
+        self.factored = self.inside.copy()
         # a window that repeats within its document is a copy there; only the first one is looked up
         self.h1 = gram_hashes(w.hashes, WINDOW, _SECOND)
         open_ = np.flatnonzero(self.asks | self.answers)
@@ -137,6 +140,12 @@ def _boundaries(shift: int):
     return run
 
 
+def _covered(starts: np.ndarray, words: int) -> np.ndarray:
+    """Which words lie in a window that starts at one of ``starts``."""
+    steps = np.bincount(starts, minlength=words + WINDOW + 1) - np.bincount(starts + WINDOW, minlength=words + WINDOW + 1)
+    return np.cumsum(steps)[:words] > 0
+
+
 def _remove(shift: int, emit_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,18 +155,15 @@ def _remove(shift: int, emit_text: bool):
                 offs = more.offsets.to_numpy()[w.first : w.first + w.rows + 1]
                 row = np.repeat(np.arange(w.rows), np.diff(offs))
                 hit = w.bounds[row] + (more.values.to_numpy()[offs[0] : offs[-1]] & ((1 << shift) - 1))
-                at = np.r_[p.starts[p.inside], hit]
-                steps = np.zeros(len(w.hashes) + WINDOW + 1, dtype=np.int32)
-                np.add.at(steps, at, 1)
-                np.add.at(steps, at + WINDOW, -1)
-                keep = np.cumsum(steps)[: len(w.hashes)] == 0
+                keep = ~_covered(np.r_[p.starts[p.inside], hit], len(w.hashes))
+                factored = np.r_[0, np.cumsum(_covered(p.starts[p.factored], len(w.hashes)))]
                 kept, removed = [], np.zeros(w.rows, dtype=np.int64)
                 for i in range(w.rows):
                     words, flags = w.text(i).split(), keep[w.bounds[i] : w.bounds[i + 1]]
                     removed[i] = len(flags) - np.count_nonzero(flags)
                     kept.append(b" ".join(compress(words, flags.tolist()) if removed[i] else words))
-                out = [ids.slice(w.first, w.rows), pa.array(w.counts.astype(np.int64)), pa.array(removed), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+                out = [ids.slice(w.first, w.rows), pa.array(w.counts.astype(np.int64)), pa.array(removed), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(np.diff(factored[w.bounds]))]
+                names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factored"]
                 if emit_text:
                     out.append(pa.array(kept, pa.binary()).cast(pa.string()))
                     names.append("kept_text")
@@ -183,20 +189,22 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` (and ``kept_text``) for every row of ``docs``."""
+    """``doc_id, n_words, n_removed, kept_sha256, n_factored`` (and ``kept_text``) for every row of ``docs``;
+    ``n_factored`` counts the removed words that factors alone cover."""
     slim, shift = _placed(docs)
-    pairs = slim.select("doc", "text")
-    doc = F.coalesce(F.shiftright("place", shift), F.lit(0).cast("long")).alias("doc")  # never null: no filter below the shared shuffle
-    anchors = pairs.mapInArrow(_anchors(shift), "h long, place long").repartition("h")
-    first = anchors.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    known = anchors.join(first.hint("shuffle_hash"), "h").groupBy(doc).agg(F.collect_set(F.struct("place", "first")).alias("known"))
+    doc = F.coalesce(F.shiftright("place", shift), F.lit(0).cast("long")).alias("doc")
+    anchors = materialize(slim.select("doc", "text").mapInArrow(_anchors(shift), "h long, place long"))
+    first = materialize(anchors.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first"))
+    known = materialize(anchors.join(first, "h").groupBy(doc).agg(F.collect_set(F.struct("place", "first")).alias("known")))
+    release(anchors, first)
     none = F.array().cast("array<struct<place:bigint,first:bigint>>")
-    met = slim.join(known.hint("shuffle_hash"), "doc", "left").select("doc", "text", F.coalesce("known", none).alias("known"), "doc_id")
-    edges = met.mapInArrow(_boundaries(shift), "h1 long, h2 long, place long, asks boolean")
-    earliest = edges.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    hits = edges.where("asks").join(earliest, ["h1", "h2"]).where("place > first").groupBy(doc).agg(F.collect_set("place").alias("more"))
-    full = met.join(hits.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "known", F.coalesce("more", F.array().cast("array<bigint>")).alias("more"))
-    return full.mapInArrow(_remove(shift, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    met = slim.join(known, "doc", "left").select("doc", "text", F.coalesce("known", none).alias("known"), "doc_id")
+    edges = materialize(met.mapInArrow(_boundaries(shift), "h1 long, h2 long, place long, asks boolean"))
+    earliest = materialize(edges.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
+    hits = materialize(edges.where("asks").join(earliest, ["h1", "h2"]).where("place > first").groupBy(doc).agg(F.collect_set("place").alias("more")))
+    release(edges, earliest)
+    full = met.join(hits, "doc", "left").select("doc_id", "text", "known", F.coalesce("more", F.array().cast("array<bigint>")).alias("more"))
+    return full.mapInArrow(_remove(shift, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factored long" + ", kept_text string" * with_text)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

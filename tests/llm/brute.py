@@ -86,3 +86,62 @@ def spans(kinds, text):
 
 def digest(kinds, found):
     return hashlib.sha256(",".join(f"{kinds[k][0]}:{s}:{e}" for s, k, e in found).encode()).hexdigest()
+
+
+GENERIC = re.compile(r"[A-Za-z0-9+_=-]{24,}")
+
+
+def secrets(rows):
+    """``doc_id, base, all spans, n_live`` by plain loops over all rows and values."""
+    import math
+
+    seen = []
+    for i, t, owner in rows:
+        base = [(s, k, e, m) for k, (_, p, holds) in enumerate(SECRETS) for m in p.finditer(t or "") if holds(m) for s, e in [m.span()]]
+        base = sorted((s, k, e, m[2] if k == 0 else m[0]) for s, k, e, m in base)
+        extra = [(m.start(), 3, m.end(), m[0]) for m in GENERIC.finditer(t or "") if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+        extra = [x for x in extra if not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+        seen.append((i, owner, (i is None, i if i is not None else t or ""), base, extra))
+    size = {o: len({r for _, w, r, _, _ in seen if w == o}) for o in {x[1] for x in seen}}
+    held = {}
+    for _, owner, repo, base, extra in seen:
+        for x in base + extra:
+            held.setdefault(x[3], set()).add((owner, repo))
+    live = {v for v, h in held.items() if len({o for o, _ in h}) == 1 and len(h) <= 2 + math.log2(size[next(iter(h))[0]])}
+    name = lambda xs: ",".join(f"{(*[k for k, _, _ in SECRETS], 'generic')[k]}:{s}:{e}" for s, k, e, _ in sorted(xs))
+    return [(i, name(base), name(base + [x for x in extra if x[3] in live]), sum(x[3] in live for x in base)) for i, _, _, base, extra in seen]
+
+
+def targets(sizes, weights=(5, 2, 1), epochs=3):
+    """Water-filling by repeated shares; ``None`` last."""
+    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    out, open_, left = {}, set(names), sum(sizes.values())
+    while open_:
+        level = left / sum(w[s] for s in open_)
+        full = {s for s in open_ if epochs * sizes[s] <= level * w[s]}
+        for s in full or open_:
+            out[s] = epochs * sizes[s] if full else level * w[s]
+        left -= sum(out[s] for s in full)
+        open_ -= full or set(open_)
+    return out
+
+
+def fair_mix(rows, epochs=3):
+    """Times each of ``(doc_id, src, u, size)`` is taken: all entries by virtual finish time until the budget is spent."""
+    sizes = {}
+    for _, src, _, n in rows:
+        sizes[src] = sizes.get(src, 0) + n
+    goal = targets({None if s == "n" else s: v for s, v in sizes.items()}, epochs=epochs)
+    entries, taken, spent = [], {i: 0 for i, *_ in rows}, {}
+    for i, src, u, n in sorted(rows, key=lambda r: r[2]):
+        spent[src] = spent.get(src, 0) + n
+        if n:
+            entries += [((spent[src] + e * sizes[src]) / goal[None if src == "n" else src], src, e, spent[src], i, n) for e in range(epochs)]
+    left = sum(sizes.values())
+    for _, _, _, _, i, n in sorted(entries):
+        if n > left:
+            break
+        left -= n
+        taken[i] += 1
+    return taken

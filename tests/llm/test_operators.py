@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -177,12 +178,31 @@ def test_mixing(spark, rows):
         biggest = max(r["size"] for r in out)
         if len(targets) > 2:
             assert abs(sum(v[0] for v in per.values()) - total) <= biggest
-    copies = Counter(r["doc_id"] for r in mixing.mixed_documents(table(spark, rows)).collect())
-    taken = {r["doc_id"]: r["epochs"] for r in mixing.fair_mix(table(spark, rows)).collect()}
+    twice = rows + rows[:9] + [(None, rows[5][1], "src0"), (None, rows[5][1], None)] + [(rows[7][0], rows[7][1], "other")] * 3
+    copies = Counter((r["doc_id"], zlib.crc32((r["text"] or "").encode()), r["source"]) for r in mixing.mixed_documents(table(spark, twice)).collect())
+    text = {(i, len(brute.words(t))): zlib.crc32((t or "").encode()) for i, t, _ in twice}
+    taken = Counter()
+    for r in mixing.fair_mix(table(spark, twice)).collect():
+        taken[r["doc_id"], text[r["doc_id"], r["size"]], None if r["src"] == "n" else r["src"][1:]] += r["epochs"]
     assert {i: n for i, n in taken.items() if n} == dict(copies)
     assert mixing.fair_mix(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_mixing_equals_plain_queueing(spark, seed):
+    """What each source gets equals fair queueing done one entry at a time, given the shuffled orders."""
+    rng = random.Random(seed)
+    sizes = {f"s{k}": [rng.randrange(1, 30) for _ in range(rng.randrange(1, 80))] for k in range(7)} | {None: [400]}
+    data = [(i, "w " * n, s) for i, (s, n) in enumerate((s, n) for s, all_ in sizes.items() for n in all_)]
+    out = mixing.fair_mix(table(spark, data)).collect()
+    assert sorted((r["doc_id"], r["epochs"]) for r in out) == sorted(brute.fair_mix([(r["doc_id"], r["src"], r["u"], r["size"]) for r in out]).items())
+    targets = brute.targets({s: sum(v) for s, v in sizes.items()})
+    for s, target in targets.items():
+        mine = [r for r in out if r["src"] == ("n" if s is None else f"s{s}")]
+        assert {round(r["target"], 6) for r in mine} == {round(target, 6)} and {r["source_size"] for r in mine} == {sum(sizes[s])}
+        assert abs(sum(r["epochs"] * r["size"] for r in mine) - target) <= max(sizes[s])
+
+
 def test_targets_by_hand(spark):
     sized = spark.createDataFrame([("sa", 10), ("sb", 100), ("sc", 100), ("n", 30)], "src string, size long")
     got = {r["src"]: r["target"] for r in mixing.source_targets(sized).collect()}
@@ -239,10 +259,36 @@ def test_secret_repositories(spark):
     found = secrets.find_secrets(table(spark, data)).collect()
     got = {(r["doc_id"], len(r["added"]), r["n_live"]) for r in found}
     assert got == {(i, 0, 0) for i in [*range(40), *range(100, 160)]} | {(i, 1, 0) for i in (200, 201, 300, None)}
-    values = {(r["owners"], r["repositories"]) for r in secrets.ownership(secrets.scan(table(spark, data))).collect()}
+    values = {(r["owners"], r["repositories"]) for r in secrets.ownership(secrets.candidates(secrets.scan(table(spark, data)))).collect()}
     assert values == {(1, 40), (1, 2), (1, 1)}
 
 
+def test_secrets_equal_brute_force(spark):
+    """Base and added spans of every row, with values shared in every way, against a plain version."""
+    rng = random.Random(31)
+    token = lambda: "".join(rng.choice("abcXYZ0123456789_=") for _ in range(rng.randrange(22, 40)))
+    values = [token() for _ in range(60)]
+    forms = ["token={}", "key {} end", "AKIA{}", "secret: '{}'", "x{}y", "deadbeef" * 3 + " {}", "pass word {}"]
+    data = []
+    for i in range(150):
+        text = " ".join(rng.choice(forms).format(rng.choice(values[: rng.choice([5, 20, 60])])) for _ in range(rng.randrange(0, 6)))
+        data.append((None if i % 37 == 0 else i // 2 * 2, text or None, rng.choice(["hot", "hot", "a", "b", None])))
+    data += data[:5]
+    got = secrets.find_secrets(table(spark, data)).select("doc_id", secrets._joined(F.col("base")).alias("b"), secrets._joined(F.concat("base", "added")).alias("s"), "n_live").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute.secrets(data)))
+    assert any(r["s"] != r["b"] for r in got) and any(r["n_live"] for r in got)
+
+
+def test_secrets_are_linear_in_matches(spark):
+    text = "token=abcdef " * 40_000 + "Ab1" * 9
+    docs = table(spark, [(1, text, "a"), (2, "plain", "b")])
+    secrets.find_secrets(docs.limit(1)).collect()
+    began = time.time()
+    rows = {r["doc_id"]: r for r in secrets.find_secrets(docs).collect()}
+    assert len(rows[1]["base"]) == 40_000 and len(rows[1]["added"]) == 1 and not rows[2]["base"]
+    assert time.time() - began < 20
+
+
 def test_base_personal_spans_equal_patterns():
     rng = random.Random(3)
     for _ in range(20_000):
@@ -312,6 +358,45 @@ def test_decontamination_of_common_words(spark):
     assert got == {i for i, t, _ in docs if score(t) >= 0.4 * 2 * len(item)} >= {200, 201, 202, 203}
 
 
+def test_decontamination_recall_and_memory(spark):
+    """Edited copies against exhaustive alignment of every text with every item; a very long item stays small."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = random.Random(17)
+    vocabulary = [f"v{k}" for k in range(4000)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [say(rng.randrange(12, 45)) for _ in range(12)]
+    docs = []
+    for i in range(240):
+        copy = list(items[i % 12])
+        for _ in range(int(len(copy) * rng.random() * 0.5)):
+            k = rng.randrange(len(copy))
+            copy[k : k + 1] = rng.choice([[], [rng.choice(vocabulary)], [copy[k], rng.choice(vocabulary)]])
+        docs.append((i, " ".join(say(40) + copy + say(40)), "s"))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(table(spark, docs), bench).collect()}
+    want = {(i, k) for i, t, _ in docs for k, x in enumerate(items) if decontaminate.smith_waterman(np.array(t.split()), np.array(x))[0] >= 0.8 * len(x)}
+    assert len(want) > 150 and len(want & set(got)) >= 0.9 * len(want) and set(got) <= want
+    kept = {r["doc_id"] for r in decontaminate.decontaminate(table(spark, docs), bench, 300).collect()}
+    assert kept == {i for i, _, _ in docs} - {i for i, _ in got}
+    long = np.arange(5000)
+    tracemalloc.start()
+    assert decontaminate.smith_waterman(np.r_[np.arange(9000, 9100), long[:300], long], long[:300])[0] == 600
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+
+
+def test_decontamination_judges_rows(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six")], "item_id long, text string")
+    leak, other, clean = "x alpha beta gamma delta epsilon zeta y", "one two three four five six", "nothing to see here at all"
+    data = [(None, leak, "s"), (None, clean, "s"), (3, leak, "s"), (3, clean, "t"), (4, other, None), (5, None, None), (5, "", None), (6, clean, "s"), (6, clean, "s")]
+    kept = decontaminate.decontaminate(table(spark, data), bench)
+    assert kept.columns == table(spark, data).columns
+    assert sorted(repr((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(map(repr, [(None, clean), (3, clean), (5, None), (5, ""), (6, clean), (6, clean)]))
+    assert sorted(repr((r["doc_id"], r["item_id"])) for r in decontaminate.find_leaks(table(spark, data), bench).collect()) == sorted(map(repr, [(None, 1), (3, 1), (4, None)]))
+
+
 def test_smith_waterman_equals_plain():
     import numpy as np
 
