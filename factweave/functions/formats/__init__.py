@@ -6,7 +6,7 @@ XML, CBOR or INI has the same canonical form. Text is decoded with ``backslashre
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 Fact = tuple[str, str, int]
 
@@ -104,49 +104,53 @@ def config(data: bytes) -> list[Fact]:
 QUOTED = " \t\"'"
 
 
-def yaml_lite(data: bytes) -> list[Fact]:
-    """Indented maps and lists by a stack of open keys; anything else is kept as a line."""
-    out: list[Fact] = []
-    open_keys: list[tuple[int, str]] = []
-
-    def path(leaf: str) -> str:
-        text = ""
-        for key in [*(k for _, k in open_keys), leaf]:
-            text += key if key == "[]" or not text else f".{key}"
-        return text
-
-    def pair(body: str, indent: int, n: int) -> None:
-        key, _, value = body.partition(":")
-        key, value = key.strip(QUOTED), value.strip(QUOTED)
-        if not key:
-            return
-        if value in ("", "|", ">"):
-            open_keys.append((indent, key))
-        else:
-            out.append(("kv", f"{path(key)}={value}", n))
-
-    for n, raw in enumerate(decode(data).split("\n"), 1):
-        raw = raw.rstrip("\r")
-        t = raw.strip(" \t")
+def _yaml_lines(text: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """``(line, indent, is a list item, key if any, value)`` of the lines that say something; a document's end has the
+    indent -1."""
+    for n, raw in enumerate(text.split("\n"), 1):
+        t = raw.rstrip("\r").strip(" \t")
         if not t or t[0] == "#":
             continue
         if t in ("---", "..."):
-            open_keys.clear()
+            yield n, -1, False, None, ""
             continue
-        indent = len(raw) - len(raw.lstrip(" \t"))
-        while open_keys and open_keys[-1][0] >= indent:
-            open_keys.pop()
-        if t.startswith("- "):
-            rest = t[2:].lstrip(" \t")
-            if ":" in rest:
-                open_keys.append((indent + 1, "[]"))
-                pair(rest, indent + 2, n)
-            elif item := rest.strip(QUOTED):
-                out.append(("kv", f"{path('[]')}={item}", n))
-        elif ":" in t:
-            pair(t, indent, n)
+        indent = next(i for i, c in enumerate(raw) if c not in " \t")
+        body = t[2:].lstrip(" \t") if t.startswith("- ") else t
+        key, colon, value = body.partition(":")
+        if colon:
+            yield n, indent, body is not t, key.strip(QUOTED), value.strip(QUOTED)
         else:
-            out.append(("line", t, n))
+            yield n, indent, body is not t, None, body.strip(QUOTED) if body is not t else body
+
+
+def yaml_lite(data: bytes) -> list[Fact]:
+    """Indented maps and lists; anything else is kept as a line. Lines are told apart first, then folded into the paths
+    that are open at their indents."""
+    out: list[Fact] = []
+    open_at: list[tuple[int, str]] = [(-1, "")]  # indent of the opening line, path below it
+
+    def below(leaf: str) -> str:
+        path = open_at[-1][1]
+        return path + leaf if leaf == "[]" else f"{path}.{leaf}" if path else leaf
+
+    for n, indent, item, key, value in _yaml_lines(decode(data)):
+        while len(open_at) > 1 and open_at[-1][0] >= indent:
+            open_at.pop()
+        if indent < 0:
+            continue
+        if key is None:
+            if not item:
+                out.append(("line", value, n))
+            elif value:
+                out.append(("kv", f"{below('[]')}={value}", n))
+            continue
+        if item:  # the item's own keys stand two columns further in
+            open_at.append((indent + 1, below("[]")))
+            indent += 2
+        if key and value in ("", "|", ">"):
+            open_at.append((indent, below(key)))
+        elif key:
+            out.append(("kv", f"{below(key)}={value}", n))
     return out
 
 

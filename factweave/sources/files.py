@@ -129,7 +129,8 @@ def from_paths(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
 
 def spread(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(artifacts, facts, skipped)`` of a tree in any store Spark reads; ``skipped`` has one row ``n``. The folders and
-    names that a walk leaves out are left out here; dot and underscore names stay hidden, as Spark's listing hides them."""
+    names that a walk leaves out are left out here; dot and underscore names stay hidden, as Spark's listing
+    hides them, and empty files, which hold no facts, are not seen at all."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = files.select("path").limit(0).sparkSession._jvm.org.apache.hadoop.fs.Path(path)
     root = str(root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath())

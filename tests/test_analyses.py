@@ -160,3 +160,62 @@ def test_zero_fact_and_empty_corpora(spark):
     assert {r["artifact_id"]: r["drift"] for r in c.stats.collect()} == {0: 0.0, 1: 0.0, 2: 1.0}
     empty = Corpus(c.artifacts.limit(0), c.facts.limit(0))
     assert empty.stats.count() == 0 and empty.summary.first()["core"] == 0
+
+
+def test_global_rank(spark):
+    from factweave.functions.order import global_rank
+
+    rows = [(i * 7 % 101, f"k{i % 5}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b string, c int").repartition(7)
+    order = [F.desc("a"), F.col("b"), F.col("c")]
+    want = {c: n for n, (_, _, c) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1], r[2])))}
+    assert {r["c"]: r["place"] for r in global_rank(df, order, "place").collect()} == want
+    assert global_rank(df.limit(0), order, "place").count() == 0
+
+
+def test_bounded_lists(spark):
+    from factweave.operators import conflicts, consensus
+
+    facts = spark.createDataFrame([(i, n, "kv", f"k={'a' if i % 4 else 'b'}", n) for i in range(60) for n in range(2)], "artifact_id long, ord int, kind string, canonical string, line int")
+    index = {r["canonical"]: r for r in consensus.occurrence_index(facts, 5).collect()}
+    assert index["k=a"]["total"] == 90 and [(x["artifact_id"], x["line"]) for x in index["k=a"]["occurrences"]] == [(1, 0), (1, 1), (2, 0), (2, 1), (3, 0)]
+    assert [r["artifact_id"] for r in consensus.occurrences(facts).where("canonical = 'k=b'").collect()] == [i for i in range(0, 60, 4) for _ in range(2)]
+    few = {r["value"]: r for r in conflicts.first_holders(consensus.membership(facts), 3).collect()}
+    assert (few["a"]["n"], few["a"]["rank"], few["a"]["artifacts"]) == (45, 1, [1, 2, 3]) and few["b"]["artifacts"] == [0, 4, 8]
+    assert conflicts.value_holders(consensus.membership(facts)).count() == 60
+
+
+def test_question_words():
+    from factweave.plans.ask import question_words
+
+    assert question_words("Why is configs/App.yaml different from Caf\u00c9.yaml?") == ["configs/app.yaml", "caf\u00c9.yaml"]
+    assert question_words("which yaml is odd?") == ["odd"] and question_words("Compare the files: env, json...") == []
+
+
+def test_page_host_ignores_case(spark):
+    from factweave.operators.creds import page_host
+
+    got = spark.createDataFrame([("HTTP://Bank/x",), ("https://a.b:80/",), ("ftp://x/",), ("c.html",)], "p string").select(page_host(F.col("p"))).collect()
+    assert [r[0] for r in got] == ["bank", "a.b", None, None]
+
+
+def test_tree_in_any_store(spark, tmp_path):
+    from factweave.sources import files
+
+    for name, body in {"a.json": b'{"k": 1}', "sub/b.env": b"x=1", "target/c.json": b'{"k": 2}', "node_modules/p/d.txt": b"no", "e.json": b"\0{}", "f.txt": b""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    artifacts, facts, skipped = files.spread(spark, str(tmp_path))
+    assert sorted(r["path"].rpartition("/")[2] for r in artifacts.collect()) == ["a.json", "b.env"]
+    assert sorted(r["canonical"] for r in facts.collect()) == ["k=1", "x=1"] and skipped.first()["n"] == 1
+
+
+def test_reports_without_driver_loops(spark):
+    from factweave.plans import catalogue, report
+
+    c = catalogue._inline(spark, catalogue.PAGES)
+    kits = report.kit_members(c).collect()
+    assert [k["rank"] for k in kits] == list(range(len(kits))) and kits[0]["members"] == ["login", "login", "in"]
+    assert report.kit_json(c).count('"members"') == len(kits) and "kit #0" in report.kit_text(c)
+    text = report.yara(catalogue._inline(spark, catalogue.BINARIES))
+    assert text.count("rule factweave_family_") == 2 and "members = 3" in text

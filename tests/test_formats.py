@@ -31,10 +31,25 @@ def test_json_flattening_and_fallback():
     assert canon(formats.extract("text", b' {"a": true}')) == ["a=true"]
 
 
+def test_json_of_any_depth_and_number():
+    depth = 100_000
+    for data, want in ((b"[" * depth + b"7" + b"]" * depth, "[]" * depth + "=7"), (b'{"a":' * depth + b'{"b":[]}' + b"}" * depth, ".".join(["a"] * depth) + ".b=[]")):
+        assert canon(formats.extract("json", data)) == [want]
+    for bad in (b"[" * depth, b"[" * depth + b"1" + b"]" * (depth - 1) + b"}", b"[" * depth + b"1,]" + b"]" * depth + b"x", b"[" * 3000 + b"1 2" + b"]" * 3000):
+        assert formats.extract("json", bad)[0][0] == "line"
+    deep = b"[" * 3000 + b' {"k": [1, "x", {}, []], "l": 1.50, "k2": {"m": null}} , true' + b"]" * 3000
+    at = "[]" * 3000
+    assert canon(jsonc.parse(deep)) == [f"{at}.k[]=1", f"{at}.k[]=x", f"{at}.k[]={{}}", f"{at}.k[]=[]", f"{at}.k2.m=null", f"{at}.l=1.5", f"{at}=true"]
+    digits = b"9" * 5000
+    assert canon(jsonc.parse(b'{"n": ' + digits + b', "m": -12, "h": 1e400, "s": 1e3}')) == ["h=1e400", "m=-12", "n=" + digits.decode(), "s=1000"]
+
+
 def test_yaml_and_config():
     text = b"db:\n  port: 5432\nfeatures:\n  - a\nservers:\n  - host: x\n    up: yes\n---\nplain\n# c\n"
     assert canon(formats.extract("yaml", text)) == ["db.port=5432", "features[]=a", "servers[].host=x", "servers[].up=yes", "plain"]
     assert canon(formats.extract("yaml", b"features:\n- a")) == ["[]=a"]
+    nested = b"a:\n  - b:\n      c: 1\n    d: |\n      text\n  - e: 2\n - f\n'q': \"v\"\n: x\n  - : y\n    z: 1\n...\nlast: >\n  k: 2\r\n"
+    assert canon(formats.extract("yaml", nested)) == ["a[].b.c=1", "text", "a[].e=2", "a[]=f", "q=v", "[].z=1", "last.k=2"]
     assert canon(formats.extract("config", b"[s]\nexport A = 'b'\n;x\nc: d\nline\n=v")) == ["s.A=b", "s.c=d", "line"]
     assert formats.extract("markdown", b"# T\n##x\n#######y\n#")[:2] == [("heading", "h1:T", 1), ("heading", "h2:x", 2)]
 
