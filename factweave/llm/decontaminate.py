@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.common import table
-from factweave.llm.wordkernel import Words, gram_hashes, grams_by_row, strings_to_words, word_chunks
+from factweave.llm.wordkernel import Words, gram_hashes, grams_by_row, lean, strings_to_words, word_chunks
 
 SEED_WORDS = 3
 THRESHOLD = 0.4
@@ -198,7 +198,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
     for block in _blocks(benchmark, block_bytes):
-        hits = slim.mapInArrow(_scan(block), MATCHES)
+        hits = slim.mapInArrow(lean(_scan(block)), MATCHES)
         found = hits if found is None else found.union(hits)
     return found if found is not None else docs.sparkSession.createDataFrame([], MATCHES)
 
@@ -208,7 +208,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     rows that share a doc_id, or have none, are kept or go by themselves, and nothing is shuffled."""
     out = docs
     for block in _blocks(benchmark, block_bytes):
-        out = out.mapInArrow(_without(block, docs.columns.index("text")), docs.schema)
+        out = out.mapInArrow(lean(_without(block, docs.columns.index("text"))), docs.schema)
     return out
 
 

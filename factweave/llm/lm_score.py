@@ -1,23 +1,25 @@
-"""Language-model scores of whole documents: a gated recurrent network over word classes.
+"""Language-model scores of whole documents: a gated recurrent network with a class-factored softmax.
 
 Documents whose ``crc32(doc_id) mod 5`` is not 1 are training text. ``census`` counts every training word
-in the corpus. Words fall into classes: the most frequent words are classes of their own, the others go
-by topic of their ending (k-means over a projected co-occurrence matrix summed over all training texts)
-and by frequency. A gated recurrent unit predicts the class of the next word; within a class, words keep
-their smoothed unigram shares (class-factored softmax), so
+in the corpus. The ``HEAD`` most frequent words are dealt to classes of ``CLASS_WORDS`` words, by topic of their ending
+(k-means over a projected co-occurrence matrix summed over all training texts), then by rank; all other words go to
+classes by topic and frequency. A gated recurrent unit predicts the class of the next word and, with a softmax of its
+own per class, the word inside a head class:
 
-    log P(text) = base unigram score + sum over tokens of log P(class | history) / P(class).
+    log P(word | history) = log P(class | history) + log P(word | class, history).
 
-Each class of rare words holds one unknown word, so probabilities sum to one over the counted words and an
-unknown word of each topic.
+Inside the classes of rarer words, words keep their smoothed unigram shares, and each class of the rarest
+holds one unknown word, so probabilities sum to one over the counted words and an unknown word of each topic.
 
-Training is truncated backpropagation in numpy: every partition runs windows of ``STEPS`` tokens over its
-own documents, with the state carried across windows, and the partitions' weights are averaged; each
-training document is seen once, in two rounds. Scoring carries the state from a document's first word
+Training is truncated backpropagation in numpy: training documents are dealt to groups by a hash of doc_id and text, each
+group is sorted and runs windows of ``STEPS`` tokens over its documents, each document whole in one lane with the
+state carried across windows, and the groups' weights are averaged; each training document is seen once, in two
+rounds. The number of groups follows the number of training tokens, and neither the partitions nor the order of the
+input count, so scores agree however the table is stored. Scoring carries the state from a document's first word
 to its end.
 
 Only the ``TOP_WORDS`` most frequent words, a fixed number, travel with the tasks; every other word
-meets its count in a join. Weights are averaged in groups before they reach the driver.
+meets its count in a join. Weights are averaged in sets of groups before they reach the driver.
 Defined cases: null text is one end token; a null doc_id is treated as empty text for the split; rows that
 repeat are scored alike; an empty table gives no rows; extra columns are ignored.
 """
@@ -30,17 +32,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import materialize, table
-from factweave.llm.wordkernel import LOWER, Words, mix, mix_int, word_chunks
+from factweave.llm.common import materialize, release, table
+from factweave.llm.wordkernel import LOWER, Words, lean, mix, mix_int, word_chunks
 
 TOP_WORDS = 131_072
-SINGLE, KNOWN_INPUTS, FREQUENT = 96, 512, 16_384
+HEAD, CLASS_WORDS, KNOWN_INPUTS, FREQUENT = 2048, 64, 512, 16_384
+HEAD_CLASSES = HEAD // CLASS_WORDS
 ENDINGS, PROJECTED, TOPICS = 1024, 16, 8
 HIDDEN, LANES, STEPS, RATE = 24, 128, 16, 0.06
-SCORE_BYTES, SCORE_LANES, SCORE_BLOCK = 12 << 20, 256, 32
+CHUNK_BYTES, SCORE_LANES, SCORE_BLOCK = 12 << 20, 256, 32
+#: Training tokens of a group.
+GROUP_TOKENS = 3_000_000
 GROUPS = 32
 END = mix_int(0xE0D0F7E87)
 _TRIM = np.zeros(256, dtype=bool)
@@ -115,6 +121,8 @@ class Vocabulary:
     counts: np.ndarray
     topic_of_ending: np.ndarray
     class_log: np.ndarray  # natural log of each class's unigram mass
+    slots: np.ndarray  # of each head word by rank, class by class
+    word_log: np.ndarray  # natural log of each slot's share of its class; very low where the slot is empty
     tokens: int
     distinct: int
 
@@ -135,60 +143,71 @@ class Vocabulary:
         return np.where(hit, self.ranks[at], TOP_WORDS), np.where(hit, at, -1)
 
     def class_of(self, rank: np.ndarray, ending: np.ndarray) -> np.ndarray:
-        topic = self.topic_of_ending[ending]
-        return np.where(rank < SINGLE, rank, SINGLE + topic + np.where(rank < FREQUENT, 0, TOPICS))
-
-    def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Input ids, class ids, indexes in ``counts`` and rows of all tokens, each row closed by an end."""
-        rank, at = self.look_up(w.hashes)
-        cls = self.class_of(rank, endings(w))
-        end_rank, end_at = self.look_up(np.array([END], np.uint64))
-        end_cls = int(self.class_of(end_rank, np.zeros(1, np.int64))[0])
-        where = w.bounds[1:]
-        put = lambda a, v: np.insert(a, where, v)
+        rare = HEAD_CLASSES + self.topic_of_ending[ending] + np.where(rank < FREQUENT, 0, TOPICS)
+        return np.where(rank < HEAD, self.slots[np.minimum(rank, HEAD - 1)] // CLASS_WORDS, rare)
+
+    def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Input ids, class ids, slots (-1 outside the head), indexes in ``counts`` and rows of all tokens, each row
+        closed by an end."""
+        rank, at = self.look_up(np.insert(w.hashes, w.bounds[1:], np.uint64(END)))
+        cls = self.class_of(rank, np.insert(endings(w), w.bounds[1:], 0))
+        slot = np.where(rank < HEAD, self.slots[np.minimum(rank, HEAD - 1)], -1)
         ids = np.where(rank < KNOWN_INPUTS, rank, KNOWN_INPUTS + cls)
-        return put(ids, KNOWN_INPUTS + self.classes), put(cls, end_cls), put(at, int(end_at[0])), np.repeat(np.arange(w.rows), w.counts + 1)
+        row = np.repeat(np.arange(w.rows), w.counts + 1)
+        ids[np.flatnonzero(np.r_[row[1:] != row[:-1], True])] = KNOWN_INPUTS + self.classes
+        return ids, cls, slot, at, row
 
 
 def vocabulary(train: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """The vocabulary of the training texts and the table ``h, c`` of all counts."""
-    seen = materialize(train.select("text").mapInArrow(_census, "h long, ending long, c long, stat binary"))
+    seen = materialize(train.select("text").mapInArrow(lean(_census), "h long, ending long, c long, stat binary"))
     counts = materialize(seen.where("stat is null").groupBy("h").agg(F.sum("c").alias("c"), F.min("ending").alias("ending")).where("c > 0"))
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(TOP_WORDS).toArrow()
     h, c, e = (top[k].to_numpy().astype(np.int64) for k in ("h", "c", "ending"))
-    blobs = seen.where("stat is not null").select("stat").repartition(GROUPS).mapInArrow(_sum_stats, "stat binary").collect()
+    blobs = seen.where("stat is not null").select("stat").repartition(GROUPS).mapInArrow(lean(_sum_stats), "stat binary").collect()
     stat = sum((np.frombuffer(b[0], dtype="<f8") for b in blobs), np.zeros(ENDINGS * PROJECTED)).reshape(ENDINGS, PROJECTED)
     order = np.argsort(h.view(np.uint64), kind="stable")
-    v = Vocabulary(h.view(np.uint64)[order], order, c[order], topics(stat), np.zeros(SINGLE + 2 * TOPICS), int(tokens), int(distinct))
+    v = Vocabulary(h.view(np.uint64)[order], order, c[order], topics(stat), np.zeros(HEAD_CLASSES + 2 * TOPICS), np.zeros(HEAD, np.int64), np.full(HEAD, -60.0), int(tokens), int(distinct))
+    head = np.lexsort((np.arange(min(HEAD, len(h))), v.topic_of_ending[e[:HEAD]]))
+    v.slots[head] = np.arange(len(head))
     mass = np.full(v.classes, 1e-9)
     cls = v.class_of(np.arange(len(h)), e)
     mass += np.bincount(cls, c + 0.5, minlength=v.classes)
+    v.word_log[v.slots[head]] = np.log((c[head] + 0.5) / mass[cls[head]])
     by_ending = counts.groupBy("ending").agg(F.sum("c"), F.count("*")).collect()
     tail = np.zeros(ENDINGS)
     for ending, n, kinds in by_ending:
         tail[ending] += n + 0.5 * kinds
     tail -= np.bincount(e, c + 0.5, minlength=ENDINGS)
-    mass += np.bincount(SINGLE + TOPICS + v.topic_of_ending, np.maximum(tail, 0), minlength=v.classes)
-    mass[SINGLE + TOPICS :] += 0.5  # an unknown word of each topic
+    mass += np.bincount(HEAD_CLASSES + TOPICS + v.topic_of_ending, np.maximum(tail, 0), minlength=v.classes)
+    mass[HEAD_CLASSES + TOPICS :] += 0.5  # an unknown word of each topic
     v.class_log = np.log(mass / v.norm)
     return v, counts.select("h", "c")
 
 
 class Network:
-    """Weights: input table (ids x 3H), recurrent matrix (H x 3H), output matrix (H x C), output bias."""
+    """Weights: input table (ids x 3H), recurrent matrix (H x 3H), class matrix (H x C) and bias, and the words of each
+    head class (classes x words x H) and their biases."""
 
-    def __init__(self, classes: int, flat: np.ndarray | None = None, bias: np.ndarray | None = None):
+    def __init__(self, classes: int, flat: np.ndarray | None = None, bias: np.ndarray | None = None, word_bias: np.ndarray | None = None):
         inputs = KNOWN_INPUTS + classes + 2  # and end, start
         self.start = inputs - 1
-        self.shapes = [(inputs, 3 * HIDDEN), (HIDDEN, 3 * HIDDEN), (HIDDEN, classes), (classes,)]
+        self.shapes = [(inputs, 3 * HIDDEN), (HIDDEN, 3 * HIDDEN), (HIDDEN, classes), (classes,), (HEAD_CLASSES, CLASS_WORDS, HIDDEN), (HEAD_CLASSES, CLASS_WORDS)]
         sizes = [int(np.prod(s)) for s in self.shapes]
         if flat is None:
             rng = np.random.default_rng(5)
-            flat = np.concatenate([rng.normal(0, s, n) for s, n in zip((0.1, 0.15, 0.05, 0.0), sizes)]).astype(np.float32)
-            flat[-classes:] = bias
+            flat = np.concatenate([rng.normal(0, s, n) for s, n in zip((0.1, 0.15, 0.05, 0.0, 0.05, 0.0), sizes)]).astype(np.float32)
+            self._split(flat)
+            self.bias[:] = bias
+            self.word_bias[:] = word_bias.reshape(self.word_bias.shape)
+        else:
+            self._split(flat)
+
+    def _split(self, flat: np.ndarray) -> None:
         self.flat = flat
-        self.table, self.rec, self.out, self.bias = (p.reshape(s) for p, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), self.shapes))
+        sizes = [int(np.prod(s)) for s in self.shapes]
+        self.table, self.rec, self.out, self.bias, self.words, self.word_bias = (p.reshape(s) for p, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), self.shapes))
 
     def step(self, x: np.ndarray, h: np.ndarray):
         """One step from input rows ``x`` (B x 3H) and state ``h``; returns the new state and what backward needs."""
@@ -199,32 +218,57 @@ class Network:
         return n + z * (h - n), (z, r, n, a[:, 2 * HIDDEN :], h)
 
     def log_softmax(self, h: np.ndarray) -> np.ndarray:
-        logits = h @ self.out + self.bias
-        logits -= logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
-
-    def train_window(self, ids: np.ndarray, targets: np.ndarray, fresh: np.ndarray, real: np.ndarray, h: np.ndarray, memory: np.ndarray) -> np.ndarray:
+        return _log_softmax(h @ self.out + self.bias)
+
+    def by_class(self, h: np.ndarray, slots: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per head class its tokens: ``(class, their rows of h, their words in the class, log P of all its words)``."""
+        rows = np.flatnonzero(slots >= 0)
+        rows = rows[np.argsort(slots[rows] // CLASS_WORDS, kind="stable")]
+        cls = slots[rows] // CLASS_WORDS
+        cuts = np.searchsorted(cls, np.arange(HEAD_CLASSES + 1))
+        for c in range(HEAD_CLASSES):
+            if cuts[c] < cuts[c + 1]:
+                own = rows[cuts[c] : cuts[c + 1]]
+                yield c, own, slots[own] % CLASS_WORDS, _log_softmax(h[own] @ self.words[c].T + self.word_bias[c])
+
+    def log_words(self, h: np.ndarray, cls: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """``ln P(class | h)``, plus ``ln P(word | class, h)`` for head words."""
+        out = self.log_softmax(h)[np.arange(len(h)), cls].astype(np.float64)
+        for _, own, word, logp in self.by_class(h, slots):
+            out[own] += logp[np.arange(len(own)), word]
+        return out
+
+    def train_window(self, ids: np.ndarray, targets: np.ndarray, slots: np.ndarray, fresh: np.ndarray, real: np.ndarray, h: np.ndarray, memory: np.ndarray) -> np.ndarray:
         """One Adagrad update on a window (steps x lanes); returns the state at its end."""
         steps, lanes = ids.shape
-        states, tape = np.empty((steps, lanes, HIDDEN), np.float32), []
+        states, tape = np.empty((steps, lanes, HIDDEN), self.flat.dtype), []
         for t in range(steps):
             h = h * ~fresh[t][:, None]
             h, saved = self.step(self.table[ids[t]], h)
             states[t] = h
             tape.append(saved)
         flat_h = states.reshape(-1, HIDDEN)
+        share = self.flat.dtype.type(1 / max(1, real.sum()))
         d = np.exp(self.log_softmax(flat_h))
         d[np.arange(len(d)), targets.ravel()] -= 1
-        d *= real.ravel()[:, None] / np.float32(max(1, real.sum()))
+        d *= real.ravel()[:, None] * share
         grad = np.zeros_like(self.flat)
         g = Network.__new__(Network)
-        sizes = [int(np.prod(s)) for s in self.shapes]
-        g.table, g.rec, g.out, g.bias = (p.reshape(s) for p, s in zip(np.split(grad, np.cumsum(sizes)[:-1]), self.shapes))
+        g.shapes = self.shapes
+        g._split(grad)
         g.out += flat_h.T @ d
         g.bias += d.sum(axis=0)
-        into = (d @ self.out.T).reshape(steps, lanes, HIDDEN)
-        dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-        back = np.zeros((lanes, HIDDEN), np.float32)
+        into = d @ self.out.T
+        for c, own, word, logp in self.by_class(flat_h, np.where(real.ravel() > 0, slots.ravel(), -1)):
+            dw = np.exp(logp)
+            dw[np.arange(len(own)), word] -= 1
+            dw *= share
+            g.words[c] += dw.T @ flat_h[own]
+            g.word_bias[c] += dw.sum(axis=0)
+            into[own] += dw @ self.words[c]
+        into = into.reshape(steps, lanes, HIDDEN)
+        dx = np.empty((steps, lanes, 3 * HIDDEN), self.flat.dtype)
+        back = np.zeros((lanes, HIDDEN), self.flat.dtype)
         for t in reversed(range(steps)):
             z, r, n, an, before = tape[t]
             dh = back + into[t]
@@ -245,6 +289,30 @@ class Network:
         return h
 
 
+def _log_softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(axis=1, keepdims=True)
+    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    return logits
+
+
+def packed(fresh: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(token of each step and lane, lanes still running at each step)``: rows lie whole in lanes, longest first, each
+    in the lane with the least load, and lanes are in order of falling load."""
+    heads = np.flatnonzero(fresh)
+    lengths = np.diff(np.r_[heads, len(fresh)])
+    load = [(0, k) for k in range(min(lanes, len(heads)))]
+    rows: list[list[int]] = [[] for _ in load]
+    for i in np.argsort(-lengths, kind="stable"):
+        total, k = heapq.heappop(load)
+        rows[k].append(int(i))
+        heapq.heappush(load, (total + int(lengths[i]), k))
+    loads = np.array([sum(int(lengths[i]) for i in p) for p in rows])
+    place = np.full((int(loads.max()), len(rows)), -1, dtype=np.int64)
+    for lane, k in enumerate(np.argsort(-loads, kind="stable")):
+        place[: loads[k], lane] = np.concatenate([np.arange(heads[i], heads[i] + lengths[i]) for i in rows[k]])
+    return place, (place >= 0).sum(axis=1)
+
+
 def _inputs(ids: np.ndarray, row: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """Each token's input is the token before it; ``start`` and a fresh state open a row."""
     fresh = np.r_[True, row[1:] != row[:-1]]
@@ -253,74 +321,99 @@ def _inputs(ids: np.ndarray, row: np.ndarray, start: int) -> tuple[np.ndarray, n
     return before, fresh
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]:
+    """``(group, texts)`` of consecutive rows ``text, g``: as many of one group as fill ``CHUNK_BYTES``, wherever batches end."""
+    held: list[pa.Array] = []
+    group, size = None, 0
+    for batch in batches:
+        texts, groups = batch.column(0).cast(pa.large_string()).fill_null(""), batch.column(1).to_numpy()
+        ends = np.cumsum(np.asarray(pc.binary_length(texts)))
+        row = 0
+        while row < batch.num_rows:
+            if groups[row] != group:
+                if held:
+                    yield group, pa.concat_arrays(held)
+                held, group, size = [], groups[row], 0
+            before = ends[row - 1] if row else 0
+            same = int(np.searchsorted(groups, group, side="right"))  # groups are sorted
+            end = min(int(np.searchsorted(ends, before + CHUNK_BYTES - size)) + 1, same)
+            held.append(texts.slice(row, end - row))
+            size += int(ends[end - 1] - before)
+            row = end
+            if size >= CHUNK_BYTES:
+                yield group, pa.concat_arrays(held)
+                held, size = [], 0
+    if held:
+        yield group, pa.concat_arrays(held)
+
+
 def _train(v: Vocabulary, flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(v.classes, flat.copy())
-        memory, seen, group = np.full_like(net.flat, 1e-6), 0, 0
-        for batch in batches:
-            group = int(batch.column(1)[0].as_py()) if batch.num_rows else group
-            for w in word_chunks(batch.column(0), lower=True):
-                ids, cls, _, row = v.encode(w)
-                if not len(ids):
-                    continue
+        group, net, memory, seen = None, None, None, 0
+        for g, texts in _pieces(batches):
+            if g != group:
+                if seen:
+                    yield _weights(group, seen, net)
+                group, net, seen = g, Network(v.classes, flat.copy()), 0
+                memory = np.full_like(net.flat, 1e-6)
+            for w in word_chunks(texts, lower=True, chunk_bytes=1 << 62):
+                ids, cls, slot, _, row = v.encode(w)
                 before, fresh = _inputs(ids, row, net.start)
-                span = -(-len(ids) // (LANES * STEPS)) * STEPS
-                pad = span * LANES - len(ids)
-                lay = lambda a, fill: np.r_[a, np.full(pad, fill, a.dtype)].reshape(LANES, span).T
-                x, y, f, real = lay(before, net.start), lay(cls, 0), lay(fresh, True), lay(np.ones(len(ids), np.float32), np.float32(0))
-                h = np.zeros((LANES, HIDDEN), np.float32)
-                for t in range(0, span, STEPS):
-                    h = net.train_window(x[t : t + STEPS], y[t : t + STEPS], f[t : t + STEPS], real[t : t + STEPS], h, memory)
+                place, live = packed(fresh, LANES)
+                h = np.zeros((place.shape[1], HIDDEN), np.float32)
+                for t in range(0, len(place), STEPS):
+                    at = place[t : t + STEPS, : live[t]]
+                    real = at >= 0
+                    h = net.train_window(np.where(real, before[at], net.start), np.where(real, cls[at], 0), np.where(real, slot[at], -1), fresh[at] | ~real, real.astype(np.float32), h[: live[t]], memory)
                 seen += len(ids)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([group % GROUPS]), pa.array([seen]), pa.array([net.flat.astype("<f4").tobytes()], pa.binary())], names=["grp", "n", "weights"])
+            yield _weights(group, seen, net)
 
     return run
 
 
+def _weights(group: int, seen: int, net: Network) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([int(group)]), pa.array([seen]), pa.array([net.flat.astype("<f4").tobytes()], pa.binary())], names=["grp", "n", "weights"])
+
+
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = None, 0
+    """Means of weights per set ``s``, rows sorted by it."""
+    sums: dict[int, tuple[int, np.ndarray]] = {}
     for batch in batches:
-        for k, blob in zip(batch.column(1).to_pylist(), batch.column(2)):
+        for s, k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             part = np.frombuffer(blob.as_py(), dtype="<f4").astype(np.float64) * k
-            total, n = part if total is None else total + part, n + k
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], names=["n", "weights"])
+            n, total = sums.get(s, (0, np.zeros(len(part))))
+            sums[s] = (n + k, total + part)
+    for s, (n, total) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], names=["s", "n", "weights"])
 
 
 def train_network(train: DataFrame, v: Vocabulary) -> np.ndarray:
     """Weights after two rounds of local training and averaging; round one takes an eighth of the documents."""
-    flat = Network(v.classes, bias=v.class_log).flat
-    turn = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0
-    for part in (turn, ~F.coalesce(turn, F.lit(False))):
-        local = train.where(part).select("text", F.spark_partition_id().alias("p")).mapInArrow(_train(v, flat), "grp long, n long, weights binary")
-        rows = local.repartition(GROUPS, "grp").mapInArrow(_average, "n long, weights binary").collect()
+    flat = Network(v.classes, bias=v.class_log, word_bias=v.word_log).flat
+    groups = max(1, round(v.tokens / GROUP_TOKENS))
+    key = F.xxhash64(F.lit(3), "doc_id", "text")
+    turn = F.pmod(F.xxhash64(F.lit(4), key), F.lit(8)) == 0
+    for part in (turn, ~turn):
+        own = train.where(part).select("text", F.pmod(key, F.lit(groups)).cast("int").alias("g"), key.alias("k"), "doc_id")
+        dealt = own.repartitionById(groups, "g").sortWithinPartitions("g", "k", "doc_id").select("text", "g")
+        local = materialize(dealt.mapInArrow(lean(_train(v, flat)), "grp long, n long, weights binary"))
+        sets = local.select("n", "weights", "grp", F.pmod("grp", F.lit(GROUPS)).cast("int").alias("s")).repartitionById(min(GROUPS, groups), "s").sortWithinPartitions("s", "grp")
+        rows = sorted(sets.select("s", "n", "weights").mapInArrow(lean(_average), "s long, n long, weights binary").collect())
+        release(local)
         if rows:
-            total = sum(n for n, _ in rows)
-            flat = sum(np.frombuffer(b, dtype="<f4").astype(np.float64) * (n / total) for n, b in rows).astype(np.float32)
+            total = sum(n for _, n, _ in rows)
+            flat = sum(np.frombuffer(b, dtype="<f4").astype(np.float64) * (n / total) for _, n, b in rows).astype(np.float32)
     return flat
 
 
-def score_rows(net: Network, v: Vocabulary, ids: np.ndarray, cls: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """Per row, the sum over tokens of ``ln P(class | history) - ln P(class)``. Rows are packed into lanes,
-    longest first; a row's state runs from its first token to its end."""
+def score_rows(net: Network, v: Vocabulary, ids: np.ndarray, cls: np.ndarray, slot: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Per row, the sum over tokens of ``ln P(class, word | history) - ln P(class, word)``, the word only in head
+    classes. Rows are packed into lanes, longest first; a row's state runs from its first token to its end."""
     before, fresh = _inputs(ids, row, net.start)
-    heads = np.flatnonzero(fresh)
-    lengths = np.diff(np.r_[heads, len(ids)])
-    lanes = [(0, k) for k in range(min(SCORE_LANES, rows))]
-    packed: list[list[int]] = [[] for _ in lanes]
-    for i in np.argsort(-lengths, kind="stable"):
-        load, k = heapq.heappop(lanes)
-        packed[k].append(int(i))
-        heapq.heappush(lanes, (load + int(lengths[i]), k))
-    loads = np.array([sum(int(lengths[i]) for i in p) for p in packed])
-    by_load = np.argsort(-loads, kind="stable")
-    place = np.full((int(loads.max()), len(packed)), -1, dtype=np.int64)  # token of each step and lane
-    for lane, k in enumerate(by_load):
-        place[: loads[k], lane] = np.concatenate([np.arange(heads[i], heads[i] + lengths[i]) for i in packed[k]])
-    live = (place >= 0).sum(axis=1)
-    gain = np.zeros(len(ids))
-    h = np.zeros((len(packed), HIDDEN), np.float32)
+    place, live = packed(fresh, SCORE_LANES)
+    gain = -v.class_log[cls] - np.where(slot >= 0, v.word_log[slot], 0)
+    h = np.zeros((place.shape[1], HIDDEN), np.float32)
     for t in range(0, len(place), SCORE_BLOCK):
         states, tokens = [], []
         for s in range(t, min(t + SCORE_BLOCK, len(place))):
@@ -331,8 +424,7 @@ def score_rows(net: Network, v: Vocabulary, ids: np.ndarray, cls: np.ndarray, ro
             states.append(h)
             tokens.append(at)
         at = np.concatenate(tokens)
-        logp = net.log_softmax(np.concatenate(states))
-        gain[at] = logp[np.arange(len(at)), cls[at]] - v.class_log[cls[at]]
+        gain[at] += net.log_words(np.concatenate(states), cls[at], slot[at])
     return np.bincount(row, gain, minlength=rows)
 
 
@@ -345,11 +437,11 @@ def _score(v: Vocabulary, flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(v.classes, flat.copy())
         for batch in batches:
-            for w in word_chunks(batch.column(2), lower=True, chunk_bytes=SCORE_BYTES):
-                ids, cls, at, row = v.encode(w)
+            for w in word_chunks(batch.column(2), lower=True, chunk_bytes=CHUNK_BYTES):
+                ids, cls, slot, at, row = v.encode(w)
                 known = at >= 0
                 base = np.bincount(row[known], logs[at[known]], minlength=w.rows)
-                gain = score_rows(net, v, ids, cls, row, w.rows) / np.log(10)
+                gain = score_rows(net, v, ids, cls, slot, row, w.rows) / np.log(10)
                 out_of = np.flatnonzero(~known)
                 # words outside the list; an end token counts among them only if nothing was trained
                 words = np.insert(w.hashes, w.bounds[1:], np.uint64(END))[out_of]
@@ -370,7 +462,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     train = slim.where("not held_out").select("doc_id", "text")
     v, counts = vocabulary(train)
     flat = train_network(train, v)
-    scored = materialize(slim.mapInArrow(_score(v, flat), SCORED).withColumn("row", F.monotonically_increasing_id()))
+    scored = materialize(slim.mapInArrow(lean(_score(v, flat)), SCORED).withColumn("row", F.monotonically_increasing_id()))
     rest = scored.select("row", F.explode("tail").alias("h")).join(counts, "h", "left")
     rest = rest.groupBy("row").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / v.norm)).alias("more"), F.count("c").alias("found"))
     base = F.col("base") + F.coalesce("more", F.lit(0.0))

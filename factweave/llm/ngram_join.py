@@ -47,17 +47,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.common import components, materialize, release, small, table
-from factweave.llm.wordkernel import Words, gram_hashes, grams_by_row, mix, word_chunks
+from factweave.llm.wordkernel import Words, gram_hashes, grams_by_row, lean, mix, word_chunks
 
 SHINGLE = 5
 #: A tree holds about so many classes and shingles; its leaves and nodes so many points and children.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
 LEAF, FAN = 32, 8
 TILE = 96
 #: Sizes of linked sets differ by a factor of at most 1.25; windows of sizes are a little wider.
 WINDOW = 1.26
 #: A block of classes whose links are counted holds about so many shingles and classes.
-LINK_SHINGLES, LINK_CLASSES = 1 << 20, 4096
+LINK_SHINGLES, LINK_CLASSES = 1 << 19, 4096
 #: A shingle is frequent when this many documents of a 1/64 sample hold it; at most so many are listed.
 SAMPLE, FREQUENT_DF, FREQUENT_MAX = 64, 6, 200_000
 _KEY_BYTES = 6
@@ -142,7 +142,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_shingles(slim: DataFrame) -> np.ndarray:
     """Sorted hashes of at most ``FREQUENT_MAX`` shingles that a 1/``SAMPLE`` sample shows often."""
     sample = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    rows = sample.mapInArrow(_sampled, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT_DF).orderBy(F.desc("count"), "h").limit(FREQUENT_MAX)
+    rows = sample.mapInArrow(lean(_sampled), "h long").groupBy("h").count().where(F.col("count") >= FREQUENT_DF).orderBy(F.desc("count"), "h").limit(FREQUENT_MAX)
     return np.sort(rows.select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -385,9 +385,9 @@ def verify_pairs(pairs: DataFrame, slim: DataFrame, sig: DataFrame) -> DataFrame
     """The pairs ``(a, b)`` of classes that link, from ``a, b, grp``: first by their points, then, for the few that
     are left, on whole texts."""
     points = sig.select(F.col("row").alias("doc"), F.col("point").alias("payload"))
-    near = materialize(tiled(pairs, points).mapInArrow(_refine, "a long, b long, grp long").groupBy("a", "b").agg(F.min("grp").alias("grp")))
+    near = materialize(tiled(pairs, points).mapInArrow(lean(_refine), "a long, b long, grp long").groupBy("a", "b").agg(F.min("grp").alias("grp")))
     texts, wanted = _texts(slim, sig, near.select(F.col("a").alias("doc")).union(near.select(F.col("b").alias("doc"))))
-    out = materialize(tiled(near, texts).mapInArrow(_verify, "a long, b long, grp long").select("a", "b").distinct())
+    out = materialize(tiled(near, texts).mapInArrow(lean(_verify), "a long, b long, grp long").select("a", "b").distinct())
     release(near, wanted)
     return out
 
@@ -422,7 +422,7 @@ def _tree_tiles(wide: DataFrame) -> DataFrame:
 def _in_tiles(tiles: DataFrame, payload: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
     """``EDGE`` rows from ``solve`` on each tile with the payloads ``doc, payload`` of its classes."""
     rows = tiles.join(payload, F.col("cls") == F.col("doc")).select("key", "tile", "half", "cls", "comp", "n", "payload")
-    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(lambda batches: _by_tile(batches, solve), EDGE)
+    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(lean(lambda batches: _by_tile(batches, solve)), EDGE)
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -453,7 +453,7 @@ def link_counts(classes: DataFrame, slim: DataFrame, sig: DataFrame) -> DataFram
     cell = lambda k: F.struct(F.xxhash64("grp", F.least("b", k), F.greatest("b", k)).alias("tile"), (F.col("b") > k).cast("int").alias("half"))
     tiles = members.join(texts, F.col("cls") == F.col("doc")).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), cell)))
     tiles = tiles.select("grp", "cell.tile", "cell.half", "cls", "rows", "payload").repartition("tile").sortWithinPartitions("grp", "tile")
-    out = materialize(tiles.mapInArrow(lambda batches: _by_tile(batches, _count_tile), "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links")))
+    out = materialize(tiles.mapInArrow(lean(lambda batches: _by_tile(batches, _count_tile)), "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links")))
     release(members, wanted)
     return out
 
@@ -468,7 +468,7 @@ def _components(links: DataFrame, classes: DataFrame) -> DataFrame:
 
 def linked_classes(sig: DataFrame, classes: DataFrame, slim: DataFrame) -> DataFrame:
     """``cls, n, comp`` of every class: the components of all links between classes."""
-    keys = sig.join(classes.select(F.col("cls").alias("row")), "row", "left_semi").select("row", "prefix").mapInArrow(_keys, "key long, cls long")
+    keys = sig.join(classes.select(F.col("cls").alias("row")), "row", "left_semi").select("row", "prefix").mapInArrow(lean(_keys), "key long, cls long")
     shared = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("members")).where("low < high")
     held = materialize(keys.join(shared, "key"))
 
@@ -510,7 +510,7 @@ def row_groups(docs: DataFrame, count_links: bool = False) -> DataFrame:
     links join their texts, whatever their ids; ``component_id`` is the group's smallest doc_id. With
     ``count_links`` also ``n_links``, the number of other rows that each row links with."""
     slim = _slim(docs)
-    sig = materialize(slim.mapInArrow(_signatures(frequent_shingles(slim)), SIGNATURE).withColumn("row", F.monotonically_increasing_id()))
+    sig = materialize(slim.mapInArrow(lean(_signatures(frequent_shingles(slim))), SIGNATURE).withColumn("row", F.monotonically_increasing_id()))
     classes = sig.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low_id"), F.count("*").alias("rows"))
     classes = materialize(classes)
     comp = linked_classes(sig, classes, slim)

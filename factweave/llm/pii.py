@@ -7,22 +7,27 @@ a pattern's score is the mean score of its distinct instances (smoothed), an uns
 that of its best pattern with enough support. Tokens at or above ``ACCEPT`` become spans of kind ``context``.
 
 Base spans always stay. The scan is a map; graph edges are pre-aggregated per (pattern, instance), so a
-hot passage is one edge with a count. Positions return to their rows by a row number that is written out
-before use. Defined cases: null text is empty; repeated rows repeat their spans; an empty table gives no
+hot passage is one edge, and a pattern with very many instances is spread over ``SALTS`` keys. Patterns and instances are
+known by 64-bit hashes: among a billion of each, about one pair in forty is expected to share one and to take the
+other's score. Positions return to their rows by a row number that is written out
+before use. Defined cases: null text is empty; a null doc_id is returned as null; repeated rows repeat their spans; an empty table gives no
 rows; extra columns are ignored; texts of any length are scanned whole in linear time.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import materialize, table
+from factweave.llm.common import materialize, release, table
+from factweave.llm.wordkernel import lean
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -32,8 +37,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-z0-9._-]+")
 _DIGIT = re.compile(r"[0-9]")
-_CONTEXT = 64
+_RUN = re.compile(r"\S+")
 ROUNDS, SUPPORT, ACCEPT = 3, 5, 0.8
+#: Keys that each pattern is spread over where instances meet pattern scores.
+SALTS = 16
 
 
 def luhn(digits: str) -> bool:
@@ -80,14 +87,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _patterns(text: str, start: int) -> list[str]:
-    words = text[max(0, start - _CONTEXT) : start].lower().split()
-    return [" ".join(words[-k:]) for k in (1, 2) if len(words) >= k]
+class _Words:
+    """The runs of a text that hold no white space, found once."""
+
+    def __init__(self, text: str):
+        self.text, self.spans = text, [m.span() for m in _RUN.finditer(text)]
+        self.starts = [s for s, _ in self.spans]
+
+    def patterns(self, start: int) -> list[str]:
+        """The last word before ``start`` and the last two, whole; a token glued to text takes that piece as a word."""
+        k = bisect_left(self.starts, start)
+        words = [self.text[s : min(e, start)].lower() for s, e in self.spans[max(0, k - 2) : k]]
+        return [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
 
 
 def _tokens(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     """Identifier-like tokens (six characters or more, four of them digits) outside every base span."""
-    taken, k = sorted((s, e) for s, _, e in base), 0
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))
     last = 0
     for d in _DIGIT.finditer(text):
         if d.start() < last:
@@ -102,9 +119,8 @@ def _tokens(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int,
         e = s + len(body)
         if len(body) < 6 or len(_DIGIT.findall(body)) < 4:
             continue
-        while k < len(taken) and taken[k][1] <= s:
-            k += 1
-        if not any(a < e and s < b for a, b in taken[k : k + 8]):
+        k = bisect_left(starts, e)  # base spans that start before the token ends
+        if not k or reach[k - 1] <= s:
             yield s, e
 
 
@@ -122,8 +138,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if maybe:
                 text = batch.column(1)[i].as_py()
                 spans = base_spans(text)
-                around = [{"start": s, "end": e, "value": text[s:e], "seed": True, "patterns": _patterns(text, s)} for s, _, e in spans]
-                around += [{"start": s, "end": e, "value": text[s:e], "seed": False, "patterns": _patterns(text, s)} for s, e in _tokens(text, spans)]
+                words = _Words(text)
+                around = [{"start": s, "end": e, "value": text[s:e], "seed": True, "patterns": words.patterns(s)} for s, _, e in spans]
+                around += [{"start": s, "end": e, "value": text[s:e], "seed": False, "patterns": words.patterns(s)} for s, e in _tokens(text, spans)]
             base.append([{"start": s, "rank": k, "end": e} for s, k, e in spans])
             found.append(around)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(_SPAN)), pa.array(found, pa.list_(_FOUND))], names=["doc_id", "base", "found"])
@@ -132,20 +149,25 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame) -> DataFrame:
     """``row, doc_id, base, found`` for every row of ``docs``; written out, so ``row`` is stable."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(slim.mapInArrow(_scan, SCAN).withColumn("row", F.monotonically_increasing_id()))
+    return materialize(slim.mapInArrow(lean(_scan), SCAN).withColumn("row", F.monotonically_increasing_id()))
 
 
 def learnt_instances(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, accept: float = ACCEPT) -> DataFrame:
     """``value, score`` of the unseen instances that the pattern-instance graph accepts."""
     seen = found.select(F.explode("found").alias("f")).select(F.xxhash64("f.value").alias("value"), "f.seed", F.explode("f.patterns").alias("pattern"))
     edges = materialize(seen.groupBy(F.xxhash64("pattern").alias("pattern"), "value").agg(F.max("seed").alias("seed")))
+    salt = F.pmod("value", F.lit(SALTS)).cast("int")
     scores = None
     for _ in range(rounds):
         scored = edges.withColumn("score", F.col("seed").cast("double")) if scores is None else edges.join(scores, "value", "left").select(
             "pattern", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score")
         )
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 0.5)).alias("p"), F.sum("score").alias("mass")).where(F.col("mass") >= support)
-        scores = materialize(edges.where("not seed").join(patterns, "pattern").groupBy("value").agg(F.max("p").alias("score")))
+        spread = patterns.select("pattern", "p", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        former, scores = scores, materialize(edges.where("not seed").withColumn("salt", salt).join(spread, ["pattern", "salt"]).groupBy("value").agg(F.max("p").alias("score")))
+        if former is not None:
+            release(former)
+    release(edges)
     return scores.where(F.col("score") >= accept)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.common import table
-from factweave.llm.wordkernel import IS_SEP, Words, gram_hashes, mix, word_chunks
+from factweave.llm.wordkernel import IS_SEP, Words, gram_hashes, lean, mix, word_chunks
 
 #: Rule name -> bit. A bit, once given, keeps its meaning in every later policy.
 RULES = {"few_words": 0, "repeated_windows": 1, "symbols": 2, "duplicate_lines": 3, "word_length": 4}
@@ -94,7 +94,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rule_ledger(docs: DataFrame) -> DataFrame:
     """One row of measurements per row of ``docs`` (``doc_id``, ``text``), with ``fail_bits``: bit
     ``RULES[r]`` is set where rule ``r`` rejects."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, LEDGER)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_measure), LEDGER)
 
 
 def keep_documents(docs: DataFrame, version: str = "v1") -> DataFrame:
@@ -106,7 +106,7 @@ def keep_documents(docs: DataFrame, version: str = "v1") -> DataFrame:
             bits = [_measured(w)["fail_bits"] for w in word_chunks(batch.column(at))]
             yield batch.filter(pa.array(np.concatenate(bits) & mask == 0) if bits else pa.array([], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def policy_mask(version: str) -> int:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.common import materialize, n_buckets, release, running, table
-from factweave.llm.wordkernel import Words, gram_hashes, word_chunks
+from factweave.llm.wordkernel import Words, gram_hashes, lean, word_chunks
 
 WINDOW = 20
 ANCHOR = 11
@@ -193,18 +193,18 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     ``n_factored`` counts the removed words that factors alone cover."""
     slim, shift = _placed(docs)
     doc = F.coalesce(F.shiftright("place", shift), F.lit(0).cast("long")).alias("doc")
-    anchors = materialize(slim.select("doc", "text").mapInArrow(_anchors(shift), "h long, place long"))
+    anchors = materialize(slim.select("doc", "text").mapInArrow(lean(_anchors(shift)), "h long, place long"))
     first = materialize(anchors.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first"))
     known = materialize(anchors.join(first, "h").groupBy(doc).agg(F.collect_set(F.struct("place", "first")).alias("known")))
     release(anchors, first)
     none = F.array().cast("array<struct<place:bigint,first:bigint>>")
     met = slim.join(known, "doc", "left").select("doc", "text", F.coalesce("known", none).alias("known"), "doc_id")
-    edges = materialize(met.mapInArrow(_boundaries(shift), "h1 long, h2 long, place long, asks boolean"))
+    edges = materialize(met.mapInArrow(lean(_boundaries(shift)), "h1 long, h2 long, place long, asks boolean"))
     earliest = materialize(edges.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
     hits = materialize(edges.where("asks").join(earliest, ["h1", "h2"]).where("place > first").groupBy(doc).agg(F.collect_set("place").alias("more")))
     release(edges, earliest)
     full = met.join(hits, "doc", "left").select("doc_id", "text", "known", F.coalesce("more", F.array().cast("array<bigint>")).alias("more"))
-    return full.mapInArrow(_remove(shift, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factored long" + ", kept_text string" * with_text)
+    return full.mapInArrow(lean(_remove(shift, with_text)), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factored long" + ", kept_text string" * with_text)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,13 +3,19 @@
 Labelled pages (``labels`` by page id; bad = toxic or low quality) give outcomes per host. Each level
 of host, registered domain and suffix is a beta-binomial posterior whose prior mean is the level
 above and whose strength is fitted by moments from the spread between groups; the root prior is the
-overall rate. A page without a rule is blocked when the posterior's lower bound exceeds ``threshold``.
+overall rate. A page without a rule is blocked when the posterior's lower bound exceeds ``threshold``; the bound is
+the normal approximation ``mean - z * deviation`` of the beta posterior, not its quantile.
+
+Labels are read from the bare host, without user name and port. A suffix is the last label, or the last two where a
+country's two letters follow a generic second level (``SECOND_LEVEL``), so ``a.com.mx`` and ``b.com.mx`` are domains of
+their own; an address in digits or brackets is its own domain, of suffix ``ip``.
 
 DataFrame code throughout. Pages meet one row per distinct host, so a hot host is only a hot join key
 on the probe side, which adaptive execution splits; counts are pre-aggregated before every shuffle.
 Defined cases: a null url or one without ``://`` has empty host and path, no rule, and is judged by
-the empty host's own reputation; unlabelled hosts inherit domain, suffix, then overall rates; repeated rows give
-repeated verdicts; repeated labels count once each; empty tables give no rows.
+the empty host's own reputation; a null page_id keeps its row and meets no label; unlabelled hosts inherit domain,
+suffix, then overall rates; repeated rows give repeated verdicts, and each labelled row counts; empty pages give no rows,
+empty labels leave the prior of one half; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +33,10 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Suffixes of two labels; any other suffix is the last label.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+#: Generic second levels that registries of countries sell names below.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gov", "gouv", "govt", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+_LONG = rf"(^|\.)({'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$"
+_ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[.*)$"
 
 
 def url_host(url: Column) -> Column:
@@ -48,13 +56,19 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def _bare(host: Column) -> Column:
+    """The host without user name and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", "")
+
+
 def _suffix(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    bare = _bare(host)
+    return F.when(bare.rlike(_ADDRESS), "ip").when(bare.rlike(_LONG), F.substring_index(bare, ".", -2)).otherwise(F.substring_index(bare, ".", -1))
 
 
 def _domain(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    bare = _bare(host)
+    return F.when(bare.rlike(_ADDRESS), bare).when(bare.rlike(_LONG), F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
 
 
 def _strength(groups: DataFrame) -> Column:
@@ -109,10 +123,11 @@ WITH u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) v(what, h, p)),
-p AS (SELECT *, list_slice(string_split(host, '.'), -1, -1)[1] AS last1, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS last2, array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') AS last3 FROM u),
-k AS (SELECT page_id, host, path,
-    CASE WHEN last2 IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br') THEN last3 ELSE last2 END AS domain,
-    CASE WHEN last2 IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br') THEN last2 ELSE last1 END AS suffix FROM p),
+p AS (SELECT *, list_slice(string_split(host, '.'), -1, -1)[1] AS last1, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS last2, array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') AS last3
+  FROM (SELECT page_id, host AS full_host, path, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', '') AS host FROM u)),
+k AS (SELECT page_id, full_host AS host, path,
+    CASE WHEN regexp_matches(host, 'ADDRESS') THEN host WHEN regexp_matches(host, 'LONG') THEN last3 ELSE last2 END AS domain,
+    CASE WHEN regexp_matches(host, 'ADDRESS') THEN 'ip' WHEN regexp_matches(host, 'LONG') THEN last2 ELSE last1 END AS suffix FROM p),
 o AS (SELECT k.host, k.domain, k.suffix, CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END AS bad FROM k JOIN labels l ON l.doc_id = k.page_id),
 ch AS (SELECT host, domain, suffix, count(*) AS n, sum(bad) AS bad FROM o GROUP BY ALL),
 cd AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM ch GROUP BY ALL),
@@ -131,4 +146,4 @@ f AS (SELECT page_id, what, h || p AS rule FROM u JOIN r ON (u.host = r.h OR end
       QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) = 1)
 SELECT k.page_id, k.host, k.path, f.rule, coalesce(f.what, CASE WHEN q.h - 1.645 * sqrt(q.h * (1 - q.h) / (q.size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM k JOIN q USING (host) LEFT JOIN f USING (page_id)
-"""
+""".replace("ADDRESS", _ADDRESS).replace("LONG", _LONG)

@@ -10,7 +10,8 @@ inverse of ``P``, passed through a 64-bit finaliser. N-gram hashes are polynomia
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,22 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow map that hands freed memory back at its end: workers are reused, and what one task took and freed would
+    otherwise stay with the process beside the next one's."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return mapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (xor-shift, multiply), a bijection."""
     x = x ^ (x >> np.uint64(30))

@@ -145,3 +145,49 @@ def fair_mix(rows, epochs=3):
         left -= n
         taken[i] += 1
     return taken
+
+
+def personal(rows, rounds=3, support=5, accept=0.8):
+    """``doc_id, all spans`` (kind 4: context) by plain loops over the pattern-instance graph."""
+    found, edges = [], {}
+    for i, t, _ in rows:
+        t = t or ""
+        base = spans(PERSONAL, t)
+        other = []
+        for m in re.finditer(r"[A-Za-z0-9._-]+", t):
+            body = m[0].strip("._-")
+            s = m.start() + m[0].index(body) if body else m.start()
+            e = s + len(body)
+            if len(body) >= 6 and len(digits(body)) >= 4 and not any(a < e and s < b for a, _, b in base):
+                other.append((s, 4, e))
+        for s, k, e in base + other:
+            before = t[:s].lower().split()
+            for n in (1, 2):
+                if len(before) >= n:
+                    key = (" ".join(before[-n:]), t[s:e])
+                    edges[key] = edges.get(key, False) or k < 4
+        found.append((i, t, base, other))
+    score = {}
+    for _ in range(rounds):
+        total, count = {}, {}
+        for (p, v), seed in edges.items():
+            total[p] = total.get(p, 0) + (1 if seed else score.get(v, 0))
+            count[p] = count.get(p, 0) + 1
+        good = {p: total[p] / (count[p] + 0.5) for p in total if total[p] >= support}
+        score = {}
+        for (p, v), seed in edges.items():
+            if not seed and p in good:
+                score[v] = max(score.get(v, 0), good[p])
+    return [(i, sorted(base + [x for x in other if score.get(t[x[0] : x[2]], 0) >= accept])) for i, t, base, other in found]
+
+
+def passes_quality(text):
+    w, t = words(text), text or ""
+    at = {}
+    for i in range(len(w) - 7):
+        at.setdefault(tuple(w[i : i + 8]), []).append(i)
+    covered = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 8)}
+    lines = [x for x in t.split("\n") if words(x)]
+    copies, chars = len(lines) - len(set(lines)), sum(map(len, w))
+    symbols = len(re.findall("[#*$%&|<>]", t))
+    return not (len(w) < 20 or 100 * len(covered) > 30 * len(w) or 2 * symbols > len(w) or (2 * copies > len(lines) and len(lines) > 3) or chars < 2 * len(w) or chars > 25 * len(w))
