@@ -468,9 +468,13 @@ def _components(links: DataFrame, classes: DataFrame) -> DataFrame:
 
 def linked_classes(sig: DataFrame, classes: DataFrame, slim: DataFrame) -> DataFrame:
     """``cls, n, comp`` of every class: the components of all links between classes."""
-    keys = sig.join(classes.select(F.col("cls").alias("row")), "row", "left_semi").select("row", "prefix").mapInArrow(lean(_keys), "key long, cls long")
-    shared = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("members")).where("low < high")
+    same = ["d1", "d2", "n_shingles"]
+    copies = materialize(sig.select("row", *same).join(classes.select("cls", *same), same).where("row <> cls").select("row"))
+    keys = sig.select("row", "prefix").join(small(copies), "row", "left_anti").mapInArrow(lean(_keys), "key long, cls long")
+    # counted first and joined back then, so that only one shuffle of the keys lies on disk at a time
+    shared = materialize(keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("members")).where("low < high"))
     held = materialize(keys.join(shared, "key"))
+    release(copies, shared)
 
     sizes = classes.select("cls", "n_shingles")
     first = held.select(F.col("low").alias("a"), F.col("cls").alias("b"), F.col("low").alias("grp")).union(held.select(F.col("cls").alias("a"), F.col("high").alias("b"), F.col("low").alias("grp")))
