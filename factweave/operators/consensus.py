@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.functions.graph import materialize, small
+
 #: An outlier needs this many artifacts, this much spread, and a drift this many deviations above the mean.
 MIN_ARTIFACTS, MIN_SPREAD, DEVIATIONS = 4, 0.005, 1.5
 BUCKETS = ("universal", "majority", "minority", "unique")
@@ -65,15 +67,15 @@ def occurrence_index(facts: DataFrame, shown: int) -> DataFrame:
 def artifact_stats(artifacts: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
     """``artifact_id, path, total, in_core, n_unique, drift`` of every artifact.
 
-    The core (keys of a strict majority) is at most twice the mean artifact's size, whatever the corpus, so it
-    joins as a hash table where the planner finds it small; unique facts are counted from their one holder,
-    without touching the membership again."""
-    core = ids.where("is_core").select("kind", "canonical", F.lit(1).alias("hit"))
-    n_core = core.agg(F.count("*").alias("core"))
+    The core (keys of a strict majority) is at most twice the mean artifact's size, whatever the corpus: it is written
+    first and, up to a checked size, sent to the membership, which is then not shuffled by identity at all; unique
+    facts are counted from their one holder, without touching the membership again."""
+    core = small(materialize(ids.where("is_core").select("kind", "canonical", F.lit(1).alias("hit"))))
+    n_core = F.lit(core.count())
     per = members.join(core, ["kind", "canonical"], "left").groupBy("artifact_id").agg(F.count("*").alias("total"), F.count("hit").alias("in_core"))
     unique = ids.where("is_unique").groupBy(F.col("holder").alias("artifact_id")).agg(F.count("*").alias("n_unique"))
-    all_ = artifacts.join(per, "artifact_id", "left").join(unique, "artifact_id", "left").na.fill(0, ["total", "in_core", "n_unique"]).crossJoin(F.broadcast(n_core))
-    union = F.col("total") + F.col("core") - F.col("in_core")
+    all_ = artifacts.join(per, "artifact_id", "left").join(unique, "artifact_id", "left").na.fill(0, ["total", "in_core", "n_unique"])
+    union = F.col("total") + n_core - F.col("in_core")
     drift = F.when(union == 0, F.lit(0.0)).otherwise(1 - F.col("in_core") / union)
     return all_.select("artifact_id", "path", "total", "in_core", "n_unique", drift.alias("drift"))
 

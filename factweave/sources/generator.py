@@ -13,7 +13,7 @@ def generated_corpus(spark: SparkSession, n: int, rogues: int, seed: int = 42) -
     with the smallest seeded hash, found by one top-k."""
     ids = spark.range(n).withColumnRenamed("id", "artifact_id")
     bad = ids.orderBy(F.xxhash64(F.lit(seed), "artifact_id"), "artifact_id").limit(rogues).withColumn("rogue", F.lit(True))
-    marked = ids.join(F.broadcast(bad), "artifact_id", "left").na.fill(False, ["rogue"])
+    marked = ids.join(F.broadcast(bad) if rogues <= 200_000 else bad, "artifact_id", "left").na.fill(False, ["rogue"])
     name = F.concat(F.when(F.col("rogue"), "rogue").otherwise("host"), F.format_string("-%08d.yaml", "artifact_id"))
     artifacts = marked.select("artifact_id", name.alias("path"), F.lit("yaml").alias("kind"), F.lit(0).cast("long").alias("size"))
     shared = F.transform(F.sequence(F.lit(0), F.when(F.col("rogue"), ROGUE_CORE - 1).otherwise(CORE_KEYS - 1)), lambda k: F.concat(F.lit("core.key"), k.cast("string"), F.lit("=value"), k.cast("string")))
