@@ -15,7 +15,7 @@ Training is truncated backpropagation in numpy: training documents are dealt to
 group is sorted and runs windows of ``STEPS`` tokens over its documents, each document whole in one lane with the
 state carried across windows, and the groups' weights are averaged; each training document is seen once, in two
 rounds. The number of groups follows the number of training tokens, and neither the partitions nor the order of the
-input count, so scores agree however the table is stored. Scoring carries the state from a document's first word
+input count, so scores agree, to single precision, however the table is stored. Scoring carries the state from a document's first word
 to its end.
 
 Only the ``TOP_WORDS`` most frequent words, a fixed number, travel with the tasks; every other word

@@ -508,7 +508,7 @@ def test_lm_scores_do_not_depend_on_partitions(spark):
         runs.append(sorted((repr(r["doc_id"]), r["n_tokens"], r["base_score"], r["score"]) for r in lm_score.score_documents(docs).collect()))
     assert [r[:2] for r in runs[0]] == [r[:2] for r in runs[1]]
     for a, b in zip(*runs):
-        assert a[2:] == pytest.approx(b[2:], rel=1e-9)
+        assert a[2:] == pytest.approx(b[2:], rel=1e-6)  # single precision, summed in another order
 
 
 def test_lm_probabilities_sum_to_one(spark):
