@@ -236,6 +236,61 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.summary.select("artifacts", "observations", "identities", "core").crossJoin(F.broadcast(c.stats.agg(F.count_if("is_outlier").alias("outliers"), F.count_if(F.col("is_outlier") & F.col("path").contains("rogue")).alias("planted"))))
 
 
+def _text(spark: SparkSession, lines: list[str]) -> DataFrame:
+    """Lines of a report with their places."""
+    return spark.createDataFrame(list(enumerate(lines)), "position int, line string")
+
+
+def _drift_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.plans.report import text_report
+
+    lines = text_report(users(spark, sf_dir), "drift", skipped=3).split("\n")
+    return _text(spark, lines[: lines.index("", 2)] if "" in lines[2:] else lines)
+
+
+def _conflicts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.plans.report import text_report
+
+    return _text(spark, text_report(parts(spark, sf_dir), "conflicts").split("\n")[3:])
+
+
+def _factions_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.plans.report import text_report
+
+    return _text(spark, text_report(document_lines(spark, sf_dir), "factions").split("\n")[3:])
+
+
+def _gate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.plans.report import text_report
+
+    lines = text_report(nations(spark, sf_dir), "consensus", gate_rows=_gate(spark, sf_dir).orderBy("position").collect()).split("\n")
+    return _text(spark, lines[2:])
+
+
+def _json_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the JSON report of the nations holds: sizes of its lists, and its numbers."""
+    import json
+
+    from factweave.plans.report import json_report
+
+    doc = json.loads(json_report(nations(spark, sf_dir), skipped=2))
+    rows = [(k, float(len(v))) for k, v in doc.items() if isinstance(v, list)]
+    rows += [(f"{k}.{n}", round(float(v), 9)) for k in ("corpus", "consensus", "drift") for n, v in doc[k].items()]
+    return spark.createDataFrame(rows, "entry string, value double")
+
+
+def _yara_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.plans.report import yara
+
+    return _text(spark, yara(_inline(spark, BINARIES)).split("\n\n"))
+
+
+def _kit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.plans.report import kit_text
+
+    return _text(spark, [x for x in kit_text(_inline(spark, PAGES)).split("\n") if x.startswith(("kit #", "ungrouped"))])
+
+
 QUERIES = {
     "line_primitives": lambda s, d: text_facts(_read(s, d, "documents"), "doc_id", "text").select("artifact_id", "kind", "canonical", "line"),
     "markdown_primitives": _markdown,
@@ -275,6 +330,13 @@ QUERIES = {
     "ungrouped_forms": lambda s, d: (lambda c: creds.ungrouped_forms(_forms(c), c.factions[0]))(_inline(s, PAGES)),
     "gate_eval": _gate,
     "missing_core": _missing,
+    "report_drift_text": _drift_text,
+    "report_conflicts_text": _conflicts_text,
+    "report_factions_text": _factions_text,
+    "report_gate_text": _gate_text,
+    "report_json_counts": _json_counts,
+    "report_yara_text": _yara_text,
+    "report_kit_text": _kit_text,
     "ask_focus": _focus,
     "ask_focus_path": lambda s, d: _focus(s, d, "Why does EXAMPLE.NET/de/8 differ from the other yaml files?"),
     "ask_focus_none": lambda s, d: _focus(s, d, "Which yaml file is different? is it md, or json..."),
@@ -343,6 +405,44 @@ SELECT position, metric, threshold, round(observed, 9) AS observed, observed > t
   SELECT 0 AS position, 'conflicts' AS metric, CAST(0 AS DOUBLE) AS threshold, CAST(n AS DOUBLE) AS observed FROM o2 UNION ALL SELECT 1, 'outliers', 1000, outliers FROM o1
   UNION ALL SELECT 2, 'drift', 0.5, drift FROM o1 UNION ALL SELECT 3, 'credential-forms', 3, n FROM o3)"""),
     "missing_core": _sql("users", ", top AS (SELECT artifact_id FROM st ORDER BY drift DESC, artifact_id LIMIT 1)\nSELECT kind, c AS canonical, k FROM ids WHERE is_core AND NOT EXISTS (SELECT 1 FROM m, top WHERE m.a = top.artifact_id AND m.kind = ids.kind AND m.c = ids.c)"),
+    "report_drift_text": _sql("users", """, dr AS (SELECT row_number() OVER (ORDER BY so.drift DESC, artifact_id) AS i, * FROM so)
+SELECT CAST(p AS INT) AS position, line FROM (
+  SELECT 0 AS p, N || ' artifacts, ' || (SELECT count(*) FROM f) || ' observations, ' || (SELECT count(*) FROM ids) || ' distinct facts, 3 skipped' AS line FROM nn UNION ALL SELECT 1, ''
+  UNION ALL SELECT 2, 'Drift  mean ' || format('{:.4f}', mean) || '  deviation ' || format('{:.4f}', sd) FROM ag
+  UNION ALL SELECT 2 + i, '  ' || format('{:.4f}', drift) || '  ' || artifact_id || CASE WHEN is_outlier THEN '  OUTLIER' ELSE '' END FROM dr WHERE i <= 30)"""),
+    "report_conflicts_text": _sql("parts", """, hd AS (SELECT key, value, rank, n, a, row_number() OVER (PARTITION BY key, value ORDER BY a) AS nth FROM kv JOIN vg USING (key, value)),
+sh AS (SELECT key, value, rank, n, string_agg(CAST(a AS VARCHAR), ', ' ORDER BY a) AS names FROM hd WHERE nth <= 8 AND rank <= 6 GROUP BY ALL),
+od AS (SELECT *, row_number() OVER (ORDER BY deviants, holders DESC, key) AS o FROM cf)
+SELECT CAST(row_number() OVER (ORDER BY o, r) - 1 AS INT) AS position, line FROM (
+  SELECT o, 0 AS r, '  ' || key || '  ' || n_values || ' values, ' || holders || ' holders, ' || deviants || ' deviants' AS line FROM od
+  UNION ALL SELECT o, rank, '    ' || format('{:>6}', n) || '  ' || value || CASE WHEN rank = 1 THEN '' ELSE '  ' || names END FROM sh JOIN od USING (key))""", _CONFLICTS),
+    "report_factions_text": _sql("documents", """, fs AS (SELECT root, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS id FROM lab GROUP BY root),
+co AS (SELECT root, avg(sim) AS co FROM ed JOIN lab ON lab.a = ed.a GROUP BY root),
+nm AS (SELECT root, string_agg(CAST(a AS VARCHAR), ', ' ORDER BY a) AS names FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY a) AS nth FROM lab) WHERE nth <= 8 GROUP BY root),
+pc AS (SELECT root, kind, c, count(*) AS present FROM rare JOIN lab ON lab.a = rare.a GROUP BY ALL HAVING count(*) >= 2),
+sg AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY present DESC, c, kind) AS rank FROM pc)
+SELECT CAST(row_number() OVER (ORDER BY id, r) - 1 AS INT) AS position, line FROM (
+  SELECT id, 0 AS r, '  #' || id || '  ' || size || ' members  cohesion ' || format('{:.3f}', co) || '  ' || names AS line FROM fs JOIN co USING (root) JOIN nm USING (root) WHERE id < 10
+  UNION ALL SELECT id, rank, '    ' || format('{:>4}', present) || '  ' || c FROM sg JOIN fs USING (root) WHERE id < 10 AND rank <= 5)""", _LABELS, True),
+    "report_gate_text": "GATE_TEXT",
+    "report_json_counts": _sql("nations", """, lb AS (SELECT DISTINCT root FROM lab)
+SELECT entry, CAST(value AS DOUBLE) AS value FROM (
+  SELECT 'artifacts' AS entry, N AS value FROM nn UNION ALL SELECT 'evidence', count(*) FROM ids UNION ALL SELECT 'conflicts', count(*) FROM cf UNION ALL SELECT 'factions', count(*) FROM lb UNION ALL SELECT 'credential_forms', 0
+  UNION ALL SELECT 'corpus.artifacts', N FROM nn UNION ALL SELECT 'corpus.observations', count(*) FROM f UNION ALL SELECT 'corpus.identities', count(*) FROM ids UNION ALL SELECT 'corpus.skipped', 2
+  UNION ALL SELECT 'consensus.core', core FROM core UNION ALL SELECT 'consensus.' || b.b, count(ids.k) FROM (VALUES ('universal'), ('majority'), ('minority'), ('unique')) b(b) LEFT JOIN ids ON ids.bucket = b.b GROUP BY b.b
+  UNION ALL SELECT 'drift.mean', round(mean, 9) FROM ag UNION ALL SELECT 'drift.stddev', round(sd, 9) FROM ag)""", _LABELS + _CONFLICTS, True),
+    "report_yara_text": _sql("binaries", """, ar AS (SELECT faction_id, size, list_position(['imports', 'needs', 'exports', 'strings', 'sections'], split_part(c, '[]=', 1)) AS w, substr(c, instr(c, '[]=') + 3) AS text FROM ex WHERE instr(c, '[]=') > 0),
+av AS (SELECT faction_id, size, row_number() OVER (PARTITION BY faction_id ORDER BY w, text) - 1 AS n, ['imp', 'lib', 'exp', 'str', 'sec'][w] AS p, text FROM ar WHERE w > 0)
+SELECT CAST(row_number() OVER (ORDER BY faction_id) - 1 AS INT) AS position, 'rule factweave_family_' || (row_number() OVER (ORDER BY faction_id) - 1) || chr(10) || '{' || chr(10) || '    meta:' || chr(10) || '        members = ' || size || chr(10) || '    strings:' || chr(10)
+  || string_agg('        $' || p || n || ' = "' || text || '" ascii wide', chr(10) ORDER BY n) || chr(10) || '    condition:' || chr(10) || '        ' || CASE WHEN count(*) <= 6 THEN 'all of them' ELSE '6 of them' END || chr(10) || '}' AS line
+FROM av WHERE n < 24 GROUP BY faction_id, size""", _SIGNATURES, True),
+    "report_kit_text": _sql("pages", """, kr AS (SELECT root, faction_id, size, split_part(c, '[]=', 1) AS p FROM ex),
+kk AS (SELECT root, faction_id, size, count(*) FILTER (p IN ('field', 'formfields', 'formaction', 'resource')) > 0 AS functional FROM kr GROUP BY ALL),
+nm AS (SELECT root, string_agg(name, ', ' ORDER BY a) AS names FROM (SELECT lab.root, lab.a, regexp_extract(rtrim(path, '/'), '([^/]*)$', 1) AS name, row_number() OVER (PARTITION BY lab.root ORDER BY lab.a) AS nth FROM lab JOIN arts ON arts.a = lab.a) WHERE nth <= 8 GROUP BY root),
+ks AS (SELECT 0 AS part, row_number() OVER (ORDER BY functional DESC, size DESC, faction_id) - 1 AS i, size, functional, names FROM kk JOIN nm USING (root))
+SELECT CAST(row_number() OVER (ORDER BY part, i) - 1 AS INT) AS position, line FROM (
+  SELECT part, i, 'kit #' || i || '  ' || size || ' pages  ' || CASE WHEN functional THEN 'functional' ELSE 'visual only' END || '  ' || names AS line FROM ks
+  UNION ALL SELECT 1, artifact_id, 'ungrouped form: ' || path || '  ' || replace(fields, ',', ', ') FROM ff JOIN arts ON arts.a = artifact_id WHERE artifact_id NOT IN (SELECT a FROM lab))""", _SIGNATURES + _CREDS, True),
     "ask_focus": "SELECT page_id AS artifact_id, url AS path FROM pages WHERE contains(lower(url), 'example.net') ORDER BY page_id LIMIT 4",
     "ask_focus_path": "SELECT page_id AS artifact_id, url AS path FROM pages WHERE contains(lower(url), 'example.net/de/8') ORDER BY page_id LIMIT 4",
     "ask_focus_none": "SELECT page_id AS artifact_id, url AS path FROM pages WHERE false",
@@ -351,6 +451,11 @@ SELECT position, metric, threshold, round(observed, 9) AS observed, observed > t
 SELECT page_id AS artifact_id, 'title[]=' || t AS canonical FROM t WHERE t <> ''""",
     "generated_corpus": "SELECT CAST(2000 AS BIGINT) AS artifacts, CAST(42 * 1960 + 33 * 40 AS BIGINT) AS observations, CAST(40 + 2 * 1960 + 30 * 40 AS BIGINT) AS identities, CAST(40 AS BIGINT) AS core, CAST(40 AS BIGINT) AS outliers, CAST(40 AS BIGINT) AS planted",
 } | format_queries.ORACLE_SQL
+ORACLE_SQL["report_gate_text"] = f"""WITH g AS ({ORACLE_SQL["gate_eval"]}),
+b AS ({ORACLE_SQL["identity_stats_nations"]}),
+c AS (SELECT list_position(['universal', 'majority', 'minority', 'unique'], x.x) AS i, '  ' || format('{{:<10}}', x.x) || ' ' || count(b.k) AS line FROM (VALUES ('universal'), ('majority'), ('minority'), ('unique')) x(x) LEFT JOIN b ON b.bucket = x.x GROUP BY x.x)
+SELECT CAST(i AS INT) AS position, line FROM (SELECT 0 AS i, 'Consensus' AS line UNION ALL SELECT * FROM c UNION ALL SELECT 5, '  core       ' || count(*) FILTER (is_core) FROM b UNION ALL SELECT 6, '' UNION ALL SELECT 7, 'Gate'
+  UNION ALL SELECT 8 + position, '  ' || CASE WHEN tripped THEN 'FAIL' ELSE 'ok  ' END || '  ' || metric || ' > ' || format('{{:g}}', threshold) || ': ' || format('{{:g}}', observed) FROM g)"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
