@@ -12,8 +12,8 @@ Inside the classes of rarer words, words keep their smoothed unigram shares, and
 holds one unknown word, so probabilities sum to one over the counted words and an unknown word of each topic.
 
 Training is truncated backpropagation in numpy: training documents are dealt to groups by a hash of doc_id and text, each
-group is sorted and runs windows of ``STEPS`` tokens over its documents, each document whole in one lane with the
-state carried across windows, and the groups' weights are averaged; each training document is seen once, in two
+group is sorted and runs windows of ``STEPS`` tokens over its documents, each document whole in one lane (but for the
+few that are longer than a lane's share of all tokens) with the state carried across windows, and the groups' weights are averaged; each training document is seen once, in two
 rounds. The number of groups follows the number of training tokens, and neither the partitions nor the order of the
 input count, so scores agree, to single precision, however the table is stored. Scoring carries the state from a document's first word
 to its end.
@@ -40,10 +40,10 @@ from factweave.llm.common import materialize, release, table
 from factweave.llm.wordkernel import LOWER, Words, lean, mix, mix_int, word_chunks
 
 TOP_WORDS = 131_072
-HEAD, CLASS_WORDS, KNOWN_INPUTS, FREQUENT = 2048, 64, 512, 16_384
+HEAD, CLASS_WORDS, KNOWN_INPUTS, FREQUENT = 1024, 64, 512, 16_384
 HEAD_CLASSES = HEAD // CLASS_WORDS
 ENDINGS, PROJECTED, TOPICS = 1024, 16, 8
-HIDDEN, LANES, STEPS, RATE = 24, 128, 16, 0.06
+HIDDEN, LANES, STEPS, RATE = 16, 128, 32, 0.09
 CHUNK_BYTES, SCORE_LANES, SCORE_BLOCK = 12 << 20, 256, 32
 #: Training tokens of a group.
 GROUP_TOKENS = 3_000_000
@@ -218,10 +218,11 @@ class Network:
         return n + z * (h - n), (z, r, n, a[:, 2 * HIDDEN :], h)
 
     def log_softmax(self, h: np.ndarray) -> np.ndarray:
-        return _log_softmax(h @ self.out + self.bias)
+        logits = h @ self.out + self.bias
+        return logits - np.log(_exps(logits)[1])[:, None]
 
     def by_class(self, h: np.ndarray, slots: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per head class its tokens: ``(class, their rows of h, their words in the class, log P of all its words)``."""
+        """Per head class its tokens: ``(class, their rows of h, their words in the class, logits of all its words)``."""
         rows = np.flatnonzero(slots >= 0)
         rows = rows[np.argsort(slots[rows] // CLASS_WORDS, kind="stable")]
         cls = slots[rows] // CLASS_WORDS
@@ -229,13 +230,14 @@ class Network:
         for c in range(HEAD_CLASSES):
             if cuts[c] < cuts[c + 1]:
                 own = rows[cuts[c] : cuts[c + 1]]
-                yield c, own, slots[own] % CLASS_WORDS, _log_softmax(h[own] @ self.words[c].T + self.word_bias[c])
+                yield c, own, slots[own] % CLASS_WORDS, h[own] @ self.words[c].T + self.word_bias[c]
 
     def log_words(self, h: np.ndarray, cls: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """``ln P(class | h)``, plus ``ln P(word | class, h)`` for head words."""
-        out = self.log_softmax(h)[np.arange(len(h)), cls].astype(np.float64)
-        for _, own, word, logp in self.by_class(h, slots):
-            out[own] += logp[np.arange(len(own)), word]
+        logits = h @ self.out + self.bias
+        out = (logits[np.arange(len(h)), cls] - np.log(_exps(logits)[1])).astype(np.float64)
+        for _, own, word, logits in self.by_class(h, slots):
+            out[own] += logits[np.arange(len(own)), word] - np.log(_exps(logits)[1])
         return out
 
     def train_window(self, ids: np.ndarray, targets: np.ndarray, slots: np.ndarray, fresh: np.ndarray, real: np.ndarray, h: np.ndarray, memory: np.ndarray) -> np.ndarray:
@@ -249,9 +251,10 @@ class Network:
             tape.append(saved)
         flat_h = states.reshape(-1, HIDDEN)
         share = self.flat.dtype.type(1 / max(1, real.sum()))
-        d = np.exp(self.log_softmax(flat_h))
-        d[np.arange(len(d)), targets.ravel()] -= 1
-        d *= real.ravel()[:, None] * share
+        weight = real.ravel() * share
+        d, total = _exps(flat_h @ self.out + self.bias)
+        d *= (weight / total)[:, None]
+        d[np.arange(len(d)), targets.ravel()] -= weight
         grad = np.zeros_like(self.flat)
         g = Network.__new__(Network)
         g.shapes = self.shapes
@@ -259,40 +262,49 @@ class Network:
         g.out += flat_h.T @ d
         g.bias += d.sum(axis=0)
         into = d @ self.out.T
-        for c, own, word, logp in self.by_class(flat_h, np.where(real.ravel() > 0, slots.ravel(), -1)):
-            dw = np.exp(logp)
-            dw[np.arange(len(own)), word] -= 1
-            dw *= share
+        for c, own, word, logits in self.by_class(flat_h, np.where(real.ravel() > 0, slots.ravel(), -1)):
+            dw, total = _exps(logits)
+            dw *= (share / total)[:, None]
+            dw[np.arange(len(own)), word] -= share
             g.words[c] += dw.T @ flat_h[own]
             g.word_bias[c] += dw.sum(axis=0)
             into[own] += dw @ self.words[c]
         into = into.reshape(steps, lanes, HIDDEN)
         dx = np.empty((steps, lanes, 3 * HIDDEN), self.flat.dtype)
-        back = np.zeros((lanes, HIDDEN), self.flat.dtype)
+        da = np.empty_like(dx)  # dx with the candidate's part as the recurrent matrix sees it
+        befores = np.empty_like(states)
+        back, turned = np.zeros((lanes, HIDDEN), self.flat.dtype), np.ascontiguousarray(self.rec.T)
         for t in reversed(range(steps)):
             z, r, n, an, before = tape[t]
             dh = back + into[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            da = np.concatenate([dh * (before - n) * z * (1 - z), dn * an * r * (1 - r), dn], axis=1)
-            dx[t] = da
-            da = da.copy()
-            da[:, 2 * HIDDEN :] *= r
-            g.rec += before.T @ da
-            back = (dh * z + da @ self.rec.T) * ~fresh[t][:, None]
+            dn = dh * (1 - z)
+            dn *= 1 - n * n
+            one, two = dx[t], da[t]
+            one[:, :HIDDEN] = dh * (before - n) * z * (1 - z)
+            one[:, HIDDEN : 2 * HIDDEN] = dn * an * r * (1 - r)
+            one[:, 2 * HIDDEN :] = dn
+            two[:] = one
+            two[:, 2 * HIDDEN :] *= r
+            befores[t] = before
+            back = (dh * z + two @ turned) * ~fresh[t][:, None]
+        g.rec += befores.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
         flat_ids = ids.ravel()
         order = np.argsort(flat_ids, kind="stable")
         sorted_ids = flat_ids[order]
         heads = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
         g.table[sorted_ids[heads]] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], heads, axis=0)
         memory += grad * grad
-        self.flat -= RATE * grad / (np.sqrt(memory) + 1e-6)
+        grad /= np.sqrt(memory) + self.flat.dtype.type(1e-6)
+        grad *= self.flat.dtype.type(RATE)
+        self.flat -= grad
         return h
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+def _exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials and their sums per row. Hidden units lie in (-1, 1) and biases below 0, so logits stay far from the
+    range of a float; the bound is only a guard."""
+    e = np.exp(np.minimum(logits, 60))
+    return e, e @ np.ones(e.shape[1], e.dtype)
 
 
 def packed(fresh: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -359,6 +371,10 @@ def _train(v: Vocabulary, flat: np.ndarray):
             for w in word_chunks(texts, lower=True, chunk_bytes=1 << 62):
                 ids, cls, slot, _, row = v.encode(w)
                 before, fresh = _inputs(ids, row, net.start)
+                # a document longer than a lane's fair load goes on in another lane, from a fresh state there
+                heads = np.flatnonzero(fresh)
+                inside = np.arange(len(ids)) - np.repeat(heads, np.diff(np.r_[heads, len(ids)]))
+                fresh |= inside % max(STEPS, -(-len(ids) // LANES)) == 0
                 place, live = packed(fresh, LANES)
                 h = np.zeros((place.shape[1], HIDDEN), np.float32)
                 for t in range(0, len(place), STEPS):

@@ -542,8 +542,9 @@ def test_lm_probabilities_sum_to_one(spark):
     assert classes.sum(axis=1) == pytest.approx(np.ones(5), abs=1e-4)
     for c in range(lm_score.HEAD_CLASSES):
         slots = np.full(5, c * lm_score.CLASS_WORDS)
-        ((_, own, _, logp),) = net.by_class(h, slots)
-        assert np.exp(logp).sum(axis=1) == pytest.approx(np.ones(5), abs=1e-4)
+        ((_, own, _, logits),) = net.by_class(h, slots)
+        p = [np.exp(net.log_words(h, np.full(5, c), slots + k) - net.log_softmax(h)[:, c]) for k in range(lm_score.CLASS_WORDS)]
+        assert len(own) == 5 and logits.shape == (5, lm_score.CLASS_WORDS) and np.sum(p, axis=0) == pytest.approx(np.ones(5), abs=1e-4)
     # untrained, the model is the unigram model: a head word's class and share give its smoothed frequency
     rank = np.argsort(v.ranks)
     head = np.flatnonzero(v.ranks < lm_score.HEAD)
