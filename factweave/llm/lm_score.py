@@ -44,7 +44,7 @@ HEAD, CLASS_WORDS, KNOWN_INPUTS, FREQUENT = 1024, 64, 512, 16_384
 HEAD_CLASSES = HEAD // CLASS_WORDS
 ENDINGS, PROJECTED, TOPICS = 1024, 16, 8
 HIDDEN, LANES, STEPS, RATE = 16, 128, 32, 0.09
-CHUNK_BYTES, SCORE_LANES, SCORE_BLOCK = 12 << 20, 256, 32
+CHUNK_BYTES, SCORE_LANES, SCORE_BLOCK, SCORE_ROWS = 12 << 20, 256, 32, 10_000
 #: Training tokens of a group.
 GROUP_TOKENS = 3_000_000
 GROUPS = 32
@@ -478,7 +478,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     train = slim.where("not held_out").select("doc_id", "text")
     v, counts = vocabulary(train)
     flat = train_network(train, v)
-    scored = materialize(slim.mapInArrow(lean(_score(v, flat)), SCORED).withColumn("row", F.monotonically_increasing_id()))
+    scored = materialize(slim.mapInArrow(lean(_score(v, flat), SCORE_ROWS), SCORED).withColumn("row", F.monotonically_increasing_id()))
     rest = scored.select("row", F.explode("tail").alias("h")).join(counts, "h", "left")
     rest = rest.groupBy("row").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / v.norm)).alias("more"), F.count("c").alias("found"))
     base = F.col("base") + F.coalesce("more", F.lit(0.0))

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 CHUNK_BYTES = 4 << 20
 _SEGMENT = 1 << 20
@@ -29,9 +30,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: Rows of an Arrow batch of texts, so that batches stay small beside long documents.
+BATCH_ROWS = 2000
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = BATCH_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """An Arrow map that hands freed memory back at its end: workers are reused, and what one task took and freed would
-    otherwise stay with the process beside the next one's."""
+    otherwise stay with the process beside the next one's. The session's Arrow batches are set to ``rows`` rows."""
+    if session := SparkSession.getActiveSession():
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
