@@ -160,7 +160,7 @@ class Vocabulary:
 
 def vocabulary(train: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """The vocabulary of the training texts and the table ``h, c`` of all counts."""
-    seen = materialize(train.select("text").mapInArrow(lean(_census), "h long, ending long, c long, stat binary"))
+    seen = materialize(train.select("text").mapInArrow(lean(_census, SCORE_ROWS), "h long, ending long, c long, stat binary"))
     counts = materialize(seen.where("stat is null").groupBy("h").agg(F.sum("c").alias("c"), F.min("ending").alias("ending")).where("c > 0"))
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(TOP_WORDS).toArrow()
