@@ -45,7 +45,8 @@ HEAD_CLASSES = HEAD // CLASS_WORDS
 ENDINGS, PROJECTED, TOPICS = 1024, 16, 8
 HIDDEN, LANES, STEPS, RATE = 16, 128, 32, 0.09
 CHUNK_BYTES, SCORE_LANES, SCORE_BLOCK, SCORE_ROWS = 12 << 20, 256, 32, 10_000
-#: Training tokens of a group.
+#: Bytes of text that are laid out for training at a time, and training tokens of a group.
+TRAIN_BYTES = 4 << 20
 GROUP_TOKENS = 3_000_000
 GROUPS = 32
 END = mix_int(0xE0D0F7E87)
@@ -334,7 +335,7 @@ def _inputs(ids: np.ndarray, row: np.ndarray, start: int) -> tuple[np.ndarray, n
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]:
-    """``(group, texts)`` of consecutive rows ``text, g``: as many of one group as fill ``CHUNK_BYTES``, wherever batches end."""
+    """``(group, texts)`` of consecutive rows ``text, g``: as many of one group as fill ``TRAIN_BYTES``, wherever batches end."""
     held: list[pa.Array] = []
     group, size = None, 0
     for batch in batches:
@@ -348,11 +349,11 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]
                 held, group, size = [], groups[row], 0
             before = ends[row - 1] if row else 0
             same = int(np.searchsorted(groups, group, side="right"))  # groups are sorted
-            end = min(int(np.searchsorted(ends, before + CHUNK_BYTES - size)) + 1, same)
+            end = min(int(np.searchsorted(ends, before + TRAIN_BYTES - size)) + 1, same)
             held.append(texts.slice(row, end - row))
             size += int(ends[end - 1] - before)
             row = end
-            if size >= CHUNK_BYTES:
+            if size >= TRAIN_BYTES:
                 yield group, pa.concat_arrays(held)
                 held, size = [], 0
     if held:
