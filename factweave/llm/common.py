@@ -45,3 +45,10 @@ def running(df: DataFrame, keys: list[str], position: str, order: list[str], val
     starts = totals.select(*keys, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(position, *order).rowsBetween(Window.unboundedPreceding, 0)
     return b.join(starts, [*keys, "_bucket"]).withColumn(out, F.col("_start") + F.sum("_value").over(inside)).drop("_bucket", "_value", "_start")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of the UTF-8 bytes of ``text``, which is not empty and whose code points are below U+0800."""
+    octets = "CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)] END"
+    bits = f"flatten(list_transform(flatten(list_transform(string_split({text}, ''), lambda ch: {octets})), lambda o: [CAST(o AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce({bits}, lambda c, o: xor(xor(c, o) >> 1, 3988292384 * (xor(c, o) & 1)), CAST(4294967295 AS BIGINT)), 4294967295)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factweave.llm import decontaminate, lm_score, mixing, ngram_join, pii, quality, secrets, sharding, substring_dedup, urls
+from factweave.llm import decontaminate, line_dedup, lm_score, manifest, mixing, ngram_join, pii, quality, secrets, sharding, spelling, substring_dedup, urls
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -15,8 +15,14 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_url_reputation": urls.op10_url_reputation,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_line_dedup": line_dedup.op13_line_dedup,
 }
 ORACLE_SQL = {
     "op9_quality_rules": quality.OP9_SQL,
     "op10_url_reputation": urls.OP10_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
+    "op12_merkle_manifest": manifest.OP12_SQL,
+    "op13_line_dedup": line_dedup.OP13_SQL,
 }
