@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import WORD, global_rank, materialize, n_buckets, release, running, small, table, unit
+from factweave.llm.common import WORD, global_rank, global_sums, materialize, n_buckets, release, running, small, table, unit
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -31,19 +31,19 @@ SEED = 2
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
     """``src, source_size, target`` from rows with ``src`` (null encoded) and ``size``.
 
-    The water level rises until no further source fills up: each step is one aggregate over the sources."""
-    per = global_rank(sized.groupBy("src").agg(F.sum("size").alias("source_size")), [F.col("src") == "n", F.col("src")], "place")
+    In the order of cap by weight, the sources that fill up come first: one does if the level of what the sources before it
+    leave, over the weights from it on, reaches its cap. Both sums are running sums over sampled ranges."""
+    totals = materialize(sized.groupBy("src").agg(F.sum("size").alias("source_size")))
+    per = global_rank(totals, [F.col("src") == "n", F.col("src")], "place")
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
-    per = materialize(per.select("src", "source_size", w.alias("w"), (F.col("source_size") * epochs).alias("cap")))
-    level, full = 0.0, -1
-    while True:
-        filled = F.col("cap") <= level * F.col("w")
-        total, caps, rest, n = per.agg(F.sum("source_size"), F.sum(F.when(filled, F.col("cap"))), F.sum(F.when(~filled, F.col("w"))), F.count_if(filled)).first()
-        if not rest or n == full:
-            break
-        level, full = ((total - (caps or 0)) / rest), n
-    target = F.when(filled, F.col("cap").cast("double")).otherwise(F.lit(level) * F.col("w"))
-    return per.select("src", "source_size", target.alias("target"))
+    per = per.select("src", "source_size", w.cast("long").alias("w"), (F.col("source_size") * epochs).alias("cap"))
+    per = materialize(global_sums(materialize(per), [F.col("cap") / F.col("w"), F.col("src")], {"caps": F.col("cap"), "ws": F.col("w")}))
+    total, weight = per.agg(F.sum("source_size"), F.sum("w")).first()
+    share = (F.lit(total or 0) - F.col("caps") + F.col("cap")) / (F.lit(weight or 1) - F.col("ws") + F.col("w"))
+    per = per.withColumn("filled", F.col("cap") <= share * F.col("w"))
+    caps, rest = per.agg(F.coalesce(F.sum(F.when(F.col("filled"), F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("filled"), F.col("w"))), F.lit(0))).first()
+    level = ((total or 0) - caps) / rest if rest else 0.0
+    return per.select("src", "source_size", F.when(F.col("filled"), F.col("cap").cast("double")).otherwise(F.lit(level) * F.col("w")).alias("target"))
 
 
 def _source(docs: DataFrame) -> Column:
@@ -59,6 +59,11 @@ def _place(docs: DataFrame, seed: int) -> Column:
 def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """``doc_id, text_hash, src, u, size, source_size, target, epochs`` for every row of ``docs``; ``epochs`` is
     how often the mix takes the document (0 to ``epochs``)."""
+    return _mix(docs, weights, epochs, seed)[0]
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``fair_mix``, and the written table it reads."""
     words = F.regexp_count(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     sized = materialize(docs.select(_place(docs, seed).alias("p"), _source(docs).alias("src"), words.alias("size")).select("p.doc_id", "src", "size", "p.text_hash", "p.u"))
     targets = materialize(source_targets(sized, weights, epochs))
@@ -82,31 +87,31 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
             cut = F.struct(F.lit(last["finish"]), F.lit(last["src"]), F.lit(last["epoch"]), F.lit(last["sum"]).cast("long"))
             now = now | (F.struct(finish(F.lit(e)), F.col("src"), F.lit(e), F.col("sum")) <= cut)
         taken = taken + now.cast("int")
-    release(sized, band)
-    return queued.select("doc_id", "text_hash", "src", "u", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).cast("int").alias("epochs"))
+    release(sized, band, targets)
+    return queued.select("doc_id", "text_hash", "src", "u", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).cast("int").alias("epochs")), queued
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as the mix takes it, all columns kept."""
-    mix = fair_mix(docs, weights, epochs, seed)
+    """The mix itself: each row of ``docs`` as often as the mix takes it, all columns kept, whatever their names. Rows
+    without words are never taken; an empty table stays empty; the module's other cases hold."""
+    mix, held = _mix(docs, weights, epochs, seed)
     place = F.struct("u", "doc_id", "text_hash")
-    ends = [F.max(F.when(F.col("epochs") > e, place)).alias(f"_end{e}") for e in range(epochs)]
-    cuts = materialize(mix.groupBy(F.col("src").alias("_src")).agg(*ends))
-    own = docs.withColumns({"_src_of_row": _source(docs), "_place_of_row": _place(docs, seed)})
-    has_words = F.coalesce(docs["text"].cast("string"), F.lit("")).rlike(WORD)
-    times = sum((F.coalesce(F.col("_place_of_row") <= F.col(f"_end{e}"), F.lit(False)).cast("int") for e in range(epochs)), F.lit(0))
-    held = own.join(small(cuts), own["_src_of_row"] == F.col("_src"), "left").withColumn("_times", F.when(has_words, times).otherwise(0))
-    counts = [F.count_if(F.col("epochs") > e).alias(f"_n{e}") for e in range(epochs)]
-    repeated = materialize(mix.where("size > 0").groupBy(F.col("src").alias("_rs"), place.alias("_rp")).agg(F.count("*").alias("_n"), *counts).where("_n > 1"))
+    ends = [F.max(F.when(F.col("epochs") > e, place)).alias(f"end{e}") for e in range(epochs)]
+    cuts = materialize(mix.groupBy(F.col("src").alias("cut_src")).agg(*ends))
+    counts = [F.count_if(F.col("epochs") > e).alias(f"n{e}") for e in range(epochs)]
+    repeated = materialize(mix.where("size > 0").groupBy(F.col("src").alias("twin_src"), place.alias("twin")).agg(F.count("*").alias("n"), *counts).where("n > 1"))
+    release(held)
+    # the columns of a row stay together in one struct, so their names clash with nothing
+    own = docs.select(F.struct("*").alias("row"), _source(docs).alias("src"), _place(docs, seed).alias("at"), F.coalesce(docs["text"].cast("string"), F.lit("")).rlike(WORD).alias("worded"))
+    times = sum((F.coalesce(F.col("at") <= F.col(f"end{e}"), F.lit(False)).cast("int") for e in range(epochs)), F.lit(0))
+    taken = own.join(small(cuts), F.col("src") == F.col("cut_src"), "left").select("row", "src", "at", F.when(F.col("worded"), times).otherwise(0).alias("times"))
     if not repeated.isEmpty():
         # equal rows may be taken a different number of times: as many of them as the mix says, in order of all columns
-        same = (F.col("_src_of_row") == F.col("_rs")) & (F.col("_place_of_row") == F.col("_rp"))
-        rank = F.row_number().over(Window.partitionBy("_src_of_row", "_place_of_row").orderBy(F.xxhash64(*[docs[c] for c in docs.columns])))
-        marked = small(repeated)
-        again = held.join(marked, same).withColumn("_times", sum(((rank <= F.col(f"_n{e}")).cast("int") for e in range(epochs)), F.lit(0)))
-        held = held.join(marked, same, "left_anti").select(*docs.columns, "_times").union(again.select(*docs.columns, "_times"))
-    cols = [F.col(c) for c in docs.columns]
-    return held.where("_times > 0").select(*cols, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).select(*cols)
+        same, marked = (F.col("src") == F.col("twin_src")) & (F.col("at") == F.col("twin")), small(repeated)
+        rank = F.row_number().over(Window.partitionBy("src", "at").orderBy(F.xxhash64("row")))
+        again = taken.join(marked, same).select("row", sum(((rank <= F.col(f"n{e}")).cast("int") for e in range(epochs)), F.lit(0)).alias("times"))
+        taken = taken.join(marked, same, "left_anti").select("row", "times").union(again)
+    return taken.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:

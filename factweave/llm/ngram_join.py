@@ -554,23 +554,24 @@ def _one_component_per_id(named: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of linked rows (its smallest doc_id, null last), all columns kept. Rows are told apart
     by doc_id and text: rows without an id, and rows of one id whose texts do not link, are judged like all
-    others. Texts without words link with nothing and stay."""
+    others. Texts without words link with nothing and stay. Columns may have any names; an empty table stays empty."""
     named = row_groups(docs.select("doc_id", "text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")
-    kept = named.where("n_shingles > 0").groupBy("grp").agg(first)
-    gone = named.join(kept, "grp").where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))))
-    gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    repeated = materialize(named.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
-    text_hash = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
-    out = docs.join(small(gone), same, "left_anti")
-    if repeated.isEmpty():
-        return out
-    # equal rows: the one with the least digest of all columns stays, so reruns agree
-    cols = [F.col(c) for c in docs.columns]
-    repeated = small(repeated)
-    once = out.join(repeated, same).groupBy("_id", "_hash").agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.xxhash64(*[docs[c] for c in docs.columns])).alias("_one"))
-    return out.join(repeated, same, "left_anti").select(*cols).union(once.select("_one.*"))
+    worded = named.where("n_shingles > 0")
+    gone = worded.join(worded.groupBy("grp").agg(first), "grp").where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))))
+    gone = materialize(gone.select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash")).distinct())
+    repeated = materialize(worded.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash")))
+    release(named)
+    # the columns of a row stay together in one struct, so their names clash with nothing
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("other_id")) & (F.col("hash") == F.col("other_hash"))
+    out = rows.join(small(gone), same, "left_anti")
+    if not repeated.isEmpty():
+        # equal rows: the one with the least digest of all columns stays, so reruns agree
+        repeated = small(repeated)
+        once = out.join(repeated, same, "left_semi").groupBy("id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        out = out.join(repeated, same, "left_anti").select("row").union(once.select("row"))
+    return out.select("row.*")
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

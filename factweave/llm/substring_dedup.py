@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import materialize, n_buckets, release, running, table
+from factweave.llm.common import global_rank, materialize, release, table
 from factweave.llm.wordkernel import Words, gram_hashes, lean, word_chunks
 
 WINDOW = 20
@@ -176,15 +176,16 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
     """``doc, text, doc_id`` with ``doc`` ordered as doc_id, unique and small enough that it and a word
     position fit one long; and how many bits the position takes."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low, high, size, nulls, n = slim.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text")), F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    low, high, size, nulls = slim.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text")), F.count_if(F.col("doc_id").isNull())).first()
     shift = ((size or 0) // 2 + 2).bit_length()
     plain = not nulls and (low or 0) >= 0 and (high or 0).bit_length() + shift <= 62
     if plain and slim.groupBy("doc_id").count().where("count > 1").isEmpty():
         return slim.select(F.col("doc_id").alias("doc"), "text", "doc_id"), shift
     keyed = slim.withColumn("th", F.xxhash64("text")).withColumn("null_last", F.col("doc_id").isNotNull().cast("int"))
-    span = float((high or 0) - (low or 0) + 2)
-    ids = keyed.select("doc_id", "th", "null_last").distinct().withColumn("all", F.lit(0)).withColumn("u", F.coalesce((F.col("doc_id") - F.lit(low or 0) + 1) / span, F.lit(0.0)))
-    ranked = running(ids, ["all"], "u", ["null_last", "doc_id", "th"], F.lit(1).cast("long"), "doc", n_buckets(n)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "doc")
+    ids = materialize(keyed.select("doc_id", "th", "null_last").distinct())
+    ranked = global_rank(ids, [F.col("null_last"), F.col("doc_id"), F.col("th")], "doc").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "doc")
+    ranked = materialize(ranked)
+    release(ids)
     return keyed.join(ranked, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("doc", "text", "doc_id"), shift
 
 

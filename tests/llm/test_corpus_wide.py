@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.llm import line_dedup, manifest, spelling
+from factweave.llm import common, line_dedup, manifest, mixing, ngram_join, substring_dedup, spelling
 from tests.llm import brute
 from tests.llm.test_operators import EDGES, SCHEMA, documents, empty, table
 
@@ -122,3 +122,48 @@ def test_crc32_sql():
     con = connection()
     for s in ("1:a", "-12:été", "99:" + "x" * 300):
         assert con.execute(f"SELECT {crc32_sql(repr(s))}").fetchone()[0] == zlib.crc32(s.encode())
+
+
+CLASHING = "_id long, _hash string, _src long, _src_of_row long, _place_of_row long, _end0 long, _times long, _time long, _n long, _n0 long, _rs long, row long, id long, hash long, src long, at long, twin long, n long, times long, end0 long, worded long, doc_id long, text string, source string"
+
+
+def clashing(spark, rows):
+    names = CLASHING.count(",") - 2
+    return spark.createDataFrame([(*("1" if k == 1 else k for k in range(names)), i, t, s) for i, t, s in rows], CLASHING)
+
+
+def test_stages_take_any_column_names(spark):
+    """Columns named like those of a plan, with rows that repeat."""
+    rows = [(i, " ".join(f"w{i * k}" for k in range(30)), "ab"[i % 2]) for i in range(12)] + [(3, " ".join(f"w{3 * k}" for k in range(30)), "b")] * 2 + [(None, None, None)]
+    docs = clashing(spark, rows)
+    one = ngram_join.keep_one(docs)
+    assert one.columns == docs.columns and sorted(map(repr, one.collect())) == sorted(set(map(repr, docs.collect())))
+    mix = mixing.mixed_documents(docs)
+    assert mix.columns == docs.columns and {tuple(r)[:-3] for r in mix.collect()} == {tuple(docs.first())[:-3]}
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0 and ngram_join.keep_one(docs.limit(0)).count() == 0
+
+
+def test_substring_dedup_takes_any_ids(spark):
+    """Ids at both ends of a long, and one far from all others."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(-(2**63), base, "s"), (2**63 - 1, base + " tail", "s"), (0, "x " * 50, "s"), (5, base, "s"), (None, None, "s")]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(table(spark, rows)).collect()}
+    want = brute.remove_repeats([(i, t) for i, t, _ in rows if i is not None])
+    assert {i: got[i] for i in want} == want
+
+
+def test_running_sums_by_spans(spark, monkeypatch):
+    monkeypatch.setattr(common, "SPAN", 3)
+    rows = spark.range(500).select(F.col("id"), (F.col("id") % 2).alias("k"), (F.col("id") / 500).alias("u"))
+    got = common.running(rows, ["k"], "u", ["id"], F.col("id"), "sum", 40).collect()
+    assert all(r["sum"] == sum(range(r["k"], r["id"] + 1, 2)) for r in got)
+
+
+def test_source_targets_equal_plain_water_levels(spark):
+    rng = random.Random(8)
+    sizes = {f"s{k:02}": rng.choice([0, 1, 5, 40, 1000, 30_000]) for k in range(40)} | {None: 7}
+    sized = spark.createDataFrame([("n" if s is None else "s" + s, v) for s, v in sizes.items()], "src string, size long")
+    got = {r["src"]: r["target"] for r in mixing.source_targets(sized).collect()}
+    want = brute.targets(sizes)
+    assert got == pytest.approx({"n" if s is None else "s" + s: v for s, v in want.items()})
+    assert mixing.source_targets(sized.limit(0)).count() == 0
