@@ -4,8 +4,8 @@ Each text is cut at line feeds and exploded to normalised lines (blanks stripped
 which are hashed to 128 bits. Documents are counted per hash in two steps: first one row per hash and document,
 dealt by both, then one count per hash with map-side sums, so a line that every document holds is one row a task.
 Hashes of at least ``min_docs`` documents are looked up among the lines again, and the places they hold are
-gathered per document; only documents that lose a line are joined with them, and the lines left are put together
-by position. Texts are shuffled once, or not at all where the places fit a broadcast.
+gathered per document and joined with it, and the lines left are put together by position. Texts are shuffled once and
+not sorted.
 
 The lookup never meets a hot key: the hashes that hold at least one in ``HEAVY`` of all shared places are at most
 ``HEAVY`` and are broadcast; the rest are broadcast too if they are few, and shuffled otherwise.
@@ -26,7 +26,7 @@ from factweave.llm.common import lower_ascii, materialize, release, table
 MIN_DOCS = 10
 #: Characters stripped from a key at both ends.
 BLANKS = " \t\n\x0b\x0c\r"
-#: At most so many hashes are broadcast, and at most so many rows of places.
+#: At most so many hashes are broadcast.
 HEAVY = 100_000
 
 
@@ -92,9 +92,7 @@ def _left(text: Column, drop: Column) -> Column:
 def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = 1, heavy: int = HEAVY) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``), ``text`` without the lines that go, ``n_lines`` before and ``n_dropped``."""
     places = dropped_places(docs, min_docs, min_chars, heavy)
-    rows, held = places.agg(F.count("*"), F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()
-    theirs = places.select(F.col("id").alias("id2"), F.col("body").alias("body2"), "drop")
-    theirs = F.broadcast(theirs) if rows + held <= heavy else theirs.hint("shuffle_hash")
+    theirs = places.select(F.col("id").alias("id2"), F.col("body").alias("body2"), "drop").hint("shuffle_hash")
     mine = _keyed(docs.select(F.struct("*").alias("row"), "doc_id", "text"), "row")
     met = mine.join(theirs, mine["id"].eqNullSafe(F.col("id2")) & (F.col("body") == F.col("body2")), "left")
     done = met.select("row", _left(F.col("row.text"), F.col("drop")).alias("out"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))

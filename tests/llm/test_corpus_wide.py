@@ -99,7 +99,7 @@ def shared(spark, rng):
     return rows + EDGES + [(300, LONG, "s"), (301, LONG.upper(), "s"), (302, "É\né", "s"), (303, "\n\n", "s")] + documents(spark)[:60]
 
 
-@pytest.mark.parametrize("heavy", [line_dedup.HEAVY, 3, 1])  # broadcasts; hot hashes apart, the rest and the places shuffled
+@pytest.mark.parametrize("heavy", [line_dedup.HEAVY, 3, 1])  # all hashes broadcast; the hot ones apart and the rest shuffled
 def test_line_dedup(spark, heavy):
     rows = shared(spark, random.Random(4))
     out = line_dedup.drop_shared_lines(table(spark, rows), heavy=heavy)
