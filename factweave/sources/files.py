@@ -1,13 +1,12 @@
 """Files and directory trees as artifacts.
 
-Paths are listed on the driver (metadata only) because Spark's own file listing hides dot and underscore
-names; bytes are read by the tasks. ``spread`` reads through Hadoop's file systems for trees that only
+Trees are listed by tasks (``tree``), because Spark's own file listing hides dot and underscore names; bytes are read by
+tasks too, and no list of paths passes the driver. ``spread`` reads through Hadoop's file systems for trees that only
 Spark can open.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,116 +14,86 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions.formats import extract
-from factweave.functions.graph import materialize, small
+from factweave.functions.graph import materialize, release
 from factweave.functions.order import global_rank
 from factweave.sources.content import MAX_BYTES, FactBatches, extract_rows, routed, routed_kind
 from factweave.sources.rows import FACTS
+from factweave.sources.tree import KINDS, SKIPPED, store, tree
 
-#: Directories and names never entered, and kinds by extension.
-SKIPPED = frozenset(".git .svn .hg zig-out .zig-cache zig-cache node_modules target .venv __pycache__".split())
-KINDS = {
-    "json": "json",
-    "yaml yml": "yaml",
-    "xml svg xsd xsl plist": "xml",
-    "html htm": "html",
-    "pdf": "pdf",
-    "cbor": "cbor",
-    "exe dll so dylib bin o a wasm elf": "binary",
-    "md markdown": "markdown",
-    "ini conf cfg toml properties env": "config",
-}
-_BY_EXTENSION = {e: k for es, k in KINDS.items() for e in es.split()}
-
-
-def should_skip(relative: str) -> bool:
-    """Whether a path below a walked root is hidden or a build or cache folder; ``.env`` itself is kept."""
-    return any(p in SKIPPED or (p.startswith(".") and p not in (".env", ".", "..")) for p in relative.split("/"))
-
-
-def kind_of(path: str) -> str:
-    base = path.rpartition("/")[2]
-    if base == ".env":
-        return "config"
-    stem, dot, ext = base.rpartition(".")
-    return _BY_EXTENSION.get(ext.lower(), "text") if dot and stem else "text"
-
-
-def discover(paths: list[str]) -> list[tuple[str, int]]:
-    """``(path, size)`` of every file, in byte order of path: directories are walked without following links,
-    other arguments are taken as they are. A path given twice is two artifacts."""
-    out = []
-    for p in paths:
-        if not os.path.isdir(p):
-            out.append((p, os.stat(p).st_size))
-            continue
-        for top, dirs, names in os.walk(p):
-            rel = os.path.relpath(top, p)
-            below = lambda n: n if rel == "." else f"{rel}/{n}"
-            dirs[:] = [d for d in dirs if not should_skip(below(d))]
-            for n in names:
-                full = os.path.join(top, n)
-                if not should_skip(below(n)) and not os.path.islink(full) and os.path.isfile(full):
-                    out.append((full, os.stat(full).st_size))
-    return sorted(out, key=lambda x: os.fsencode(x[0]))
-
-
-def _content(path: str, size: int) -> bytes | None:
+#: Files of about so many make a task; its batches of contents hold about so many bytes.
+FILES_PER_TASK, READ_BYTES = 512, 32 << 20
+
+
+def _content(path: bytes, size: int) -> bytes | None:
     if size > MAX_BYTES:
         return None
     try:
-        with open(path, "rb") as f:
+        fs, inner = store(path)
+        with open(inner, "rb") if fs is None else fs.open_input_stream(inner) as f:
             return f.read(MAX_BYTES + 1)
     except OSError:
         return None
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, types = ["path", "kind", "size", "content"], [pa.string(), pa.string(), pa.int64(), pa.binary()]
     for batch in batches:
-        for ord_, path, kind, size in zip(*(c.to_pylist() for c in batch.columns)):
-            content = _content(path, size)
+        rows, held = [], 0
+        for _, path, raw, kind, size in zip(*(c.to_pylist() for c in batch.columns)):
+            content = _content(raw, size)
             kind = routed_kind(kind, content)
-            yield pa.RecordBatch.from_arrays([pa.array([ord_]), pa.array([path]), pa.array([kind], pa.string()), pa.array([size]), pa.array([content if kind else None], pa.binary())], names=["ord", "path", "kind", "size", "content"])
+            rows.append((path, kind, size, content if kind else None))
+            held += len(content or b"")
+            if held >= READ_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Facts by listing number; before them one row ``ord = -1`` per file with the kind it was read as (null if
-    skipped) and its path."""
+    """Facts by listing key; before them one row ``ord = -1`` per file with the kind it was read as (null if
+    skipped)."""
     held = FactBatches()
     for batch in batches:
-        for ord_, path, kind, size in zip(*(c.to_pylist() for c in batch.columns)):
-            content = _content(path, size)
+        for key, _, raw, kind, size in zip(*(c.to_pylist() for c in batch.columns)):
+            content = _content(raw, size)
             kind = routed_kind(kind, content)
-            held.add(ord_, [(kind, path, 0)], -1)
+            held.add(key, [(kind, "", 0)], -1)
             if kind:
-                held.add(ord_, extract(kind, content))
+                held.add(key, extract(kind, content))
             if held.full():
                 yield held.take()
     yield held.take()
 
 
-def _listed(spark: SparkSession, paths: list[str], slices: int | None) -> DataFrame:
-    rows = [(i, p, kind_of(p), s) for i, (p, s) in enumerate(discover(paths))]
-    return spark.createDataFrame(rows, "ord long, path string, kind string, size long").repartition(slices or max(1, min(len(rows) // 64 + 1, 4096)))
+def _listed(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """The written listing ``key, path, raw, kind, size``, the same dealt out to reading tasks, and its length."""
+    listed = materialize(tree(spark, paths).select(F.monotonically_increasing_id().alias("key"), "path", "raw", "kind", "size"))
+    n = listed.count()
+    return listed, listed.repartition(max(spark.sparkContext.defaultParallelism, min(n // FILES_PER_TASK + 1, 100_000))), n
 
 
-def read_paths(spark: SparkSession, paths: list[str], slices: int | None = None) -> DataFrame:
-    """``ord, path, kind, size, content`` of every listed file; skipped files have a null kind."""
-    return _listed(spark, paths, slices).mapInArrow(_read, "ord long, path string, kind string, size long, content binary")
+def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, kind, size, content`` of every file; skipped files have a null kind."""
+    return _listed(spark, paths)[1].mapInArrow(_read, "path string, kind string, size long, content binary")
 
 
 def from_paths(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, int]:
-    """``(artifacts, facts, skipped)``. Ids are dense over kept files in path order. A binary's stored kind is
-    ``binary``; a sniffed text keeps the kind ``text``. Only the listing passes the driver: each file is read once, by a
-    task, and its facts are written out before ids are given."""
-    listed = _listed(spark, paths, None)
-    read = materialize(listed.mapInArrow(_extracted, FACTS))
-    seen = read.where("ord = -1")
-    kept = global_rank(seen.where("kind is not null").select(F.col("artifact_id").alias("_ord"), "kind"), [F.col("_ord")], "id")
-    kept = materialize(kept)
-    artifacts = kept.join(listed.select(F.col("ord").alias("_ord"), "path", "size"), "_ord").select(F.col("id").cast("long").alias("artifact_id"), "path", "kind", "size")
-    ids = small(kept.select(F.col("_ord").alias("artifact_id"), F.col("id").cast("long").alias("_id")))
-    facts = read.where("ord >= 0").join(ids, "artifact_id").select(F.col("_id").alias("artifact_id"), "ord", "kind", "canonical", "line")
-    return artifacts, facts, seen.where("kind is null").count()
+    """``(artifacts, facts, skipped)``. Ids are dense over kept files in byte order of their paths. A binary's stored kind is
+    ``binary``; a sniffed text keeps the kind ``text``. Each file is read once, by a task, and its facts are written out
+    before ids are given; facts meet their ids by one narrow join."""
+    listed, dealt, n = _listed(spark, paths)
+    read = materialize(dealt.mapInArrow(_extracted, FACTS))
+    seen = read.where("ord = -1 and kind is not null").select(F.col("artifact_id").alias("key"), "kind")
+    kept = listed.drop("kind").join(seen, "key")
+    kept = materialize(global_rank(kept, [F.col("raw"), F.col("key")], "artifact_id"))
+    release(listed)
+    n_kept = kept.count()
+    ids = kept.select("key", "artifact_id")
+    ids = F.broadcast(ids) if n_kept <= 200_000 else ids
+    facts = read.where("ord >= 0").withColumnRenamed("artifact_id", "key").join(ids, "key").select("artifact_id", "ord", "kind", "canonical", "line")
+    return kept.select("artifact_id", "path", "kind", "size"), facts, n - n_kept
 
 
 def spread(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
