@@ -48,14 +48,15 @@ def test_spelling_variants(spark, worded, seats):
     assert len({w[2] for w in want}) < len(want) and any(w[1] and w[1] != w[2] for w in want)
 
 
-def test_spelling_variants_of_documents_with_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(spelling, "BLOCK", 8)
+def test_spelling_variants_of_documents(spark):
     rows = documents(spark)[:25]
     assert spelled(spelling.spelling_variants(table(spark, rows), seats=200)) == brute.spelling(rows)
     assert spelling.spelling_variants(empty(spark)).count() == 0
 
 
-def test_trie_finds_all_within_budget():
+@pytest.mark.parametrize("block", [1, 8, 1 << 18])  # blocks of the search that are halved to one query, and whole ones
+def test_trie_finds_all_within_budget(monkeypatch, block):
+    monkeypatch.setattr(spelling, "BLOCK", block)
     rng = random.Random(3)
     words = sorted({"".join(rng.choice("abcdqz") for _ in range(rng.randrange(1, 8))) for _ in range(400)} | {"a" * 40, "a" * 41, "a" * 15, "a" * 16})
     vec = spelling.vectors(words)
