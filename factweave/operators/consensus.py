@@ -48,6 +48,13 @@ def bucket_counts(ids: DataFrame) -> DataFrame:
     return labels.join(ids.groupBy("bucket").agg(F.count("*").alias("n")), "bucket", "left").na.fill(0, ["n"])
 
 
+def bucket_rollup(ids: DataFrame) -> DataFrame:
+    """``kind, bucket, identities, holders, occurrences`` per kind and bucket, per kind, per bucket and over all (null where
+    summed over): one pass over the identities."""
+    sets = [[F.col("kind"), F.col("bucket")], [F.col("kind")], [F.col("bucket")], []]
+    return ids.groupingSets(sets, F.col("kind"), F.col("bucket")).agg(F.count("*").alias("identities"), F.sum("k").alias("holders"), F.sum("occurrences").alias("occurrences"))
+
+
 def occurrences(facts: DataFrame) -> DataFrame:
     """Every occurrence as a row ``kind, canonical, artifact_id, ord, line``, one identity's together and in feed order:
     a range sort, so the index of a fact that every artifact holds is spread over as many tasks as it needs."""

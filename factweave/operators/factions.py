@@ -12,21 +12,20 @@ from pyspark.sql import functions as F
 
 from factweave.functions.graph import components, materialize, release
 from factweave.functions.order import global_rank
+from factweave.operators.dictionary import dictionary, encoded
 
 PAIR_CAP, THRESHOLD, SIGNATURE = 1024, 0.5, 8
 
 
-def distinctive(members: DataFrame, ids: DataFrame) -> DataFrame:
-    """Membership restricted to distinctive identities."""
-    keys = ids.where((F.col("bucket") == "minority") & (F.col("k") <= PAIR_CAP)).select("kind", "canonical")
-    return members.join(keys, ["kind", "canonical"], "left_semi").select("artifact_id", "kind", "canonical")
+def distinctive(ids: DataFrame) -> DataFrame:
+    """The distinctive identities, numbered: ``kind, canonical, identity``."""
+    return dictionary(ids.where((F.col("bucket") == "minority") & (F.col("k") <= PAIR_CAP)))
 
 
 def minority_pairs(rare: DataFrame) -> DataFrame:
-    """``a, b, shared`` with a < b: holders of one identity (bounded by the cap) meet in a self-join whose two sides
-    are one shuffle; counts combine before the next."""
-    x, y = rare.select("kind", "canonical", F.col("artifact_id").alias("a")), rare.select("kind", "canonical", F.col("artifact_id").alias("b"))
-    pairs = x.join(y, ["kind", "canonical"]).where("a < b")
+    """``a, b, shared`` with a < b from ``artifact_id, identity``: holders of one identity (bounded by the cap) meet in a
+    self-join whose two sides are one shuffle of longs; counts combine before the next."""
+    pairs = rare.select("identity", F.col("artifact_id").alias("a")).join(rare.select("identity", F.col("artifact_id").alias("b")), "identity").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
@@ -43,11 +42,13 @@ def faction_members(edges: DataFrame) -> DataFrame:
     return components(edges).select(F.col("id").alias("artifact_id"), F.col("component").alias("root"))
 
 
-def faction_signature(labels: DataFrame, rare: DataFrame, top: int = SIGNATURE) -> DataFrame:
-    """Per faction the distinctive identities most of its members share: ``root, rank, kind, canonical, present``."""
-    held = rare.join(labels, "artifact_id").groupBy("root", "kind", "canonical").agg(F.count("*").alias("present")).where("present >= 2")
-    order = Window.partitionBy("root").orderBy(F.desc("present"), "canonical", "kind")
-    return held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("root", "rank", "kind", "canonical", "present")
+def faction_signature(labels: DataFrame, rare: DataFrame, names: DataFrame, top: int = SIGNATURE) -> DataFrame:
+    """Per faction the distinctive identities most of its members share: ``root, rank, kind, canonical, present``. Only
+    the identities shown are named."""
+    held = rare.join(labels, "artifact_id").groupBy("root", "identity").agg(F.count("*").alias("present")).where("present >= 2")
+    order = Window.partitionBy("root").orderBy(F.desc("present"), "identity")
+    shown = held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return shown.join(names, "identity").select("root", "rank", "kind", "canonical", "present")
 
 
 def faction_cohesion(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,10 +60,11 @@ def faction_cohesion(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 def factions(members: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(labels, factions, signature)``; factions are numbered by size, then first member."""
-    rare = materialize(distinctive(members, ids))
+    names = distinctive(ids)
+    rare = materialize(encoded(members, names))
     edges = materialize(similarity_edges(rare))
     labels = materialize(faction_members(edges))
     table = global_rank(faction_cohesion(labels, edges), [F.desc("size"), F.col("root")], "faction_id").withColumn("faction_id", F.col("faction_id").cast("int"))
-    table, signature = materialize(table.select("faction_id", "root", "size", "cohesion")), materialize(faction_signature(labels, rare))
-    release(rare, edges)
+    table, signature = materialize(table.select("faction_id", "root", "size", "cohesion")), materialize(faction_signature(labels, rare, names))
+    release(rare, edges, names)
     return labels, table, signature

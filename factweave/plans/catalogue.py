@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.functions.graph import shared_dir
 from factweave.functions.order import global_rank
-from factweave.operators import conflicts, consensus, creds, factions, gate, signatures
+from factweave.operators import conflicts, consensus, creds, factions, gate, postings, signatures
+from factweave.operators.dictionary import dictionary, encoded
 from factweave.plans import format_queries
 from factweave.plans.corpus import Corpus
 from factweave.sources.rows import config_facts, markdown_facts, table_artifacts, table_facts, text_facts
+from factweave.streaming.incremental import IncrementalConsensus, in_batches
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,7 +171,7 @@ def _ids(c: Corpus) -> DataFrame:
 
 
 def _rare(c: Corpus) -> DataFrame:
-    return factions.distinctive(c.members, c.identities)
+    return encoded(c.members, factions.distinctive(c.identities))
 
 
 def _forms(c: Corpus) -> DataFrame:
@@ -291,6 +296,12 @@ def _kit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(spark, [x for x in kit_text(_inline(spark, PAGES)).split("\n") if x.startswith(("kit #", "ungrouped"))])
 
 
+def _incremental(spark: SparkSession, sf_dir: str) -> IncrementalConsensus:
+    """Documents fed in four batches that share most of their artifacts."""
+    c = document_lines(spark, sf_dir)
+    return in_batches(IncrementalConsensus(spark, f"{shared_dir(spark)}/factweave-state-{uuid.uuid4().hex}", compact=2), c.artifacts, c.facts, 4)
+
+
 QUERIES = {
     "line_primitives": lambda s, d: text_facts(_read(s, d, "documents"), "doc_id", "text").select("artifact_id", "kind", "canonical", "line"),
     "markdown_primitives": _markdown,
@@ -308,6 +319,12 @@ QUERIES = {
     "unique_evidence": _unique,
     "occurrence_index": _occurrences,
     "occurrences": lambda s, d: consensus.occurrences(document_lines(s, d).facts).select("kind", "canonical", "artifact_id", "line"),
+    "posting_occurrences": lambda s, d: postings.posting_rows(postings.posting_blocks(document_lines(s, d).facts)).select("kind", "canonical", "artifact_id", "line"),
+    "posting_totals": lambda s, d: postings.posting_blocks(users(s, d).facts).groupBy("kind", "canonical").agg(F.sum("n").alias("total"), F.min("first_artifact").alias("first"), F.max("last_artifact").alias("last")),
+    "dictionary": lambda s, d: dictionary(document_lines(s, d).identities),
+    "incremental_identities": lambda s, d: _incremental(s, d).identities.select("kind", "canonical", "k", "occurrences", "bucket", "is_core", "is_unique"),
+    "incremental_drift": lambda s, d: _incremental(s, d).stats.select("artifact_id", "total", "in_core", "n_unique", F.round("drift", 9).alias("drift"), "is_outlier"),
+    "bucket_rollup": lambda s, d: consensus.bucket_rollup(users(s, d).identities.unionByName(document_lines(s, d).identities)),
     "conflicts": lambda s, d: conflicts.conflicts(parts(s, d).members),
     "conflict_values": lambda s, d: conflicts.value_groups(parts(s, d).members),
     "conflict_holders": lambda s, d: conflicts.value_holders(parts(s, d).members),
@@ -370,6 +387,13 @@ SELECT artifact_id, rank, kind, canonical FROM (SELECT tp.artifact_id, row_numbe
     "occurrence_index": _sql("documents", """SELECT kind, c AS canonical, count(*) AS total, string_agg(a || ':' || ln, ',' ORDER BY a, ln) FILTER (nth <= 16) AS occurrences
 FROM (SELECT *, row_number() OVER (PARTITION BY kind, c ORDER BY a, ln) AS nth FROM f) GROUP BY kind, c"""),
     "occurrences": _sql("documents", "SELECT kind, c AS canonical, a AS artifact_id, CAST(ln AS INT) AS line FROM f"),
+    "posting_occurrences": _sql("documents", "SELECT kind, c AS canonical, a AS artifact_id, CAST(ln AS INT) AS line FROM f"),
+    "posting_totals": _sql("users", "SELECT kind, c AS canonical, count(*) AS total, min(a) AS first, max(a) AS last FROM f GROUP BY kind, c"),
+    "dictionary": _sql("documents", "SELECT kind, c AS canonical, row_number() OVER (ORDER BY c, kind) - 1 AS identity FROM ids"),
+    "incremental_identities": _sql("documents", _IDS),
+    "incremental_drift": _sql("documents", _STATS),
+    "bucket_rollup": f"""WITH x AS ({_sql("users", _IDS)} UNION ALL SELECT * FROM ({_sql("documents", _IDS)}))
+SELECT kind, bucket, count(*) AS identities, CAST(sum(k) AS BIGINT) AS holders, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM x GROUP BY GROUPING SETS ((kind, bucket), (kind), (bucket), ())""",
     "conflicts": _sql("parts", "SELECT * FROM cf", _CONFLICTS),
     "conflict_values": _sql("parts", "SELECT * FROM vg", _CONFLICTS),
     "conflict_holders": _sql("parts", "SELECT key, value, rank, n, a AS artifact_id FROM kv JOIN vg USING (key, value)", _CONFLICTS),
