@@ -91,7 +91,7 @@ def _signature(command: str, argv: list[str]) -> int:
     spark = _session()
     c, _ = _load(spark, a.paths)
     if command == "yara":
-        print(report.yara(c, report.chunk_bytes(c, _contents(spark, a.paths, c.artifacts))))
+        print(report.yara(c, report.chunk_heads(c, _contents(spark, a.paths, c.artifacts))))
     else:
         print(report.kit_json(c) if a.json else report.kit_text(c))
     return gate.EXIT_OK

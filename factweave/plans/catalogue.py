@@ -11,7 +11,7 @@ from factweave.functions.graph import shared_dir
 from factweave.functions.order import global_rank
 from factweave.operators import conflicts, consensus, creds, factions, gate, postings, signatures
 from factweave.operators.dictionary import dictionary, encoded
-from factweave.plans import format_queries
+from factweave.plans import composed, format_queries, report
 from factweave.plans.corpus import Corpus
 from factweave.sources.rows import config_facts, markdown_facts, table_artifacts, table_facts, text_facts
 from factweave.streaming.incremental import IncrementalConsensus, in_batches
@@ -112,42 +112,7 @@ def _lines_as_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("artifact_id"), F.lit("kv").alias("kind"), value.alias("canonical"))
 
 
-#: Inline pages: path, facts in feed order.
-PAGES = [
-    (0, "http://bank.example/login", ["field[]=username", "field[]=password", "formaction[]=evil.example", "formhost[]=evil.example", "resource[]=cdn.example", "shape[]=aa11", "title[]=Bank"]),
-    (1, "http://bank2.example/login", ["field[]=username", "field[]=password", "formaction[]=evil.example", "formhost[]=evil.example", "resource[]=cdn.example", "shape[]=aa11", "title[]=Bank"]),
-    (2, "http://bank3.example/in", ["field[]=username", "field[]=password", "formaction[]=evil.example", "formhost[]=evil.example", "resource[]=cdn.example", "shape[]=aa11", "title[]=Other"]),
-    (3, "http://shop.example/pay", ["field[]=card_no", "field[]=cvv", "formhost[]=shop.example", "title[]=Pay", "shape[]=cc33"]),
-    (4, "http://find.example/", ["field[]=q", "formhost[]=find.example", "title[]=Search", "shape[]=dd44"]),
-    (5, "http://mail.example/", ["field[]=email", "title[]=Mail", "shape[]=ee55"]),
-    (6, "http://news.example/", ["title[]=News", "resource[]=img.example", "shape[]=ff66"]),
-    (7, "http://blog.example/", ["title[]=Blog", "resource[]=blog.example", "shape[]=ab77"]),
-    (8, "HTTP://Upper.example/in", ["field[]=pwd", "formhost[]=other.example", "title[]=Upper", "shape[]=ba88"]),
-    (9, "saved/page.html", ["field[]=pwd2", "formhost[]=other2.example", "title[]=Saved", "shape[]=ca99"]),
-    *[(10 + i, f"https://look{i}.example/", ["meta[]=generator=K", "heading[]=h1:Same", "path[]=html>body", "shape[]=da10", f"title[]=Look{i}"]) for i in range(2)],
-    *[(12 + i, f"https://pay{i}.example/", ["field[]=otp", "field[]=iban", "formfields[]=f0f0", "resource[]=kit.example", f"title[]=Pay{i}"]) for i in range(2)],
-]
-#: Inline binaries: path and facts; two families of three and four others.
-BINARIES = [
-    *[(i, f"good{i}.bin", ["binary.format=elf/x86_64", "imports[]=malloc", f"strings[]=own{i}"]) for i in range(4)],
-    *[(i, f"bad{i}.bin", ["binary.format=elf/x86_64", "imports[]=malloc", "imports[]=ptrace", "needs[]=libevil.so", "strings[]=c2.example", f"strings[]=own{i}"]) for i in range(4, 7)],
-    *[(i, f"worm{i}.bin", ["binary.format=elf/x86_64", "exports[]=spread", "sections[]=.worm", f"strings[]=own{i}"]) for i in range(7, 10)],
-]
-
-
-def _inline(spark: SparkSession, rows: list) -> Corpus:
-    arts = spark.createDataFrame([(i, p, "html", 0) for i, p, _ in rows], "artifact_id long, path string, kind string, size long")
-    facts = spark.createDataFrame([(i, n, "kv", c, 0) for i, _, cs in rows for n, c in enumerate(cs)], "artifact_id long, ord int, kind string, canonical string, line int")
-    return Corpus(arts, facts)
-
-
-def _inline_sql(rows: list) -> str:
-    arts = ", ".join(f"({i}, '{p}')" for i, p, _ in rows)
-    facts = ", ".join(f"({i}, {n}, 'kv', '{c}')" for i, _, cs in rows for n, c in enumerate(cs))
-    return f"arts AS (SELECT * FROM (VALUES {arts}) v(a, path)),\nf AS (SELECT * FROM (VALUES {facts}) v(a, ord, kind, c))"
-
-
-_FACTS["pages"], _FACTS["binaries"] = _inline_sql(PAGES), _inline_sql(BINARIES)
+_FACTS["pages"], _FACTS["binaries"] = composed.PAGES_SQL, composed.BINARIES_SQL
 _SIGNATURES = _LABELS + """,
 fs AS (SELECT root, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS faction_id FROM lab GROUP BY root),
 ex AS (SELECT lab.root, m.kind, m.c, fs.faction_id, fs.size FROM m JOIN lab ON lab.a = m.a JOIN fs ON fs.root = lab.root JOIN ids ON ids.kind = m.kind AND ids.c = m.c GROUP BY lab.root, m.kind, m.c, fs.faction_id, fs.size, ids.k HAVING count(*) = fs.size AND ids.k = fs.size)"""
@@ -171,6 +136,7 @@ def _ids(c: Corpus) -> DataFrame:
 
 
 def _rare(c: Corpus) -> DataFrame:
+    c.reused = True  # read for the dictionary and again with it
     return encoded(c.members, factions.distinctive(c.identities))
 
 
@@ -180,7 +146,7 @@ def _forms(c: Corpus) -> DataFrame:
 
 def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, p = users(spark, sf_dir), parts(spark, sf_dir)
-    row = gate.metrics(p.conflicts, u.stats, _inline(spark, PAGES).credential_forms)
+    row = gate.metrics(p.conflicts, u.stats, composed.pages(spark, sf_dir).credential_forms)
     return gate.evaluate(row, gate.parse("conflicts, outliers>1000, drift>0.5, credential-forms>3")).withColumn("observed", F.round("observed", 9))
 
 
@@ -247,53 +213,27 @@ def _text(spark: SparkSession, lines: list[str]) -> DataFrame:
 
 
 def _drift_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factweave.plans.report import text_report
-
-    lines = text_report(users(spark, sf_dir), "drift", skipped=3).split("\n")
+    lines = report.text_report(users(spark, sf_dir), "drift", skipped=3).split("\n")
     return _text(spark, lines[: lines.index("", 2)] if "" in lines[2:] else lines)
 
 
-def _conflicts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factweave.plans.report import text_report
-
-    return _text(spark, text_report(parts(spark, sf_dir), "conflicts").split("\n")[3:])
-
-
-def _factions_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factweave.plans.report import text_report
-
-    return _text(spark, text_report(document_lines(spark, sf_dir), "factions").split("\n")[3:])
+def _lines(rows: DataFrame, *order: str) -> DataFrame:
+    """Lines that tasks rendered, with their places in a global order."""
+    return global_rank(rows, [F.col(o) for o in order], "position").select(F.col("position").cast("int").alias("position"), "line")
 
 
 def _gate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factweave.plans.report import text_report
-
-    lines = text_report(nations(spark, sf_dir), "consensus", gate_rows=_gate(spark, sf_dir).orderBy("position").collect()).split("\n")
+    lines = report.text_report(nations(spark, sf_dir), "consensus", gate_rows=_gate(spark, sf_dir).orderBy("position").collect()).split("\n")
     return _text(spark, lines[2:])
 
 
 def _json_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the JSON report of the nations holds: sizes of its lists, and its numbers."""
-    import json
-
-    from factweave.plans.report import json_report
-
-    doc = json.loads(json_report(nations(spark, sf_dir), skipped=2))
-    rows = [(k, float(len(v))) for k, v in doc.items() if isinstance(v, list)]
-    rows += [(f"{k}.{n}", round(float(v), 9)) for k in ("corpus", "consensus", "drift") for n, v in doc[k].items()]
-    return spark.createDataFrame(rows, "entry string, value double")
-
-
-def _yara_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factweave.plans.report import yara
-
-    return _text(spark, yara(_inline(spark, BINARIES)).split("\n\n"))
-
-
-def _kit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factweave.plans.report import kit_text
-
-    return _text(spark, [x for x in kit_text(_inline(spark, PAGES)).split("\n") if x.startswith(("kit #", "ungrouped"))])
+    c = nations(spark, sf_dir)
+    rows = report.json_figures(c, skipped=2).select(F.concat_ws(".", "part", "name").alias("entry"), F.round("value", 9).alias("value"))
+    for name, df in report.json_sections(c).items():
+        rows = rows.union(df.agg(F.lit(name), F.count("*").cast("double")))
+    return rows
 
 
 def _incremental(spark: SparkSession, sf_dir: str) -> IncrementalConsensus:
@@ -341,19 +281,19 @@ QUERIES = {
     "faction_signature": lambda s, d: document_lines(s, d).factions[2],
     "faction_cohesion": lambda s, d: document_lines(s, d).factions[1].select("faction_id", "root", "size", F.round("cohesion", 9).alias("cohesion")),
     "family_core": lambda s, d: document_lines(s, d).exclusive,
-    "kit_signatures": lambda s, d: (lambda k: k.select("faction_id", "size", "functional", "shape_count", "rank", *[F.array_join(c, ",").alias(c) for c in dict.fromkeys(signatures.KIT_LISTS.values())]))(_inline(s, PAGES).kits),
-    "yara_atoms": lambda s, d: _inline(s, BINARIES).atoms,
-    "credential_forms": lambda s, d: _forms(_inline(s, PAGES)),
-    "ungrouped_forms": lambda s, d: (lambda c: creds.ungrouped_forms(_forms(c), c.factions[0]))(_inline(s, PAGES)),
+    "kit_signatures": lambda s, d: (lambda k: k.select("faction_id", "size", "functional", "shape_count", "rank", *[(F.size(c).cast("long") if c == "field_sets" else F.array_join(c, ",")).alias(c) for c in dict.fromkeys(signatures.KIT_LISTS.values())]))(composed.pages(s, d).kits),
+    "yara_atoms": lambda s, d: composed.binaries(s, d).atoms.where("atom <> 'chunk'"),
+    "credential_forms": lambda s, d: _forms(composed.pages(s, d)),
+    "ungrouped_forms": lambda s, d: (lambda c: creds.ungrouped_forms(_forms(c), c.factions[0]))(composed.pages(s, d)),
     "gate_eval": _gate,
     "missing_core": _missing,
     "report_drift_text": _drift_text,
-    "report_conflicts_text": _conflicts_text,
-    "report_factions_text": _factions_text,
+    "report_conflicts_text": lambda s, d: _lines(report.conflict_lines(parts(s, d)), "place", "at"),
+    "report_factions_text": lambda s, d: _text(s, report.text_report(document_lines(s, d), "factions").split("\n")[3:]),
     "report_gate_text": _gate_text,
     "report_json_counts": _json_counts,
-    "report_yara_text": _yara_text,
-    "report_kit_text": _kit_text,
+    "report_yara_text": lambda s, d: report.yara_rules(composed.binaries(s, d)).select(F.col("place").cast("int").alias("position"), F.col("rule").alias("line")),
+    "report_kit_text": lambda s, d: _lines(report.kit_lines(composed.pages(s, d)).where("at = 0"), "part", "place"),
     "ask_focus": _focus,
     "ask_focus_path": lambda s, d: _focus(s, d, "Why does EXAMPLE.NET/de/8 differ from the other yaml files?"),
     "ask_focus_none": lambda s, d: _focus(s, d, "Which yaml file is different? is it md, or json..."),
@@ -414,7 +354,7 @@ SELECT * FROM (SELECT root, row_number() OVER (PARTITION BY root ORDER BY presen
     "family_core": _sql("documents", "SELECT root, kind, c AS canonical FROM ex", _SIGNATURES, True),
     "kit_signatures": _sql("pages", """, kr AS (SELECT root, faction_id, size, split_part(c, '[]=', 1) AS p, substr(c, instr(c, '[]=') + 3) AS v FROM ex),
 kk AS (SELECT faction_id, size, count(*) FILTER (p IN ('field', 'formfields', 'formaction', 'resource')) > 0 AS functional, count(*) FILTER (p = 'shape') AS shape_count,
-  coalesce(string_agg(DISTINCT v, ',' ORDER BY v) FILTER (p = 'field'), '') AS fields, coalesce(string_agg(DISTINCT v, ',' ORDER BY v) FILTER (p = 'formfields'), '') AS field_sets,
+  coalesce(string_agg(DISTINCT v, ',' ORDER BY v) FILTER (p = 'field'), '') AS fields, count(DISTINCT v) FILTER (p = 'formfields') AS field_sets,
   coalesce(string_agg(DISTINCT v, ',' ORDER BY v) FILTER (p = 'formaction'), '') AS actions, coalesce(string_agg(DISTINCT v, ',' ORDER BY v) FILTER (p = 'resource'), '') AS resources,
   coalesce(string_agg(DISTINCT v, ',' ORDER BY v) FILTER (p = 'path'), '') AS paths, coalesce(string_agg(DISTINCT v, ',' ORDER BY v) FILTER (p IN ('title', 'heading', 'meta')), '') AS brand FROM kr GROUP BY faction_id, size)
 SELECT *, row_number() OVER (ORDER BY functional DESC, size DESC, faction_id) - 1 AS rank FROM kk""", _SIGNATURES, True),

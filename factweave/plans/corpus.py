@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from factweave.functions.graph import materialize
+from factweave.functions.graph import materialize, release
 from factweave.operators import conflicts, consensus, creds, factions, gate, signatures
 from factweave.sources.rows import keys_only, table_artifacts, text_facts
 
@@ -17,11 +17,13 @@ class Corpus:
     """``artifacts(artifact_id, path, kind, size)`` and ``facts(artifact_id, ord, kind, canonical, line)``.
 
     ``reused=True`` writes the membership and identity tables once to the shared folder, for callers that
-    derive many results; single-query callers leave it off and let the plan stream."""
+    derive many results; single-query callers leave it off and let the plan stream. Analyses that read the membership more than
+    once (``stats``, ``factions``) turn it on. ``release`` deletes what was written."""
 
     artifacts: DataFrame
     facts: DataFrame
     reused: bool = False
+    written: list[DataFrame] = field(default_factory=list, repr=False)
 
     @classmethod
     def from_lines(cls, df: DataFrame, id_col: str, text_col: str, path: str | None = None) -> Corpus:
@@ -37,7 +39,15 @@ class Corpus:
         return Corpus(self.artifacts, keys_only(self.facts), self.reused)
 
     def _held(self, df: DataFrame) -> DataFrame:
-        return materialize(df) if self.reused else df
+        if not self.reused:
+            return df
+        self.written.append(materialize(df))
+        return self.written[-1]
+
+    def release(self) -> None:
+        """Delete the written tables; results read from them are gone too."""
+        release(*self.written)
+        self.written.clear()
 
     @cached_property
     def members(self) -> DataFrame:
@@ -49,6 +59,7 @@ class Corpus:
 
     @cached_property
     def stats(self) -> DataFrame:
+        self.reused = True
         return self._held(consensus.with_outliers(consensus.artifact_stats(self.artifacts, self.members, self.identities)))
 
     @cached_property
@@ -66,7 +77,10 @@ class Corpus:
     @cached_property
     def factions(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """``(labels, factions, signature)``."""
-        return factions.factions(self.members, self.identities)
+        self.reused = True
+        found = factions.factions(self.members, self.identities)
+        self.written += found
+        return found
 
     @cached_property
     def exclusive(self) -> DataFrame:

@@ -113,7 +113,7 @@ def _binary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir, "nation", "n_nationkey", "binary", "repeat('A', 300 + 2500 * n_nationkey)").where("kind = 'chunk'").select("artifact_id", "line")
 
 
-def _elf(mark: bytes) -> bytes:
+def elf(mark: bytes) -> bytes:
     """A 64-bit ELF with one section table: imports ``imp<mark>``, exports ``exp<mark>``, needs ``lib<mark>.so``."""
     names = b"\0.text\0.dynsym\0.dynstr\0.dynamic\0"
     texts = b"\0imp" + mark + b"@V1\0exp" + mark + b"\0lib" + mark + b".so\0"
@@ -160,13 +160,13 @@ def _macho(mark: bytes) -> bytes:
     return head + segment + table + symbols + texts
 
 
-_MARK = b"@@@@@@"
-_EXECUTABLES = {"elf": _elf, "pe": _pe, "macho": _macho}
+MARK = b"@@@@@@"
+_EXECUTABLES = {"elf": elf, "pe": _pe, "macho": _macho}
 
 
 def _executable(kind: str):
     """One executable per part, its six-digit key in place of the mark."""
-    pieces = _EXECUTABLES[kind](_MARK).split(_MARK)
+    pieces = _EXECUTABLES[kind](MARK).split(MARK)
     content = "concat(" + ", encode(lpad(p_partkey, 6, '0'), 'UTF-8'), ".join(f"unhex('{p.hex()}')" for p in pieces) + ")"
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,18 @@
-"""Reports: text with capped sections, JSON with everything, kit and YARA renderings. Text reports collect what
-their caps bound; reports of everything pass the driver row by row, a partition at a time, and ``write_sections`` writes
-the sections of a large corpus as datasets, nothing through the driver."""
+"""Reports: text with capped sections, JSON with everything, kit and YARA renderings. Tasks render the lines (``*_lines``,
+``yara_rules``, ``kit_records``); the functions that return one text join them on the driver, a partition at a time, the JSON document
+up to a stated number of rows. ``write_sections`` writes the sections of a large corpus as datasets, nothing through the driver."""
 
 from __future__ import annotations
 
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.blake3 import identity
+from factweave.functions.graph import materialize
+from factweave.functions.order import global_rank
 from factweave.operators import conflicts as conflict_ops
 from factweave.operators import consensus, creds
 from factweave.plans.corpus import Corpus
@@ -18,6 +20,8 @@ from factweave.plans.corpus import Corpus
 SECTIONS = ("all", "consensus", "drift", "conflicts", "factions")
 KEYS, VALUES, FILES, VALUE_BYTES, MEMBERS, SIGNATURE, FIELDS, LIST = 10, 6, 8, 48, 8, 5, 12, 10
 OCCURRENCES = 16
+#: Rows that a JSON document may hold.
+JSON_ROWS = 1_000_000
 #: Bytes of a chunk that a rule shows.
 CHUNK_SHOWN = 48
 
@@ -27,6 +31,44 @@ def truncate(text: str, budget: int) -> str:
     return text.encode()[:budget].decode("utf-8", "ignore")
 
 
+def _truncated(text: Column, budget: int) -> Column:
+    """``truncate`` as a column."""
+    cut = [F.substring(F.encode(text, "UTF-8"), 1, budget - k).cast("string") for k in range(4)]
+    return F.coalesce(*(F.when(F.is_valid_utf8(x), x) for x in cut))
+
+
+def _names(paths: Column, shown: int | None = None) -> Column:
+    return F.array_join(paths if shown is None else F.slice(paths, 1, shown), ", ")
+
+
+def conflict_lines(c: Corpus, keys: int | None = None) -> DataFrame:
+    """``place, at, line``: the conflicts as lines of text, clearest first (the first ``keys``), with the first values of
+    each and the first files of each deviating value. Everything is rendered by tasks."""
+    found = global_rank(materialize(c.conflicts), [F.col("deviants"), F.desc("holders"), F.col("key")], "place")
+    found = found if keys is None else found.where(F.col("place") < keys)
+    first = conflict_ops.first_holders(c.members, FILES).where(F.col("rank") <= VALUES)
+    named = first.select("key", "value", "rank", "n", F.posexplode("artifacts").alias("nth", "artifact_id")).join(c.artifacts.select("artifact_id", "path"), "artifact_id")
+    values = named.groupBy("key", "value", "rank", "n").agg(F.array_sort(F.collect_list(F.struct("nth", "path"))).alias("paths"))
+    files = F.when(F.col("rank") == 1, "").otherwise(F.concat(F.lit("  "), _names(F.col("paths.path"))))
+    shown = values.select("key", F.col("rank").alias("at"), F.concat(F.format_string("    %6d  ", "n"), _truncated(F.col("value"), VALUE_BYTES), files).alias("line"))
+    head = F.concat("key", F.format_string("  %d values, %d holders, %d deviants", "n_values", "holders", "deviants"))
+    heads = found.select("place", F.lit(0).alias("at"), F.concat(F.lit("  "), head).alias("line"))
+    return heads.unionByName(shown.join(found.select("key", "place"), "key").select("place", "at", "line"))
+
+
+def faction_rows(c: Corpus, factions: int = LIST) -> DataFrame:
+    """``faction_id, at, n, cohesion, text``: the first factions with their size and first members (``at`` 0) and their
+    signatures with the holders of each; one join for the members of all of them and one for the signatures."""
+    labels, table, signature = c.factions
+    top = F.broadcast(table.orderBy("faction_id").limit(factions))
+    nth = F.row_number().over(Window.partitionBy("root").orderBy("artifact_id"))
+    first = labels.join(top.select("root"), "root").withColumn("nth", nth).where(F.col("nth") <= MEMBERS).join(c.artifacts.select("artifact_id", "path"), "artifact_id")
+    names = first.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("nth", "path"))).alias("paths"))
+    heads = top.join(names, "root").select("faction_id", F.lit(0).alias("at"), F.col("size").alias("n"), "cohesion", _names(F.col("paths.path")).alias("text"))
+    marks = signature.where(F.col("rank") <= SIGNATURE).join(top.select("root", "faction_id"), "root")
+    return heads.union(marks.select("faction_id", "rank", "present", F.lit(0.0), "canonical"))
+
+
 def text_report(c: Corpus, section: str = "all", gate_rows: list | None = None, skipped: int = 0) -> str:
     show = lambda name: section in ("all", name)
     s = c.summary.first()
@@ -38,26 +80,12 @@ def text_report(c: Corpus, section: str = "all", gate_rows: list | None = None,
         out += ["", f"Drift  mean {s['mean_drift']:.4f}  deviation {s['sd_drift']:.4f}"]
         out += [f"  {r['drift']:.4f}  {r['path']}{'  OUTLIER' if r['is_outlier'] else ''}" for r in c.stats.orderBy(F.desc("drift"), "artifact_id").limit(30).collect()]
     if show("conflicts"):
-        rows = conflict_ops.by_clarity(c.conflicts)
-        rows = rows if section == "conflicts" else rows.limit(KEYS)
-        first = conflict_ops.first_holders(c.members, FILES).where(F.col("rank") <= VALUES)
-        paths = c.artifacts.select("artifact_id", "path")
-        named = first.select("key", "value", "rank", "n", F.posexplode("artifacts").alias("at", "artifact_id")).join(paths, "artifact_id")
-        values = named.groupBy("key", "value", "rank", "n").agg(F.array_sort(F.collect_list(F.struct("at", "path"))).alias("paths"))
-        by_key = values.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "n", "value", "paths"))).alias("shown"))
-        out += ["", "Conflicts"]
-        for r in conflict_ops.by_clarity(rows.join(by_key, "key")).toLocalIterator():
-            out.append(f"  {r['key']}  {r['n_values']} values, {r['holders']} holders, {r['deviants']} deviants")
-            for h in r["shown"]:
-                names = "" if h["rank"] == 1 else "  " + ", ".join(p["path"] for p in h["paths"])
-                out.append(f"    {h['n']:>6}  {truncate(h['value'], VALUE_BYTES)}{names}")
+        lines = conflict_lines(c, None if section == "conflicts" else KEYS)
+        out += ["", "Conflicts", *[r["line"] for r in lines.orderBy("place", "at").toLocalIterator()]]
     if show("factions"):
-        labels, table, signature = c.factions
         out += ["", "Factions"]
-        for f in table.orderBy("faction_id").limit(LIST).collect():
-            names = [r["path"] for r in labels.where(F.col("root") == f["root"]).join(c.artifacts, "artifact_id").orderBy("artifact_id").limit(MEMBERS).collect()]
-            out.append(f"  #{f['faction_id']}  {f['size']} members  cohesion {f['cohesion']:.3f}  {', '.join(names)}")
-            out += [f"    {r['present']:>4}  {r['canonical']}" for r in signature.where(F.col("root") == f["root"]).orderBy("rank").limit(SIGNATURE).collect()]
+        for r in faction_rows(c).orderBy("faction_id", "at").collect():
+            out.append(f"    {r['n']:>4}  {r['text']}" if r["at"] else f"  #{r['faction_id']}  {r['n']} members  cohesion {r['cohesion']:.3f}  {r['text']}")
     if show("drift"):
         rows = consensus.unique_evidence(c.stats.drop("is_outlier"), c.identities).join(c.artifacts.select("artifact_id", "path"), "artifact_id").orderBy(F.desc("drift"), "artifact_id", "rank").collect()
         if rows:
@@ -71,10 +99,6 @@ def text_report(c: Corpus, section: str = "all", gate_rows: list | None = None,
     return "\n".join(out)
 
 
-def _records(df: DataFrame) -> list[dict]:
-    return [json.loads(x) for x in df.toJSON().toLocalIterator()]
-
-
 def evidence_table(c: Corpus, full: bool = False) -> DataFrame:
     """``identity, kind, canonical, k, bucket, occurrences`` in identity order; occurrences capped unless ``full``."""
     index = consensus.occurrence_index(c.facts, (1 << 31) - 1 if full else OCCURRENCES)
@@ -82,23 +106,41 @@ def evidence_table(c: Corpus, full: bool = False) -> DataFrame:
     return ids.join(index.select("kind", "canonical", "occurrences"), ["kind", "canonical"]).orderBy("identity").withColumn("identity", F.lower(F.hex("identity")))
 
 
-def json_report(c: Corpus, gate_rows: list | None = None, full: bool = False, skipped: int = 0) -> str:
-    """One JSON document; for small and medium corpora, as it is assembled on the driver."""
-    s = c.summary.first().asDict()
+def json_sections(c: Corpus, full: bool = False) -> dict[str, DataFrame]:
+    """The lists of the JSON report as ordered DataFrames."""
     labels, table, signature = c.factions
     members = labels.groupBy("root").agg(F.sort_array(F.collect_list("artifact_id")).alias("members"))
     marks = signature.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "kind", "canonical", "present"))), lambda x: F.struct(x["kind"].alias("kind"), x["canonical"].alias("canonical"), x["present"].alias("present"))).alias("signature"))
-    doc = {
-        "schema": "factweave.report.v1",
-        "corpus": {"artifacts": s["artifacts"], "observations": s["observations"], "identities": s["identities"], "skipped": skipped},
-        "consensus": {"core": s["core"], **{r["bucket"]: r["n"] for r in consensus.bucket_counts(c.identities).collect()}},
-        "drift": {"mean": s["mean_drift"], "stddev": s["sd_drift"]},
-        "credential_forms": _records(c.credential_forms.orderBy("artifact_id").select(F.col("path").alias("page"), F.col("fields").alias("harvests"), F.col("action_host").alias("posts_to"), "off_domain")),
-        "conflicts": _records(c.conflicts.orderBy("key")),
-        "factions": _records(table.join(members, "root").join(marks, "root", "left").orderBy("faction_id")),
-        "artifacts": _records(c.artifacts.join(c.stats.drop("path"), "artifact_id").orderBy("artifact_id")),
-        "evidence": _records(evidence_table(c, full)),
+    return {
+        "credential_forms": c.credential_forms.orderBy("artifact_id").select(F.col("path").alias("page"), F.col("fields").alias("harvests"), F.col("action_host").alias("posts_to"), "off_domain"),
+        "conflicts": c.conflicts.orderBy("key"),
+        "factions": table.join(members, "root").join(marks, "root", "left").orderBy("faction_id"),
+        "artifacts": c.artifacts.join(c.stats.drop("path"), "artifact_id").orderBy("artifact_id"),
+        "evidence": evidence_table(c, full),
     }
+
+
+def json_figures(c: Corpus, skipped: int = 0) -> DataFrame:
+    """``part, name, value``: the numbers of the JSON report, in order."""
+    named = {"corpus": ("artifacts", "observations", "identities"), "consensus": ("core",), "drift": ("mean_drift", "sd_drift")}
+    short = {"mean_drift": "mean", "sd_drift": "stddev"}
+    entries = [F.struct(F.lit(p).alias("part"), F.lit(short.get(n, n)).alias("name"), F.col(n).cast("double").alias("value")) for p, ns in named.items() for n in ns]
+    entries.append(F.struct(F.lit("corpus").alias("part"), F.lit("skipped").alias("name"), F.lit(float(skipped)).alias("value")))
+    one = c.summary.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    return one.union(consensus.bucket_counts(c.identities).select(F.lit("consensus"), "bucket", F.col("n").cast("double")))
+
+
+def json_report(c: Corpus, gate_rows: list | None = None, full: bool = False, skipped: int = 0) -> str:
+    """One JSON document, assembled on the driver: refused beyond ``JSON_ROWS`` rows (``write_sections`` has no limit)."""
+    figures = {(r["part"], r["name"]): r["value"] for r in json_figures(c, skipped).collect()}
+    rows = figures["corpus", "artifacts"] + figures["corpus", "observations" if full else "identities"]
+    if rows > JSON_ROWS:
+        raise ValueError(f"{rows:.0f} rows are too many for one JSON document ({JSON_ROWS}): write the sections instead")
+    doc: dict = {"schema": "factweave.report.v1"}
+    for (part, name), value in figures.items():
+        doc.setdefault(part, {})[name] = value if part == "drift" else int(value)
+    for name, df in json_sections(c, full).items():
+        doc[name] = [json.loads(x) for x in df.toJSON().toLocalIterator()]
     if gate_rows is not None:
         doc["gate"] = {"failed": any(r["tripped"] for r in gate_rows), "conditions": [r.asDict() for r in gate_rows]}
     return json.dumps(doc, ensure_ascii=False)
@@ -112,42 +154,50 @@ def write_sections(c: Corpus, folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def kit_members(c: Corpus) -> DataFrame:
-    """The kits with ``members``, the base names of their pages in page order: one join for all kits."""
+def kit_members(c: Corpus, shown: int | None = None) -> DataFrame:
+    """The kits with ``members``, the base names of their pages (the first ``shown``) in page order: one join for all kits."""
     base = F.regexp_extract(F.regexp_replace("path", "/+$", ""), r"([^/]*)$", 1)
-    pages = c.factions[0].join(c.artifacts.select("artifact_id", F.when(base == "", F.col("path")).otherwise(base).alias("name")), "artifact_id")
+    pages = c.factions[0]
+    if shown is not None:
+        pages = pages.withColumn("nth", F.row_number().over(Window.partitionBy("root").orderBy("artifact_id"))).where(F.col("nth") <= shown)
+    pages = pages.join(c.artifacts.select("artifact_id", F.when(base == "", F.col("path")).otherwise(base).alias("name")), "artifact_id")
     names = pages.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("artifact_id", "name"))), lambda x: x["name"]).alias("members"))
-    return c.kits.join(names, "root").orderBy("rank")
+    return c.kits.join(names, "root")
+
+
+def kit_records(c: Corpus) -> DataFrame:
+    """``rank, record``: every kit as a JSON text."""
+    record = F.to_json(F.struct("members", "functional", F.col("fields").alias("harvests"), F.col("field_sets").alias("field_set"), F.col("actions").alias("posts_to"), F.col("resources").alias("loads"), "brand", F.col("shape_count").alias("skeleton_shingles")))
+    return kit_members(c).select("rank", record.alias("record"))
 
 
 def kit_json(c: Corpus) -> str:
-    kits = []
-    for k in kit_members(c).toLocalIterator():
-        kits.append({"members": k["members"], "functional": k["functional"], "harvests": k["fields"], "field_set": k["field_sets"], "posts_to": k["actions"], "loads": k["resources"], "brand": k["brand"], "skeleton_shingles": k["shape_count"]})
-    return json.dumps({"schema": "factweave.kit.v1", "kits": kits}, ensure_ascii=False)
+    return json.dumps({"schema": "factweave.kit.v1", "kits": [json.loads(r["record"]) for r in kit_records(c).orderBy("rank").toLocalIterator()]}, ensure_ascii=False)
+
+
+def kit_lines(c: Corpus) -> DataFrame:
+    """``part, place, at, line``: every kit as lines of text (part 0), then the first forms outside all kits (part 1)."""
+    head = F.format_string("kit #%d  %d pages  %s  %s", "rank", "size", F.when(F.col("functional"), "functional").otherwise("visual only"), _names(F.col("members")))
+    lists = [("harvests", "fields"), ("field set", "field_sets"), ("posts to", "actions"), ("loads", "resources"), ("brand", "brand"), ("paths", "paths")]
+    said = [F.when(F.size(col) > 0, F.concat(F.lit(f"  {label}: "), _names(F.col(col), LIST))) for label, col in lists]
+    lines = F.array_compact(F.array(head, *said, F.format_string("  skeleton shingles: %d", "shape_count")))
+    kits = kit_members(c, MEMBERS).select(F.lit(0).alias("part"), F.col("rank").cast("long").alias("place"), F.posexplode(lines).alias("at", "line"))
+    loose = creds.ungrouped_forms(c.credential_forms, c.factions[0]).orderBy("artifact_id").limit(LIST)
+    return kits.union(loose.select(F.lit(1), "artifact_id", F.lit(0), F.concat(F.lit("ungrouped form: "), "path", F.lit("  "), _names(F.col("fields"), FIELDS))))
 
 
 def kit_text(c: Corpus) -> str:
-    out = []
-    for k in kit_members(c).toLocalIterator():
-        out.append(f"kit #{k['rank']}  {k['size']} pages  {'functional' if k['functional'] else 'visual only'}  {', '.join(k['members'][:MEMBERS])}")
-        for label, col in (("harvests", "fields"), ("field set", "field_sets"), ("posts to", "actions"), ("loads", "resources"), ("brand", "brand"), ("paths", "paths")):
-            if k[col]:
-                out.append(f"  {label}: {', '.join(k[col][:LIST])}")
-        out.append(f"  skeleton shingles: {k['shape_count']}")
-    loose = creds.ungrouped_forms(c.credential_forms, c.factions[0]).orderBy("artifact_id").limit(LIST).collect()
-    out += [f"ungrouped form: {r['path']}  {', '.join(r['fields'][:FIELDS])}" for r in loose]
-    return "\n".join(out) if out else "no kits"
-
-
-def chunk_bytes(c: Corpus, contents: DataFrame) -> dict[str, bytes]:
-    """The first bytes of the chunks that are atoms (at most ``ATOM_CAP`` a family), from ``artifact_id, content``: the
-    tasks cut the family members' files again and send one short row per chunk. Nothing is read without such atoms."""
+    return "\n".join(r["line"] for r in kit_lines(c).orderBy("part", "place", "at").toLocalIterator()) or "no kits"
+
+
+def chunk_heads(c: Corpus, contents: DataFrame) -> DataFrame | None:
+    """``text, head``: the first bytes of the chunks that are atoms (at most ``ATOM_CAP`` a family), from ``artifact_id,
+    content``: the tasks cut the family members' files again and send one short row per chunk. Nothing is read without such atoms."""
     from factweave.functions.formats.binary import chunks
 
     atoms = c.atoms.where("atom = 'chunk'").select("text").distinct()
     if atoms.isEmpty():
-        return {}
+        return None
 
     def cut(batches):
         for batch in batches:
@@ -156,26 +206,31 @@ def chunk_bytes(c: Corpus, contents: DataFrame) -> dict[str, bytes]:
                 yield pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in found], pa.string()), pa.array([b[:CHUNK_SHOWN] for _, b, _ in found], pa.binary())], names=["text", "head"])
 
     members = contents.join(c.factions[0].select("artifact_id"), "artifact_id", "left_semi").select("content")
-    rows = members.mapInArrow(cut, "text string, head binary").join(atoms, "text", "left_semi").groupBy("text").agg(F.min("head").alias("head"))
-    return {r["text"]: bytes(r["head"]) for r in rows.toLocalIterator()}
+    return members.mapInArrow(cut, "text string, head binary").join(atoms, "text", "left_semi").groupBy("text").agg(F.min("head").alias("head"))
+
+
+#: Names of atoms in a rule.
+_ATOM = {"import": "imp", "needs": "lib", "export": "exp", "string": "str", "section": "sec", "chunk": "c"}
+
+
+def yara_rules(c: Corpus, heads: DataFrame | None = None) -> DataFrame:
+    """``place, rule``: a rule for each faction with exclusive binary features, rendered by tasks; chunks are shown where
+    ``heads`` (``chunk_heads``) has their bytes."""
+    atoms = c.atoms
+    atoms = atoms.withColumn("head", F.lit(None).cast("binary")) if heads is None else atoms.join(heads, "text", "left")
+    name = F.concat(F.lit("        $"), F.create_map(*(F.lit(x) for kv in _ATOM.items() for x in kv))[F.col("atom")], (F.col("rank") - 1).cast("string"), F.lit(" = "))
+    escaped = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    octets = F.concat(F.lit("{ "), F.regexp_replace(F.lower(F.hex("head")), "(..)(?=.)", "$1 "), F.lit(" }"))
+    line = F.concat(name, F.when(F.col("atom") == "chunk", octets).otherwise(F.concat(F.lit('"'), escaped, F.lit('" ascii wide'))))
+    families = atoms.groupBy("faction_id").agg(F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct("rank", line.alias("line"))))).alias("found"))
+    placed = global_rank(materialize(families), [F.col("faction_id")], "place").join(c.factions[1].select("faction_id", "size"), "faction_id")
+    n = F.size("found")
+    condition = F.when(n == 0, "false").when(n <= 6, "all of them").otherwise("6 of them")
+    body = F.when(n > 0, F.concat_ws("\n", F.lit("    strings:"), F.col("found.line")))
+    head = F.format_string("rule factweave_family_%d\n{\n    meta:\n        members = %d", "place", "size")
+    return placed.select("place", F.concat_ws("\n", head, body, F.lit("    condition:"), F.concat(F.lit("        "), condition), F.lit("}")).alias("rule"))
 
 
-def yara(c: Corpus, chunk_of: dict[str, bytes] | None = None) -> str:
+def yara(c: Corpus, heads: DataFrame | None = None) -> str:
     """YARA rules, one per faction with exclusive binary features."""
-    prefix = {"import": "imp", "needs": "lib", "export": "exp", "string": "str", "section": "sec", "chunk": "c"}
-    families = c.atoms.groupBy("faction_id").agg(F.array_sort(F.collect_list(F.struct("rank", "atom", "text"))).alias("atoms"))
-    out = []
-    for i, r in enumerate(families.join(c.factions[1].select("faction_id", "size"), "faction_id").orderBy("faction_id").toLocalIterator()):
-        atoms, lines = r["atoms"], []
-        for n, a in enumerate(atoms):
-            name = f"${prefix[a['atom']]}{n}"
-            if a["atom"] == "chunk":
-                if raw := (chunk_of or {}).get(a["text"]):
-                    lines.append(f"        {name} = {{ {raw[:CHUNK_SHOWN].hex(' ')} }}")
-            else:
-                escaped = a["text"].replace("\\", "\\\\").replace('"', '\\"')
-                lines.append(f'        {name} = "{escaped}" ascii wide')
-        condition = ("all of them" if len(lines) <= 6 else "6 of them") if lines else "false"
-        body = ["    strings:", *lines] if lines else []
-        out.append("\n".join([f"rule factweave_family_{i}", "{", "    meta:", f"        members = {r['size']}", *body, "    condition:", f"        {condition}", "}"]))
-    return "\n\n".join(out) if out else "// no family with exclusive features"
+    return "\n\n".join(r["rule"] for r in yara_rules(c, heads).orderBy("place").toLocalIterator()) or "// no family with exclusive features"
