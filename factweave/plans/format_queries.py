@@ -8,6 +8,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.functions.table_functions import register
 from factweave.plans.corpus import Corpus
 from factweave.sources.content import extract_rows, from_rows
 from factweave.sources.rows import table_artifacts
@@ -41,7 +42,10 @@ CASE WHEN c_custkey % 2 = 0 THEN '<textarea></textarea>' ELSE '<input type=hidde
 
 
 def _html_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _extracted(spark, sf_dir, "customer", "c_custkey", "html", _PAGE)
+    return _own_bags(_extracted(spark, sf_dir, "customer", "c_custkey", "html", _PAGE))
+
+
+def _own_bags(facts: DataFrame) -> DataFrame:
     return facts.where(~F.col("canonical").startswith("shape[]=") & ~F.col("canonical").startswith("formfields[]=")).select("artifact_id", "ord", "canonical")
 
 
@@ -164,16 +168,17 @@ MARK = b"@@@@@@"
 _EXECUTABLES = {"elf": elf, "pe": _pe, "macho": _macho}
 
 
-def _executable(kind: str):
+def _content(kind: str) -> str:
     """One executable per part, its six-digit key in place of the mark."""
-    pieces = _EXECUTABLES[kind](MARK).split(MARK)
-    content = "concat(" + ", encode(lpad(p_partkey, 6, '0'), 'UTF-8'), ".join(f"unhex('{p.hex()}')" for p in pieces) + ")"
+    return "concat(" + ", encode(lpad(p_partkey, 6, '0'), 'UTF-8'), ".join(f"unhex('{p.hex()}')" for p in _EXECUTABLES[kind](MARK).split(MARK)) + ")"
+
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        facts = _extracted(spark, sf_dir, "part", "p_partkey", "binary", content)
-        return facts.where("kind = 'kv' and canonical not like 'strings[]=%'").select("artifact_id", "canonical")
+def _features(facts: DataFrame) -> DataFrame:
+    return facts.where("kind = 'kv' and canonical not like 'strings[]=%'").select("artifact_id", "canonical")
 
-    return query
+
+def _executable(kind: str):
+    return lambda spark, sf_dir: _features(_extracted(spark, sf_dir, "part", "p_partkey", "binary", _content(kind)))
 
 
 def _executable_sql(facts: list[str]) -> str:
@@ -206,6 +211,13 @@ def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.join(first, "artifact_id", "left").select("artifact_id", "path", "kind", "size", F.when(F.col("kind") != "binary", F.col("first_fact")).alias("first_fact"), "n_lines")
 
 
+def _by_sql(spark: SparkSession, sf_dir: str, table: str, key: str, kind: str, content: str) -> DataFrame:
+    """``_extracted``, as one SQL query with the table function."""
+    register(spark)
+    files = f"(SELECT CAST({key} AS BIGINT) AS artifact_id, CAST({content} AS BINARY) AS content FROM parquet.`{sf_dir}/{table}.parquet`)"
+    return spark.sql(f"SELECT f.artifact_id, x.ord, x.kind, x.canonical, x.line FROM {files} f, LATERAL extract_facts('{kind}', f.content) x")
+
+
 QUERIES = {name: (lambda s, d, a=args: _extracted(s, d, *a)) for name, args in _TEXTS.items()}
 QUERIES |= {
     "cbor_facts": lambda s, d: _extracted(s, d, "supplier", "s_suppkey", "cbor", _CBOR),
@@ -222,7 +234,10 @@ QUERIES |= {
     "feature_caps": _feature_caps,
     "routed_sources": _routed,
 }
-_KV = "kv"
+_SQL_TEXTS = _TEXTS | {"cbor_facts": ("supplier", "s_suppkey", "cbor", _CBOR)}
+QUERIES |= {f"sql_{name}": (lambda s, d, a=args: _by_sql(s, d, *a)) for name, args in _SQL_TEXTS.items()}
+QUERIES["sql_html_bags"] = lambda s, d: _own_bags(_by_sql(s, d, "customer", "c_custkey", "html", _PAGE))
+QUERIES["sql_elf_features"] = lambda s, d: _features(_by_sql(s, d, "part", "p_partkey", "binary", _content("elf")))
 ORACLE_SQL = {
     "config_facts": _facts("supplier", "s_suppkey", [("kv", "'name=' || s_name", 2), ("kv", "'home.nation=' || s_nationkey", 4), ("kv", "'home.BAL=' || (s_acctbal > 0)", 6), ("line", "'plain ' || s_suppkey", 7), ("kv", "'[x].k='", 10)]),
     "yaml_facts": _facts("part", "p_partkey", [
@@ -256,3 +271,4 @@ UNION ALL SELECT n_nationkey, 'strings', least(4096, 4000 + 10 * n_nationkey) FR
 SELECT a AS artifact_id, 'f/' || s_name AS path, CASE WHEN nul AND kind = 'text' THEN 'binary' ELSE kind END AS kind, length(s_name) + CASE WHEN nul THEN 2 ELSE 0 END AS size,
   CASE WHEN kind <> 'binary' AND NOT nul THEN s_name END AS first_fact, CASE WHEN kind <> 'binary' AND NOT nul THEN CAST(1 AS BIGINT) ELSE 0 END AS n_lines FROM r WHERE NOT empty AND NOT (nul AND kind = 'json')""",
 }
+ORACLE_SQL |= {f"sql_{name}": ORACLE_SQL[name] for name in [*_SQL_TEXTS, "html_bags", "elf_features"]}

@@ -116,3 +116,99 @@ def test_files_of_a_failed_job_are_not_seen(spark, tmp_path):
         with pytest.raises(Exception, match="not a file name|File exists"):
             tree.write_files(rows, out)
         assert sorted(os.listdir(out)) == before and tree.read_manifest(out)["files"] == 8
+
+
+@pytest.fixture()
+def server():
+    """Pages that answer, drip, redirect, loop, grow too large, end early or never start; asked times by path."""
+    import http.server
+    import threading
+    import time
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append((self.path, time.monotonic()))
+            to = {"/moved": "/page", "/loop": "/loop", "/away": "file:///etc/hostname"}.get(self.path)
+            if self.path == "/never":
+                time.sleep(6)
+            self.send_response(302 if to else 404 if self.path == "/none" else 200)
+            if to:
+                self.send_header("Location", to)
+            if self.path == "/short":
+                self.send_header("Content-Length", "999")
+            self.end_headers()
+            try:
+                if self.path == "/drip":
+                    for _ in range(60):
+                        self.wfile.write(b"x")
+                        self.wfile.flush()
+                        time.sleep(0.1)
+                elif self.path == "/large":
+                    for _ in range(9):
+                        self.wfile.write(b"y" * (1 << 20))
+                elif not to and self.path != "/empty":
+                    self.wfile.write(b"<title>T</title>" + self.path.encode())
+            except OSError:
+                pass
+
+        def log_message(self, *a):
+            pass
+
+    it = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    it.daemon_threads = True
+    threading.Thread(target=it.serve_forever, daemon=True).start()
+    yield f"127.0.0.1:{it.server_port}", asked
+    it.shutdown()
+
+
+def test_pages_within_their_deadline(spark, server):
+    import time
+
+    from factweave.sources import web
+
+    host, _ = server
+    at = [f"http://{host}{p}" for p in ("/page", "/drip", "/moved", "/loop", "/away", "/large", "/none", "/empty", "/short", "/never")] + ["ftp://x/y", "http://[bad", "http://127.0.0.1:1/", f"HTTP://{host}/last"]
+    began = time.monotonic()
+    rows = {r["path"]: r for r in web.fetch_pages(spark, at, 1.5).collect()}
+    assert time.monotonic() - began < 25 and [rows[u]["ord"] for u in at] == list(range(len(at)))
+    good = {u.rpartition("/")[2] for u in at if rows[u]["error"] is None}
+    assert good == {"page", "moved", "last"} and bytes(rows[at[2]]["content"]) == b"<title>T</title>/page"
+    why = {u.rpartition("/")[2]: rows[u]["error"] for u in at}
+    assert why["drip"] == why["never"] == "timeout" and why["large"] == "body too large" and why["empty"] == "empty body" and "redirect" in why["away"].lower() and why["y"] == "not an http address"
+    assert all(rows[u]["content"] is None for u in at if rows[u]["error"])
+    table = spark.createDataFrame(list(enumerate(at)), "ord long, path string")
+    assert {(r["path"], r["error"] is None) for r in web.fetch_table(table, 1.5).collect()} == {(u, rows[u]["error"] is None) for u in at}
+
+
+def test_pages_of_a_host_keep_its_rate(spark, server):
+    from factweave.sources import web
+
+    host, asked = server
+    urls = [f"http://{host}/{k}" for k in range(5)]
+    for rows in (web.fetch_pages(spark, urls, 5, per_second=5), web.fetch_table(spark.createDataFrame(list(enumerate(urls)), "ord long, path string"), 5, per_second=5)):
+        asked.clear()
+        assert rows.where("error is null").count() == 5
+        times = sorted(t for _, t in asked)
+        assert min(b - a for a, b in zip(times, times[1:])) > 0.15
+
+
+def test_extractors_in_sql(spark):
+    from pyspark.errors import AnalysisException
+
+    from factweave.functions.blake3 import identity_of
+    from factweave.functions.table_functions import register
+    from factweave.sources.content import extract_rows
+
+    register(spark)
+    rows = [(0, "json", b'{"a": [1, {"b": null}]}'), (1, "yaml", b"a: 1\nb:\n  - x\n"), (2, "html", b"<title>t</title><form><input name=q></form>"), (3, "markdown", b"# h\n\ntext"), (4, "text", b"\0\1binary text"), (5, "json", b"\0"), (6, "xml", b"<a b='c'/>"), (7, "text", None), (8, "text", b"")]
+    spark.createDataFrame(rows, "artifact_id long, kind string, content binary").createOrReplaceTempView("sql_files")
+    got = spark.sql("SELECT f.artifact_id, x.* FROM sql_files f, LATERAL extract_facts(f.kind, f.content, identities => true) x").collect()
+    kept = spark.createDataFrame([(i, "binary" if i == 4 else k, c) for i, k, c in rows if i not in (5, 7, 8)], "artifact_id long, kind string, content binary")
+    want = {(r["artifact_id"], r["ord"], r["kind"], r["canonical"], r["line"]) for r in extract_rows(kept).collect()}
+    assert {tuple(r)[:5] for r in got} == want and all(bytes(r["identity"]) == identity_of([r["kind"]], [r["canonical"]])[0] for r in got)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM extract_facts('config', 'k = v')").collect()] == [(0, "kv", "k=v", 1)]
+    for bad in ("extract_facts(1, 'x')", "extract_facts('json', 2)", "extract_facts('json', 'x', identities => 'yes')"):
+        with pytest.raises(AnalysisException):
+            spark.sql(f"SELECT * FROM {bad}").collect()
