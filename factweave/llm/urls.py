@@ -115,7 +115,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, threshold: float = 0.5) -> D
 
 
 def op10_url_reputation(spark, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict", F.round("rate", 9).alias("rate"), F.round("lower", 9).alias("lower"))
 
 
 OP10_SQL = r"""
@@ -141,9 +141,9 @@ hs AS (SELECT DISTINCT host, domain, suffix FROM k),
 e AS (SELECT hs.host, coalesce(ch.n, 0) AS n, w.kh AS kh, coalesce(ch.bad, 0) AS bh,
     (coalesce(cd.bad, 0) + w.kd * (coalesce(cs.bad, 0) + m.r0 * w.ks) / (coalesce(cs.n, 0) + w.ks)) / (coalesce(cd.n, 0) + w.kd) AS d
   FROM hs LEFT JOIN ch ON ch.host = hs.host LEFT JOIN cd ON cd.domain = hs.domain LEFT JOIN cs ON cs.suffix = hs.suffix, w, m),
-q AS (SELECT host, n + kh AS size, (bh + d * kh) / (n + kh) AS h FROM e),
+q AS (SELECT host, h, h - 1.645 * sqrt(h * (1 - h) / (size + 1)) AS lower FROM (SELECT host, n + kh AS size, (bh + d * kh) / (n + kh) AS h FROM e)),
 f AS (SELECT page_id, what, h || p AS rule FROM u JOIN r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p)
       QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) = 1)
-SELECT k.page_id, k.host, k.path, f.rule, coalesce(f.what, CASE WHEN q.h - 1.645 * sqrt(q.h * (1 - q.h) / (q.size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT k.page_id, k.host, k.path, f.rule, coalesce(f.what, CASE WHEN q.lower > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(q.h, 9) AS rate, round(q.lower, 9) AS lower
 FROM k JOIN q USING (host) LEFT JOIN f USING (page_id)
 """.replace("ADDRESS", _ADDRESS).replace("LONG", _LONG)

@@ -490,7 +490,7 @@ def test_url_labels_and_odd_rows(spark):
     labels = [(i, i % 2, int(i % 5 == 0)) for i in range(0, 140, 3)] + [(9, None, None), (9, 0, 1), (None, 0, 1)]
     pages = spark.createDataFrame([(i, u, "h", 1.0, 0) for i, u in rows], "page_id long, url string, host string, rate double, n long")
     marks = spark.createDataFrame([(*r, "x") for r in labels], "doc_id long, quality int, toxic int, host string")
-    got = [tuple(r) for r in urls.judge_urls(pages, marks).select("page_id", "host", "path", "rule", "verdict").collect()]
+    got = [tuple(r) for r in urls.judge_urls(pages, marks).select("page_id", "host", "path", "rule", "verdict", F.round("rate", 9), F.round("lower", 9)).collect()]
     assert len(got) == len(rows)
     con = duckdb.connect()
     con.execute("CREATE TABLE pages(row_id BIGINT, page_id BIGINT, url VARCHAR)")
