@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.common import materialize, release, table
-from factweave.llm.wordkernel import LOWER, Words, lean, mix, mix_int, word_chunks
+from factweave.llm.wordkernel import LOWER, Words, lean, mix, mix_int, one_thread, word_chunks
 
 TOP_WORDS = 131_072
 HEAD, CLASS_WORDS, KNOWN_INPUTS, FREQUENT = 1024, 64, 512, 16_384
@@ -362,6 +362,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]
 
 def _train(v: Vocabulary, flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         group, net, memory, seen = None, None, None, 0
         for g, texts in _pieces(batches):
             if g != group:
@@ -452,6 +453,7 @@ def _score(v: Vocabulary, flat: np.ndarray):
     logs = np.log10((v.counts + 0.5) / v.norm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         net = Network(v.classes, flat.copy())
         for batch in batches:
             for w in word_chunks(batch.column(2), lower=True, chunk_bytes=CHUNK_BYTES):

@@ -11,6 +11,7 @@ inverse of ``P``, passed through a 64-bit finaliser. N-gram hashes are polynomia
 from __future__ import annotations
 
 import ctypes
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -52,6 +53,19 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ro
     return mapped
 
 
+def one_thread() -> None:
+    """Matrix products of this process run on its own thread: a task has one core, and threads that wait for work spin."""
+    if not os.path.exists("/proc/self/maps"):
+        return
+    with open("/proc/self/maps") as maps:
+        libraries = {line.split()[-1] for line in maps if "openblas" in line}
+    for library in libraries:
+        blas = ctypes.CDLL(library)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(blas, name):
+                getattr(blas, name)(1)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (xor-shift, multiply), a bijection."""
     x = x ^ (x >> np.uint64(30))
