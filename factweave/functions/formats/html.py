@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
 
 from factweave.functions.blake3 import blake3, blake3_many
 from factweave.functions.formats import Fact, decode
@@ -14,7 +17,6 @@ LANDMARKS = frozenset("form input script iframe select textarea button".split())
 CAPTURED = frozenset("title h1 h2 h3".split())
 META_KEYS = frozenset(("generator", "application-name", "author"))
 
-_TAG = re.compile(r"[A-Za-z0-9:_-]*")
 _SPACES = " \t\n\r\x0c"
 _ATTRIBUTE = re.compile(r"""[ \t\n\r\f]*(?:(?P<end>>)|(?P<slash>/)|(?P<name>[^ \t\n\r\f=>/]*)(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:"(?P<d>[^"]*)"?|'(?P<s>[^']*)'?|(?P<u>[^ \t\n\r\f>]*)))?)""")
 _HOST = re.compile(r"(?:[hH][tT][tT][pP][sS]?:)?//([^/?#:]*)")
@@ -50,68 +52,125 @@ def plain(raw: str) -> str:
     return out.rstrip(" ")
 
 
-class _Page:
-    def __init__(self) -> None:
-        self.facts: list[Fact] = []
-        self.tokens: list[str] = []
-        self.path: list[str] = []
-        self.forms: list[list[str]] = []
-        self.counts: dict[str, int] = {}
-        self.capture: tuple[str, list[str]] | None = None
-
-    def emit(self, key: str, value: str | None) -> None:
-        if value and self.counts.get(key, 0) < MAX_FEATURES:
-            self.counts[key] = self.counts.get(key, 0) + 1
-            self.facts.append(("kv", f"{key}[]={value}", 0))
-
-    def token(self, t: str) -> None:
-        if len(self.tokens) < MAX_TOKENS:
-            self.tokens.append(t)
-
-    def opened(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
-        typed = f"{tag}:{lower(attrs.get('type', 'text'))}" if tag == "input" else tag
-        self.token(f"+{typed}")
-        if tag in LANDMARKS:
-            self.emit("path", ">".join([*self.path[-5:], typed]))
-        if tag in ("input", "select", "textarea") and self.forms:
-            name = lower(next((attrs[k] for k in ("name", "id", "type") if k in attrs), tag))
-            self.emit("field", name)
-            self.forms[-1].append(name)
-            if lower(attrs.get("type", "")) == "password" and name != "password":
-                self.emit("field", "password")
-        if tag == "form":
-            if "action" in attrs:
-                self.emit("formaction", action_token(attrs["action"]))
-                self.emit("formhost", url_host(attrs["action"]))
-            self.forms.append([])
-        source = attrs.get("href" if tag == "link" else "src") if tag in ("script", "img", "iframe", "link") else None
-        if source is not None:
-            self.emit("resource", url_host(source))
-        if tag == "meta" and "content" in attrs and (key := lower(attrs.get("property", attrs.get("name", "")))):
-            if (key.startswith("og:") or key in META_KEYS) and (text := plain(attrs["content"])):
-                self.emit("meta", f"{key}={text}")
-        if tag in CAPTURED:
-            self.capture = (tag, [])
-        if closed or tag in VOID:
-            self.token(f"-{tag}")
-        else:
-            self.path.append(tag)
-
-    def shut(self, tag: str) -> None:
-        if self.capture and self.capture[0] == tag:
-            if text := plain("".join(self.capture[1])):
-                self.emit("title" if tag == "title" else "heading", text if tag == "title" else f"{tag}:{text}")
-            self.capture = None
-        if tag == "form" and self.forms:
-            if fields := self.forms.pop():
-                self.emit("formfields", blake3(b"".join(f.encode() + b"\0" for f in sorted(fields, key=str.encode)))[:12].hex())
-        if tag in self.path:
-            del self.path[len(self.path) - 1 - self.path[::-1].index(tag) :]
-        self.token(f"-{tag}")
-
-    def shapes(self) -> list[Fact]:
-        runs = list(dict.fromkeys(tuple(self.tokens[i : i + SHINGLE]) for i in range(len(self.tokens) - SHINGLE + 1)))[:MAX_SHINGLES]
-        return [("kv", f"shape[]={d[:9].hex()}", 0) for d in blake3_many(["".join(t + "\x1f" for t in r).encode() for r in runs])]
+class Event(NamedTuple):
+    """A piece of a page: ``open`` or ``close`` of a tag, ``text`` or ``comment``."""
+
+    what: str
+    tag: str = ""
+    text: str = ""
+    attrs: dict[str, str] = {}
+    alone: bool = False
+
+    @property
+    def typed(self) -> str:
+        return f"input:{lower(self.attrs.get('type', 'text'))}" if self.tag == "input" else self.tag
+
+
+#: Everything that is not text; what follows an opening tag's name is read by ``_attributes``.
+_MARKUP = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<![^>]*>?|</(?P<close>[A-Za-z0-9:_-]*)[^>]*>?|<(?P<open>[A-Za-z][A-Za-z0-9:_-]*)", re.S)
+_RAW_END = {t: re.compile(f"</{t}[^>]*>?", re.I | re.A) for t in ("script", "style")}
+
+
+def events(src: str) -> Iterator[Event]:
+    """The page's pieces in order; the text of scripts and styles is left out, brackets that open nothing are dropped."""
+    at = 0
+    while m := _MARKUP.search(src, at):
+        if m.start() > at:
+            yield Event("text", text=src[at : m.start()].replace("<", ""))
+        at = m.end()
+        if m["open"]:
+            tag = lower(m["open"])
+            attrs, closed, at = _attributes(src, at)
+            yield Event("open", tag, attrs=attrs, alone=closed or tag in VOID)
+            if tag in _RAW_END and not closed:
+                end = _RAW_END[tag].search(src, at)
+                at = end.end() if end else len(src)
+                yield Event("close", tag)
+        elif m["close"] is not None:
+            yield Event("close", lower(m["close"]))
+        elif m["comment"] is not None:
+            yield Event("comment", text=m["comment"])
+
+
+#: A feature: the number of its event, its bag and its value; one without a value is not kept.
+Feature = tuple[int, str, str | None]
+
+
+def comment_bag(page: list[Event]) -> Iterator[Feature]:
+    yield from ((i, "comment", plain(e.text)) for i, e in enumerate(page) if e.what == "comment")
+
+
+def path_bag(page: list[Event]) -> Iterator[Feature]:
+    """Landmarks behind the last five elements open around them."""
+    around: list[str] = []
+    for i, e in enumerate(page):
+        if e.what == "open":
+            if e.tag in LANDMARKS:
+                yield i, "path", ">".join([*around[-5:], e.typed])
+            if not e.alone:
+                around.append(e.tag)
+        elif e.what == "close" and e.tag in around:
+            while around.pop() != e.tag:
+                pass
+
+
+def field_bags(page: list[Event]) -> Iterator[Feature]:
+    """Names of fields inside a form, and at its end the digest of all of them in order."""
+    forms: list[list[str]] = []
+    for i, e in enumerate(page):
+        if e.what == "open" and e.tag == "form":
+            forms.append([])
+        elif e.what == "open" and forms and e.tag in ("input", "select", "textarea"):
+            forms[-1].append(lower(next((e.attrs[k] for k in ("name", "id", "type") if k in e.attrs), e.tag)))
+            yield i, "field", forms[-1][-1]
+            if lower(e.attrs.get("type", "")) == "password" and forms[-1][-1] != "password":
+                yield i, "field", "password"
+        elif e.what == "close" and e.tag == "form" and forms and (names := forms.pop()):
+            yield i, "formfields", blake3(b"".join(f.encode() + b"\0" for f in sorted(names, key=str.encode)))[:12].hex()
+
+
+def action_bags(page: list[Event]) -> Iterator[Feature]:
+    for i, e in enumerate(page):
+        if e.what == "open" and e.tag == "form" and "action" in e.attrs:
+            yield i, "formaction", action_token(e.attrs["action"])
+            yield i, "formhost", url_host(e.attrs["action"])
+
+
+def resource_bag(page: list[Event]) -> Iterator[Feature]:
+    source = {"script": "src", "img": "src", "iframe": "src", "link": "href"}
+    yield from ((i, "resource", url_host(e.attrs[source[e.tag]])) for i, e in enumerate(page) if e.what == "open" and source.get(e.tag) in e.attrs)
+
+
+def meta_bag(page: list[Event]) -> Iterator[Feature]:
+    for i, e in enumerate(page):
+        if e.what == "open" and e.tag == "meta" and "content" in e.attrs:
+            key = lower(e.attrs.get("property", e.attrs.get("name", "")))
+            if (key in META_KEYS or key.startswith("og:")) and (text := plain(e.attrs["content"])):
+                yield i, "meta", f"{key}={text}"
+
+
+def title_bags(page: list[Event]) -> Iterator[Feature]:
+    """Text from the last opening of a title or heading to its end."""
+    since = None
+    for i, e in enumerate(page):
+        if e.what == "open" and e.tag in CAPTURED:
+            since = i
+        elif e.what == "close" and since is not None and page[since].tag == e.tag:
+            text = plain("".join(x.text for x in page[since:i] if x.what == "text"))
+            if text:
+                yield (i, "title", text) if e.tag == "title" else (i, "heading", f"{e.tag}:{text}")
+            since = None
+
+
+def shapes(page: list[Event]) -> list[Fact]:
+    """Digests of the runs of five structural tokens."""
+    tokens = [t for e in page if e.what in ("open", "close") for t in ([f"+{e.typed}", *([f"-{e.tag}"] if e.alone else [])] if e.what == "open" else [f"-{e.tag}"])][:MAX_TOKENS]
+    runs = list(dict.fromkeys(zip(*(tokens[k:] for k in range(SHINGLE)))))[:MAX_SHINGLES]
+    return [("kv", f"shape[]={d[:9].hex()}", 0) for d in blake3_many(["".join(t + "\x1f" for t in r).encode() for r in runs])]
+
+
+#: In the order of the facts of one event.
+BAGS = (comment_bag, path_bag, action_bags, resource_bag, meta_bag, title_bags, field_bags)
 
 
 def _attributes(src: str, at: int) -> tuple[dict[str, str], bool, int]:
@@ -135,37 +194,9 @@ def _attributes(src: str, at: int) -> tuple[dict[str, str], bool, int]:
 
 
 def parse(data: bytes) -> list[Fact]:
-    src, i, page = decode(data), 0, _Page()
-    while i < len(src):
-        lt = src.find("<", i)
-        lt = len(src) if lt < 0 else lt
-        if page.capture:
-            page.capture[1].append(src[i:lt])
-        i = lt
-        if i >= len(src):
-            break
-        if src.startswith("<!--", i):
-            end = src.find("-->", i + 4)
-            page.emit("comment", plain(src[i + 4 : end if end >= 0 else len(src)]))
-            i = end + 3 if end >= 0 else len(src)
-        elif src.startswith("<!", i):
-            end = src.find(">", i)
-            i = end + 1 if end >= 0 else len(src)
-        elif src.startswith("</", i):
-            name = _TAG.match(src, i + 2)
-            end = src.find(">", name.end())
-            i = end + 1 if end >= 0 else len(src)
-            page.shut(lower(name[0]))
-        elif not (src[i + 1 : i + 2].isascii() and src[i + 1 : i + 2].isalpha()):
-            i += 1
-        else:
-            name = _TAG.match(src, i + 1)
-            tag = lower(name[0])
-            attrs, closed, i = _attributes(src, name.end())
-            page.opened(tag, attrs, closed)
-            if tag in ("script", "style") and not closed:
-                end = re.compile(f"</{tag}", re.I | re.A).search(src, i)
-                gt = src.find(">", end.start()) if end else -1
-                i = gt + 1 if gt >= 0 else len(src)
-                page.shut(tag)
-    return page.facts + page.shapes()
+    page, kept, facts = list(events(decode(data))), Counter(), []
+    for _, bag, value in sorted((f for bag in BAGS for f in bag(page) if f[2]), key=lambda f: f[0]):
+        kept[bag] += 1
+        if kept[bag] <= MAX_FEATURES:
+            facts.append(("kv", f"{bag}[]={value}", 0))
+    return facts + shapes(page)
