@@ -236,6 +236,54 @@ def _json_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def _notes(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Customers as artifacts: one key a nation, a third of them with a value too long to show whole."""
+    c = _read(spark, sf_dir, "customer")
+    value = F.expr("concat('n', c_nationkey, '.note=', CASE WHEN c_custkey % 3 = 0 THEN concat(c_mktsegment, repeat('é', 30)) ELSE 'USUAL' END)")
+    facts = c.select(F.col("c_custkey").alias("artifact_id"), F.lit(0).alias("ord"), F.lit("kv").alias("kind"), value.alias("canonical"), F.lit(0).alias("line"))
+    return Corpus(table_artifacts(c, "c_custkey"), facts)
+
+
+_FACTS["notes"] = """arts AS (SELECT DISTINCT c_custkey AS a FROM customer),
+f AS (SELECT c_custkey AS a, 'kv' AS kind, 'n' || c_nationkey || '.note=' || CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || repeat('é', 30) ELSE 'USUAL' END AS c FROM customer)"""
+
+
+def _ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence for a question that names no artifact, without its factions."""
+    from factweave.plans.ask import evidence
+
+    lines = evidence(document_lines(spark, sf_dir), "Why are these different?").split("\n")
+    return _text(spark, [x for x in lines if x and not x.startswith(("Faction ", "  shares "))])
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of files written by tasks from suppliers: three formats, hidden names, texts with a NUL, binaries."""
+    from factweave.sources.tree import write_files
+
+    kinds = [("'a', {k}, '.json'", "concat('{{\"k\": ', {k}, '}}')"), ("'b', {k}, '.yaml'", "concat('k: ', {k})"), ("'c', {k}, '.conf'", "concat('[s]\\nk=', {k})"), ("'.d', {k}, '.json'", "'1'"), ("'e', {k}, '.json'", "concat('a', chr(0), {k})"), ("'f', {k}, '.bin'", "concat('n', {k})")]
+    case = lambda n: "CASE s_suppkey % 6 " + " ".join(f"WHEN {i} THEN {('concat(' + x[0] + ')') if n == 0 else x[1]}" for i, x in enumerate(kinds)).format(k="s_suppkey") + " END"
+    rows = _read(spark, sf_dir, "supplier").select(F.expr(case(0)).alias("name"), F.expr(case(1)).cast("binary").alias("content"))
+    folder = f"{shared_dir(spark)}/factweave-files-{uuid.uuid4().hex}"
+    write_files(rows.repartition(4), folder)
+    return folder.removeprefix("file://")
+
+
+def _tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.sources.tree import tree
+
+    return tree(spark, [_planted(spark, sf_dir)]).select(F.substring_index("path", "/", -1).alias("name"), "kind", "size")
+
+
+def _tree_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the planted files; ids are dense, so the largest is one less than the files kept."""
+    from factweave.sources.files import from_paths
+
+    artifacts, facts, skipped = from_paths(spark, [_planted(spark, sf_dir)])
+    named = facts.where("canonical not like 'binary.%' and kind = 'kv'").join(artifacts.select("artifact_id", F.substring_index("path", "/", -1).alias("name"), F.col("kind").alias("file_kind")), "artifact_id")
+    ids = artifacts.agg((F.max("artifact_id") + 1).alias("kept"))
+    return named.crossJoin(F.broadcast(ids)).select("name", "file_kind", "canonical", "line", "kept", F.lit(skipped).cast("long").alias("skipped"))
+
+
 def _incremental(spark: SparkSession, sf_dir: str) -> IncrementalConsensus:
     """Documents fed in four batches that share most of their artifacts."""
     c = document_lines(spark, sf_dir)
@@ -291,6 +339,11 @@ QUERIES = {
     "report_conflicts_text": lambda s, d: _lines(report.conflict_lines(parts(s, d)), "place", "at"),
     "report_factions_text": lambda s, d: _text(s, report.text_report(document_lines(s, d), "factions").split("\n")[3:]),
     "report_gate_text": _gate_text,
+    "report_conflicts_long": lambda s, d: _lines(report.conflict_lines(_notes(s, d)), "place", "at"),
+    "report_forms_text": lambda s, d: _lines(report.form_lines(composed.pages(s, d)), "artifact_id"),
+    "ask_evidence": _ask,
+    "tree_listing": _tree_listing,
+    "tree_facts": _tree_facts,
     "report_json_counts": _json_counts,
     "report_yara_text": lambda s, d: report.yara_rules(composed.binaries(s, d)).select(F.col("place").cast("int").alias("position"), F.col("rule").alias("line")),
     "report_kit_text": lambda s, d: _lines(report.kit_lines(composed.pages(s, d)).where("at = 0"), "part", "place"),
@@ -389,6 +442,29 @@ SELECT CAST(row_number() OVER (ORDER BY id, r) - 1 AS INT) AS position, line FRO
   SELECT id, 0 AS r, '  #' || id || '  ' || size || ' members  cohesion ' || format('{:.3f}', co) || '  ' || names AS line FROM fs JOIN co USING (root) JOIN nm USING (root) WHERE id < 10
   UNION ALL SELECT id, rank, '    ' || format('{:>4}', present) || '  ' || c FROM sg JOIN fs USING (root) WHERE id < 10 AND rank <= 5)""", _LABELS, True),
     "report_gate_text": "GATE_TEXT",
+    "report_conflicts_long": _sql("notes", """, hd AS (SELECT key, value, rank, n, a, row_number() OVER (PARTITION BY key, value ORDER BY a) AS nth FROM kv JOIN vg USING (key, value)),
+sh AS (SELECT key, value, rank, n, string_agg(CAST(a AS VARCHAR), ', ' ORDER BY a) AS names FROM hd WHERE nth <= 8 AND rank <= 6 GROUP BY ALL),
+od AS (SELECT *, row_number() OVER (ORDER BY deviants, holders DESC, key) AS o FROM cf)
+SELECT CAST(row_number() OVER (ORDER BY o, r) - 1 AS INT) AS position, line FROM (
+  SELECT o, 0 AS r, '  ' || key || '  ' || n_values || ' values, ' || holders || ' holders, ' || deviants || ' deviants' AS line FROM od
+  UNION ALL SELECT o, rank, '    ' || format('{:>6}', n) || '  ' || CASE WHEN value = 'USUAL' THEN value ELSE left(value, length(value) - 30 + (48 - (length(value) - 30)) // 2) END || CASE WHEN rank = 1 THEN '' ELSE '  ' || names END FROM sh JOIN od USING (key))""", _CONFLICTS),
+    "report_forms_text": _sql("pages", """, ln AS (SELECT artifact_id, '  ' || path || '  ' || replace(fields, ',', ', ') || ' -> ' || coalesce(action_host, '-') || CASE WHEN off_domain THEN '  OFF-DOMAIN' ELSE '' END AS line FROM ff JOIN arts ON arts.a = artifact_id ORDER BY artifact_id LIMIT 10)
+SELECT CAST(row_number() OVER (ORDER BY artifact_id) - 1 AS INT) AS position, line FROM ln""", _CREDS),
+    "ask_evidence": _sql("documents", """, dr AS (SELECT *, row_number() OVER (ORDER BY drift DESC, artifact_id) AS i FROM so),
+ch AS (SELECT * FROM dr WHERE CASE WHEN (SELECT max(is_outlier) FROM so) THEN is_outlier ELSE i = 1 END ORDER BY i LIMIT 4),
+ow AS (SELECT ch.i, c, row_number() OVER (PARTITION BY ch.i ORDER BY first) AS r FROM ch JOIN (SELECT a, c, min(ln) AS first FROM f GROUP BY a, c) x ON x.a = ch.artifact_id JOIN ids USING (c) WHERE ids.is_unique),
+mi AS (SELECT ch.i, ids.c, ids.k, row_number() OVER (PARTITION BY ch.i ORDER BY ids.c, ids.kind) AS r FROM ch, ids WHERE is_core AND NOT EXISTS (SELECT 1 FROM m WHERE m.a = ch.artifact_id AND m.c = ids.c)),
+al AS (SELECT 0 AS p, 0 AS i, 0 AS r, 'Corpus: ' || N || ' artifacts, ' || (SELECT count(*) FROM f) || ' observations, ' || (SELECT count(*) FROM ids) || ' identities, ' || core || ' in the consensus core.' AS line FROM nn, core
+  UNION ALL SELECT 1, 0, 0, 'Artifacts by drift:'
+  UNION ALL SELECT 2, i, 0, '  ' || artifact_id || '  drift ' || format('{:.4f}', drift) || '  facts ' || total || '  unique ' || n_unique || CASE WHEN is_outlier THEN '  OUTLIER' ELSE '' END FROM dr WHERE i <= 30
+  UNION ALL SELECT 3, i, 0, 'Focus: ' || artifact_id FROM ch UNION ALL SELECT 3, i, r, '  only here: ' || c FROM ow WHERE r <= 25 UNION ALL SELECT 3, i, 100 + r, '  missing: ' || c || ' (held by ' || k || ')' FROM mi WHERE r <= 25)
+SELECT CAST(row_number() OVER (ORDER BY p, i, r) - 1 AS INT) AS position, line FROM al"""),
+    "tree_listing": """SELECT ['a', 'b', 'c', 'd', 'e', 'f'][s_suppkey % 6 + 1] || s_suppkey || ['.json', '.yaml', '.conf', '', '.json', '.bin'][s_suppkey % 6 + 1] AS name, ['json', 'yaml', 'config', '', 'json', 'binary'][s_suppkey % 6 + 1] AS kind,
+  length(CAST(s_suppkey AS VARCHAR)) + [7, 3, 6, 0, 2, 1][s_suppkey % 6 + 1] AS size FROM supplier WHERE s_suppkey % 6 <> 3""",
+    "tree_facts": """WITH n AS (SELECT count(*) FILTER (s_suppkey % 6 NOT IN (3, 4)) AS kept, count(*) FILTER (s_suppkey % 6 = 4) AS skipped FROM supplier)
+SELECT ['a', 'b', 'c'][s_suppkey % 6 + 1] || s_suppkey || ['.json', '.yaml', '.conf'][s_suppkey % 6 + 1] AS name, ['json', 'yaml', 'config'][s_suppkey % 6 + 1] AS file_kind, CASE WHEN s_suppkey % 6 = 2 THEN 's.' ELSE '' END || 'k=' || s_suppkey AS canonical,
+  CAST([0, 1, 2][s_suppkey % 6 + 1] AS INT) AS line, kept, skipped FROM supplier, n WHERE s_suppkey % 6 < 3
+UNION ALL SELECT 'f' || s_suppkey || '.bin', 'binary', 'strings[]=n' || s_suppkey, 0, kept, skipped FROM supplier, n WHERE s_suppkey % 6 = 5 AND s_suppkey >= 1000""",
     "report_json_counts": _sql("nations", """, lb AS (SELECT DISTINCT root FROM lab)
 SELECT entry, CAST(value AS DOUBLE) AS value FROM (
   SELECT 'artifacts' AS entry, N AS value FROM nn UNION ALL SELECT 'evidence', count(*) FROM ids UNION ALL SELECT 'conflicts', count(*) FROM cf UNION ALL SELECT 'factions', count(*) FROM lb UNION ALL SELECT 'credential_forms', 0

@@ -69,6 +69,13 @@ def faction_rows(c: Corpus, factions: int = LIST) -> DataFrame:
     return heads.union(marks.select("faction_id", "rank", "present", F.lit(0.0), "canonical"))
 
 
+def form_lines(c: Corpus, forms: int = LIST) -> DataFrame:
+    """``artifact_id, line``: the first credential forms as lines of text."""
+    first = c.credential_forms.orderBy("artifact_id").limit(forms)
+    off = F.when(F.col("off_domain"), "  OFF-DOMAIN").otherwise("")
+    return first.select("artifact_id", F.concat(F.lit("  "), "path", F.lit("  "), _names(F.col("fields"), FIELDS), F.lit(" -> "), F.coalesce("action_host", F.lit("-")), off).alias("line"))
+
+
 def text_report(c: Corpus, section: str = "all", gate_rows: list | None = None, skipped: int = 0) -> str:
     show = lambda name: section in ("all", name)
     s = c.summary.first()
@@ -91,9 +98,8 @@ def text_report(c: Corpus, section: str = "all", gate_rows: list | None = None,
         if rows:
             out += ["", "Unique evidence", *[f"  {r['path']}: {r['canonical']}" for r in rows]]
     if section == "all":
-        forms = c.credential_forms.orderBy("artifact_id").limit(LIST).collect()
-        if forms:
-            out += ["", "Credential forms", *[f"  {r['path']}  {', '.join(r['fields'][:FIELDS])} -> {r['action_host'] or '-'}{'  OFF-DOMAIN' if r['off_domain'] else ''}" for r in forms]]
+        forms = [r["line"] for r in form_lines(c).orderBy("artifact_id").collect()]
+        out += ["", "Credential forms", *forms] if forms else []
     if gate_rows:
         out += ["", "Gate", *[f"  {'FAIL' if r['tripped'] else 'ok  '}  {r['metric']} > {r['threshold']:g}: {r['observed']:g}" for r in gate_rows]]
     return "\n".join(out)

@@ -76,6 +76,6 @@ def keys_only(facts: DataFrame) -> DataFrame:
     """Values removed: ``kv`` keeps its key, a ``line`` becomes ``line#`` and a digest, others stay."""
     from factweave.functions.blake3 import hex_digest
 
-    kv = facts.where("kind <> 'line'").withColumn("canonical", F.when(F.col("kind") == "kv", F.substring_index("canonical", "=", 1)).otherwise(F.col("canonical")))
-    lines = facts.where("kind = 'line'").withColumn("canonical", F.concat(F.lit("line#"), hex_digest(6)("canonical")))
-    return kv.unionByName(lines)
+    mark = hex_digest(6)(F.when(F.col("kind") == "line", F.col("canonical")))  # nothing else is digested, and facts are read once
+    bare = F.when(F.col("kind") == "kv", F.substring_index("canonical", "=", 1)).when(F.col("kind") == "line", F.concat(F.lit("line#"), mark))
+    return facts.withColumn("canonical", bare.otherwise(F.col("canonical")))

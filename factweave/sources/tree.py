@@ -283,6 +283,9 @@ def read_manifest(folder: str) -> dict:
 def write_files(rows: DataFrame, folder: str, mode: str = "append") -> dict:
     """Write rows ``name, content`` as files below ``folder``, a part folder a task, and return the manifest. Nothing of a
     job that fails is seen; a name twice in one task, or one that is no plain file name, fails the job."""
+    folder = folder.removeprefix("file://") if folder.startswith("file:///") else folder.removeprefix("file:")
+    if "://" in folder:
+        raise ValueError(f"not a folder that tasks can open: {folder}")
     rows.sparkSession.dataSource.register(FilesSink)
     rows.select("name", "content").write.format(FilesSink.name()).mode(mode).save(folder)
     return read_manifest(folder)
