@@ -9,7 +9,7 @@ of a perfect copy. Common seeds are cheap: a stretch whose words cannot reach th
 
 The scan has no shuffle: a hot passage is only more alignments on the tasks that hold its documents.
 Items are sent out in blocks whose bytes are measured first and bounded by ``BLOCK_BYTES``; a larger
-benchmark means more scans, never a larger broadcast.
+benchmark means more scans, never a larger broadcast, and a plan holds ``CHAIN`` blocks at most.
 
 Defined cases: null or empty texts and items match nothing; items of one or two words use their whole
 sequence as seed and match verbatim; a null doc_id or item_id is returned as null; repeated rows repeat their
@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import table
+from factweave.llm.common import materialize, release, table
 from factweave.llm.wordkernel import Words, gram_hashes, grams_by_row, lean, strings_to_words, word_chunks
 
 SEED_WORDS = 3
 THRESHOLD = 0.4
 BLOCK_BYTES = 8 << 20
+#: Blocks of one plan; after so many its result is written.
+CHAIN = 4
 MATCH, MISMATCH, GAP = 2, -1, 1
 
 MATCHES = "doc_id long, item_id long, score double, doc_start long, doc_end long, matched long"
@@ -192,23 +194,36 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Block]:
             yield Block(part["item_id"].to_pylist(), w)
 
 
+def _cut(df: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``df`` written, twice over; the table written ``before`` is deleted. So a plan, and what a task and the driver hold at
+    once, is a few blocks, however many there are."""
+    out = materialize(df)
+    if before is not None:
+        release(before)
+    return out, out
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, item_id, score, doc_start, doc_end, matched``: one row per contaminated document and
     item, positions in words."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = None
-    for block in _blocks(benchmark, block_bytes):
+    found = held = None
+    for k, block in enumerate(_blocks(benchmark, block_bytes), 1):
         hits = slim.mapInArrow(lean(_scan(block)), MATCHES)
         found = hits if found is None else found.union(hits)
+        if k % CHAIN == 0:
+            found, held = _cut(found, held)
     return found if found is not None else docs.sparkSession.createDataFrame([], MATCHES)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` without a leak, all columns kept. Each row is judged by its own text where it lies, so
     rows that share a doc_id, or have none, are kept or go by themselves, and nothing is shuffled."""
-    out = docs
-    for block in _blocks(benchmark, block_bytes):
+    out, held = docs, None
+    for k, block in enumerate(_blocks(benchmark, block_bytes), 1):
         out = out.mapInArrow(lean(_without(block, docs.columns.index("text"))), docs.schema)
+        if k % CHAIN == 0:
+            out, held = _cut(out, held)
     return out
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.llm import common, line_dedup, manifest, mixing, ngram_join, substring_dedup, spelling
+from factweave.llm import common, decontaminate, line_dedup, manifest, mixing, ngram_join, substring_dedup, spelling
 from tests.llm import brute
 from tests.llm.test_operators import EDGES, SCHEMA, documents, empty, table
 
@@ -168,3 +168,14 @@ def test_source_targets_equal_plain_water_levels(spark):
     want = brute.targets(sizes)
     assert got == pytest.approx({"n" if s is None else "s" + s: v for s, v in want.items()})
     assert mixing.source_targets(sized.limit(0)).count() == 0
+
+
+def test_decontamination_plans_do_not_grow_with_blocks(spark):
+    items = [f"alpha{k} beta{k} gamma{k} delta{k} epsilon{k}" for k in range(23)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = table(spark, [(k, f"x {items[k]} y" if k < 23 else "nothing of the kind", "s") for k in range(30)])
+    found, kept = decontaminate.find_leaks(docs, bench, 60), decontaminate.decontaminate(docs, bench, 60)
+    for df in (found, kept):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= decontaminate.CHAIN
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(k, k) for k in range(23)]
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(23, 30))
