@@ -246,6 +246,8 @@ class _Forest:
         return x != y
 
 
+#: Pairs of a tile that are held at once, beside its forest.
+PAIRS = 1 << 17
 TILE_ROWS = "key long, tile long, half int, cls long, comp long, n long"
 EDGE = "a long, b long, key long, tile long"
 
@@ -262,14 +264,30 @@ def _bound_forest(t: pa.Table) -> pa.RecordBatch:
     cls, n, half, comp = (t[c].to_numpy() for c in ("cls", "n", "half", "comp"))
     points = same_groups([_unpack(x) for x in t["payload"].to_pylist()])
     one, two = np.flatnonzero(half == 0), np.flatnonzero(half == 1)
-    i, j, bound = tree_pairs(points, n, comp, one, two if len(two) else one)
+    i, j, bound = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    held, size = [], 0
+    for found in PointTree(points, n, comp, two if len(two) else one).search(one):
+        held.append(found)
+        size += len(found[0])
+        if size >= PAIRS:
+            i, j, bound = _best_forest([(i, j, bound), *held], n, comp, cls)
+            held, size = [], 0
+    i, j, _ = _best_forest([(i, j, bound), *held], n, comp, cls)
+    return _edges(t, list(zip(cls[i].tolist(), cls[j].tolist())))
+
+
+def _best_forest(parts: list[tuple], n: np.ndarray, comp: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs ``(i, j, bound)``, those of the spanning forest of components by falling bound. Pairs have one order, so
+    the forest of a part and more pairs is the forest of all."""
+    i, j, bound = (np.concatenate(x) for x in zip(*parts))
     share = bound / (n[i] + n[j])
     low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
     order = np.lexsort((cls[j], cls[i], -share, high, low))
     first = order[np.r_[True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])]] if len(order) else order
     forest = _Forest()
     first = first[np.lexsort((high[first], low[first], -share[first]))]
-    return _edges(t, [(int(cls[i[k]]), int(cls[j[k]])) for k in first if forest.join(int(low[k]), int(high[k]))])
+    kept = np.array([k for k in first if forest.join(int(low[k]), int(high[k]))], dtype=np.int64)
+    return i[kept], j[kept], bound[kept]
 
 
 def _exact_forest(t: pa.Table) -> pa.RecordBatch:
