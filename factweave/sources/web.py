@@ -69,13 +69,17 @@ class Fetcher:
                 out += got
         return bytes(out)
 
+    def start(self) -> None:
+        """Start the process, so that its start is not the first page's time."""
+        if self.process is None:
+            self.process = subprocess.Popen([sys.executable, fetcher.__file__], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+            self._ask("http://localhost:0/", time.monotonic() + 30)
+
     def get(self, url: str) -> tuple[bytes | None, str | None]:
         """``(body, error)``, within the deadline."""
         if not host_of(url):
             return None, "not an http address"
-        if self.process is None:
-            self.process = subprocess.Popen([sys.executable, fetcher.__file__], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
-            self._ask("http://localhost:0/", time.monotonic() + 30)  # the start of the process is not the page's time
+        self.start()
         until = time.monotonic() + self.seconds
         try:
             head, body = self._ask(url, until)
@@ -107,6 +111,7 @@ def fetched(rows: Iterable[tuple[int, str]], seconds: float, per_second: float |
         for ord_, url in rows:
             host = host_of(url)
             if per_second and host:
+                fetch.start()
                 time.sleep(max(0.0, free.get(host, 0.0) - time.monotonic()))
                 free[host] = time.monotonic() + 1 / per_second
             body, error = fetch.get(url)
