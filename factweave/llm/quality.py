@@ -5,7 +5,7 @@ failure bits. Policies are versioned sets of bits applied later with one AND; ab
 the same bits. Nothing is re-measured when a policy changes.
 
 Defined cases: a null text counts as empty (no words, all measurements 0, fails ``few_words``);
-repeated rows give repeated ledger rows; an empty table gives an empty ledger; other columns are not
+a null doc_id is returned as null; repeated rows give repeated ledger rows; an empty table gives an empty ledger; other columns are not
 read. Texts of any length are measured whole, one row at a time in bounded chunks.
 """
 

@@ -5,7 +5,7 @@ rank ``(rank + 0.5) / rows of the source`` interleaves the sources in proportion
 cut of that order has the mixture of the whole. ``shards`` equal cuts give counts at most one apart.
 
 Ranks are distributed (``common.running``): a source with a third of all rows is spread over as many
-ranges as its rows need. Defined cases: a null source is a source of its own; a null text has size 1
+ranges as its rows need. Defined cases: a null source is a source of its own; a null doc_id is a value like any other; a null text has size 1
 and crc32 0; equal rows are interchangeable; an empty table gives no rows; extra columns are ignored.
 """
 
