@@ -219,3 +219,24 @@ def test_reports_without_driver_loops(spark):
     assert report.kit_json(c).count('"members"') == len(kits) and "kit #0" in report.kit_text(c)
     text = report.yara(inline(spark, BINARIES))
     assert text.count("rule factweave_family_") == 2 and "members = 3" in text
+
+
+def test_short_rows_are_dealt_before_they_are_composed_and_parsed(spark):
+    """The tables are one file with one block of rows, which one task read and parsed."""
+    from factweave.plans import composed, format_queries
+    from tests.oracle import DATA
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = [format_queries._extracted(spark, DATA, "part", "p_partkey", "yaml", "p_name"), format_queries._by_sql(spark, DATA, "part", "p_partkey", "yaml", "p_name"), composed.pages(spark, DATA).facts, composed.binaries(spark, DATA).facts]
+    for df in rows:
+        assert df.select(F.spark_partition_id().alias("p")).distinct().count() > cores
+
+
+def test_forms_alone_write_no_membership(spark):
+    from tests.inline import PAGES, inline
+
+    c, whole = inline(spark, PAGES), inline(spark, PAGES)
+    c.reused = whole.reused = True
+    whole.members
+    forms = lambda x: sorted(x.credential_forms.collect(), key=lambda r: r["artifact_id"])
+    assert forms(c) == forms(whole) and len(forms(c)) == 8 and not c.written

@@ -22,6 +22,21 @@ def test_blake3_vectors():
     assert blake3_many([data[:3073], data])[1].hex().startswith("aae792484c8efe4f")
 
 
+def test_few_short_inputs_are_digested_as_many_are():
+    data = bytes(i * 7 % 251 for i in range(1025))
+    texts = [data[:n] for n in (0, 1, 63, 64, 65, 127, 128, 129, 700, 1023, 1024, 1025)]
+    assert [blake3(x) for x in texts] == blake3_many(texts * 20)[: len(texts)]
+
+
+@pytest.mark.parametrize("kind, of", [("binary", lambda i: _elf() + b"%06d" % i * 50), ("html", lambda i: PAGE + b"<form><input name=n%d></form>" % i)])
+def test_digests_of_many_artifacts_take_one_pass(monkeypatch, kind, of):
+    """A numpy pass costs about as much for one artifact as for a hundred, so time is by passes."""
+    many = [(kind, of(i)) for i in range(100)]
+    alone, passes = [formats.extract(*x) for x in many], []
+    monkeypatch.setattr(formats, "blake3_many", lambda items: passes.append(len(items)) or blake3_many(items))
+    assert formats.extract_many(many) == alone and len(passes) == 1
+
+
 def test_json_flattening_and_fallback():
     doc = b'{"db": {"port": 5432, "f": 1.50, "n": null}, "l": ["b", "a"], "e": {}, "z": []}'
     assert canon(jsonc.parse(doc)) == ["db.f=1.5", "db.n=null", "db.port=5432", "e={}", "l[]=b", "l[]=a", "z=[]"]
