@@ -223,11 +223,11 @@ def test_reports_without_driver_loops(spark):
 
 def test_short_rows_are_dealt_before_they_are_composed_and_parsed(spark):
     """The tables are one file with one block of rows, which one task read and parsed."""
-    from factweave.plans import composed, format_queries
+    from factweave.plans import catalogue, composed, format_queries
     from tests.oracle import DATA
 
     cores = spark.sparkContext.defaultParallelism
-    rows = [format_queries._extracted(spark, DATA, "part", "p_partkey", "yaml", "p_name"), format_queries._by_sql(spark, DATA, "part", "p_partkey", "yaml", "p_name"), composed.pages(spark, DATA).facts, composed.binaries(spark, DATA).facts]
+    rows = [format_queries._extracted(spark, DATA, "part", "p_partkey", "yaml", "p_name"), format_queries._by_sql(spark, DATA, "part", "p_partkey", "yaml", "p_name"), composed.pages(spark, DATA).facts, composed.binaries(spark, DATA).facts, catalogue.parts(spark, DATA).facts]
     for df in rows:
         assert df.select(F.spark_partition_id().alias("p")).distinct().count() > cores
 
