@@ -22,6 +22,8 @@ from factweave.functions.graph import materialize, release, small
 from factweave.operators.consensus import artifact_stats, bucket, membership, with_outliers
 
 COMPACT = 16
+#: So many artifacts that come again are sent to the membership before it is dealt.
+FEW = 200_000
 _ARTIFACTS = "artifact_id long, path string, kind string, size long"
 _MEMBERS = "artifact_id long, kind string, canonical string, n long, ord int, fresh boolean"
 _IDENTITIES = "kind string, canonical string, k long, occurrences long, first struct<holder: long, holder_ord: int>"
@@ -59,19 +61,22 @@ class IncrementalConsensus:
         """Add a batch: ``artifacts`` (``artifact_id, path, kind, size``) and their ``facts``."""
         put = lambda df, table, name=f"batch={batch_id}": df.write.mode("overwrite").parquet(f"{self.folder}/{table}/{name}")
         seen = materialize(artifacts.select("artifact_id", "path", "kind", "size").dropDuplicates(["artifact_id"]))
-        added = materialize(membership(facts))
+        pairs = membership(facts).withColumn("fresh", F.lit(True))
         known = self._read("artifacts", _ARTIFACTS, batch_id).select("artifact_id")
         again = materialize(known.join(small(seen.select("artifact_id")), "artifact_id", "left_semi"))
         put(seen.join(small(again), "artifact_id", "left_anti"), "artifacts")
-        pairs = added.withColumn("fresh", F.lit(True))
-        if not again.isEmpty():
-            held = self._read("members", _MEMBERS, batch_id).where("fresh").join(small(again), "artifact_id", "left_semi").select("artifact_id", "kind", "canonical", F.lit(True).alias("held"))
-            pairs = added.join(held, ["artifact_id", "kind", "canonical"], "left").withColumn("fresh", F.col("held").isNull())
-        pairs = materialize(pairs.select(*(c.split()[0] for c in _MEMBERS.split(", "))))
-        put(pairs, "members")
+        n = again.count()
+        if n:
+            held = self._read("members", _MEMBERS, batch_id).where("fresh")
+            if n <= FEW:  # of more, the membership is dealt once, for the pairs
+                held = held.join(F.broadcast(again), "artifact_id", "left_semi")
+            held = held.select("artifact_id", "kind", "canonical", F.lit(True).alias("held"))
+            pairs = pairs.join(held, ["artifact_id", "kind", "canonical"], "left").withColumn("fresh", F.col("held").isNull())
+        put(pairs.select(*(c.split()[0] for c in _MEMBERS.split(", "))), "members")
+        pairs = self.spark.read.schema(_MEMBERS).parquet(f"{self.folder}/members/batch={batch_id}")
         first = F.min(F.struct(F.col("artifact_id").alias("holder"), F.col("ord").alias("holder_ord"))).alias("first")
         put(pairs.groupBy("kind", "canonical").agg(F.count_if("fresh").alias("k"), F.sum("n").alias("occurrences"), first), "identities")
-        release(seen, added, again, pairs)
+        release(seen, again)
         merged = [b for b in self._done("merged") if b < batch_id]
         if len([b for b in self._done("identities") if b <= batch_id and (not merged or b > merged[-1])]) >= self.compact:
             put(self._sums(batch_id + 1), "merged", f"upto={batch_id}")
@@ -104,10 +109,13 @@ class IncrementalConsensus:
 
 
 def in_batches(state: IncrementalConsensus, artifacts: DataFrame, facts: DataFrame, batches: int) -> IncrementalConsensus:
-    """Feed a corpus in ``batches`` parts by a hash of the fact, so that most artifacts come again in every part."""
-    part = F.pmod(F.xxhash64("artifact_id", "ord", "canonical"), F.lit(batches))
+    """Feed a corpus in ``batches`` parts by a hash of the fact, so that most artifacts come again in every part. The facts
+    are extracted once and each part is read by itself."""
+    part = F.pmod(F.xxhash64("artifact_id", "ord", "canonical"), F.lit(batches)).cast("int")
+    fed = materialize(facts.withColumn("_part", part), by="_part")
     for b in range(batches):
-        some = facts.where(part == b)
+        some = fed.where(F.col("_part") == b).drop("_part")
         here = artifacts if b == 0 else artifacts.join(some.select("artifact_id").distinct(), "artifact_id", "left_semi")
         state.update(b, here, some)
+    release(fed)
     return state

@@ -123,3 +123,37 @@ def test_incremental_stream(spark, tmp_path):
     state.ingest(stream, lambda b: text_facts(b, "artifact_id", "text"), str(tmp_path / "ck")).awaitTermination()
     want = Corpus(rows.drop("text").dropDuplicates(["artifact_id"]), text_facts(rows, "artifact_id", "text"))
     assert summary(state) == summary(want)
+
+
+def summed(c):
+    return sorted(map(tuple, c.identities.select("kind", "canonical", "k", "occurrences", "holder", "bucket").collect()))
+
+
+def test_facts_are_extracted_once_for_all_batches(spark, tmp_path):
+    """Before, each batch extracted all facts again, twice."""
+    from factweave.streaming import incremental
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    facts = facts_of(spark, random.Random(5), 40)
+    artifacts = facts.select("artifact_id").distinct().selectExpr("artifact_id", "CAST(artifact_id AS STRING) AS path", "'text' AS kind", "0L AS size")
+    n, whole = facts.count(), Corpus(artifacts, facts)
+    state = incremental.in_batches(IncrementalConsensus(spark, str(tmp_path), compact=2), artifacts, facts.mapInArrow(counted, facts.schema), 4)
+    assert read.value == n
+    assert summed(state) == summed(whole)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_artifacts_that_come_again_however_many(spark, tmp_path, monkeypatch, few):
+    from factweave.streaming import incremental
+
+    monkeypatch.setattr(incremental, "FEW", few)
+    facts = facts_of(spark, random.Random(6), 40)
+    artifacts = facts.select("artifact_id").distinct().selectExpr("artifact_id", "CAST(artifact_id AS STRING) AS path", "'text' AS kind", "0L AS size")
+    state = incremental.in_batches(IncrementalConsensus(spark, str(tmp_path)), artifacts, facts, 3)
+    assert summed(state) == summed(Corpus(artifacts, facts))
