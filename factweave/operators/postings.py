@@ -25,7 +25,8 @@ _FEED = ["kind", "canonical", "artifact_id", "ord"]
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Non-negative integers behind one byte that says how many bytes each takes."""
+    """Non-negative integers (below 2^64) behind one byte that says how many bytes each takes."""
+    values = values.astype(np.uint64)
     width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(values) or int(values.max()) < 1 << 8 * w)
     return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
@@ -39,6 +40,23 @@ def _block(artifacts: np.ndarray, ords: np.ndarray, lines: np.ndarray) -> bytes:
     return pack(np.diff(artifacts, prepend=artifacts[:1])) + pack(ords) + pack(lines)
 
 
+#: Occurrences up to which a run is packed as plain integers: most identities have one.
+SHORT = 32
+
+
+def _pack_short(values: list[int]) -> bytes:
+    """``pack`` of a few integers."""
+    top = max(values)
+    if top < 256:
+        return b"\1" + bytes(values)
+    width = 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + b"".join(v.to_bytes(width, "little") for v in values)
+
+
+def _short_block(artifacts: list[int], ords: list[int], lines: list[int]) -> bytes:
+    return _pack_short([q - p for p, q in zip([artifacts[0], *artifacts], artifacts)]) + _pack_short(ords) + _pack_short(lines)
+
+
 class _Blocks:
     """Blocks gathered to a batch."""
 
@@ -74,9 +92,18 @@ def _encode(block: int):
         out, name, held, size = _Blocks(block), None, [], 0
         for batch in batches:
             columns = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3, 4)]
+            plain = [c.tolist() for c in columns]
             cuts = _changes(batch)
-            for k, end in zip(cuts, [*cuts[1:], batch.num_rows]):
-                here = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
+            names = zip(*(batch.column(c).take(pa.array(cuts, pa.int64())).to_pylist() for c in (0, 1)))
+            for k, end, here in zip(cuts, [*cuts[1:], batch.num_rows], names):
+                if here != name and end < batch.num_rows and end - k <= min(SHORT, block):  # whole and short
+                    if held:
+                        out.add(name, [np.concatenate(c) for c in zip(*held)])
+                        held, size = [], 0
+                    a, o, x = (c[k:end] for c in plain)
+                    out.rows.append((*here, a[0], o[0], a[-1], end - k, _short_block(a, o, x)))
+                    name = here
+                    continue
                 if here != name and held:
                     out.add(name, [np.concatenate(c) for c in zip(*held)])
                     held, size = [], 0
@@ -97,23 +124,33 @@ def _encode(block: int):
     return run
 
 
+#: Occurrences of a batch that leaves ``_decode``, about.
+DECODED = 1 << 16
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in OCCURRENCES.split(", ")]
     for batch in batches:
-        rows: list[list] = [[], [], [], [], []]
-        held = 0
-        for kind, canonical, first, n, body in zip(*(batch.column(c).to_pylist() for c in ("kind", "canonical", "first_artifact", "n", "body"))):
-            deltas, left = unpack(memoryview(body), n)
-            ords, left = unpack(left, n)
-            lines, _ = unpack(left, n)
-            for column, more in zip(rows, (pa.repeat(kind, n), pa.repeat(canonical, n), first + np.cumsum(deltas), ords.astype(np.int32), lines.astype(np.int32))):
-                column.append(more if isinstance(more, pa.Array) else pa.array(more))
-            held += n
-            if held >= 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in rows], names=names)
-                rows, held = [[], [], [], [], []], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in rows], names=names)
+        ends = np.cumsum(batch.column("n").to_numpy().astype(np.int64))
+        row = 0
+        while row < batch.num_rows:
+            end = int(np.searchsorted(ends, (ends[row - 1] if row else 0) + DECODED)) + 1
+            part = batch.slice(row, min(end, batch.num_rows) - row)
+            row += part.num_rows
+            n = part.column("n").to_numpy().astype(np.int64)
+            columns: list[list[np.ndarray]] = [[], [], []]
+            for size, body in zip(n.tolist(), part.column("body").to_pylist()):
+                left = memoryview(body)
+                for column in columns:
+                    values, left = unpack(left, size)
+                    column.append(values)
+            deltas, ords, lines = (np.concatenate(c) for c in columns)
+            # differences add up over all blocks; the first of a block is 0, so what came before it is taken off
+            summed = np.cumsum(deltas)
+            starts = np.cumsum(n) - n
+            artifacts = summed + np.repeat(part.column("first_artifact").to_numpy() - summed[starts], n)
+            at = pa.array(np.repeat(np.arange(part.num_rows), n))
+            yield pa.RecordBatch.from_arrays([part.column("kind").take(at), part.column("canonical").take(at), pa.array(artifacts), pa.array(ords.astype(np.int32)), pa.array(lines.astype(np.int32))], names=names)
 
 
 def posting_blocks(facts: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -175,3 +175,13 @@ def test_lines_are_trimmed_at_their_true_end(spark):
     """A mark that Java takes for a line's end does not hide the blanks before it, nor is it one itself."""
     df = spark.createDataFrame([(1, "\t a b \r\n \u2028\nx \u2028\n \t\r")], "id long, text string")
     assert [r["canonical"] for r in text_facts(df, "id", "text").orderBy("line").collect()] == ["a b", "\u2028", "x \u2028"]
+
+
+def test_blocks_of_artifacts_at_both_ends_of_a_long(spark):
+    """Differences above 2^63 were packed in one byte; short and long runs alike."""
+    low, high = -(2**63), 2**63 - 1
+    rows = [(a, n, "kv", c, 300 * n) for c, times in (("few", 1), ("many", postings.SHORT)) for a in (low, -1, 0, high) for n in range(times)]
+    facts = spark.createDataFrame([*rows, (5, 0, "kv", "zz", 0)], FACTS)
+    for block in (3, postings.BLOCK):
+        found = postings.posting_rows(postings.posting_blocks(facts, block)).collect()
+        assert sorted(map(key, found)) == sorted(map(key, facts.collect()))
