@@ -37,6 +37,38 @@ def test_digests_of_many_artifacts_take_one_pass(monkeypatch, kind, of):
     assert formats.extract_many(many) == alone and len(passes) == 1
 
 
+def test_structure_that_comes_again_is_digested_and_spelt_once(monkeypatch):
+    tags = b"".join(b"<t%d><img></t%d>" % (i, i) for i in range(40))
+    want, seen = formats.extract("html", tags + b"<title>0</title>"), []
+    spelt = html._shape
+    monkeypatch.setattr(html, "_shape", lambda run: seen.append(run) or spelt(run))
+    monkeypatch.setattr(formats, "blake3_many", lambda items: seen.extend(items) or blake3_many(items))
+    again = formats.extract("html", tags + b"<title>1</title>")
+    assert seen == [] and [f for f in again if f[1] != "title[]=1"] == [f for f in want if f[1] != "title[]=0"]
+
+
+@given(st.binary(max_size=3000), st.integers(0, 3))
+def test_chunk_bounds_by_one_sum_a_byte(data, few):
+    data = bytes(b % (2 + few) for b in data) * (1 + few)
+    low, mask, bounds, start, total = binary._LOW.tolist(), (1 << binary.MASK_BITS) - 1, [], 0, 0
+    for i, b in enumerate(data):
+        total = (2 * total + low[b]) & mask
+        if i + 1 - start >= binary.MAX_CHUNK or (total == 0 and i + 1 - start >= binary.MIN_CHUNK):
+            bounds.append((start, i + 1))
+            start = i + 1
+    assert binary.chunk_bounds(data) == bounds + [(start, len(data))] * (start < len(data))
+
+
+@given(st.text(alphabet="ab ÉİK\x0b\x00\x7f\n\t\r\x0c\x1fZ", max_size=200))
+def test_plain_text_and_case(text):
+    spaced = "".join(" " if c in " \t\n\r\x0c" else c for c in text if c in " \t\n\r\x0c" or (c >= " " and c != "\x7f"))
+    out = ""
+    for c in " ".join(w for w in spaced.split(" ") if w):
+        out += c if len(out.encode()) < html.TEXT_MAX else ""
+    assert html.plain(text) == out.rstrip(" ")
+    assert html.lower(text) == "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
 def test_json_flattening_and_fallback():
     doc = b'{"db": {"port": 5432, "f": 1.50, "n": null}, "l": ["b", "a"], "e": {}, "z": []}'
     assert canon(jsonc.parse(doc)) == ["db.f=1.5", "db.n=null", "db.port=5432", "e={}", "l[]=b", "l[]=a", "z=[]"]
