@@ -212,3 +212,17 @@ def test_extractors_in_sql(spark):
     for bad in ("extract_facts(1, 'x')", "extract_facts('json', 2)", "extract_facts('json', 'x', identities => 'yes')"):
         with pytest.raises(AnalysisException):
             spark.sql(f"SELECT * FROM {bad}").collect()
+
+
+def test_files_in_sql_are_digested_by_batches(spark):
+    from factweave.functions.table_functions import register
+
+    register(spark)
+    rows = [(i, k, c) for i, (k, c) in enumerate([("html", b"<p><b>%d</b><i></i></p>"), ("text", b"\0\1binary text %d"), ("json", b"\0"), ("text", None), (None, b'{"a": %d}'), ("html", b"<a></a><b></b><i>"), ("binary", b"")])]
+    rows = [(i + 10 * n, k, c and c.replace(b"%d", b"%d" % n)) for n in range(40) for i, k, c in rows]
+    spark.createDataFrame(rows, "artifact_id long, kind string, content binary").createOrReplaceTempView("sql_batches")
+    by_row = spark.sql("SELECT f.artifact_id, x.* FROM sql_batches f, LATERAL extract_facts(f.kind, f.content) x")
+    for content in ("content", "CAST(content AS STRING)"):
+        by_batch = spark.sql(f"SELECT * FROM extract_files(TABLE(SELECT artifact_id, kind, {content} AS content FROM sql_batches))")
+        assert by_batch.columns == by_row.columns and by_row.count() > 200
+        assert sorted(map(tuple, by_batch.collect())) == sorted(map(tuple, by_row.collect()))
